@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, pii, secrets, sentencepiece_scan, topk
+from . import langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "words")
 
 
+def op2_media(spark, sf_dir):
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return secrets.scan_history(table(spark, sf_dir, "documents"))[0]
 
@@ -35,6 +39,10 @@ def op5_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_scan.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -44,13 +52,38 @@ def op8_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op4_license_scan, op5_pii, op7_sentencepiece, op8_top_k, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_secret_scan, op4_license_scan, op5_pii, op6_suffix_dedup, op7_sentencepiece, op8_top_k, op9_near_duplicates, op10_packing)}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Words of a text in lower case, as near-duplicates take them.
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+def near_duplicate_sql(width: int, percent: int, docs: str = "documents") -> str:
+    """Components of ``docs`` by exact comparison of all sets that share a shingle."""
+    shingle = "list_transform(range(1, len(w) - {k} + 2), lambda i: list_aggregate(w[i:i + {k} - 1], 'string_agg', ' '))".format(k=width)
+    return f"""
+WITH RECURSIVE nd_words AS (SELECT doc_id, {_WORDS} AS w FROM {docs}),
+nd_all AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {width} THEN {shingle} WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s FROM nd_words),
+nd_set AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM nd_all),
+nd_link AS (SELECT a.doc_id AS u, b.doc_id AS v FROM nd_set a JOIN nd_set b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+nd_reach(doc_id, r) AS (SELECT doc_id, doc_id FROM nd_all UNION SELECT l.v, p.r FROM nd_reach p JOIN nd_link l ON l.u = p.doc_id),
+nd_min AS (SELECT doc_id, min(r) AS component_id FROM nd_reach GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM nd_all JOIN nd_min USING (doc_id)"""
+
 
 ORACLE_SQL = {
+    "op9_near_duplicates": near_duplicate_sql(2, 80),
     "op8_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
