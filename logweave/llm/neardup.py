@@ -97,8 +97,13 @@ def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def ties(ids: np.ndarray, sketches: np.ndarray) -> tuple[list[int], list[int]]:
-    """Ties of one region: leaders in order of id, each with every set it is like enough to."""
+    """Ties of one region: leaders in order of id, each with every set it is like enough to.
+
+    Areas only ask what ties connect, so a tie between two sets that are connected already is
+    left out: a region of n sets gives n - 1 at most.
+    """
     us, vs = [], []
+    label = np.arange(len(ids))
     order = np.argsort(ids, kind="stable")
     ids, sketches = ids[order], sketches[order]
     left = np.ones(len(ids), bool)
@@ -107,9 +112,11 @@ def ties(ids: np.ndarray, sketches: np.ndarray) -> tuple[list[int], list[int]]:
             near = likeness(sketches[k], sketches)
             left &= near < COVERS
             left[k] = False
-            tied = (near >= TIES) & (ids != ids[k])
-            us += [int(ids[k])] * int(tied.sum())
-            vs += ids[tied].tolist()
+            new, first = np.unique(np.where((near >= TIES) & (ids != ids[k]), label, label[k]), return_index=True)
+            first = first[new != label[k]]
+            us += [int(ids[k])] * len(first)
+            vs += ids[first].tolist()
+            label[np.isin(label, new)] = label[k]
     return us, vs
 
 
