@@ -215,19 +215,20 @@ def back_times(m: list[list], vector: list) -> list:
     return [max((x + v for x, v in zip(row, vector, strict=False) if v is not None and x is not None), default=NEVER) for row in m]
 
 
-def traced(p: Pieces, words: Words, text: str, size: int, enter: int, leave: int) -> bytes:
-    """Ids of the pieces of a chunk that start in it, between two known states."""
+def traced(p: Pieces, text: str, size: int, enter: int, leave: int) -> tuple[bytes, str, bytes]:
+    """Pieces of a chunk that start in it, between two known states: ids up to the first sure place,
+    the whole words up to the last one, and ids after it."""
     if enter >= size + leave:
-        return b""
+        return b"", "", b""
     found = cut_places(text, size, p.longest)
     if found is None:
-        best, back = p.run(text[: size + leave], {enter: 0}, size)
-        return packed(p.trace(text, back, size + leave, enter))
+        _, back = p.run(text[: size + leave], {enter: 0}, size)
+        return packed(p.trace(text, back, size + leave, enter)), "", b""
     a, b = found
     _, back = p.run(text[:a], {enter: 0}, a)
     head = packed(p.trace(text, back, a, enter))
     _, back = p.run(text[b : size + leave], {0: 0}, size - b)
-    return head + words.encode([text[a:b]])[0] + packed(p.trace(text[b:], back, size + leave - b))
+    return head, text[a:b], packed(p.trace(text[b:], back, size + leave - b))
 
 
 def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -293,7 +294,14 @@ def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     def tracing():
         p = pieces(model)
         words = Words(p)
-        return lambda uids, ks, parts, enters, leaves: {"uid": uids, "chunk": ks, "ids": [traced(p, words, t, min(chunk, len(t)), a, b) for t, a, b in zip(parts, enters, leaves, strict=True)]}
+
+        def work(uids, ks, parts, enters, leaves):
+            heads, middles, tails = zip(*(traced(p, t, min(chunk, len(t)), a, b) for t, a, b in zip(parts, enters, leaves, strict=True)), strict=True)
+            # the words of all chunks of a batch are solved together
+            ids = [a + m + b for a, m, b in zip(heads, words.encode(middles), tails, strict=True)]
+            return {"uid": uids, "chunk": ks, "ids": ids}
+
+        return work
 
     solved = map_rows(chunks.drop("n").join(path, ["uid", "chunk"]).select("uid", "chunk", "part", "enter", "leave"), tracing, StructType([*fields(uid=LongType()).fields, *ids.fields]))
     # equal rows get one set of chunks each
