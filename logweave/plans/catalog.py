@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions import normalize
 from logweave.operators import aggregates as A
 from logweave.operators import anomalies, entities, exports, filters, graph, insights, ledger, mining, quality, questions, retrieval
 from logweave.operators.filters import LogFilter
@@ -271,3 +272,56 @@ def _backfilled(log):
 query("m2_shapes", lambda log: mining.shapes(log.select(F.col("raw_message").alias("raw"))))
 query("m3_slots", lambda log: mining.slots(log.select(F.col("raw_message").alias("raw"))))
 query("m5_drafts", lambda log: mining.drafts(log.select(F.col("raw_message").alias("raw"))))
+
+# --- normalisation: events rendered to lines of eight formats and read back
+
+
+def rendered(log: DataFrame) -> DataFrame:
+    """A line for each event, in the format of its number."""
+    c, lit = F.col, F.lit
+    cat = lambda *x: F.concat(*(v if not isinstance(v, str) else lit(v) for v in x))
+    old = F.date_format("ts", "MMM d HH:mm:ss")
+    iso = cat(c("timestamp"), "Z")
+    words = F.replace("message", lit("="), lit(":"))
+    shapes = (
+        cat("<", (c("severity_score") + 8).cast("string"), ">", old, " ", c("hostname"), " ", c("process"), "[", c("k").cast("string"), "]: ", words),
+        cat("<", (c("severity_score") + 8).cast("string"), ">1 ", iso, " ", c("hostname"), " ", c("process"), " ", c("k").cast("string"), " - - ", words),
+        cat(old, " ", c("hostname"), " ", c("process"), "[", c("k").cast("string"), "]: ", words),
+        cat("ts=", iso, " level=", F.lower("severity"), " host=", c("hostname"), " app=", c("process"), " msg=\"", words, "\""),
+        cat("CEF:0|acme|", c("process"), "|1|", c("component"), "|", words, "|5|rt=", F.unix_millis(c("ts").cast("timestamp")).cast("string"), " dvchost=", c("hostname"), " act=seen"),
+        cat("LEEF:1.0|acme|", c("process"), "|1|", words, "|devTime=", F.unix_millis(c("ts").cast("timestamp")).cast("string"), "\thost=", c("hostname"), "\tact=seen"),
+        cat("10.1.1.", (c("k") % 250).cast("string"), " - ", c("user_name"), " [", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), " +0000] \"GET /", c("component"), " HTTP/1.1\" ", F.when(c("severity_score") <= 3, "503").otherwise("200"), " 12"),
+        F.to_json(F.struct(iso.alias("timestamp"), "hostname", "process", F.lower("severity").alias("level"), words.alias("message"))),
+    )
+    return log.select("event_id", F.get(F.array(*shapes), (c("event_id") % 8).cast("int")).alias("raw"))
+
+
+_OLD = "event_id % 8 IN (0, 2)"
+query("p1_normalised", lambda log: normalize.parse(rendered(log), "2024-06-01").select(
+    "event_id", "matched_format", F.substring("timestamp", 1, 19).alias("timestamp"), "day", "hostname", "process", "severity", "http_status", "timestamp_source"),
+    """SELECT event_id, matched_format, substr(timestamp, 1, 19) AS timestamp, day, CASE WHEN event_id % 8 = 6 THEN 'unknown-host' ELSE hostname END AS hostname, CASE WHEN event_id % 8 = 6 THEN 'unknown-process' ELSE process END AS process,
+CASE WHEN event_id % 8 IN (0, 1) THEN CASE severity_score WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARNING' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' ELSE 'DEBUG' END
+  WHEN event_id % 8 IN (2, 5) THEN CASE WHEN contains(message, 'error') AND event_id % 8 IN (2, 5) THEN 'ERROR' ELSE 'INFO' END WHEN event_id % 8 = 4 THEN 'WARNING' WHEN event_id % 8 = 6 THEN CASE WHEN severity_score <= 3 THEN 'ERROR' ELSE 'INFO' END ELSE severity END AS severity,
+CASE WHEN event_id % 8 = 6 THEN CASE WHEN severity_score <= 3 THEN 503 ELSE 200 END END AS http_status, 'event' AS timestamp_source FROM log""")
+query("p24_preview", lambda log: normalize.preview(normalize.parse(rendered(log), "2024-06-01")), "SELECT matched_format, count(*) AS events, CASE WHEN matched_format = 'web_access' THEN 0.0 ELSE 100.0 END::DOUBLE AS with_host, CASE WHEN matched_format = 'web_access' THEN 0.0 ELSE 100.0 END::DOUBLE AS with_process, 100.0::DOUBLE AS with_time FROM log GROUP BY 1")
+query("p12_stable_ids", lambda log: _same_ids(log), "SELECT count(*) AS lines, count(*) AS same_ids, count(*) AS same_hashes FROM log")
+
+
+def _same_ids(log: DataFrame) -> DataFrame:
+    lines = rendered(log)
+    a, b = (normalize.parse(lines, "2024-06-01").select("event_id", F.col("id").alias(f"id{n}"), F.col("raw_hash").alias(f"h{n}"), "raw_message") for n in (1, 2))
+    both = a.join(b.drop("raw_message"), "event_id")
+    return both.agg(F.count("*").alias("lines"), F.count_if(F.col("id1") == F.col("id2")).alias("same_ids"), F.count_if((F.col("h1") == F.col("h2")) & (F.col("h1") == F.sha2("raw_message", 256))).alias("same_hashes"))
+
+
+query("s3_reassembled", lambda log: _reassembled(log), "SELECT source_file, count(*) AS records, sum(n)::BIGINT AS lines FROM (SELECT 'file-' || event_id % 4 AS source_file, 1 + k % 3 AS n FROM log WHERE k % 7 <> 1) GROUP BY 1")
+
+
+def _reassembled(log: DataFrame) -> DataFrame:
+    """Events as blocks of one to three lines, between blank ones, put together again."""
+    from logweave.sources.readers import reassemble
+
+    parts = F.concat(F.array(F.concat_ws(" ", "timestamp", "hostname", "message")), F.slice(F.array(F.lit("  at one"), F.lit("  at two")), 1, (F.col("k") % 3).cast("int")), F.array(F.lit("")))
+    lines = log.where("k % 7 <> 1").select(F.concat(F.lit("file-"), (F.col("event_id") % 4).cast("string")).alias("source_file"), F.floor(F.col("event_id") / 1000).alias("block"), F.posexplode(parts).alias("p", "line"), "event_id")
+    found = reassemble(lines.withColumn("line_no", F.col("event_id") * 10 + F.col("p")).select("source_file", "block", "line_no", "line"))
+    return found.groupBy("source_file").agg(F.count("*").alias("records"), F.sum(F.size(F.split("raw", "\n"))).alias("lines"))
