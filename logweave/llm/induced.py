@@ -16,8 +16,8 @@ from bisect import bisect_left
 
 import numpy as np
 
-#: Queue entries kept in memory.
-LIMIT = 2_000_000
+#: Queue entries kept in memory, and names of starts that are sorted in memory.
+LIMIT, BASE = 2_000_000, 2_000_000
 _TOP = "\U0010ffff"
 
 
@@ -100,6 +100,18 @@ def common(s: str, a: int, b: int) -> int:
     return n
 
 
+def common_prefixes(codes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 16) -> np.ndarray:
+    """The same for many pairs at once; they differ before the end, whose letter is found once."""
+    padded = np.concatenate([codes, np.zeros(step, codes.dtype)])
+    out, left, at = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(step)
+    while len(left):
+        apart = padded[(a[left] + out[left])[:, None] + at] != padded[(b[left] + out[left])[:, None] + at]
+        done = apart.any(axis=1)
+        out[left] += np.where(done, apart.argmax(axis=1), step)
+        left = left[~done]
+    return out
+
+
 def rising(codes: np.ndarray) -> np.ndarray:
     """Whether each suffix is less than the next one; the last, of a letter below all, counts as such."""
     n = len(codes)
@@ -214,18 +226,179 @@ def suffixes(s: str, limit: int = LIMIT) -> tuple[array, array]:
     return order, lcps
 
 
-def repeated_starts(fragments: list[bytes], many: list[bool], length: int, limit: int = LIMIT) -> list[np.ndarray]:
+class Runs:
+    """Queues of a pass over letters below 257: arrays of suffixes and common prefixes, first in, first
+    out. When more than ``limit`` entries wait, those in memory are moved to a file."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held, self.rows, self.file = limit, 0, [[] for _ in range(257)], None
+
+    def put(self, letter: int, i: np.ndarray, lcp: np.ndarray) -> None:
+        self.rows[letter].append((i, lcp))
+        self.held += len(i)
+        if self.held > self.limit:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()  # noqa: SIM115  gone when closed
+            for row in self.rows:
+                for k, part in enumerate(row):
+                    if not isinstance(part[0], int):
+                        self.file.seek(0, 2)
+                        row[k] = (self.file.tell(), len(part[0]))
+                        self.file.write(np.stack(part).tobytes())
+            self.held = 0
+
+    def take(self, letter: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """All that waits for a letter now."""
+        row, self.rows[letter] = self.rows[letter], []
+        if not row:
+            return None
+        parts = []
+        for a, b in row:
+            if isinstance(a, int):
+                self.file.seek(a)
+                a, b = np.frombuffer(self.file.read(16 * b), np.int64).reshape(2, b)
+            else:
+                self.held -= len(a)
+            parts.append((a, b))
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+class Pass:
+    """One induction: suffixes leave in order, and queue the suffix before them if it is of the wanted kind."""
+
+    def __init__(self, letters: np.ndarray, up: np.ndarray, want_up: bool, limit: int) -> None:
+        self.letters, self.up, self.want, self.queues = letters, up, want_up, Runs(limit)
+        self.since = np.full(257, -1, np.int64)  # least common prefix since the last one queued; -1: none yet
+
+    def leave(self, i: np.ndarray, lcp: np.ndarray) -> None:
+        least = np.minimum.accumulate(lcp)
+        j = i - 1
+        at = np.flatnonzero((j >= 0) & (self.up[j] == self.want) & (self.letters[j] > 0))
+        to = self.letters[j[at]]
+        order = np.argsort(to, kind="stable")
+        at, to = at[order], to[order]
+        first = np.r_[True, to[1:] != to[:-1]][: len(to)]
+        ends = np.append(lcp, np.iinfo(np.int64).max)
+        between = np.empty(len(at), np.int64)
+        if len(at) > 1:
+            pairs = np.stack([at[:-1] + 1, at[1:] + 1], axis=1).ravel()
+            between[1:] = np.minimum.reduceat(ends, pairs)[::2]
+        begun = self.since[to[first]]
+        between[first] = np.where(begun < 0, -1, np.minimum(begun, least[at[first]]))
+        # letters that queue nothing now have seen this batch too
+        self.since = np.where(self.since < 0, -1, np.minimum(self.since, least[-1]))
+        bounds = np.r_[np.flatnonzero(first), len(at)]
+        behind = np.minimum.accumulate(ends[::-1])[::-1]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            c = int(to[a])
+            self.queues.put(c, j[at[a:b]], between[a:b] + 1)
+            self.since[c] = behind[at[b - 1] + 1]
+
+
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a row of names that fits in memory, by doubling."""
+    rank, span = names.astype(np.int64), 1
+    while True:
+        key = rank * (len(names) + 2)
+        key[:-span] += rank[span:] + 1
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        new = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        rank = np.empty_like(rank)
+        rank[order] = new
+        if new[-1] == len(names) - 1:
+            return order
+        span *= 2
+
+
+def fragment_order(fragments: list[bytes], limit: int = LIMIT, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and common prefixes of fragments that each end with a letter of their own; those
+    letters are below all bytes, the last one below all.
+
+    The same induction as in ``suffixes``, a letter's queue at a time. The sort of the starts is
+    recursive while more than ``base`` names are left, and in memory from there on.
+    """
+    n, shift = len(fragments), _shift(len(fragments))
+    s = "".join([f"{f.decode('latin-1').translate(shift)}{chr(n - 1 - k)}" for k, f in enumerate(fragments)])
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+    letters = np.where(codes >= n, codes.astype(np.int64) - n + 1, 0)
+    up = rising(codes)
+    starts = np.flatnonzero(up[1:] & ~up[:-1]) + 1
+    places = starts.tolist()
+    stops = [*places[1:], len(s) - 1][: len(places)]
+    subs = [s[a : b + 1] + _TOP for a, b in zip(places, stops, strict=True)]
+    names = {x: k for k, x in enumerate(sorted(set(subs)))}
+    row = np.array([names[x] for x in subs], np.int64)
+    if len(row) and len(names) < len(row) and len(row) > base:
+        seeds = np.array(suffixes("".join(map(chr, row.tolist())), limit)[0], np.int64)
+    elif len(row):
+        seeds = doubled(row)
+    else:
+        seeds = row
+    del subs, names
+    seeds = starts[seeds]
+    seed_lcp = np.zeros(len(seeds), np.int64)
+    if len(seeds):
+        same = np.flatnonzero((letters[seeds[1:]] == letters[seeds[:-1]]) & (letters[seeds[1:]] > 0)) + 1
+        seed_lcp[same] = common_prefixes(codes, seeds[same - 1], seeds[same])
+    cut = np.searchsorted(letters[seeds], np.arange(258))  # seeds are in order of their letters
+
+    down, fallen = Pass(letters, up, False, limit), []
+    ends = np.flatnonzero(letters == 0)[::-1]
+    starting = ends[np.argsort(codes[ends], kind="stable")]
+    # separators differ in their letters: they leave first, in order, with nothing in common
+    down.leave(starting, np.zeros(n, np.int64))
+    for c in range(1, 257):
+        rounds, last = [], None
+        while (got := down.queues.take(c)) is not None:
+            i, lcp = got
+            if last is None:
+                lcp = np.r_[0, lcp[1:]]
+            down.leave(i, lcp)
+            rounds.append((i, lcp))
+            last = i[-1]
+        fallen.append(tuple(np.concatenate(x) for x in zip(*rounds, strict=True)) if rounds else None)
+        a, b = cut[c], cut[c + 1]
+        if a < b:
+            lcp = seed_lcp[a:b].copy()
+            lcp[0] = 0 if last is None else common(s, int(last), int(seeds[a]))
+            down.leave(seeds[a:b], lcp)
+    rise, risen = Pass(letters, up, True, limit), [None] * 256
+    for c in range(256, 0, -1):
+        rounds, last = [], None
+        while (got := rise.queues.take(c)) is not None:
+            i, lcp = got
+            if last is None:
+                lcp = np.r_[0, lcp[1:]]
+            rise.leave(i, lcp)
+            rounds.append((i, lcp))
+            last = i[-1]
+        if rounds:
+            risen[c - 1] = tuple(np.concatenate(x) for x in zip(*rounds, strict=True))
+        if fallen[c - 1] is not None:
+            i, lcp = (x[::-1] for x in fallen[c - 1])
+            lcp = np.r_[0 if last is None else common(s, int(last), int(i[0])), lcp[:-1]]
+            rise.leave(i, lcp)
+    order, lcps = [starting], [np.zeros(n, np.int64)]
+    for f, r in zip(fallen, risen, strict=True):
+        if f is not None:
+            order.append(f[0])
+            lcps.append(f[1])
+        if r is not None:
+            order.append(r[0][::-1])
+            seam = 0 if f is None else common(s, int(f[0][-1]), int(r[0][-1]))
+            lcps.append(np.r_[seam, r[1][::-1][:-1]])
+    return np.concatenate(order), np.concatenate(lcps)
+
+
+def repeated_starts(fragments: list[bytes], many: list[bool], length: int, limit: int = LIMIT, base: int = BASE) -> list[np.ndarray]:
     """For each fragment, whether the string of ``length`` bytes at each of its places is also at
     another place of the shard; all are if ``many`` says that the fragment itself occurs again."""
-    # separators of their own keep common prefixes inside fragments; the last is below all others
-    n = len(fragments)
-    s = "".join(f"{f.decode('latin-1').translate(_shift(n))}{chr(n - 1 - k)}" for k, f in enumerate(fragments))
-    order, lcps = suffixes(s, limit)
-    near = np.frombuffer(lcps, np.int64) >= length if len(lcps) else np.zeros(0, bool)
-    hit = near.copy()
-    hit[:-1] |= near[1:]
-    where = np.zeros(len(s), bool)
-    where[np.frombuffer(order, np.int64)[hit]] = True
+    order, lcps = fragment_order(fragments, limit, base)
+    near = lcps >= length
+    near[:-1] |= near[1:]
+    where = np.zeros(len(order), bool)
+    where[order[near]] = True
     out, at = [], 0
     for f, again in zip(fragments, many, strict=True):
         windows = max(0, len(f) - length + 1)

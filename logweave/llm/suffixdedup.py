@@ -43,7 +43,7 @@ LENGTH, GRAM = 200, 64
 #: Places under one anchor from which it is dealt by its contexts.
 HOT = 4096
 #: Bytes of a shard that is sorted at once; a larger group is a shard of its own.
-SHARD = 400_000
+SHARD = 1_500_000
 _SIDE = (LENGTH - GRAM) // 2
 _TABLE = np.random.default_rng(7_001).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

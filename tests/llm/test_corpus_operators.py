@@ -30,6 +30,22 @@ def test_induced_order(limit):
         assert list(common) == [0] + [lcp(s[a:], s[b:]) for a, b in zip(want, want[1:], strict=False)]
 
 
+@pytest.mark.parametrize(("limit", "base"), [(3, 0), (40, 5), (10**6, 10**6)])
+def test_fragment_order(limit, base):
+    rng = random.Random(limit)
+    for _ in range(300):
+        letters, own = rng.choice([1, 2, 3, 26]), []
+        for _ in range(rng.randrange(1, 6)):
+            f = bytes(97 + rng.randrange(letters) for _ in range(rng.randrange(25)))
+            own.append(rng.choice([f, f + f, (own[-1] if own else b"") + f]))
+        n = len(own)
+        s = "".join("".join(chr(b + n) for b in f) + chr(n - 1 - k) for k, f in enumerate(own))
+        want = sorted(range(len(s)), key=lambda i: s[i:])
+        order, common = induced.fragment_order(own, limit, base)
+        assert order.tolist() == want
+        assert common.tolist() == [0] + [lcp(s[a:], s[b:]) for a, b in zip(want, want[1:], strict=False)]
+
+
 def brute_removed(texts):
     places = {}
     for i, t in enumerate(texts):
