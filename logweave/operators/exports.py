@@ -189,7 +189,7 @@ def send(lines: DataFrame, post: Callable[[list[str]], None], batch: int = 200,
 
 def upsert(stored: DataFrame | None, new: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:
     """The latest row of each key; ``new`` wins over ``stored``, its last row over its others."""
-    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*new.columns)))
+    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.to_json(F.struct(*new.columns))))
     fresh = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     return fresh if stored is None else stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
 
