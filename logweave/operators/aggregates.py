@@ -9,7 +9,17 @@ from logweave.schema import BAND_MAX, FIELDS, is_alert, is_error
 
 from .filters import ALL, LogFilter
 
-TOTAL, ERRORS, ALERTS = F.count("*").alias("total"), F.count_if(is_error()).alias("errors"), F.count_if(is_alert()).alias("alerts")
+
+def total():
+    return F.count("*").alias("total")
+
+
+def errors():
+    return F.count_if(is_error()).alias("errors")
+
+
+def alerts():
+    return F.count_if(is_alert()).alias("alerts")
 
 
 def overview(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL) -> DataFrame:
@@ -29,14 +39,14 @@ def overview(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL) -
 
 def by_day(log: DataFrame, days: int | None = None, flt: LogFilter = ALL) -> DataFrame:
     """A2: the last ``days`` days that have events, in order."""
-    out = flt(log).where("day is not null").groupBy(F.col("day").alias("bucket")).agg(TOTAL, ALERTS, ERRORS)
+    out = flt(log).where("day is not null").groupBy(F.col("day").alias("bucket")).agg(total(), alerts(), errors())
     return (out.orderBy(F.desc("bucket")).limit(days) if days else out).orderBy("bucket")
 
 
 def within_day(log: DataFrame, day: str, granularity: str = "hour", flt: LogFilter = ALL) -> DataFrame:
     """A3."""
     n = 16 if granularity == "minute" else 13
-    return flt(log).where((F.col("day") == day) & F.col("timestamp").isNotNull()).groupBy(F.substring("timestamp", 1, n).alias("bucket")).agg(TOTAL, ALERTS, ERRORS).orderBy("bucket")
+    return flt(log).where((F.col("day") == day) & F.col("timestamp").isNotNull()).groupBy(F.substring("timestamp", 1, n).alias("bucket")).agg(total(), alerts(), errors()).orderBy("bucket")
 
 
 def severity_distribution(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
@@ -46,12 +56,12 @@ def severity_distribution(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
 
 def by_source_type(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
     """A5."""
-    return flt(log).where("source_type is not null").groupBy("source_type").agg(TOTAL, ERRORS).orderBy(F.desc("total"), "source_type")
+    return flt(log).where("source_type is not null").groupBy("source_type").agg(total(), errors()).orderBy(F.desc("total"), "source_type")
 
 
 def top(log: DataFrame, column: str, name: str, limit: int = 10, metric: str = "total", flt: LogFilter = ALL) -> DataFrame:
     """The values of a column with most events, or most errors."""
-    return flt(log).where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias(name)).agg(TOTAL, ERRORS).orderBy(F.desc(metric), name).limit(limit)
+    return flt(log).where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias(name)).agg(total(), errors()).orderBy(F.desc(metric), name).limit(limit)
 
 
 def top_hosts(log: DataFrame, limit: int = 10, metric: str = "total", flt: LogFilter = ALL) -> DataFrame:
@@ -72,7 +82,7 @@ def heat_map(log: DataFrame, days: int = 14, flt: LogFilter = ALL) -> DataFrame:
     """Events by day and hour of the last days, the day's total, and a bucket from 0 to 4 by the root of the count."""
     rows = flt(log).where("day is not null and timestamp is not null")
     last = rows.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    cells = rows.join(F.broadcast(last), "day", "left_semi").groupBy("day", F.substring("timestamp", 12, 2).cast("int").alias("hour")).agg(TOTAL, ERRORS)
+    cells = rows.join(F.broadcast(last), "day", "left_semi").groupBy("day", F.substring("timestamp", 12, 2).cast("int").alias("hour")).agg(total(), errors())
     return cells.withColumn("day_total", F.sum("total").over(Window.partitionBy("day"))).withColumn("bucket", F.round(F.sqrt("total") / F.sqrt(F.max("total").over(Window.partitionBy())) * 4).cast("int")).orderBy("day", "hour")
 
 
@@ -93,7 +103,7 @@ def top_messages(log: DataFrame, limit: int = 10, errors_only: bool = True, leng
 def severity_by_source(log: DataFrame, limit: int = 12, flt: LogFilter = ALL) -> DataFrame:
     """A12."""
     score = F.col("severity_score")
-    out = flt(log).where("source_type is not null").groupBy("source_type").agg(TOTAL, F.count_if(score <= 2).alias("critical"), F.count_if(score == 3).alias("errors"), F.count_if(score == 4).alias("warnings"))
+    out = flt(log).where("source_type is not null").groupBy("source_type").agg(total(), F.count_if(score <= 2).alias("critical"), F.count_if(score == 3).alias("errors"), F.count_if(score == 4).alias("warnings"))
     return out.orderBy(F.desc("total"), "source_type").limit(limit)
 
 
@@ -135,11 +145,11 @@ def facts(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
         return df.select(F.lit(name).alias("fact"), F.col(key).cast("string").alias("key"), F.col("value"))
 
     ranked = lambda df, key, n: df.orderBy(F.desc("value"), key).limit(n)
-    errors = rows.where(is_error())
+    failed = rows.where(is_error())
     parts = [
         named(rows.agg(count).withColumn("key", F.lit("all")), "total", "key"), named(rows.groupBy("severity").agg(count), "severity", "severity"),
         named(ranked(rows.groupBy("source_type").agg(count), "source_type", 10), "source", "source_type"), named(rows.groupBy("day").agg(count).orderBy(F.desc("day")).limit(14), "day", "day"),
-        named(ranked(errors.groupBy("hostname").agg(count), "hostname", 10), "error_host", "hostname"), named(ranked(errors.groupBy(F.substring("message", 1, 90).alias("m")).agg(count), "m", 8), "error_message", "m"),
+        named(ranked(failed.groupBy("hostname").agg(count), "hostname", 10), "error_host", "hostname"), named(ranked(failed.groupBy(F.substring("message", 1, 90).alias("m")).agg(count), "m", 8), "error_message", "m"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -59,7 +59,7 @@ def build(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL, min_
     message = A.top_messages(rows, 1).join(whole).withColumn("share", pct(F.col("occurrences"), F.col("total_errors"))).where("share >= 10")
     out.append(_row(message, "dominant-error-message", F.when(F.col("share") >= 25, "warning").otherwise("info"), F.lit("One message dominates the errors"), F.col("share")))
 
-    hours = rows.where("timestamp is not null").groupBy(F.substring("timestamp", 12, 2).alias("hour")).agg(A.TOTAL, A.ERRORS)
+    hours = rows.where("timestamp is not null").groupBy(F.substring("timestamp", 12, 2).alias("hour")).agg(A.total(), A.errors())
     out.append(_row(hours.orderBy(F.desc("total"), "hour").limit(1), "peak-hour", "info", F.concat(F.lit("Traffic peaks at "), "hour", F.lit(":00 UTC")), F.col("total")))
     bad_hour = hours.where("total >= 50").withColumn("rate", rate).orderBy(F.desc("rate"), "hour").limit(1).join(whole).where(F.col("rate") > 1.5 * pct(F.col("total_errors"), F.col("total_logs")))
     out.append(_row(bad_hour, "worst-hour-rate", "warning", F.concat("hour", F.lit(":00 has a high error rate")), F.col("rate")))

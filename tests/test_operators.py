@@ -125,7 +125,7 @@ def test_exports(spark, tmp_path):
     assert json.loads(exports.ecs(log).first().value)["host"]["name"] == "h"
     for shape in ("ndjson", "csv"):
         exports.export(log, shape, f"{tmp_path}/{shape}")
-    assert spark.read.json(f"{tmp_path}/ndjson").first().hostname == "h" and spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 1
+    assert spark.read.json(f"{tmp_path}/ndjson").first().hostname == "h" and spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/csv").count() == 1
 
     def post(lines):
         if any("bad" in x for x in lines):
