@@ -83,6 +83,17 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 
 
 ORACLE_SQL = {
+    # bytes as hexadecimal digits, two for each
+    "op6_suffix_dedup": """
+WITH sd AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sw AS (SELECT rid, s, md5(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(0, greatest(0, len(h) // 2 - 199))) AS s FROM sd)),
+st AS (SELECT rid, s FROM sw JOIN (SELECT m FROM sw GROUP BY m HAVING count(*) > 1) USING (m)),
+sg AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS g FROM (SELECT rid, s, CASE WHEN s - lag(s) OVER (PARTITION BY rid ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM st)),
+sr AS (SELECT rid, min(s) AS a, max(s) + 200 AS b FROM sg GROUP BY rid, g),
+sp AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM sr),
+sk AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM sp JOIN sd USING (rid) GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM sd LEFT JOIN sk USING (rid)""",
     "op9_near_duplicates": near_duplicate_sql(2, 80),
     "op8_top_k": """
 WITH v AS (
