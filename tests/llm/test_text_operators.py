@@ -247,3 +247,10 @@ def test_packing(spark):
     alone = packing.Island([r.length for r in got if r.length < 1024], 1024, 0).first(0.0)
     assert len(bins) <= len(alone) + sum(r.length == 1024 for r in got) + 4
     assert sum(r.doc_id == 1 for r in got) == 3
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = langid.identify(docs, MODEL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+    right, total = got.where("lang = lang_pred").count(), got.count()
+    assert total > 20 and right >= 0.97 * total
