@@ -1,8 +1,8 @@
 """Lines of any known format to events of one schema, as column expressions.
 
-A line is claimed by the first rule whose text and pattern it has; the claim is one CASE, and what the
-claim found is read with the claimed rule's pattern and group numbers, so that a pattern runs twice
-for a line at most, however many fields there are. No step has state or moves rows: the
+A line is claimed by the first rule whose text and pattern it has; the claim is one CASE, and one
+replacement with the claimed rule's pattern gives all its groups, so that a line's pattern runs twice,
+however many fields there are. No step has state or moves rows: the
 same expressions serve batch and streams.
 """
 
@@ -22,10 +22,13 @@ RAW_CAP = 32_768
 _NAMES = sorted({g for r in RULES for g in r.groups.split(",")})
 _CEF_WORDS = {**dict.fromkeys("0123", "INFO"), **dict.fromkeys("456", "WARNING"), **dict.fromkeys("78", "ERROR"), "9": "CRITICAL", "10": "CRITICAL", "Low": "INFO", "Medium": "WARNING", "High": "ERROR", "Very-High": "CRITICAL"}
 _SYSLOG = ("EMERGENCY", "ALERT", "CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG")
-#: Timestamp patterns, tried in order.
+#: Shapes of timestamps and their patterns, tried in order. A pattern is only tried on its
+#: shape: a failed parse raises inside the engine, which costs more than all the rest of a line.
 FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]", "dd/MMM/yyyy:HH:mm:ss Z", "MMM d yyyy HH:mm:ss[.SSS][ Z]", "d MMM yyyy HH:mm:ss[.SSS]",
-    "MMM d HH:mm:ss yyyy", "d/M/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "M/d/yyyy HH:mm:ss", "M/d/yyyy hh:mm:ss a",
+    (r"^\d{4}-\d{2}-\d{2}T", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]"), (r"^\d{4}-\d{2}-\d{2} ", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]"),
+    (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4}:", "d/MMM/yyyy:HH:mm:ss Z"), (r"^[A-Z][a-z]{2} \d{1,2} \d{4} ", "MMM d yyyy HH:mm:ss[.SSS][ Z]"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4} ", "d MMM yyyy HH:mm:ss[.SSS]"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \S+ \d{4}$", "MMM d HH:mm:ss yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4} [\d:]+$", "d/M/yyyy HH:mm:ss"), (r"^\d{4}/", "yyyy/MM/dd HH:mm:ss"),
+    (r"^\d{1,2}/(?:1[3-9]|[23]\d)/\d{4} [\d:]+$", "M/d/yyyy HH:mm:ss"), (r"^\d{1,2}/\d{1,2}/\d{4} .*[AP]M$", "M/d/yyyy hh:mm:ss a"),
 )
 
 
@@ -45,6 +48,15 @@ def clean(text: Column) -> Column:
     return F.trim(out)
 
 
+def to_map(entries: Column, last: bool = True) -> Column:
+    """A map of (key, value) pairs, of equal keys the last or the first; evaluates ``entries`` once."""
+    none = F.create_map().cast("map<string,string>")
+    one = lambda e: F.create_map(e["key"], e["value"])
+    if last:
+        return F.aggregate(entries, none, lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), one(e)))
+    return F.aggregate(entries, none, lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, one(e))))
+
+
 def kv_bag(text: Column) -> Column:
     """``k=v``, ``k="v"`` and ``k='v'`` as a map; the last value of a key wins; bare values lose the
     punctuation of prose."""
@@ -54,8 +66,7 @@ def kv_bag(text: Column) -> Column:
     quoted = F.zip_with(part(2), part(3), lambda a, b: F.concat(a, b))
     values = F.zip_with(quoted, bare, lambda q, v: F.concat(q, v))
     entries = F.zip_with(part(1), values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    return F.coalesce(to_map(entries), F.create_map().cast("map<string,string>"))
 
 
 def extension(text: Column) -> Column:
@@ -63,7 +74,7 @@ def extension(text: Column) -> Column:
     pair = r"(\w[\w.]*)=((?:(?!\s+\w[\w.]*=)[\s\S])*)"
     keys, values = (F.regexp_extract_all(text, F.lit(pair), F.lit(g)) for g in (1, 2))
     entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.replace(F.trim(v), F.lit("\\="), F.lit("=")).alias("value")))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])))
+    return to_map(entries)
 
 
 def leef_extension(text: Column) -> Column:
@@ -76,7 +87,7 @@ def leef_extension(text: Column) -> Column:
     best = F.array_max(ways)["p"]
     chosen = F.when(delimiter.isNotNull(), F.filter(F.split(body, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))), lambda p: p.contains("="))).otherwise(best)
     entries = F.transform(chosen, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, r"^[^=]*=", "").alias("value")))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda o: o["key"] == e["key"])))
+    return to_map(entries, last=False)
 
 
 def timestamp(text: Column, as_of: str) -> Column:
@@ -84,9 +95,10 @@ def timestamp(text: Column, as_of: str) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.trim(text), r"(\d),(\d{3,})", "$1.$2"), r"\s+", " ")
     t = F.regexp_replace(t, r"^[A-Z][a-z]{2} (?=[A-Z][a-z]{2} \d)", "")
     year = as_of[:4]
-    tries = [F.try_to_timestamp(t, F.lit(f)) for f in FORMATS]
-    tries.append(F.try_to_timestamp(F.concat(F.lit(f"{year} "), t), F.lit("yyyy MMM d HH:mm:ss[.SSS]")))
-    tries.append(F.when(t.rlike(r"^\d{4} \d{2}:"), F.try_to_timestamp(F.concat(F.lit(year), t), F.lit("yyyyMMdd HH:mm:ss[.SSSSSS]"))))
+    of = lambda shape, value, form: F.when(t.rlike(shape), F.try_to_timestamp(value, F.lit(form)))
+    tries = [of(shape, t, form) for shape, form in FORMATS]
+    tries.append(of(r"^[A-Z][a-z]{2} \d{1,2} [\d:.]+$", F.concat(F.lit(f"{year} "), t), "yyyy MMM d HH:mm:ss[.SSS]"))
+    tries.append(of(r"^\d{4} \d{2}:", F.concat(F.lit(year), t), "yyyyMMdd HH:mm:ss[.SSSSSS]"))
     number = t.try_cast("double")
     tries.append(F.when(t.rlike(r"^\d{13}$"), F.timestamp_millis(t.try_cast("long"))).when(t.rlike(r"^\d{9,10}(\.\d+)?$"), F.timestamp_micros((number * 1_000_000).cast("long"))))
     return F.coalesce(*tries)
@@ -97,10 +109,27 @@ def claim(line: Column) -> Column:
     return reduce(lambda c, kr: c.when(line.contains(kr[1].holds) & line.rlike(kr[1].pattern), kr[0] + 1), enumerate(RULES), F)
 
 
+_CUT = "\x01"
+
+
+def _of_rule(values: list) -> Column:
+    """The entry of the claimed rule."""
+    return F.get(F.array(*map(F.lit, values)), F.col("_rule") - 1)
+
+
+def _parts() -> Column:
+    """All groups of the claimed rule, by one replacement of the line with them: the pattern, which
+    changes from row to row, is compiled once for a row and not once for each field."""
+    whole = [r.pattern if r.pattern.startswith("^") else rf"^[\s\S]*?(?:{r.pattern})" for r in RULES]
+    count = [len(r.groups.split(",")) for r in RULES]
+    shown = [_CUT.join(f"${k + 1}" for k in range(n)) for n in count]
+    return F.split(F.call_function("regexp_replace", F.col("_line"), _of_rule(whole), _of_rule(shown)), _CUT, _of_rule(count))
+
+
 def _group(name: str) -> Column:
     """The group of the claimed rule that holds ``name``, or null."""
-    at = F.array(*(F.lit(g.index(name) + 1 if name in (g := r.groups.split(",")) else 0) for r in RULES))
-    return F.when(F.get(at, F.col("_rule") - 1) > 0, empty_as_null(F.call_function("regexp_extract", F.col("_line"), F.col("_pattern"), F.get(at, F.col("_rule") - 1))))
+    at = _of_rule([g.index(name) if name in (g := r.groups.split(",")) else None for r in RULES])
+    return F.when(at.isNotNull(), empty_as_null(F.get(F.col("_found_parts"), at)))
 
 
 def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
@@ -113,7 +142,7 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     is_json = F.trim(line).startswith("{") & F.trim(line).endswith("}")
     df = raw.select(*keep, line.alias("raw_message"), F.trim(line).alias("_line"), is_json.alias("_json"))
     df = df.withColumn("_rule", F.when(~F.col("_json"), claim(F.col("_line"))))
-    df = df.withColumn("_pattern", F.get(F.array(*(F.lit(r.pattern) for r in RULES)), F.col("_rule") - 1))
+    df = df.withColumn("_found_parts", F.when(F.col("_rule").isNotNull(), _parts()))
     df = df.select(*keep, "raw_message", "_line", "_json", "_rule", *(_group(n).alias(f"g_{n}") for n in _NAMES))
 
     # JSON records: a rule by the paths it needs, else by aliases of keys

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.functions.normalize import to_map
 from logweave.functions.rules import RECORD_START
 
 
@@ -101,8 +102,7 @@ def read_xml(spark: SparkSession, paths, root: str, row_tag: str = "Event") -> D
 
     walk(StructType([f for f in df.schema.fields if f.name != "_path"]), "")
     pairs = F.filter(F.concat(*(F.coalesce(e, F.array().cast("array<struct<key:string,value:string>>")) for e in entries)), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    first = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, 1, i), lambda o: o["key"] == e["key"]))
-    return _records(df, root, F.to_json(F.map_from_entries(first)))
+    return _records(df, root, F.to_json(to_map(pairs, last=False)))
 
 
 def read_json(spark: SparkSession, paths, root: str) -> DataFrame:
