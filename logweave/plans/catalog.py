@@ -296,7 +296,6 @@ def rendered(log: DataFrame) -> DataFrame:
     return log.select("event_id", F.get(F.array(*shapes), (c("event_id") % 8).cast("int")).alias("raw"))
 
 
-_OLD = "event_id % 8 IN (0, 2)"
 query("p1_normalised", lambda log: normalize.parse(rendered(log), "2024-06-01").select(
     "event_id", "matched_format", F.substring("timestamp", 1, 19).alias("timestamp"), "day", "hostname", "process", "severity", "http_status", "timestamp_source"),
     """SELECT event_id, matched_format, substr(timestamp, 1, 19) AS timestamp, day, CASE WHEN event_id % 8 = 6 THEN 'unknown-host' ELSE hostname END AS hostname, CASE WHEN event_id % 8 = 6 THEN 'unknown-process' ELSE process END AS process,
