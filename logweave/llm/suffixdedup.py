@@ -15,8 +15,12 @@ repeated string covers is removed, judged on the input as it is.
    with another is left out before.
 4. Repeated starts become byte ranges of their texts, and these are cut out.
 
-An anchor under which very many fragments meet is dealt by its contexts instead: every
-window of LENGTH bytes holds at least half of its letters beside the anchor on one side.
+An anchor under which very many fragments meet is dealt by its contexts instead: windows whose
+anchor stands at ``lo`` to ``hi`` bytes from their start all hold the same LENGTH - (hi - lo) bytes
+around it, and meet under these. A context with more than HOT different fragments is dealt again
+by fewer offsets and more bytes, down to one offset, where the context is the window itself; so no
+group that is sorted is larger than that. Equal fragments are counted before, and what is decided
+on one is joined to its places.
 Equal texts are counted by their hash and count as repeated where they are at least LENGTH long.
 
 Defined results: a null text counts as empty and has nothing to remove; shorter texts have nothing
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +45,9 @@ from .common import configure, fields, map_rows, sha, stored
 from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
-#: Places under one anchor from which it is dealt by its contexts.
+#: Places under one anchor, and different fragments of one context, from which they are dealt by contexts.
 HOT = 4096
-#: Bytes of a shard that is sorted at once; a larger group is a shard of its own.
+#: Bytes from which a shard is sorted; it is larger by one group (of HOT fragments) at most.
 SHARD = 1_500_000
 _SIDE = (LENGTH - GRAM) // 2
 _TABLE = np.random.default_rng(7_001).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,10 +94,10 @@ ANCHOR = fields(h=LongType(), t1=LongType(), t2=LongType(), place=LongType())
 REPEATED = fields(t1=LongType(), t2=LongType(), h=LongType(), place=LongType(), hot=BooleanType())
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by hash, text and place, those found at two or more places.
 
-    What is held of a group are HOT rows at most; from then on its rows are passed on as hot.
+    What is held of a group are ``most`` rows; from then on its rows are passed on as hot.
     """
     schema = to_arrow_schema(REPEATED)
     held = np.zeros((0, 4), np.int64)
@@ -108,7 +113,7 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(first) - 1
             size = np.bincount(group)[group]
             keep = size > 1
-            return give(rows[keep], size[keep] > HOT)
+            return give(rows[keep], size[keep] > most)
         return None
 
     for b in batches:
@@ -131,54 +136,89 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (done := settle(rows[~last])) is not None:
             yield done
         held = rows[last]
-        if len(held) > HOT:
+        if len(held) > most:
             yield give(held, True)
             hot, held = held[0, 0], held[:0]
     if (done := settle(held)) is not None:
         yield done
 
 
-FRAGMENT = fields(h=LongType(), context=LongType(), digest=LongType(), t1=LongType(), t2=LongType(), start=LongType(), windows=IntegerType(), place=IntegerType(), data=BinaryType())
+FRAGMENT = fields(h=LongType(), digest=LongType(), t1=LongType(), t2=LongType(), start=LongType(), place=IntegerType(), data=BinaryType())
+#: A fragment of a hot anchor: the least offset of its windows (the greatest is ``hi``), their context, and the fragment.
+KEY = ("h", "lo", "context", "digest")
+PIECE = fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType(), hi=IntegerType(), place=IntegerType(), data=BinaryType())
+HOT_FRAGMENT = StructType([*PIECE.fields, *fields(t1=LongType(), t2=LongType(), start=LongType()).fields])
+LINK = StructType([*HOT_FRAGMENT.fields[:7], *fields(lo0=IntegerType(), context0=LongType(), digest0=LongType(), shift=IntegerType(), many=BooleanType()).fields])
 
 
 def short_hash(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def fragments():
-    """Rows of FRAGMENT for texts with their repeated anchors; the bytes of a fragment come once a task."""
-    sent: set[tuple[int, int, int]] = set()
-
-    def work(t1s, t2s, texts, lists):
-        out = {n: [] for n in FRAGMENT.names}
-
-        def add(h, context, t1, t2, text, first, last, place):
-            data = text[first : last + LENGTH]
-            digest = short_hash(data, str(place - first).encode())
-            key = (h, context, digest)
-            if len(sent) > 1_000_000:
-                sent.clear()
-            for n, v in zip(FRAGMENT.names, (h, context, digest, t1, t2, first, last - first + 1, place - first, None if key in sent else data), strict=True):
-                out[n].append(v)
-            sent.add(key)
-
-        for t1, t2, text, own in zip(t1s, t2s, texts, lists, strict=True):
-            wanted: dict[int, bool] = {}
-            for a in own:
-                wanted[a["place"]] = a["hot"]
-            for h, place, first, last in anchors(text):
-                if (hot := wanted.get(place)) is None:
-                    continue
-                if not hot:
-                    add(h, 0, t1, t2, text, first, last, place)
+def digest_of(data: bytes, place: int) -> int:
+    return short_hash(data, str(place).encode())
+
+
+def by_context(data: bytes, place: int, lo: int, hi: int, parts: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(lo, hi, context, start, anchor's place, bytes) of the fragments of a fragment whose anchor is
+    ``lo`` to ``hi`` bytes from the starts of its windows, with these offsets in ``parts`` parts."""
+    cuts = [lo + (hi - lo + 1) * k // parts for k in range(parts + 1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        first, last = max(0, place - b + 1), min(len(data) - LENGTH, place - a)
+        if a < b and first <= last:
+            yield a, b - 1, short_hash(data[place - a : place - b + 1 + LENGTH]), first, place - first, data[first : last + LENGTH]
+
+
+def fragments(hot: bool):
+    """Rows of FRAGMENT, or of HOT_FRAGMENT, for texts with their repeated anchors; equal texts and
+    the bytes of a fragment come once a task."""
+
+    def make():
+        sent: set[tuple[int, ...]] = set()
+        seen: set[tuple[int, int]] = set()
+        names = (HOT_FRAGMENT if hot else FRAGMENT).names
+
+        def once(held, key):
+            if key in held:
+                return False
+            if len(held) > 1_000_000:
+                held.clear()
+            held.add(key)
+            return True
+
+        def work(t1s, t2s, texts, lists):
+            out = []
+            for t1, t2, text, own in zip(t1s, t2s, texts, lists, strict=True):
+                if not once(seen, (t1, t2)):
                     continue
-                # windows that start near the anchor hold _SIDE bytes after it, the others before it
-                near = max(first, place - _SIDE)
-                if near <= last:
-                    add(h, short_hash(b"R", text[place + GRAM : place + GRAM + _SIDE]), t1, t2, text, near, last, place)
-                if first < near:
-                    add(h, short_hash(b"L", text[place - _SIDE : place]), t1, t2, text, first, min(near - 1, last), place)
-        return out
+                wanted = {a["place"] for a in own if a["hot"] == hot}
+                for h, place, first, last in anchors(text):
+                    if place not in wanted:
+                        continue
+                    data, at = text[first : last + LENGTH], place - first
+                    if not hot:
+                        digest = digest_of(data, at)
+                        out.append((h, digest, t1, t2, first, at, data if once(sent, (h, digest)) else None))
+                        continue
+                    for lo, hi, context, start, near, part in by_context(data, at, 0, LENGTH - GRAM, 2):
+                        digest = digest_of(part, near)
+                        out.append((h, lo, context, digest, hi, near, part if once(sent, (h, lo, context, digest)) else None, t1, t2, first + start))
+            return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
+
+        return work
+
+    return make
+
+
+def deeper():
+    """Rows of LINK: the fragments, under longer contexts, of rows of PIECE with ``many``."""
+
+    def work(hs, los, contexts, digests, his, places, datas, manys):
+        out = []
+        for h, lo, context, digest, hi, place, data, many in zip(hs, los, contexts, digests, his, places, datas, manys, strict=True):
+            for a, b, longer, start, near, part in by_context(data, place, lo, hi, 4):
+                out.append((h, a, longer, digest_of(part, near), b, near, part, lo, context, digest, start, many))
+        return dict(zip(LINK.names, zip(*out, strict=True), strict=True)) if out else None
 
     return work
 
@@ -195,67 +235,117 @@ def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) + LENGTH) for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
 
 
-def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove, from fragments sorted by anchor, context and digest, equal ones with bytes first."""
-    schema = to_arrow_schema(RANGE)
-    shard: list[tuple[list, list]] = []  # (different fragments, their places) of each group
-    held: dict[int, list] = {}
-    size, key = 0, None
-    out: list[tuple[int, int, int, int]] = []
+class Groups:
+    """Decides groups of different fragments (bytes, anchor's place, whether it is found again, what
+    it is); ``give`` takes what a fragment is and its ranges. Small groups are sorted together."""
 
-    def close_group():
-        """Decides a group, or adds it to the shard."""
-        nonlocal held, size
-        own, held = held, {}
-        places = [(d, p) for d, f in own.items() for p in f[2]]
-        if len(places) < 2:
-            return
-        if len(own) == 1:
-            ((_, windows, at, _),) = own.values()
-            out.extend((t1, t2, s, s + windows - 1 + LENGTH) for t1, t2, s in at)
-            return
+    def __init__(self, give, most: int) -> None:
+        self.give, self.most, self.shard, self.size = give, most, [], 0
+
+    def add(self, own: list[tuple[bytes, int, bool, object]]) -> None:
         # contexts of the anchor that two different fragments share
+        sides = [(("R", f[p + GRAM : p + GRAM + _SIDE]), ("L", f[max(0, p - _SIDE) : p])) for f, p, _, _ in own]
         seen: dict[tuple[str, bytes], int] = {}
-        for f in own.values():
-            for c in f[3]:
+        for both in sides:
+            for c in both:
                 seen[c] = seen.get(c, 0) + 1
-        for d, f in own.items():
-            if any(seen[c] > 1 for c in f[3]):
-                shard.append((f[0], f[2]))
-                size += len(f[0])
-            elif len(f[2]) > 1:
-                out.extend((t1, t2, s, s + f[1] - 1 + LENGTH) for t1, t2, s in f[2])
-
-    def close_shard():
-        nonlocal size
-        if shard:
-            marks = repeated_starts([f for f, _ in shard], [len(at) > 1 for _, at in shard], LENGTH)
-            for (_, at), mark in zip(shard, marks, strict=True):
-                own = ranges(mark)
-                out.extend((t1, t2, s + a, s + b) for t1, t2, s in at for a, b in own)
-            shard.clear()
-            size = 0
-
-    def give():
-        done = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], schema=schema)
-        out.clear()
-        return done
+        for (f, _, many, what), both in zip(own, sides, strict=True):
+            if any(seen[c] > 1 for c in both):
+                self.shard.append((f, many, what))
+                self.size += len(f)
+            elif many:
+                self.give(what, [(0, len(f))])
+        if self.size > self.most:
+            self.close()
+
+    def close(self) -> None:
+        if self.shard:
+            marks = repeated_starts([f for f, _, _ in self.shard], [many for _, many, _ in self.shard], LENGTH)
+            for (_, _, what), mark in zip(self.shard, marks, strict=True):
+                self.give(what, ranges(mark))
+            self.shard, self.size = [], 0
+
+
+def _given(out: list[tuple], schema: StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    done = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+    out.clear()
+    return done
+
+
+def decided(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Ranges to remove, from fragments sorted by anchor and digest, equal ones with bytes first."""
+    out: list[tuple] = []
+    groups = Groups(lambda places, own: out.extend((t1, t2, s + a, s + b) for t1, t2, s in places for a, b in own), most)
+    held: dict[int, tuple] = {}
+    key = None
+
+    def close_group():
+        if sum(len(places) for _, _, places in held.values()) > 1:
+            groups.add([(data, place, len(places) > 1, places) for data, place, places in held.values()])
+        held.clear()
 
     for b in batches:
-        for h, context, digest, t1, t2, start, windows, place, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (h, context) != key:
+        for h, digest, t1, t2, start, place, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if h != key:
                 close_group()
-                key = (h, context)
-                if size > SHARD:
-                    close_shard()
-            if (f := held.get(digest)) is None:
-                f = held[digest] = [data, windows, set(), [("R", data[place + GRAM : place + GRAM + _SIDE]), ("L", data[max(0, place - _SIDE) : place])]]
-            f[2].add((t1, t2, start))
+                key = h
+            if digest not in held:
+                held[digest] = (data, place, set())
+            held[digest][2].add((t1, t2, start))
         if len(out) > 20_000:
-            yield give()
+            yield _given(out, RANGE)
     close_group()
-    close_shard()
-    yield give()
+    groups.close()
+    yield _given(out, RANGE)
+
+
+VERDICT = fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType(), a=LongType(), b=LongType())
+
+
+def judged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of VERDICT: ranges within fragments, from different ones sorted by anchor, offsets and context."""
+    out: list[tuple] = []
+    groups = Groups(lambda what, own: out.extend((*what, a, b) for a, b in own), most)
+    own: list[tuple] = []
+    key = None
+    for batch in batches:
+        for h, lo, context, digest, place, data, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (h, lo, context) != key:
+                groups.add(own)
+                own, key = [], (h, lo, context)
+            own.append((data, place, many, (h, lo, context, digest)))
+        if len(out) > 20_000:
+            yield _given(out, VERDICT)
+    groups.add(own)
+    groups.close()
+    yield _given(out, VERDICT)
+
+
+def hot_ranges(touched: DataFrame) -> DataFrame:
+    """Rows of RANGE for the hot anchors of texts."""
+    group = list(KEY[:3])
+    found = touched.where(F.exists("own", lambda a: a["hot"])).select("t1", "t2", "text", "own")
+    found = stored(map_rows(found, fragments(True), HOT_FRAGMENT), "hot")
+    places = found.select(*KEY, "t1", "t2", "start")
+    many = (F.min("t1") < F.max("t1")) | (F.min("t2") < F.max("t2")) | (F.min("start") < F.max("start"))
+    pieces = found.groupBy(*KEY, "hi", "place").agg(F.max("data").alias("data"), many.alias("many"))
+    out = None
+    while True:
+        pieces = stored(pieces.select(*PIECE.names, "many"), "pieces")
+        large = stored(pieces.groupBy(*group).count().where(F.col("count") > HOT).select(*group), "large")
+        rest = pieces.join(large, group, "left_anti").select(*KEY, "place", "data", "many")
+        verdicts = rest.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(judged, most=SHARD), VERDICT)
+        spans = verdicts.join(places, list(KEY)).select("t1", "t2", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
+        out = spans if out is None else out.unionByName(spans)
+        if large.isEmpty():
+            return out
+        links = stored(map_rows(pieces.join(large, group, "left_semi").select(*PIECE.names, "many"), deeper, LINK), "links")
+        # different fragments have different places
+        pieces = links.groupBy(*KEY, "hi", "place").agg(F.max("data").alias("data"), (F.max("many") | (F.count("*") > 1)).alias("many"))
+        own = links.select("h", *(F.col(f"{k}0").alias(k) for k in KEY[1:]), *(F.col(k).alias(f"{k}1") for k in KEY[1:]), "shift")
+        places = places.join(own, list(KEY)).select("h", *(F.col(f"{k}1").alias(k) for k in KEY[1:]), "t1", "t2", (F.col("start") + F.col("shift")).alias("start"))
+        places = stored(places, "places")
 
 
 def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -286,14 +376,14 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
     long_ones = keyed.where(F.octet_length("text") >= LENGTH)
     found = map_rows(long_ones.select("t1", "t2", "text"), make, ANCHOR).repartition("h").sortWithinPartitions("h", "t1", "t2", "place")
-    lists = found.mapInArrow(repeated, REPEATED).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
+    lists = found.mapInArrow(partial(repeated, most=HOT), REPEATED).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
     # one row stands for equal texts
     first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     lists = lists.join(first, ["t1", "t2"])
     touched = stored(long_ones.select("t1", "t2", "text").join(lists, ["t1", "t2"]), "touched")
-    frags = map_rows(touched.select("t1", "t2", "text", "own"), fragments, FRAGMENT)
-    sorted_frags = frags.repartition("h", "context").sortWithinPartitions("h", "context", "digest", F.col("data").isNull())
-    spans = sorted_frags.mapInArrow(decided, RANGE).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    frags = map_rows(touched.select("t1", "t2", "text", "own"), fragments(False), FRAGMENT)
+    sorted_frags = frags.repartition("h").sortWithinPartitions("h", "digest", F.col("data").isNull())
+    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(touched)).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return rows.join(first, ["t1", "t2"]), touched.where("copies = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
 
 

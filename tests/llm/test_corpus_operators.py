@@ -89,6 +89,45 @@ def test_suffix_dedup(spark, monkeypatch):
     assert all(left[i] == texts[i] for i, g in enumerate(gone) if not g.any() and texts[i])
 
 
+def test_suffix_dedup_common_line(spark, monkeypatch):
+    """A line of 132 to 199 bytes with other text around it: no group that is sorted grows with its number."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, ends = word(190), [word(30) for _ in range(4)]
+    texts = [f"{word(150)}{rng.choice(ends) if i % 5 == 0 else word(30)}{line}{rng.choice(ends) if i % 3 == 0 else word(30)}{word(150)}" for i in range(120)]
+    texts += [texts[0], word(400)]
+    sizes, sort = [], suffixdedup.repeated_starts
+
+    def counted(fragments, *more):
+        sizes.append(len(fragments))
+        return sort(fragments, *more)
+
+    monkeypatch.setattr(suffixdedup, "HOT", 8)
+    monkeypatch.setattr(suffixdedup, "SHARD", 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixdedup.remove_repeats(df).collect()}
+    data = [t.encode() for t in texts]
+    for i, (d, g) in enumerate(zip(data, brute_removed(data), strict=True)):
+        assert (got[i].n_removed, got[i].kept_sha256) == (int(g.sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~g])).hexdigest()), i
+    assert sum(r.n_removed > 0 for r in got.values()) > 40
+
+    # what a sorting task gets, in this process
+    kept = []
+    mapped = type(df).mapInArrow
+
+    def watched(self, work, schema):
+        if getattr(work, "func", work).__name__ in ("judged", "decided"):
+            kept.append((work, self.toArrow().to_batches()))
+        return mapped(self, work, schema)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    suffixdedup.remove_repeats(df)
+    monkeypatch.setattr(suffixdedup, "repeated_starts", counted)
+    for work, batches in kept:
+        list(work(iter(batches)))
+    assert sizes and max(sizes) <= 8
+
+
 def shingle_set(text, width):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" ")
     w = [x for x in w if x]
