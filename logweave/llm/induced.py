@@ -18,7 +18,7 @@ import numpy as np
 
 #: Queue entries kept in memory, and names of starts that are sorted in memory.
 LIMIT, BASE = 2_000_000, 2_000_000
-_TOP = "\U0010ffff"
+_TOP = b"\xff" * 4
 
 
 class Queues:
@@ -86,18 +86,24 @@ class Least:
         return self.values[bisect_left(self.at, time)]
 
 
-def common(s: str, a: int, b: int) -> int:
-    """Length of the common prefix of two different suffixes."""
-    n, step, most = 0, 32, len(s) - max(a, b)
+def packed(letters: np.ndarray) -> bytes:
+    """Letters of four bytes each, whose order as bytes is that of the numbers; below 2**32 - 1."""
+    return letters.astype(">u4").tobytes()
+
+
+def common(s: bytes, a: int, b: int) -> int:
+    """Letters in the common prefix of two different suffixes of packed letters."""
+    a, b = 4 * a, 4 * b
+    n, step, most = 0, 128, len(s) - max(a, b)
     while n < most:
         if s[a + n : a + n + step] == s[b + n : b + n + step] and n + step <= most:
             n += step
-            step = min(4096, step * 2)
+            step = min(16_384, step * 2)
         elif step > 1:
             step //= 2
         else:
             break
-    return n
+    return n // 4
 
 
 def common_prefixes(codes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 16) -> np.ndarray:
@@ -123,11 +129,12 @@ def rising(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffixes(s: str, limit: int = LIMIT) -> tuple[array, array]:
-    """Suffix order of ``s``, whose last letter is below all others and found once, and the common
-    prefix of each suffix with the one before it."""
-    n = len(s)
-    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+def suffixes(text: str | np.ndarray, limit: int = LIMIT) -> tuple[array, array]:
+    """Suffix order of ``text`` (a str, or numbers from 0), whose last letter is below all others and
+    found once, and the common prefix of each suffix with the one before it."""
+    n = len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") if isinstance(text, str) else text
+    s = packed(codes)
     if n == 1:
         return array("q", [0]), array("q", [0])
     up = rising(codes)
@@ -138,13 +145,13 @@ def suffixes(s: str, limit: int = LIMIT) -> tuple[array, array]:
 
     # substrings between starts, with a top letter, so that of a substring and its prefix the longer is less
     ends = [*starts[1:], n - 1]
-    subs = [s[a : b + 1] + _TOP for a, b in zip(starts, ends, strict=True)]
+    subs = [s[4 * a : 4 * b + 4] + _TOP for a, b in zip(starts, ends, strict=True)]
     names = {x: k for k, x in enumerate(sorted(set(subs)))}
     if len(names) == len(subs):
         seeds = sorted(range(len(subs)), key=lambda k: names[subs[k]])
         shared = [0] * len(seeds)
     else:
-        seeds, shared = suffixes("".join([chr(names[x]) for x in subs]), limit)
+        seeds, shared = suffixes(np.array([names[x] for x in subs], np.int64), limit)
     del subs, names
     seed_lcp = [0]
     for prev, own, skip in zip(seeds, seeds[1:] if isinstance(seeds, list) else seeds[1:], shared[1:], strict=False):
@@ -318,19 +325,20 @@ def fragment_order(fragments: list[bytes], limit: int = LIMIT, base: int = BASE)
     The same induction as in ``suffixes``, a letter's queue at a time. The sort of the starts is
     recursive while more than ``base`` names are left, and in memory from there on.
     """
-    n, shift = len(fragments), _shift(len(fragments))
-    s = "".join([f"{f.decode('latin-1').translate(shift)}{chr(n - 1 - k)}" for k, f in enumerate(fragments)])
-    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
-    letters = np.where(codes >= n, codes.astype(np.int64) - n + 1, 0)
+    n = len(fragments)
+    codes = np.frombuffer(b"\0".join([*fragments, b""]), np.uint8).astype(np.int64) + n
+    codes[np.cumsum([len(f) + 1 for f in fragments]) - 1] = np.arange(n - 1, -1, -1)
+    s = packed(codes)
+    letters = np.where(codes >= n, codes - n + 1, 0)
     up = rising(codes)
     starts = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     places = starts.tolist()
-    stops = [*places[1:], len(s) - 1][: len(places)]
-    subs = [s[a : b + 1] + _TOP for a, b in zip(places, stops, strict=True)]
+    stops = [*places[1:], len(codes) - 1][: len(places)]
+    subs = [s[4 * a : 4 * b + 4] + _TOP for a, b in zip(places, stops, strict=True)]
     names = {x: k for k, x in enumerate(sorted(set(subs)))}
     row = np.array([names[x] for x in subs], np.int64)
     if len(row) and len(names) < len(row) and len(row) > base:
-        seeds = np.array(suffixes("".join(map(chr, row.tolist())), limit)[0], np.int64)
+        seeds = np.array(suffixes(row, limit)[0], np.int64)
     elif len(row):
         seeds = doubled(row)
     else:
@@ -405,7 +413,3 @@ def repeated_starts(fragments: list[bytes], many: list[bool], length: int, limit
         out.append(np.ones(windows, bool) if again else where[at : at + windows])
         at += len(f) + 1
     return out
-
-
-def _shift(n: int) -> dict[int, int]:
-    return {b: b + n for b in range(256)}

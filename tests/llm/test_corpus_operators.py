@@ -46,6 +46,16 @@ def test_fragment_order(limit, base):
         assert common.tolist() == [0] + [lcp(s[a:], s[b:]) for a, b in zip(want, want[1:], strict=False)]
 
 
+def test_more_names_than_characters():
+    """Over 1.2 million different names of starts, and letters beyond those of a str."""
+    n = 1_250_000
+    letters = np.random.default_rng(5).permutation(2 * n)[: n - 1] + 1
+    order, common = induced.suffixes(np.r_[letters, letters[:9], 0])
+    first = np.r_[letters, letters[:9], 0][np.array(order)]
+    assert (np.diff(first) >= 0).all() and sorted(order) == list(range(n + 9))
+    assert sum(common) == sum(range(1, 10))
+
+
 def brute_removed(texts):
     places = {}
     for i, t in enumerate(texts):
