@@ -3,8 +3,9 @@
 A text becomes words of a-z, 0-9 and everything beyond ASCII, lower-cased and joined by single
 spaces. Exact phrases are found word by word. For the fuzzy notices, pigeonhole: a notice that
 occurs with at most k edits, cut into k + 1 pieces, holds one piece unchanged. Each piece that is
-found is a candidate; the ``regex`` library matches the whole notice with at most k edits in the
-window around it, so every occurrence within k edits is verified and none is missed.
+found is a candidate; the ``regex`` library finds the best match of the whole notice with at most k
+edits in the window around it. The best of all are kept first, and what a window holds beside the
+kept ones is searched again, so every occurrence within k edits is kept or overlaps one that is.
 
 Defined results: a null text counts as empty; no words give null first and last word, empty labels
 and score 0; equal rows give equal rows; an empty table gives an empty result.
@@ -12,6 +13,9 @@ and score 0; equal rows give equal rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StringType
 
@@ -71,16 +75,36 @@ def searcher():
                 own.append([max(0, a), b])
         found = []
         for i, own in windows.items():
+            label, notice, edits = NOTICES[i]
             own.sort()
+            # candidates of one place; a longer window would be searched whole for each of its places
             joined = own[:1]
+            first = own[0][0]
             for a, b in own[1:]:
-                if a <= joined[-1][1]:
+                if a <= first + 2 * edits:
                     joined[-1][1] = max(b, joined[-1][1])
                 else:
                     joined.append([a, b])
+                    first = a
+            best, kept = [], []
+
+            def look(a, b):
+                if b - a >= len(notice) - edits and (m := fuzzy[i].search(words, a, b)):  # noqa: B023
+                    heapq.heappush(best, (sum(m.fuzzy_counts), *m.span(), a, b))  # noqa: B023
+
             for a, b in joined:
-                for m in fuzzy[i].finditer(words, a, min(b, len(words))):
-                    found.append((NOTICES[i][0], m.start(), m.end(), sum(m.fuzzy_counts)))
+                look(a, min(b, len(words)))
+            while best:
+                e, start, end, a, b = heapq.heappop(best)
+                k = bisect_left(kept, (start, start))
+                near = [x for x in kept[max(0, k - 1) : k + 1] if x[0] < end and start < x[1]]
+                if not near:
+                    insort(kept, (start, end))
+                    found.append((label, start, end, e))
+                    near = [(start, end)]
+                x, y = near[0]
+                look(a, min(x, b))
+                look(max(y, a), b)
         return sorted(set(found), key=lambda f: (f[1], f[2], f[0]))
 
     return search

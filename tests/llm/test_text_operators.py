@@ -126,6 +126,23 @@ def test_fuzzy_finds_every_place():
             assert label in {f[0] for f in search(text)}, s
 
 
+def test_fuzzy_spans_side_by_side():
+    """Every copy of a notice has its span, however good the copies beside it are."""
+    rng = random.Random(9)
+    search = licenses.searcher()
+    assert [f[1:] for f in search(" al rights reserved all rights reserved ")] == [(1, 19, 1), (20, 39, 0)]
+    for label, notice, edits in licenses.NOTICES:
+        for _ in range(20):
+            text, want = " ", []
+            for _ in range(rng.randrange(2, 7)):
+                s, n = list(notice), rng.randrange(edits + 1)
+                for k in rng.sample(range(2, len(s) - 2, 5), n):
+                    s[k] = "0"
+                want.append((label, len(text), len(text) + len(s), n))
+                text += "".join(s) + rng.choice([" ", " of ", " aaa bbb ccc "])
+            assert [f for f in search(text) if f[0] == label and f[2] - f[1] > len(notice) - 5] == want, text
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert pii.find_pii(empty).count() == licenses.find_licenses(empty).count() == secrets.scan_history(empty)[0].count() == 0
