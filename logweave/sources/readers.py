@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logweave.functions.normalize import to_map
 from logweave.functions.rules import RECORD_START
@@ -70,16 +75,43 @@ def _records(df: DataFrame, root: str, raw) -> DataFrame:
     return named.withColumn("source_record", F.row_number().over(order).cast("long")).select("source_file", "source_record", "raw")
 
 
+def _headers(spark: SparkSession, paths) -> list[list[str]]:
+    """Paths of CSV files, those with the same header together; a file without a line is left out."""
+    text = spark.read.text(paths).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in text.groupBy("path").agg(F.min_by("value", "at").alias("first")).sort("path").toLocalIterator():  # a row for each file
+        own = r.path if r.first.count('"') % 2 else ""  # goes on in the next line
+        groups.setdefault((r.first, own), []).append(unquote(r.path))
+    return list(groups.values())
+
+
 def read_csv(spark: SparkSession, paths, root: str, sep: str = ",") -> DataFrame:
-    """Rows as JSON records; what a row has beyond the header goes to ``_extra_columns``."""
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("mode", "PERMISSIVE").csv(paths)
-    columns = df.columns
-    return _records(df.select("*", F.col("_metadata.file_path").alias("_path")), root, F.to_json(F.struct(*columns)))
+    """Rows as JSON records under the header of their own file; what a row has beyond it goes to
+    ``_extra_columns``, a list."""
+    out = None
+    for own in _headers(spark, paths):
+        reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+        columns = reader.csv(own[0]).columns
+        n = len(columns)
+
+        def surplus(record, n=n):
+            cells = next(csv.reader(io.StringIO(record, newline=""), delimiter=sep), []) if record else []
+            return cells[n:] or None
+
+        # Spark keeps the record where the number of cells is not that of the header
+        schema = StructType([StructField(c, StringType()) for c in [*columns, "_logweave_record"]])
+        df = reader.schema(schema).option("columnNameOfCorruptRecord", "_logweave_record").csv(own)
+        extra = F.udf(surplus, "array<string>")(F.col("_logweave_record")).alias("_extra_columns")
+        named = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+        rows = df.select(F.to_json(F.struct(*named, extra)).alias("raw"), F.col("_metadata.file_path").alias("_path"))
+        part = _records(rows, root, F.col("raw"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "source_file string, source_record long, raw string") if out is None else out
 
 
 def read_xml(spark: SparkSession, paths, root: str, row_tag: str = "Event") -> DataFrame:
     """A JSON record for each ``row_tag``: one level flat, and named values under their names."""
-    from pyspark.sql.types import ArrayType, StructType
+    from pyspark.sql.types import ArrayType
 
     df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(paths)
     df = df.select("*", F.col("_metadata.file_path").alias("_path"))

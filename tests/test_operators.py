@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from logweave.operators import aggregates, entities, exports, filters, graph, ledger, mining, quality, retrieval
 from logweave.plans import catalog, logview
+from logweave.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: One query of each family; the driver compares them all.
@@ -163,3 +164,18 @@ def test_retrieval(spark):
     assert [(r.id, r.embedding) for r in got] == [("1", [1.0, 0.0, 0.0])]
     name, found = retrieval.retrieve([("none", logs.limit(0)), ("some", logs)])
     assert name == "some" and found.count() == 3
+
+
+def test_csv_headers_and_surplus_cells(spark, tmp_path):
+    """Files of one tree with other headers, and rows longer and shorter than theirs."""
+    (tmp_path / "a b.csv").write_text('host,user,code\nh1,bob,1,more,"x, ""y""\nz"\nh2,eve,2\nh3,ann\n')
+    (tmp_path / "c.csv").write_text("code,host,user,note\n7,h4,joe,long note\n")
+    (tmp_path / "d.csv").write_text("host,user,code\nh5,kim,3\n")
+    got = {(r.source_file.replace("%20", " "), r.source_record): json.loads(r.raw) for r in readers.read_any(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a b.csv", 1): {"host": "h1", "user": "bob", "code": "1", "_extra_columns": ["more", 'x, "y"\nz']},
+        ("a b.csv", 2): {"host": "h2", "user": "eve", "code": "2"},
+        ("a b.csv", 3): {"host": "h3", "user": "ann"},
+        ("c.csv", 1): {"code": "7", "host": "h4", "user": "joe", "note": "long note"},
+        ("d.csv", 1): {"host": "h5", "user": "kim", "code": "3"},
+    }
