@@ -13,7 +13,8 @@ equal length go through the passes together, and a task keeps the scores of word
 
 Defined results: a null text or one without a letter is ``und`` with score 0; equal texts get equal
 predictions; ties go to the first language in order; rows whose language is null teach nothing;
-without any labelled row every text is ``und``; an empty table gives an empty result.
+without any labelled row every text is ``und``; more than ``MOST`` languages are an error; letters that
+no piece covers count alike for all languages; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ from .vocabulary import Vocabulary, by_length
 UND = "und"
 #: Labelled rows that teach a language, about.
 SAMPLE = 600
-#: Letters of the longest piece used.
-LONGEST = 8
+#: Languages that can be told apart: the model that goes to every task has a column for each.
+MOST = 200
 #: Words kept by a task with their scores; then it starts anew, which changes no result.
 CACHE = 1_000_000
-#: Words longer than this are scored by parts of so many letters.
-PART = 48
+#: Letters after which the sums of a word are scaled anew.
+RESCALE = 8
 #: Pseudo-count of each piece, and the probability of a letter that no piece covers.
 SMOOTH, UNKNOWN = 0.05, 1e-9
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,46 +47,64 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @lru_cache(4)
 def vocabulary(model: str) -> Vocabulary:
-    """Ordinary pieces of a SentencePiece model of up to LONGEST letters."""
+    """All ordinary pieces of a SentencePiece model."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model)
     kinds = (p.is_control, p.is_unknown, p.is_byte, p.is_unused)
-    return Vocabulary([x for i in range(p.get_piece_size()) if not any(k(i) for k in kinds) and len(x := p.id_to_piece(i)) <= LONGEST])
+    return Vocabulary([p.id_to_piece(i) for i in range(p.get_piece_size()) if not any(k(i) for k in kinds)])
 
 
 def words(text: str) -> list[str]:
     return ["▁" + w for w in _WORD.findall(text.lower())]
 
 
-def parts(word: str) -> list[str]:
-    return [word[k : k + PART] for k in range(0, len(word), PART)]
-
-
-def marginal(found: list[str], n: int, voc: Vocabulary, weights: np.ndarray) -> np.ndarray:
-    """Log-probability of each word of n letters under each column of ``weights``, a row for each
-    piece, one of zeros, and one for unknown letters."""
-    edges = voc.edges(found, n)
-    a = [np.ones((len(found), weights.shape[1]))] + [np.zeros((len(found), weights.shape[1])) for _ in range(n)]
-    for j in range(1, n + 1):
-        for i in range(max(0, j - voc.longest), j):
-            if (i, j) in edges:
-                a[j] += a[i] * weights[edges[i, j]]
-    return np.log(a[n])
+def forward(found: list[str], n: int, voc: Vocabulary, weights: np.ndarray, trail: list | None = None) -> np.ndarray:
+    """Log-probability of each word of n letters under each column of ``weights``, which has a row for
+    each piece, one of zeros, and one for unknown letters. ``trail`` takes those of all beginnings.
+
+    Sums are kept for as many letters as the longest piece has, and scaled anew every few letters, so
+    words of any length neither run out of range nor out of memory.
+    """
+    shape = (len(found), weights.shape[1])
+    ahead, scale = {0: np.ones(shape)}, np.zeros(shape)
+    for i, spans in voc.starting(found, n):
+        here = ahead.pop(i)
+        if i % RESCALE == 0:
+            for later in ahead.values():
+                later /= here
+            scale += np.log(here)
+            here = np.ones(shape)
+        if trail is not None:
+            trail.append(np.log(here) + scale)
+        for size, ids in spans:
+            own = np.flatnonzero(ids != voc.size)
+            into = ahead.setdefault(i + size, np.zeros(shape))
+            into[own] += here[own] * weights[ids[own]]
+    return np.log(ahead.pop(n, np.ones(shape))) + scale
 
 
 def expected(found: list[str], times: np.ndarray, n: int, voc: Vocabulary, weight: np.ndarray) -> np.ndarray:
     """Expected uses of all pieces in the words of n letters, each word counted ``times``."""
-    edges = voc.edges(found, n)
-    a = [np.ones(len(found))] + [np.zeros(len(found)) for _ in range(n)]
-    b = [np.zeros(len(found)) for _ in range(n)] + [np.ones(len(found))]
-    for i, j in sorted(edges, key=lambda e: (e[1], e[0])):
-        a[j] += a[i] * weight[edges[i, j]]
-    for i, j in sorted(edges, reverse=True):
-        b[i] += b[j] * weight[edges[i, j]]
+    before: list[np.ndarray] = []
+    total = forward(found, n, voc, weight[:, None], before)[:, 0]
+    behind, scale = {n: np.ones(len(found))}, np.zeros(len(found))
     uses = np.zeros(len(weight))
-    for (i, j), ids in edges.items():
-        uses += np.bincount(ids, a[i] * weight[ids] * b[j] / a[n] * times, len(weight))
+    for i, spans in voc.starting(found, n, backwards=True):
+        behind.pop(i + voc.longest + 1, None)
+        here = np.zeros(len(found))
+        share = np.exp(before[i][:, 0] + scale - total) * times
+        for size, ids in spans:
+            own = np.flatnonzero(ids != voc.size)
+            part = weight[ids[own]] * behind[i + size][own]
+            here[own] += part
+            np.add.at(uses, ids[own], part * share[own])
+        if i % RESCALE == 0:
+            for later in behind.values():
+                later /= here
+            scale += np.log(here)
+            here = np.ones(len(found))
+        behind[i] = here
     return uses
 
 
@@ -110,7 +129,7 @@ def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "tex
         def work(langs, texts):
             out = {n: [] for n in schema.names}
             for one in sorted(set(langs)):
-                times = Counter(p for g, t in zip(langs, texts, strict=True) if g == one for w in words(t) for p in parts(w))
+                times = Counter(w for g, t in zip(langs, texts, strict=True) if g == one for w in words(t))
                 uses = np.zeros(voc.size + 2)
                 for n, found in by_length(list(times)):
                     uses += expected(found, np.array([times[w] for w in found], float), n, voc, uniform)
@@ -126,6 +145,8 @@ def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "tex
     for r in counts.collect():  # at most one row for each language and piece
         tables.setdefault(r.lang, np.zeros(voc.size))[r.piece] = r.n
     langs = sorted(tables)
+    if len(langs) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     weights = np.zeros((voc.size + 2, len(langs)))
     for k, g in enumerate(langs):
         # rounded, so that the order in which counts were added up does not show
@@ -145,13 +166,10 @@ def scorer(model: str, weights: np.ndarray):
         while first + len(new) > len(held[0]):
             held[0] = np.concatenate([held[0], np.zeros_like(held[0])])
         index.update((w, first + k) for k, w in enumerate(new))
-        step = max(1, 1_000_000 // (PART * max(1, weights.shape[1])))
-        for n, own in by_length([w for w in new if len(w) <= PART]):
+        step = max(1, 1_000_000 // (voc.longest * max(1, weights.shape[1])))
+        for n, own in by_length(new):
             for k in range(0, len(own), step):
-                held[0][[index[w] for w in own[k : k + step]]] = marginal(own[k : k + step], n, voc, weights)
-        for w in new:
-            if len(w) > PART:
-                held[0][index[w]] = sum(marginal([p], len(p), voc, weights)[0] for p in parts(w))
+                held[0][[index[w] for w in own[k : k + step]]] = forward(own[k : k + step], n, voc, weights)
 
     def score(texts):
         split = [words(t or "") for t in texts]
@@ -172,7 +190,7 @@ def predict(docs: DataFrame, model: str, langs: list[str], weights: np.ndarray,
     """The language of each text; ``score``: its share of the languages' mean probabilities of a
     word; ``fit``: its mean log-probability of a word."""
     spark = configure(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(weights)  # vocabulary times languages
+    shared = spark.sparkContext.broadcast(weights)  # vocabulary times languages, MOST at most
 
     def make():
         score = scorer(model, shared.value)

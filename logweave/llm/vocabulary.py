@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -26,6 +28,8 @@ class Vocabulary:
     """
 
     BITS = 20
+    #: Letters that are looked up at once.
+    BLOCK = 1 << 16
 
     def __init__(self, pieces: list[str]) -> None:
         self.longest = longest = max(map(len, pieces))
@@ -39,6 +43,8 @@ class Vocabulary:
                 for column in codes(own, n).T:
                     h = h * _BASE + column
                 self.keys[[self.ids[x] for x in own]] = h
+        if len(np.unique(self.keys[:-1])) < self.size:
+            raise ValueError("two pieces share a hash")
         # pieces that share a slot go to the next table
         self.tables, rest = [], np.arange(self.size)
         while len(rest):
@@ -59,16 +65,24 @@ class Vocabulary:
             np.copyto(out, got, where=(self.keys[got] == h) & (got < self.size))
         return out
 
-    def edges(self, words: list[str], n: int) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers of letters i to j of ``words``, all of n letters, for each (i, j)."""
-        letters, out = codes(words, n), {}
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = h * _BASE + letters[:, j - 1]
+    def starting(self, words: list[str], n: int, backwards: bool = False) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+        """For each letter i of ``words`` (all of n letters), in order or from the last: the lengths
+        of pieces that start there in any word, shortest first, with their numbers in every word."""
+        letters, block = codes(words, n).T, max(1, self.BLOCK // len(words))
+        firsts = range(0, n, block)
+        for at in reversed(firsts) if backwards else firsts:
+            many = min(block, n - at)
+            h, rows = np.zeros((many, len(words)), np.uint64), []
+            for size in range(1, min(n - at, self.longest) + 1):
+                own = min(many, n - at - size + 1)  # letters from which so many are left
+                h = h[:own] * _BASE + letters[at + size - 1 : at + size - 1 + own]
                 found = self.find(h)
-                if j == i + 1:
+                if size == 1:
                     found[found == self.size] = self.size + 1
-                if j == i + 1 or (found < self.size).any():
-                    out[i, j] = found
-        return out
+                rows.append((found, (found < self.size).any(axis=1).tolist() if size > 1 else [True] * own))
+            for k in range(many - 1, -1, -1) if backwards else range(many):
+                yield at + k, [(size, found[k]) for size, (found, there) in enumerate(rows, 1) if k < len(there) and there[k]]
+
+    def edges(self, words: list[str], n: int) -> dict[tuple[int, int], np.ndarray]:
+        """The same for all letters i at once, by (i, end)."""
+        return {(i, i + size): ids for i, spans in self.starting(words, n) for size, ids in spans}

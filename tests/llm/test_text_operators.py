@@ -213,7 +213,55 @@ def test_language_marginals():
         return total
 
     for w in ("▁the", "▁überall", "▁日本語", "▁thonreat"):
-        assert np.allclose(langid.marginal([w], len(w), voc, weights)[0], np.log(every(w)))
+        assert np.allclose(langid.forward([w], len(w), voc, weights)[0], np.log(every(w)))
+
+
+def big_sums(word, voc, weight):
+    """Sums over all segmentations of all beginnings and all endings, in exact fractions."""
+    from fractions import Fraction
+
+    n = len(word)
+    w = lambda i, j: Fraction(float(weight[voc.ids.get(word[i:j], voc.size + 1 if j == i + 1 else voc.size)]))
+    a, b = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for j in range(1, n + 1):
+        a[j] = sum((a[i] * w(i, j) for i in range(max(0, j - voc.longest), j)), Fraction(0))
+    for i in range(n - 1, -1, -1):
+        b[i] = sum((b[j] * w(i, j) for j in range(i + 1, min(n, i + voc.longest) + 1)), Fraction(0))
+    return a, b, w
+
+
+@pytest.mark.parametrize("word", ["▁" + "ሀ" * 70, "▁internationalization" * 9, "▁ab" + "ሀ" * 47 + "tion"])
+def test_language_long_words(word):
+    """Long runs without a piece, and long words of pieces, against exact fractions: no part ends, no underflow."""
+    import math
+
+    import numpy as np
+
+    voc = langid.vocabulary(MODEL)
+    weight = np.r_[np.full(voc.size, 1 / voc.size), 0.0, langid.UNKNOWN]
+    a, b, w = big_sums(word, voc, weight)
+    n = len(word)
+    log = lambda f: math.log(f.numerator) - math.log(f.denominator)
+    got = langid.forward([word, word], n, voc, weight[:, None])
+    assert np.allclose(got, log(a[n]))
+    uses = langid.expected([word], np.array([2.0]), n, voc, weight)
+    want = np.zeros(len(weight))
+    for i in range(n):
+        for j in range(i + 1, min(n, i + voc.longest) + 1):
+            k = voc.ids.get(word[i:j], voc.size + 1 if j == i + 1 else voc.size)
+            want[k] += 2 * float(a[i] * w(i, j) * b[j] / a[n])
+    assert np.allclose(uses, want)
+
+
+def test_language_unknown_letters_teach_and_get_no_nan(spark):
+    data = [(i, "the cat sat on the mat and the dog", "en") for i in range(6)] + [(10 + i, "die katze sass auf der matte und der hund", "de") for i in range(6)]
+    data += [(30, "die katze " + "ሀ" * 47, "de"), (31, "ሀ" * 60, None), (32, "the cat sat on the mat", None), (33, "ab" * 10_000, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langs, weights = langid.learn(docs, MODEL)
+    assert langs == ["de", "en"] and (weights >= 0).all()
+    got = {r.doc_id: r for r in langid.predict(docs, MODEL, langs, weights).collect()}
+    assert got[32].lang_pred == "en" and got[30].lang_pred == "de"
+    assert all(0 <= r.score <= 1 for r in got.values())
 
 
 def test_language_learning(spark):
