@@ -1,18 +1,21 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on whole shingle sets.
 
-Equal sets are one from the start. Every set enters ``TREES`` trees, each with its own sequence of
-hash values; in a tree's sorted order, sets whose common prefix is at least ``DEPTH`` long are a
-region. Two sets of similarity 0.8 miss each other in all trees with probability under 1e-5. How
-deep the comparison goes depends on the region: a tree row carries ``BITS`` further bits of the
-signature, and a region is split by them around leaders, so that one that many unlike sets
-share by chance or by a common passage falls apart, and one of true copies stays whole. A set that
-a leader covers and a set that is similar to it are both near enough to the leader (the
-distance is a metric) to fall into one area with it.
+Equal sets are one from the start. Every set enters ``TREES`` trees. A tree has its own sequence of
+minima, and a row's key is their ordered values, a byte each; a tree's rows are sorted by key, and what
+two neighbours have in common is the longest common prefix of their keys. Rows whose prefix is at least
+``DEPTH`` values long are a region; two sets of similarity 0.8 miss each other in all trees with
+probability under 1e-5. A region is read row by row: a set that no leader covers becomes a leader, and
+every set is tied to the leaders it is like enough to, by ``BITS`` further bits of the signature. Two similar
+sets are both near enough to the leader that covers the first of them to be tied to it (the distance is a
+metric). While a region holds more than ``MANY`` leaders, its depth grows by a value, and its leaders last as
+long as the longer prefix does; so regions that very many unlike sets share fall apart, and regions of true copies, which
+need few leaders, stay whole. At ``DEEPEST`` values two sets of similarity 0.8 that are in such regions in all trees
+miss each other with probability 6e-4.
 
 Areas, the components of these ties, hold every possible link. The whole sets of an area's members
 meet in blocks of bounded size, pair by pair of blocks, and every pair of sets not yet known to
-be connected is compared exactly. Only links that connect are returned, one less than sets at
-most, never all pairs.
+be connected is compared exactly (shingles by 64-bit hashes of their words). Only links that connect are
+returned, one less than sets at most, never all pairs.
 
 Defined results: a null text, or one without words, has no shingle and links with nothing; fewer
 words than a shingle's are one shingle; equal texts link; rows that share an id are one document; a
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,12 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType
 from .common import configure, fields, map_rows, stored
 from .components import components
 
-TREES, DEPTH, BITS = 40, 6, 256
-#: Sets of one block; two blocks meet in a task.
-BLOCK = 2048
+#: Trees, values a region shares at least and at most, and bits of a sketch.
+TREES, DEPTH, DEEPEST, BITS = 40, 6, 8, 256
+#: Leaders of a region from which it is deepened.
+MANY = 256
+#: Sets and bytes of one block, about; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 2048, 32_000_000
 #: Estimated similarity from which a leader covers a set, and from which it is tied to it:
 #: 0.25 and 0.27 (more than four standard errors) beyond what the metric needs.
 COVERS, TIES = 0.80, 0.30
@@ -75,19 +82,21 @@ def shingles(text: str | None, width: int, hashes: Hashes) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tree keys (one for each tree) and sketches (BITS bits) of sets, none of them empty."""
+    """Keys (DEEPEST bytes for each tree) and sketches (BITS bits) of sets, none of them empty.
+
+    A tree's sequence is its own DEPTH minima, then the first ones of the next tree.
+    """
     starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]].astype(np.int64)
     every = np.concatenate(sets)
     least = np.empty((len(sets), TREES * DEPTH), np.uint64)
     for k, odd in enumerate(_ODD):
         least[:, k] = np.minimum.reduceat(every * odd, starts)
     least = mix(least)
-    keys = np.zeros((len(sets), TREES), np.uint64)
-    for d in range(DEPTH):
-        keys = mix(keys * _A + least[:, d::DEPTH])
+    values = (least >> np.uint64(8)).astype(np.uint8)
+    order = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEEPEST)) % (TREES * DEPTH)
     bits = (least & np.uint64(1)).astype(bool)
     more = (least[:, : BITS - bits.shape[1]] >> np.uint64(1) & np.uint64(1)).astype(bool) if bits.shape[1] < BITS else bits[:, :0]
-    return keys, np.packbits(np.hstack([bits[:, :BITS], more]), axis=1)
+    return values[:, order], np.packbits(np.hstack([bits[:, :BITS], more]), axis=1)
 
 
 def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -96,64 +105,101 @@ def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return 1 - 2 * apart / BITS
 
 
-def ties(ids: np.ndarray, sketches: np.ndarray) -> tuple[list[int], list[int]]:
-    """Ties of one region: leaders in order of id, each with every set it is like enough to.
+class Region:
+    """Leaders of a region, and ties to them; ``give`` takes two ids.
 
-    Areas only ask what ties connect, so a tie between two sets that are connected already is
-    left out: a region of n sets gives n - 1 at most.
+    Areas only ask what ties connect, so ties between sets that are connected already are
+    left out: a region of n sets gives n - 1 at most. Held are the leaders, never the region.
     """
-    us, vs = [], []
-    label = np.arange(len(ids))
-    order = np.argsort(ids, kind="stable")
-    ids, sketches = ids[order], sketches[order]
-    left = np.ones(len(ids), bool)
-    for k in range(len(ids)):
-        if left[k]:
-            near = likeness(sketches[k], sketches)
-            left &= near < COVERS
-            left[k] = False
-            new, first = np.unique(np.where((near >= TIES) & (ids != ids[k]), label, label[k]), return_index=True)
-            first = first[new != label[k]]
-            us += [int(ids[k])] * len(first)
-            vs += ids[first].tolist()
-            label[np.isin(label, new)] = label[k]
-    return us, vs
-
-
-def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def __init__(self, give, many: int) -> None:
+        self.give, self.many, self.depth = give, many, DEPTH
+        self.start()
+
+    def start(self) -> None:
+        self.ids, self.sketches, self.label, self.prefix = [], [], [], None
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> None:
+        """Rows in order; all share the first DEPTH values."""
+        at = 0
+        while at < len(ids):
+            if (own := keys[at, : self.depth].tobytes()) != self.prefix:
+                self.start()
+                self.prefix = own
+            other = np.any(keys[at : at + 2048, : self.depth] != keys[at, : self.depth], axis=1)
+            end = at + int(other.argmax() if other.any() else len(other))
+            self.tie(ids[at:end], sketches[at:end])
+            if len(self.ids) > self.many and self.depth < DEEPEST:
+                self.depth += 1
+                self.prefix = keys[end - 1, : self.depth].tobytes()
+            at = end
+
+    def tie(self, ids: np.ndarray, sketches: np.ndarray) -> None:
+        left, first = np.ones(len(ids), bool), np.full(len(ids), -1)
+
+        def meet(leader: int, since: int) -> None:
+            near = likeness(self.sketches[leader], sketches[since:])
+            left[since:] &= near < COVERS
+            tied = np.flatnonzero((near >= TIES) & (ids[since:] != self.ids[leader])) + since
+            new = tied[first[tied] < 0]
+            for k in new.tolist():
+                self.give(int(ids[k]), self.ids[leader])
+            first[new] = leader
+            # a set tied to two leaders connects them
+            for other in set(first[tied].tolist()):
+                if self.label[other] != self.label[leader]:
+                    self.give(self.ids[other], self.ids[leader])
+                    old = self.label[other]
+                    self.label = [self.label[leader] if x == old else x for x in self.label]
+
+        for leader in range(len(self.ids)):
+            meet(leader, 0)
+        for k in range(len(ids)):
+            if left[k]:
+                mine = len(self.ids)
+                self.ids.append(int(ids[k]))
+                self.sketches.append(sketches[k])
+                self.label.append(mine)
+                if first[k] >= 0:  # tied to an earlier one
+                    self.label[mine] = self.label[first[k]]
+                first[k] = mine
+                meet(mine, k)
+
+
+def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.RecordBatch]:
     """Ties from rows (tree, key, id, sketch) that come sorted by tree and key."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held: list[tuple] = []
-
-    def flush(keys, ids, sketches):
-        cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-        bounds = np.r_[0, cuts, len(keys)]
-        us, vs = [], []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 1:
-                u, v = ties(ids[a:b], sketches[a:b])
-                us += u
-                vs += v
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
-
-    def joined():
-        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    us, vs = [], []
+
+    def give(u: int, v: int) -> None:
+        us.append(u)
+        vs.append(v)
+
+    def taken() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
+        us.clear()
+        vs.clear()
+        return out
 
+    going, last = None, None  # the region at the end of the batch before, and its first values
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False)], axis=1)
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, DEEPEST)
+        trees = b.column(0).to_numpy(zero_copy_only=False)
+        ids = b.column(2).to_numpy(zero_copy_only=False)
         sketches = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        held.append((keys, b.column(2).to_numpy(zero_copy_only=False), sketches))
-        # the last region may go on in the next batch
-        if np.any(keys[0] != keys[-1]) or np.any(held[0][0][0] != keys[-1]):
-            keys, ids, sketches = joined()
-            same = np.all(keys == keys[-1], axis=1)
-            cut = int(np.argmax(same))
-            yield flush(keys[:cut], ids[:cut], sketches[:cut])
-            held = [(keys[cut:], ids[cut:], sketches[cut:])]
-    if held:
-        yield flush(*joined())
+        cuts = np.flatnonzero(np.any(keys[1:, :DEPTH] != keys[:-1, :DEPTH], axis=1) | (trees[1:] != trees[:-1])) + 1
+        bounds = np.r_[0, cuts, len(ids)]
+        sizes = np.diff(bounds)
+        # single rows are no region, but for the first and the last, which may go on
+        for r in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()}):
+            x, y = int(bounds[r]), int(bounds[r + 1])
+            own = (int(trees[x]), keys[x, :DEPTH].tobytes())
+            if own != last:
+                going, last = Region(give, many), own
+            going.add(keys[x:y], ids[x:y], sketches[x:y])
+        yield taken()
 
 
 def linked(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
@@ -209,25 +255,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         return work
 
     signed = stored(map_rows(rows, make, first), "signatures")
-    reps = stored(signed.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep")), "sets")
+    reps = stored(signed.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "sets")
     # one signature for each set: rows of other batches repeat it
-    one = signed.where("keys is not null").select("set", "keys", "sketch").join(reps, "set").dropDuplicates(["rep", "set"])
-    tree = fields(tree=IntegerType(), key=LongType(), id=LongType(), sketch=BinaryType())
+    one = signed.where("keys is not null").select("set", "keys", "sketch").join(reps.drop("n"), "set").dropDuplicates(["rep", "set"])
+    tree = fields(tree=IntegerType(), key=BinaryType(), id=LongType(), sketch=BinaryType())
 
     def spread():
         def work(ids, keys, sketches):
-            k = np.frombuffer(b"".join(keys), np.int64)
-            return {"tree": np.tile(np.arange(TREES, dtype=np.int32), len(ids)), "key": k, "id": np.repeat(np.array(ids, np.int64), TREES), "sketch": [s for s in sketches for _ in range(TREES)]}
+            own = [k[t : t + DEEPEST] for k in keys for t in range(0, TREES * DEEPEST, DEEPEST)]
+            return {"tree": np.tile(np.arange(TREES, dtype=np.int32), len(ids)), "key": own, "id": np.repeat(np.array(ids, np.int64), TREES), "sketch": [s for s in sketches for _ in range(TREES)]}
 
         return work
 
     forest = map_rows(one.select("rep", "keys", "sketch"), spread, tree)
-    tied = forest.repartition("tree", "key").sortWithinPartitions("tree", "key").mapInArrow(regions, "u long, v long").distinct()
+    # a region's rows meet in one task, in order
+    ordered = forest.repartition("tree", F.substring("key", 1, DEPTH)).sortWithinPartitions("tree", "key")
+    tied = ordered.mapInArrow(partial(regions, many=MANY), "u long, v long").distinct()
     areas = stored(components(tied, "areas"), "area_members").withColumnRenamed("node", "rep").withColumnRenamed("component", "area")
     links = fields(u=LongType(), v=LongType())
 
     # members of large areas are numbered by hash into blocks; a member goes to each pair its block is in
-    sizes = areas.groupBy("area").count().select("area", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    weighed = areas.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep").groupBy("area").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    sizes = weighed.select("area", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     spots = areas.join(sizes, "area").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spots = spots.select("rep", "area", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
@@ -250,6 +299,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     confirmed = meeting.groupBy("area", "a", "b").applyInArrow(meet, links)
     known = components(confirmed, "links").withColumnRenamed("node", "rep")
     # rows that share an id, and sets that share their first id, are tied by that id
-    out = signed.select("doc_id", "n_shingles", "set").join(reps, "set", "left").join(known, "rep", "left")
+    out = signed.select("doc_id", "n_shingles", "set").join(reps.drop("n"), "set", "left").join(known, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

@@ -186,6 +186,45 @@ def test_near_duplicates(spark, width, block):
     assert sizes == sorted(len(shingle_set(r[1], width)) for r in rows)
 
 
+def planted_sets(rng, n, size=200):
+    """Sets of one common passage, a third of them near copies of a few."""
+    common = rng.integers(0, 2**63, size, dtype=np.uint64)
+    heads = [np.r_[common, rng.integers(0, 2**63, size // 2, dtype=np.uint64)] for _ in range(5)]
+    out = []
+    for k in range(n):
+        own = heads[k % 5].copy() if k % 3 == 0 else np.r_[common, rng.integers(0, 2**63, size // 2, dtype=np.uint64)]
+        gone = rng.integers(0, len(own), size // 20)
+        own[gone] = rng.integers(0, 2**63, len(gone), dtype=np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+@pytest.mark.parametrize(("many", "batch"), [(256, 7), (256, 10_000), (8, 50)])
+def test_forest(many, batch):
+    """What the ties of all trees connect holds every pair of similarity 0.8, whatever the batches are."""
+    import pyarrow as pa
+
+    sets = planted_sets(np.random.default_rng(3), 150)
+    keys, sketches = neardup.signatures(sets)
+    assert keys.shape == (150, neardup.TREES, neardup.DEEPEST)
+    rows = sorted((t, keys[k, t].tobytes(), k, sketches[k].tobytes()) for k in range(150) for t in range(neardup.TREES))
+    schema = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sketch", pa.binary())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + batch], strict=True), schema, strict=True)], schema=schema) for a in range(0, len(rows), batch)]
+    group = list(range(150))
+    n = 0
+    for b in neardup.regions(iter(batches), many):
+        for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n += 1
+            x, y = group[u], group[v]
+            group = [x if g == y else g for g in group]
+    assert n <= 149 * neardup.TREES
+    for i in range(150):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert group[i] == group[j]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
@@ -221,6 +260,20 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    """Documents of the given table: components as by brute force over all sets that share a shingle."""
+    import duckdb
+
+    from logweave.llm.queries import near_duplicate_sql
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    for width in (2, 5):
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(path), width, 80).collect()}
+        want = {(r[0], r[2]) for r in duckdb.sql(near_duplicate_sql(width, 80, f"'{path}'")).fetchall()}
+        moved = {d for d, c in want if d != c}
+        assert len(moved) > 50 and got == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == suffixdedup.remove_repeats(empty).count() == suffixdedup.strip_repeats(empty).count() == 0
