@@ -7,6 +7,7 @@ Every text map reads two columns, an id and a text, so extra columns of the inpu
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Rows of one Arrow batch: whole texts are long, so a batch is kept well below Spark's 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most (and one row): whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Sets the Arrow batch size that the text maps count on, and sends this package to the
-    executors once for each context, for clusters where it is not installed."""
+    """Sets the Arrow batch size that the text maps count on (it is read when a plan runs, so it stays set),
+    and sends this package to the executors once for each context, for clusters where it is not installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if not getattr(context, "_logweave_sent", False):
         root = Path(__file__).resolve().parents[2]
@@ -40,9 +42,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where none is set, one of this
+    machine, if driver and executors are one process on it; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='logweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
