@@ -2,11 +2,12 @@
 
 Documents become tokens, an end token, and pieces of at most ``capacity`` tokens: only longer
 documents are cut, into full pieces after a first piece that holds the remainder. Full pieces
-are sequences of their own; the others are dealt to islands, each a bounded set of pieces that one
-task packs. On an island a chromosome is a grouping of the pieces into bins. Crossover injects
-whole well-filled bins of one parent into the other, drops the bins that hold a piece twice, and
-places the displaced pieces by best fit. After each epoch the islands' elites migrate: the bins that
-are not full enough leave their island and meet the leftovers of other islands on new ones.
+are sequences of their own; the others are dealt to lands, each a bounded set of pieces. A land has
+``ISLES`` islands, each with a population of its own, and an island is a task. A chromosome is a grouping of the
+land's pieces into bins. Crossover injects whole well-filled bins of one parent into the other, drops the bins that
+hold a piece twice, and places the displaced pieces by best fit. After an epoch each island's best chromosome
+migrates to the next island of its land, where crossover injects its bins. In the end the bins of a
+land's best chromosome that are not full enough are opened, and their pieces evolve once more on lands of their own.
 
 Token ids never leave the task that makes them: only lengths and checksums are shuffled.
 
@@ -19,19 +20,20 @@ from __future__ import annotations
 import os
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import configure, fields, map_rows, stored
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one island, below 2 ** 16; islands follow the number of pieces.
-ISLAND = 20_000
+#: Pieces of one land, below 2 ** 16, so that lands follow the number of pieces; and islands of a land.
+LAND, ISLES = 20_000, 3
 PIECES = dict(piece=IntegerType(), start=LongType(), length=LongType(), ids_crc32=LongType())
 
 
@@ -162,62 +164,125 @@ class Island:
         opened = set(order[: max(1, len(order) // 50)]) | set(self.rng.sample(order, max(1, len(order) // 100)))
         return self.best_fit([list(g) for k, g in enumerate(groups) if k not in opened], [i for k in opened for i in groups[k]])
 
-    def evolve(self, population: int, generations: int) -> list[list[int]]:
-        """The best grouping found; it ends early at the lower bound, which nothing can beat."""
+    def evolve(self, herd: list, guest, population: int, generations: int) -> list[list[list[int]]]:
+        """The population, best first, after some generations; it ends early at the lower bound, which
+        nothing can beat. A ``guest`` takes the place of the last one, crossed with the best."""
         least = -(-sum(self.sizes) // self.capacity)
-        herd = [self.first(0.0)]
+        herd = herd or [self.first(0.0)]
         if not self.sizes or len(herd[0]) <= least:
-            return herd[0]
-        herd += [self.first(0.2 * (k + 1) / population) for k in range(population - 1)]
+            return herd
+        herd += [self.first(0.2 * (k + 1) / population) for k in range(len(herd) - 1, population - 1)]
+        herd.sort(key=self.worth)
+        if guest is not None:
+            herd[-1] = min(guest, self.cross(herd[0], guest), key=self.worth)
         for _ in range(generations):
             herd.sort(key=self.worth)
             if len(herd[0]) <= least:
                 break
             mother, father = self.rng.choice(herd[: max(2, population // 2)]), self.rng.choice(herd)
             herd[-1] = self.mutate(self.cross(mother, father))
-        return min(herd, key=self.worth)
+        return sorted(herd, key=self.worth)
 
 
-def _evolved(items: DataFrame, seed: int, capacity: int, population: int, generations: int) -> DataFrame:
-    """items(island, item, size) with the bin of each, numbered by epoch, island and place."""
-    schema = fields(island=LongType(), item=LongType(), size=LongType(), bin=LongType(), filled=LongType())
+def written(groups: list[list[int]]) -> bytes:
+    """A chromosome as the bin of each piece."""
+    out = array("i", [0]) * sum(map(len, groups))
+    for k, g in enumerate(groups):
+        for i in g:
+            out[i] = k
+    return out.tobytes()
+
+
+def read(data: bytes) -> list[list[int]]:
+    bins = array("i")
+    bins.frombytes(data)
+    out: list[list[int]] = [[] for _ in range(max(bins, default=-1) + 1)]
+    for i, k in enumerate(bins):
+        out[k].append(i)
+    return out
+
+
+ISLE = StructType([*fields(land=LongType(), isle=IntegerType(), items=BinaryType(), sizes=BinaryType()).fields, StructField("herd", ArrayType(BinaryType())), *fields(guest=BinaryType(), n_bins=LongType(), fullness=DoubleType()).fields])
+
+
+def _landed(todo: DataFrame, lands: int, salt: int) -> DataFrame:
+    """A row for each land of todo(item, size), about LAND pieces each."""
+    schema = fields(land=LongType(), items=BinaryType(), sizes=BinaryType())
 
     def one(table: pa.Table) -> pa.Table:
-        island = table.column("island")[0].as_py()
         rows = sorted(zip(table.column("item").to_pylist(), table.column("size").to_pylist(), strict=True))
-        world = Island([s for _, s in rows], capacity, seed * 1_000_003 + island)
-        out = {n: [] for n in schema.names}
-        for k, group in enumerate(world.evolve(population, generations)):
-            filled = world.fill(group)
-            for i in group:
-                for n, v in zip(schema.names, (island, *rows[i], ((seed << 40 | island) << 16) + k, filled), strict=True):
-                    out[n].append(v)
-        return pa.table(out, schema=to_arrow_schema(schema))
+        items, sizes = array("q", [i for i, _ in rows]), array("i", [s for _, s in rows])
+        return pa.table({"land": table.column("land").slice(0, 1), "items": [items.tobytes()], "sizes": [sizes.tobytes()]}, schema=to_arrow_schema(schema))
+
+    return todo.withColumn("land", F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(max(1, lands)))).select("land", "item", "size").groupBy("land").applyInArrow(one, schema)
+
+
+def evolved(todo: DataFrame, n: int, salt: int, capacity: int, land: int, isles: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """The best grouping that the islands find for todo(item, size) of ``n`` rows: (item, bin, filled)."""
+    lands = max(1, -(-n // land))
+    tasks = min(lands * isles, 20_000)
+    now = _landed(todo, lands, salt).select("land", F.explode(F.sequence(F.lit(0), F.lit(isles - 1))).alias("isle"), "items", "sizes", F.array().cast("array<binary>").alias("herd"), F.lit(None).cast("binary").alias("guest"))
+    for epoch in range(epochs):
 
-    return items.groupBy("island").applyInArrow(one, schema)
+        def make(epoch=epoch):
+            def work(lands, isles, items, sizes, herds, guests):
+                out = {n: [] for n in ISLE.names}
+                for at, isle, i, s, herd, guest in zip(lands, isles, items, sizes, herds, guests, strict=True):
+                    own = array("i")
+                    own.frombytes(s)
+                    world = Island(own.tolist(), capacity, ((salt * 8 + epoch) << 48) + at * 64 + isle)
+                    found = world.evolve([read(h) for h in herd], read(guest) if guest is not None else None, population, generations)
+                    n_bins, fullness = world.worth(found[0])
+                    for name, v in zip(ISLE.names, (at, isle, i, s, [written(h) for h in found], None, n_bins, fullness), strict=True):
+                        out[name].append(v)
+                return out
+
+            return work
+
+        spread = now.select(*ISLE.names[:6]).repartition(tasks, "land", "isle")
+        now = stored(map_rows(spread, make, ISLE), f"epoch{salt}_{epoch}")
+        if epoch < epochs - 1:
+            # the best of each island goes to the next one of its land
+            elites = now.select("land", F.pmod(F.col("isle") + 1, F.lit(isles)).cast("int").alias("isle"), F.col("herd")[0].alias("guest"))
+            now = now.drop("guest", "n_bins", "fullness").join(elites, ["land", "isle"])
+    best = now.groupBy("land").agg(F.min_by(F.struct("items", "sizes", F.col("herd")[0].alias("groups")), F.struct("n_bins", "fullness", "isle")).alias("b"))
+    schema = fields(item=LongType(), size=LongType(), bin=LongType(), filled=LongType())
+
+    def opened():
+        def work(lands, items, sizes, groups):
+            out = {n: [] for n in schema.names}
+            for at, i, s, g in zip(lands, items, sizes, groups, strict=True):
+                ids, own = array("q"), array("i")
+                ids.frombytes(i)
+                own.frombytes(s)
+                for k, group in enumerate(read(g)):
+                    filled = sum(own[x] for x in group)
+                    for x in group:
+                        for n, v in zip(schema.names, (ids[x], own[x], ((salt << 40 | at) << 16) + k, filled), strict=True):
+                            out[n].append(v)
+            return out
+
+        return work
 
+    return map_rows(best.select("land", "b.items", "b.sizes", "b.groups"), opened, schema)
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", island: int = ISLAND, epochs: int = 2, population: int = 4, generations: int = 40, full: float = 0.99) -> DataFrame:
+
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text",
+    land: int = LAND, isles: int = ISLES, epochs: int = 2, population: int = 3, generations: int = 8, full: float = 0.99,
+) -> DataFrame:
     """A row for each piece: its document, number, start, length, checksum, sequence and offset.
 
-    Elites migrate ``epochs - 1`` times: bins filled to at least ``full`` stay as they are, all
-    others are opened and their pieces meet those of other islands on new, fewer ones.
+    Elites migrate ``epochs - 1`` times. Bins filled to at least ``full`` then stay as they are; the pieces of
+    all others evolve once more, so that lands leave no half-empty bins of their own.
     """
     spark = configure(docs.sparkSession)
     found = stored(pieces(docs, tokenizer, capacity, end_id, key, text).withColumn("item", F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("serial")).drop("serial"), "pieces")
-    partial = found.where(F.col("length") < capacity)
-    n = partial.count()
-    deal = lambda col, many, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(max(1, many)))
-    todo = partial.select("item", F.col("length").alias("size")).withColumn("island", deal("item", -(-n // island), 0))
-    done = None
-    for epoch in range(epochs):
-        packed = stored(_evolved(todo.select("island", "item", "size"), epoch, capacity, population, generations), f"epoch{epoch}")
-        last = epoch == epochs - 1
-        kept = packed if last else packed.where(F.col("filled") >= full * capacity)
-        done = kept if done is None else done.unionByName(kept)
-        if not last:
-            todo = packed.where(F.col("filled") < full * capacity)
-            todo = todo.withColumn("island", deal("item", -(-todo.count() // island), epoch + 1))
+    partial = found.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
+    first = stored(evolved(partial, partial.count(), 0, capacity, land, isles, epochs, population, generations), "bins")
+    rest = first.where(F.col("filled") < full * capacity).select("item", "size")
+    again = evolved(rest, rest.count(), 1, capacity, land, isles, epochs, population, generations)
+    done = first.where(F.col("filled") >= full * capacity).unionByName(again)
     bins = found.join(done.select("item", "bin"), "item", "left").withColumn("bin", F.coalesce("bin", -F.col("item")))  # full pieces: numbers below 0
     member = F.struct(F.col("length"), F.col("item"), *(F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")))
     # a bin holds at most ``capacity`` pieces

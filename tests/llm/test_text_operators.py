@@ -293,13 +293,15 @@ def test_language_learning(spark):
 
 
 def test_tokens_match_the_tokenizer():
+    """Of hard texts, and of the whole table at two sizes."""
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     encode = packing.encoder(P.path("byte_bpe_50k.json"))
-    for x in texts():
-        ids = t.encode(x, add_special_tokens=False).ids
-        assert encode(x) == b"".join(i.to_bytes(4, "little") for i in ids), x
+    own = texts() + [x or "" for sf in ("sf0.001", "sf0.01") for x in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for x, ids in zip(own, t.encode_batch(own, add_special_tokens=False), strict=True):
+        assert encode(x) == b"".join(i.to_bytes(4, "little") for i in ids.ids), x
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 2048, 5000])
@@ -312,7 +314,7 @@ def test_packing(spark):
     rng = random.Random(2)
     data = [(i, "w " * rng.randrange(0, 900)) for i in range(300)] + [(1, "again"), (1, "again"), (400, None), (401, "long word " * 3000)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = packing.pack(df, P.path("byte_bpe_50k.json"), island=100).collect()
+    got = packing.pack(df, P.path("byte_bpe_50k.json"), land=100).collect()
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -331,6 +333,31 @@ def test_packing(spark):
     assert sum(r.doc_id == 1 for r in got) == 3
 
 
+def test_islands_send_elites(spark):
+    """A guest's bins reach the population it comes to, and chromosomes are what they were written from."""
+    rng = random.Random(4)
+    sizes = [rng.randrange(100, 700) for _ in range(200)]
+    world = packing.Island(sizes, 1024, 1)
+    guest = world.evolve([], None, 4, 60)[0]
+    assert packing.read(packing.written(guest)) == [sorted(g) for g in guest]
+    poor = [[i] for i in range(200)]
+    came = packing.Island(sizes, 1024, 2).evolve([poor, poor], guest, 2, 0)
+    assert len(came[0]) <= len(guest)
+    for h in came:
+        assert sorted(i for g in h for i in g) == list(range(200)) and all(world.fill(g) <= 1024 for g in h)
+
+
+def test_packing_beside_best_fit(spark):
+    """On the given table: as few sequences as best fit over all pieces at once, or fewer, and the lower bound."""
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), P.path("byte_bpe_50k.json")).select("sequence_id", "length").collect()
+    sizes = [r.length for r in got if r.length < 1024]
+    full = len(got) - len(sizes)
+    bins = len({r.sequence_id for r in got}) - full
+    alone = packing.Island(sizes, 1024, 0).first(0.0)
+    print("sequences", bins, "best fit decreasing", len(alone), "lower bound", -(-sum(sizes) // 1024))
+    assert -(-sum(sizes) // 1024) <= bins <= len(alone)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(docs, MODEL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
