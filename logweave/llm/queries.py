@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk
+from .common import new_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,7 +29,13 @@ def op2_media(spark, sf_dir):
 
 
 def op3_secret_scan(spark, sf_dir):
-    return secrets.scan_history(table(spark, sf_dir, "documents"))[0]
+    """The history in two commits: versions up to the middle id, then the others against the ledger
+    of the first, which lies under the shared folder; findings go back to all."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "secret_ledger")
+    older = F.coalesce(F.col("doc_id") <= F.lit(docs.agg(F.avg("doc_id")).first()[0]), F.lit(False))
+    secrets.update(docs.where(older), path)
+    secrets.update(docs.where(~older), path)
+    return secrets.findings(docs, path)
 
 
 def op4_license_scan(spark, sf_dir):

@@ -1,11 +1,12 @@
 """Secret scan over an incremental ledger of blobs.
 
-Every historical version of every path is addressed by the SHA-256 of its content. The ledger
-holds one row for each (blob, rule version) pair already scanned. A run finds the pairs that the
-ledger lacks, reads each such blob once (the version with the smallest key stands for all equal
-ones), scans it, and joins the findings back to every path that holds the blob.
+Every historical version of every path is addressed by the SHA-256 of its content. The ledger, Parquet at
+a path of the caller's, holds one row for each (blob, rule version) pair already scanned. ``update`` finds the
+pairs that the ledger lacks, reads each such blob once (the version with the smallest key stands for all
+equal ones), scans it and appends its findings; ``findings`` joins them back to every path that holds the
+blob. An update that fails appends nothing, and one that is repeated scans nothing twice.
 
-Only keys and digests are shuffled to find what is unseen; texts move once, to meet the list of
+Only keys and digests are shuffled to find what is unseen; texts of new versions move once, to meet the list of
 blobs to scan. The join back is from many paths to one row for each blob, whose hot keys
 adaptive execution may split.
 
@@ -17,11 +18,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
-from .common import fields, map_rows, sha, spans_text, stored
+from .common import fields, map_rows, sha, spans_text
 
 #: Changing a rule means a new version, so that old blobs are scanned again.
 RULE_VERSION = "2"
@@ -81,20 +82,33 @@ def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     return map_rows(blobs.select("blob", "text"), make, FINDINGS)
 
 
-def scan_history(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings for every version, the ledger's new rows, already stored).
-
-    ``versions`` has one row for each historical version under ``key``; ``ledger`` has the rows
-    that earlier runs gave, for any rule version.
-    """
+def addressed(versions: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text, blob): every version with its content's digest."""
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = versions.select(F.col(key).alias("doc_id"), content.alias("text")).withColumn("blob", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
-    paths = held.select("doc_id", "blob", F.xxhash64("doc_id").alias("place"))
-    unseen = paths.groupBy("blob").agg(F.min("place").alias("place"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    # equal versions of one path meet here as equal rows: one of them is scanned
-    wanted = held.withColumn("place", F.xxhash64("doc_id")).join(unseen.withColumnRenamed("blob", "wanted"), "place").where("blob = wanted")
-    new = stored(scan_blobs(wanted.select("blob", "text"), rule_version).dropDuplicates(["blob"]), "secret_ledger")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*FINDINGS.names))
-    return paths.drop("place").join(known, "blob", "left").select("doc_id", *FINDINGS.names[2:], F.hex("blob").alias("blob"), "rule_version"), new
+    return versions.select(F.col(key).alias("doc_id"), content.alias("text")).withColumn("blob", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows, none if nothing has been scanned yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], FINDINGS)
+    return spark.read.schema(FINDINGS).parquet(path)
+
+
+def update(versions: DataFrame, path: str, key: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> None:
+    """Scans the blobs of ``versions`` that the ledger at ``path`` lacks for this rule version, and appends them."""
+    spark = versions.sparkSession
+    held = addressed(versions, key, text).withColumn("place", F.xxhash64("doc_id", "blob"))
+    seen = ledger(spark, path).where(F.col("rule_version") == rule_version).select("blob")
+    unseen = held.groupBy("blob").agg(F.min("place").alias("place")).join(seen, "blob", "left_anti")
+    # equal versions of one path meet here as equal rows: one of them counts
+    wanted = held.join(unseen, ["blob", "place"]).select("blob", "text")
+    scan_blobs(wanted, rule_version).dropDuplicates(["blob"]).write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def findings(versions: DataFrame, path: str, key: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger's findings for every version; null where its blob has not been scanned."""
+    paths = addressed(versions, key, text).select("doc_id", "blob")
+    known = ledger(versions.sparkSession, path).where(F.col("rule_version") == rule_version)
+    return paths.join(known, "blob", "left").select("doc_id", *FINDINGS.names[2:], F.hex("blob").alias("blob"), "rule_version")

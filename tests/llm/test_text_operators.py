@@ -84,20 +84,38 @@ def test_mask():
     assert pii.mask("clean 12 text", find("clean 12 text")) == "clean 12 text"
 
 
-def test_secrets(spark, docs):
-    got, new = secrets.scan_history(docs)
-    got = rows(got)
+def test_secrets(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    assert secrets.findings(docs, path).where("n_hex is null and rule_version is null").count() == docs.count()
+    secrets.update(docs, path)
+    got = rows(secrets.findings(docs, path))
     for i, t in enumerate(texts()):
         want = plain_secrets(t)
         spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].spans.split(",") if s)]
         assert [s for s in spans if s[0] in secrets.BASE] == want, t
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[0] == k for s in want) for k in secrets.BASE)
-    assert new.count() == len(set(texts()) | {""})
+    n = len(set(texts()) | {""})
+    assert secrets.ledger(spark, path).count() == n
     # a second run scans only what is new, and repeated rows stay rows
-    more = docs.unionAll(docs).unionAll(spark.createDataFrame([(7000, "token=zzzzzz9", "x", 1)], docs.schema))
-    again, newer = secrets.scan_history(more, ledger=new)
-    assert newer.count() == 1 and again.count() == 2 * len(got) + 1
-    assert secrets.scan_history(docs, ledger=new, rule_version="3")[1].count() == new.count()
+    more = docs.unionAll(docs).unionAll(spark.createDataFrame([(7000, "token=zzzzzz9", "x", 1), (None, "token=zzzzzz9", "x", 1), (None, None, "x", 1)], docs.schema))
+    secrets.update(more, path)
+    assert secrets.ledger(spark, path).count() == n + 1 and secrets.findings(more, path).where("n_hex is not null").count() == 2 * len(got) + 3
+    secrets.update(docs, path, rule_version="3")
+    assert secrets.ledger(spark, path).where("rule_version = '3'").count() == n
+
+
+def test_secret_query_scans_no_blob_twice(spark, monkeypatch):
+    """The query on the given table: one ledger row for each blob, and the findings of the plain version."""
+    from logweave.llm import queries
+
+    held = []
+    monkeypatch.setattr(queries, "new_path", lambda s, name, make=queries.new_path: held.append(make(s, name)) or held[-1])
+    got = rows(queries.op3_secret_scan(spark, "/root/testdata/sf0.01"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert set(got) == set(own) and secrets.ledger(spark, held[0]).count() == len(set(own.values()))
+    for i, t in own.items():
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain_secrets(t)).encode()).hexdigest()
 
 
 def test_licenses(docs):
@@ -145,7 +163,9 @@ def test_fuzzy_spans_side_by_side():
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
-    assert pii.find_pii(empty).count() == licenses.find_licenses(empty).count() == secrets.scan_history(empty)[0].count() == 0
+    path = packing.stored(empty, "empty").inputFiles()[0].rsplit("/", 1)[0] + "/ledger"
+    secrets.update(empty, path)
+    assert pii.find_pii(empty).count() == licenses.find_licenses(empty).count() == secrets.findings(empty, path).count() == 0
     assert langid.identify(empty, MODEL).count() == scan.encode_and_decode(empty, MODEL).count() == packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
