@@ -3,21 +3,25 @@
 Rows are dealt to blocks of bounded size. A block's components, less the block's least one, are
 whole numbers of 0 or more; their binary digits are its posting segments: the segment of a digit and
 a dimension lists the rows that have the digit, and each has the same quantised impact, a power of
-two. Segments are processed by descending impact, for a block of queries at once. After a digit is
-done, what the rest can still add to or take from any score is known exactly. A row whose upper
-bound is below the k-th lower bound is out; processing stops when this leaves few rows for each
-query, or with the last digit. Rows that remain are rescored with their whole components.
-
-Queries meet blocks in equi-joins of query blocks with index blocks; each pair gives k rows for each
-query at most.
-
-Defined results: vectors that are null, empty, of another length than most of their kind (the
-queries'), or hold null or non-finite components take no part; a query has no row for itself (rows of
+two. What a segment can add to a score is its impact times the query's weight in that dimension. For a group of queries
+at once, segments are processed by descending weighted impact, those without weight never. After
+each step it is known exactly what the segments left can still add to or take from any score. A row whose upper
+bound is below the k-th lower bound is out; rows that are out for all queries of the group are read no
+further. Processing stops when few rows are left for each query, or no segment with weight. Rows that
+remain are rescored with their whole components.
+
+The index stays where it is written; blocks of queries, a bounded number at a time, are broadcast to it, and
+each pair of blocks gives k rows for each query at most.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part; a query meets
+the vectors of its own length; a query has no row for itself (rows of
 the same id are its own); ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,8 +30,10 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType
 
 from .common import configure, fields, map_rows, stored
 
-#: Rows of an index block, and queries of a query block.
-BLOCK, QUERIES = 8192, 2048
+#: Rows of an index block, queries of a query block, and bytes of the query blocks that are broadcast at a time.
+BLOCK, QUERIES, ROUND = 8192, 2048, 64_000_000
+#: Queries that share the order of the segments.
+GROUP = 64
 SCALE = 256
 #: Scores beyond this are added up in exact integers of Python.
 SAFE = 2.0**52
@@ -65,29 +71,51 @@ def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("block", "dims", "vec_id", "v").groupBy("block", "dims").applyInArrow(one, schema)
 
 
-def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, digits: int, segments: bytes, k: int):
+def weighted_order(q: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digit, dimension) of the segments that have weight for a group of queries, by descending impact."""
+    weight = np.abs(q).max(axis=0, initial=0)
+    impact = weight * 2.0 ** np.arange(digits)[:, None]
+    order = np.argsort(-impact, axis=None, kind="stable")
+    order = order[impact.ravel()[order] > 0]
+    return order // q.shape[1], order % q.shape[1]
+
+
+def candidates(q: np.ndarray, own: np.ndarray, ids: np.ndarray, digits: int, planes: np.ndarray, k: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the rows that may be among the k best. ``planes`` holds a bitmap for each digit, the
+    highest first, and dimension; ``seen`` takes how many segments were processed."""
+    n, dims = len(ids), q.shape[1]
+    ds, js = weighted_order(q, digits)
+    rows = np.arange(n)  # those read on
+    barred = ids[None, :] == own[:, None]
+    acc, alive = np.zeros((len(q), n)), ~barred
+    at = 0
+    for at in range(0, len(ds), dims):
+        d, j = ds[at : at + dims], js[at : at + dims]
+        bits = np.unpackbits(planes[digits - 1 - d, j], axis=1, count=n)
+        acc += (q[:, j] * 2.0**d) @ (bits if len(rows) == n else bits[:, rows]).astype(float)
+        left = q[:, js[at + dims :]] * 2.0 ** ds[at + dims :]
+        more, less = np.maximum(left, 0).sum(axis=1), np.maximum(-left, 0).sum(axis=1)
+        low = np.where(alive, acc - less[:, None], -np.inf)
+        kth = np.partition(low, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(q), -np.inf)
+        alive &= acc + more[:, None] >= kth[:, None]
+        if alive.sum() <= 8 * k * len(q):
+            break
+        if (some := alive.any(axis=0)).mean() < 0.5:
+            rows, acc, alive = rows[some], acc[:, some], alive[:, some]
+    if seen is not None:
+        seen.append(min(len(ds), at + dims))
+    qs, places = np.nonzero(alive)
+    return qs, rows[places]
+
+
+def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, digits: int, segments: bytes, k: int, seen: list | None = None):
     """(query, row, score) of the k best rows of a block for each row of ``q``."""
     n, dims = len(ids), q.shape[1]
-    width = -(-n // 8)
-    planes = np.frombuffer(segments, np.uint8).reshape(digits, dims, width)
-    up, down = np.maximum(q, 0).sum(axis=1), np.maximum(-q, 0).sum(axis=1)
-    exact = max(up.max(initial=0), down.max(initial=0)) * 2.0**digits + np.abs(q).sum(axis=1).max(initial=0) * abs(least) < SAFE
-    base = q.sum(axis=1) * least if exact else None
+    planes = np.frombuffer(segments, np.uint8).reshape(digits, dims, -(-n // 8))
+    size = np.abs(q).sum(axis=1).max(initial=0)
+    exact = size * 2.0**digits + size * abs(least) < SAFE
     if exact:
-        # digits by descending impact; acc holds what the digits so far give every row
-        acc = np.zeros((len(q), n))
-        self_rows = ids[None, :] == own[:, None]
-        alive = None
-        for d in range(digits - 1, -1, -1):
-            bits = np.unpackbits(planes[digits - 1 - d], axis=1, count=n).astype(float)
-            acc += (q * 2.0**d) @ bits
-            rest = 2.0**d - 1
-            low = np.where(self_rows, -np.inf, acc) - (down * rest)[:, None]
-            kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-            alive = (np.where(self_rows, -np.inf, acc) + (up * rest)[:, None] >= kth[:, None]) & ~self_rows
-            if alive.sum() <= 8 * k * len(q):
-                break
-        qs, rows = np.nonzero(alive)
+        qs, rows = candidates(q, own, ids, digits, planes, k, seen)
     else:
         qs, rows = np.nonzero(ids[None, :] != own[:, None])
     # whole components of the rows that may be members
@@ -97,7 +125,7 @@ def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, di
     for d in range(digits):
         vectors += np.unpackbits(planes[d], axis=1, count=n)[:, members].T.astype(np.int64) * weights[d]
     if exact:
-        scores = np.einsum("ij,ij->i", q[qs], vectors[place].astype(float)) + base[qs]
+        scores = np.einsum("ij,ij->i", q[qs], vectors[place].astype(float)) + (q.sum(axis=1) * least)[qs]
         scores = scores.astype(np.int64)
     else:
         scores = [sum(int(a) * (int(b) + least) for a, b in zip(q[i], vectors[p], strict=True)) for i, p in zip(qs, place, strict=True)]
@@ -116,7 +144,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     configure(vectors.sparkSession)
     index = stored(build_index(whole_numbers(vectors, key, vector), block), "impact_index")
     asked = whole_numbers(queries, key, vector)
-    many = max(1, -(-asked.count() // query_block))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
+    many = max(1, -(-size.n // query_block))
+    # a block is a little larger than query_block by chance of the hash
+    at_once = max(1, ROUND // (16 * query_block * (size.dims or 1)))
     schema_q = fields(qblock=LongType(), dims=IntegerType(), qids=BinaryType(), q=BinaryType())
 
     def packed(table: pa.Table) -> pa.Table:
@@ -125,8 +156,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         return pa.table(out, schema=pa.schema([("qblock", pa.int64()), ("dims", pa.int32()), ("qids", pa.binary()), ("q", pa.binary())]))
 
     sets = asked.withColumn("dims", F.size("v")).withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(many))).select("qblock", "dims", "vec_id", "v").groupBy("qblock", "dims").applyInArrow(packed, schema_q)
-    # each index block once for each block of queries
-    pairs = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<bigint>"))).join(stored(sets, "query_blocks"), ["qblock", "dims"])
+    blocks = stored(sets, "query_blocks")
     found = fields(query_id=LongType(), vec_id=LongType(), score=LongType())
 
     def make():
@@ -135,16 +165,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
             for m, lo, d, i, s, qi, data in zip(dims, least, digits, ids, segments, qids, q, strict=True):
                 own, i = np.frombuffer(qi, "<i8"), np.frombuffer(i, "<i8")
                 data = np.frombuffer(data, "<f8").reshape(-1, m)
-                for at in range(0, len(own), 256):
-                    a, b, c = search_block(data[at : at + 256], own[at : at + 256], i, lo, d, s, k)
-                    out["query_id"] += own[at : at + 256][a].tolist()
+                for at in range(0, len(own), GROUP):
+                    a, b, c = search_block(data[at : at + GROUP], own[at : at + GROUP], i, lo, d, s, k)
+                    out["query_id"] += own[at : at + GROUP][a].tolist()
                     out["vec_id"] += b.tolist()
                     out["score"] += c.tolist()
             return out
 
         return work
 
-    spread = pairs.select("dims", "least", "digits", "ids", "segments", "qids", "q").repartition(max(1, many * (-(-index.count() // 1))))
-    best = map_rows(spread, make, found)
+    tasks = min(20_000, max(1, index.count()))
+    rounds = []
+    for at in range(0, many, at_once):
+        # bounded by ROUND
+        asking = F.broadcast(blocks.where(F.col("qblock").between(at, at + at_once - 1)))
+        pairs = index.repartition(tasks, "block").join(asking, "dims").select("dims", "least", "digits", "ids", "segments", "qids", "q")
+        own = map_rows(pairs, make, found)
+        rounds.append(stored(own, "round") if many > at_once else own)
+    best = reduce(DataFrame.unionByName, rounds)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -244,7 +244,27 @@ def brute_top(rows, queries, k=5):
     return out
 
 
-def test_top_k(spark):
+def test_impact_order():
+    """Segments without weight are not read, and a few heavy ones can be proof enough."""
+    rng = np.random.default_rng(5)
+    q = np.zeros((3, 16))
+    q[:, 4] = [900, -800, 700]
+    q[:, 7] = 1
+    ds, js = topk.weighted_order(q, 8)
+    assert len(ds) == 16 and (np.diff(np.abs(q).max(axis=0)[js] * 2.0**ds) <= 0).all() and set(js) == {4, 7}
+    v = rng.integers(0, 256, (500, 16))
+    planes = np.stack([np.packbits((v.T >> d & 1).astype(bool), axis=1) for d in range(7, -1, -1)])
+    seen = []
+    qs, ids, scores = topk.search_block(q, np.array([1, 2, -1]), np.arange(500), 0, 8, planes.tobytes(), 5, seen)
+    want = brute_top([(i, x) for i, x in enumerate(v)], [(1, q[0]), (2, q[1]), (-1, q[2])])
+    assert {((1, 2, -1)[a], b, c) for a, b, c in zip(qs, ids, scores, strict=True)} == {(a, b, c) for a, _, b, c in want} and seen[0] <= 16
+    q = rng.integers(-200, 200, (8, 16)).astype(float)
+    q[:, 0] = 100_000
+    topk.search_block(q, np.arange(8), np.arange(500), 0, 8, planes.tobytes(), 5, seen)
+    assert seen[1] < 128
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).round(2)
     v[20:40] = v[0]
@@ -255,6 +275,9 @@ def test_top_k(spark):
     for block, queries in ((64, 3), (8192, 2048)):
         got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=block, query_block=queries)
         assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(whole, [w for w in whole if w[0] % 50 == 0])
+    monkeypatch.setattr(topk, "ROUND", 1)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=64, query_block=2)
+    assert {tuple(r) for r in got.collect()} == brute_top(whole, [w for w in whole if w[0] % 50 == 0])
     few = topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0"))
     assert few.count() == 2
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
