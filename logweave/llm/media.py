@@ -8,7 +8,9 @@ written again with the bytes of homes only. Reading joins the bytes of chunks at
 packs that list them, puts the lists together, verifies every chunk by its digest, and only
 then computes checksums and features from the samples.
 
-Packs are bucketed tables, so that these joins move digests and shared chunks, never whole packs.
+Packs are bucketed tables, so that these joins move digests and shared chunks, never whole packs. The bytes of a
+chunk that very many packs ask for are dealt over several keys. The staged table is dropped; the store stays
+in the catalog, as it is what this module makes.
 
 Defined results: a null text counts as empty; an empty payload is one block of spaces; equal texts
 have equal results; an empty table gives an empty result; a null id is kept.
@@ -37,6 +39,8 @@ UNIT, FILL, TAIL = 192, 32, 16
 LEAST, MOST, MASK_BITS = 256, 8192, 10
 #: Payload bytes of a pack.
 PACK = 1_000_000
+#: Packs that ask for one chunk under one key, about.
+ASKED = 1000
 _GEAR = np.random.default_rng(9_091).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -47,8 +51,9 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def header(n: int) -> bytes:
-    """Of a WAV file of ``n`` 8-bit samples, one channel, 8,000 a second."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", (36 + n) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", n & 0xFFFFFFFF)
+    """Of a WAV file of ``n`` 8-bit samples, one channel, 8,000 a second. A Spark string, and so ``n``, stays
+    below the 4 GiB that the format can state."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", n)
 
 
 def cuts(data: bytes) -> list[int]:
@@ -132,12 +137,12 @@ def packs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """``df`` as a table bucketed by pack, in the shared folder."""
+def bucketed(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
+    """``df`` as a table bucketed by pack, in the shared folder, and the table's name."""
     spark = df.sparkSession
     table = f"logweave_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, "pack").option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table
 
 
 def inflate(data: bytes, sizes: list[int]) -> list[bytes]:
@@ -152,16 +157,16 @@ def inflate(data: bytes, sizes: list[int]) -> list[bytes]:
 
 def build_store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The store: packs with the bytes of the chunks at home in them. ``home`` says for each chunk
-    whether it is, and ``shared`` whether other packs list it too."""
+    whether it is, and ``asked`` over how many keys its bytes are dealt when other packs ask for it (0: none does)."""
     spark = configure(docs.sparkSession)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    staged = bucketed(packs(docs, key, text), "staged", buckets)
+    staged, name = bucketed(packs(docs, key, text), "staged", buckets)
     refs = staged.select("pack", F.posexplode("digests").alias("pos", "digest")).withColumn("place", F.shiftleft("pack", 22) + F.col("pos"))
     homes = refs.groupBy("digest").agg(F.min("place").alias("home_place"), F.count("*").alias("n"))
-    flags = refs.join(homes, "digest").select("pack", F.struct("pos", (F.col("place") == F.col("home_place")).alias("home"), (F.col("n") > 1).alias("shared")).alias("f"))
+    flags = refs.join(homes, "digest").select("pack", F.struct("pos", (F.col("place") == F.col("home_place")).alias("home"), F.when(F.col("n") > 1, F.ceil(F.col("n") / ASKED)).otherwise(0).cast("int").alias("asked")).alias("f"))
     # as many flags as the pack has chunks
     flags = flags.groupBy("pack").agg(F.array_sort(F.collect_list("f")).alias("flags"))
-    schema = StructType([*staged.schema.fields, StructField("home", ArrayType(BooleanType())), StructField("shared", ArrayType(BooleanType()))])
+    schema = StructType([*staged.schema.fields, StructField("home", ArrayType(BooleanType())), StructField("asked", ArrayType(IntegerType()))])
 
     def make():
         import zstandard
@@ -171,50 +176,52 @@ def build_store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         def work(numbers, rows, digests, sizes, data, flags):
             home = [[f["home"] for f in own] for own in flags]
             kept = [d if all(h) else squeeze.compress(b"".join([p for p, k in zip(inflate(d, s), h, strict=True) if k])) for d, s, h in zip(data, sizes, home, strict=True)]
-            return {"pack": numbers, "rows": rows, "digests": digests, "sizes": sizes, "data": kept, "home": home, "shared": [[f["shared"] for f in own] for own in flags]}
+            return {"pack": numbers, "rows": rows, "digests": digests, "sizes": sizes, "data": kept, "home": home, "asked": [[f["asked"] for f in own] for own in flags]}
 
         return work
 
-    store = bucketed(map_rows(staged.join(flags, "pack").select(*staged.columns, "flags"), make, schema), "store", buckets)
-    drop(staged)
+    store, _ = bucketed(map_rows(staged.join(flags, "pack").select(*staged.columns, "flags"), make, schema), "store", buckets)
+    drop(staged, name)
     return store
 
 
-def drop(table: DataFrame) -> None:
+def drop(table: DataFrame, name: str) -> None:
     """Removes a table that this module wrote, and its files."""
     spark = table.sparkSession
     files = table.inputFiles()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     if files:
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-RESULT = fields(n_bytes=LongType(), payload_bytes=LongType(), payload_sha256=StringType(), tail_crc32=LongType(), media_bytes=LongType(), media_sha256=StringType(), feature=StringType(), n_chunks=LongType(), n_foreign=LongType())
+RESULT = fields(n_bytes=LongType(), payload_bytes=LongType(), payload_sha256=StringType(), tail_crc32=LongType(), media_bytes=LongType(), media_sha256=StringType(), feature=StringType(), n_chunks=LongType())
 
 
 def read_store(store: DataFrame) -> DataFrame:
     """A row for each stored payload, put together from its chunks and verified."""
-    shared = fields(digest=BinaryType(), bytes=BinaryType())
+    shared = fields(digest=BinaryType(), deal=IntegerType(), bytes=BinaryType())
 
     def give():
         def work(digests, sizes, data, home, flags):
-            out = {"digest": [], "bytes": []}
+            out = {k: [] for k in shared.names}
             for ds, ns, z, h, f in zip(digests, sizes, data, home, flags, strict=True):
-                if any(a and b for a, b in zip(h, f, strict=True)):
+                if any(a and b for a, b in zip(h, f, strict=True)):  # a home that is asked
                     own = inflate(z, [n for n, k in zip(ns, h, strict=True) if k])
                     at = [k for k, here in enumerate(h) if here]
                     for k, part in zip(at, own, strict=True):
-                        if f[k]:
-                            out["digest"].append(ds[k])
-                            out["bytes"].append(part)
+                        for deal in range(f[k]):
+                            for name, v in zip(shared.names, (ds[k], deal, part), strict=True):
+                                out[name].append(v)
             return out
 
         return work
 
-    lent = map_rows(store.select("digests", "sizes", "data", "home", "shared"), give, shared)
-    asked = store.select("pack", F.posexplode(F.arrays_zip("digests", "home")).alias("pos", "c")).where("not c.home").select("pack", "pos", F.col("c.digests").alias("digest"))
+    lent = map_rows(store.select("digests", "sizes", "data", "home", "asked"), give, shared)
+    asked = store.select("pack", F.posexplode(F.arrays_zip("digests", "home", "asked")).alias("pos", "c")).where("not c.home")
+    asked = asked.select("pack", "pos", F.col("c.digests").alias("digest"), F.pmod("pack", F.col("c.asked")).cast("int").alias("deal"))
     # as many as the pack has chunks
-    got = asked.join(lent, "digest").groupBy("pack").agg(F.collect_list(F.struct("pos", "bytes")).alias("got"))
+    got = asked.join(lent, ["digest", "deal"]).groupBy("pack").agg(F.collect_list(F.struct("pos", "bytes")).alias("got"))
     id_field = store.schema["rows"].dataType.elementType["doc_id"]
     schema = StructType([StructField("doc_id", id_field.dataType), *RESULT.fields])
 
@@ -235,7 +242,7 @@ def read_store(store: DataFrame) -> DataFrame:
                     media = header(len(samples)) + samples
                     found = (
                         r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(),
-                        feature(np.frombuffer(samples, np.uint8)), len(r["chunks"]), sum(not h[k] for k in r["chunks"]),
+                        feature(np.frombuffer(samples, np.uint8)), len(r["chunks"]),
                     )
                     for n, v in zip(schema.names, found, strict=True):
                         out[n].append(v)

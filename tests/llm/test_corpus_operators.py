@@ -308,14 +308,25 @@ def test_media(spark, monkeypatch):
     big = ["".join(rng.choice("abc é") for _ in range(rng.randrange(100, 9000))) for _ in range(12)]
     texts = big + [t[500:] for t in big] + big[:4] + ["", None, "x" * 192, "x" * 193, "é" * 50_000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, n_bytes string").repartition(3)
-    got = media.store_and_read(df).collect()
+    monkeypatch.setattr(media, "ASKED", 2)
+    tables = {t.name for t in spark.catalog.listTables()}
+    store = media.build_store(df)
+    assert len({t.name for t in spark.catalog.listTables()} - tables) == 1
+    got = media.read_store(store).collect()
     assert len(got) == len(texts) + 1
+    assert any(not h for r in store.collect() for h in r.home) and max(a for r in store.collect() for a in r.asked) > 1
+    for r in got:
+        x = np.frombuffer((lambda d: d + b" " * ((-len(d) % 192) or (192 if not d else 0)))((texts[r.doc_id] or "").encode()), np.uint8)
+        plus = [int(v) - 128 for v in x]
+        cross = sum((a >= 0) != (b >= 0) for a, b in zip(plus, plus[1:], strict=False))
+        mode = min(set(x.tolist()), key=lambda v, n=np.bincount(x, minlength=256): (-n[v], v))
+        assert r.feature == f"sum:{sum(plus)};energy:{sum(v * v for v in plus)};crossings:{cross};mode:{mode}"
     for r in got:
         data = (texts[r.doc_id] or "").encode()
         want = data + b" " * ((-len(data) % 192) or (192 if not data else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(want), hashlib.sha256(want).hexdigest())
         assert r.tail_crc32 == __import__("zlib").crc32(want[-16:]) and r.media_bytes == len(want) + 44
-    assert sum(r.n_foreign for r in got) > 0
+    assert media.store_and_read(df.limit(0)).count() == 0
     assert len({(r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
 
 
