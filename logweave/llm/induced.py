@@ -17,7 +17,7 @@ from bisect import bisect_left
 import numpy as np
 
 #: Queue entries kept in memory, and names of starts that are sorted in memory.
-LIMIT, BASE = 2_000_000, 2_000_000
+LIMIT, BASE = 250_000, 2_000_000
 _TOP = b"\xff" * 4
 
 

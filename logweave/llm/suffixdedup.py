@@ -19,9 +19,10 @@ An anchor under which very many fragments meet is dealt by its contexts instead:
 anchor stands at ``lo`` to ``hi`` bytes from their start all hold the same LENGTH - (hi - lo) bytes
 around it, and meet under these. A context with more than HOT different fragments is dealt again
 by fewer offsets and more bytes, down to one offset, where the context is the window itself; so no
-group that is sorted is larger than that. Equal fragments are counted before, and what is decided
-on one is joined to its places.
-Equal texts are counted by their hash and count as repeated where they are at least LENGTH long.
+group that is sorted is larger than that. A fragment that a task meets again is repeated and needs no more:
+its place is given at once, and only a task's first place of each fragment is shuffled. What is decided on a
+fragment is joined to these places, one row for each.
+Equal texts are counted by their SHA-256 and count as repeated where they are at least LENGTH long.
 
 Defined results: a null text counts as empty and has nothing to remove; shorter texts have nothing
 to remove; rows are documents of their own, so that a repeated row repeats its text; a null id is
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import configure, fields, map_rows, sha, stored
 from .induced import repeated_starts
@@ -147,7 +148,8 @@ FRAGMENT = fields(h=LongType(), digest=LongType(), t1=LongType(), t2=LongType(),
 #: A fragment of a hot anchor: the least offset of its windows (the greatest is ``hi``), their context, and the fragment.
 KEY = ("h", "lo", "context", "digest")
 PIECE = fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType(), hi=IntegerType(), place=IntegerType(), data=BinaryType())
-HOT_FRAGMENT = StructType([*PIECE.fields, *fields(t1=LongType(), t2=LongType(), start=LongType()).fields])
+#: A place of one; without place, that its task met it again; without fragment, a range of bytes to remove.
+HOT_FRAGMENT = StructType([*PIECE.fields, *fields(t1=LongType(), t2=LongType(), start=LongType(), end=LongType(), again=BooleanType()).fields])
 LINK = StructType([*HOT_FRAGMENT.fields[:7], *fields(lo0=IntegerType(), context0=LongType(), digest0=LongType(), shift=IntegerType(), many=BooleanType()).fields])
 
 
@@ -176,6 +178,7 @@ def fragments(hot: bool):
     def make():
         sent: set[tuple[int, ...]] = set()
         seen: set[tuple[int, int]] = set()
+        met: dict[tuple[int, ...], bool] = {}
         names = (HOT_FRAGMENT if hot else FRAGMENT).names
 
         def once(held, key):
@@ -201,8 +204,18 @@ def fragments(hot: bool):
                         out.append((h, digest, t1, t2, first, at, data if once(sent, (h, digest)) else None))
                         continue
                     for lo, hi, context, start, near, part in by_context(data, at, 0, LENGTH - GRAM, 2):
-                        digest = digest_of(part, near)
-                        out.append((h, lo, context, digest, hi, near, part if once(sent, (h, lo, context, digest)) else None, t1, t2, first + start))
+                        digest, from_ = digest_of(part, near), first + start
+                        key = (h, lo, context, digest)
+                        if key not in met:
+                            if len(met) > 1_000_000:
+                                met.clear()
+                            met[key] = False
+                            out.append((*key, hi, near, part, t1, t2, from_, None, False))
+                            continue
+                        out.append((*[None] * 7, t1, t2, from_, from_ + len(part), None))
+                        if not met[key]:
+                            met[key] = True
+                            out.append((*key, hi, near, None, None, None, None, None, True))
             return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
 
         return work
@@ -223,7 +236,9 @@ def deeper():
     return work
 
 
-RANGE = fields(t1=LongType(), t2=LongType(), start=LongType(), end=LongType())
+#: Ranges of bytes of a text.
+RANGES = ArrayType(StructType(fields(start=LongType(), end=LongType()).fields))
+RANGE = StructType([*fields(t1=LongType(), t2=LongType()).fields, StructField("ranges", RANGES)])
 
 
 def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -276,7 +291,7 @@ def _given(out: list[tuple], schema: StructType) -> pa.RecordBatch:
 def decided(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Ranges to remove, from fragments sorted by anchor and digest, equal ones with bytes first."""
     out: list[tuple] = []
-    groups = Groups(lambda places, own: out.extend((t1, t2, s + a, s + b) for t1, t2, s in places for a, b in own), most)
+    groups = Groups(lambda places, own: out.extend((t1, t2, [{"start": s + a, "end": s + b} for a, b in own]) for t1, t2, s in places if own), most)
     held: dict[int, tuple] = {}
     key = None
 
@@ -300,13 +315,13 @@ def decided(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     yield _given(out, RANGE)
 
 
-VERDICT = fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType(), a=LongType(), b=LongType())
+VERDICT = StructType([*fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType()).fields, StructField("within", RANGES)])
 
 
 def judged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows of VERDICT: ranges within fragments, from different ones sorted by anchor, offsets and context."""
+    """Rows of VERDICT: a row for each fragment with ranges, from different ones sorted by anchor, offsets and context."""
     out: list[tuple] = []
-    groups = Groups(lambda what, own: out.extend((*what, a, b) for a, b in own), most)
+    groups = Groups(lambda what, own: out.extend([(*what, [{"start": a, "end": b} for a, b in own])] if own else []), most)
     own: list[tuple] = []
     key = None
     for batch in batches:
@@ -327,17 +342,17 @@ def hot_ranges(touched: DataFrame) -> DataFrame:
     group = list(KEY[:3])
     found = touched.where(F.exists("own", lambda a: a["hot"])).select("t1", "t2", "text", "own")
     found = stored(map_rows(found, fragments(True), HOT_FRAGMENT), "hot")
-    places = found.select(*KEY, "t1", "t2", "start")
-    many = (F.min("t1") < F.max("t1")) | (F.min("t2") < F.max("t2")) | (F.min("start") < F.max("start"))
-    pieces = found.groupBy(*KEY, "hi", "place").agg(F.max("data").alias("data"), many.alias("many"))
-    out = None
+    places = found.where("h is not null and t1 is not null").select(*KEY, "t1", "t2", "start")
+    many = F.max("again") | (F.min("t1") < F.max("t1")) | (F.min("t2") < F.max("t2")) | (F.min("start") < F.max("start"))
+    pieces = found.where("h is not null").groupBy(*KEY, "hi", "place").agg(F.max("data").alias("data"), many.alias("many"))
+    out = found.where("h is null").select("t1", "t2", F.array(F.struct("start", "end")).alias("ranges"))
     while True:
         pieces = stored(pieces.select(*PIECE.names, "many"), "pieces")
         large = stored(pieces.groupBy(*group).count().where(F.col("count") > HOT).select(*group), "large")
         rest = pieces.join(large, group, "left_anti").select(*KEY, "place", "data", "many")
         verdicts = rest.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(judged, most=SHARD), VERDICT)
-        spans = verdicts.join(places, list(KEY)).select("t1", "t2", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
-        out = spans if out is None else out.unionByName(spans)
+        moved = F.transform("within", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["end"]).alias("end")))
+        out = out.unionByName(verdicts.join(places, list(KEY)).select("t1", "t2", moved.alias("ranges")))
         if large.isEmpty():
             return out
         links = stored(map_rows(pieces.join(large, group, "left_semi").select(*PIECE.names, "many"), deeper, LINK), "links")
@@ -348,13 +363,18 @@ def hot_ranges(touched: DataFrame) -> DataFrame:
         places = stored(places, "places")
 
 
+def text_key(digest: str) -> list[F.Column]:
+    """120 bits of a SHA-256 as two numbers."""
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for name, at in (("t1", 1), ("t2", 16))]
+
+
 def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, cuts): every row's id, text key (t1, t2), size, digest and copies; and, for each text
     with repeated strings, its bytes and the list of ranges. Rows of equal texts share one key."""
     configure(docs.sparkSession)
     content = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
-    keyed = docs.select(F.col(key).alias("doc_id"), content.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    rows = stored(keyed.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), "texts")
+    keyed = docs.select(F.col(key).alias("doc_id"), content.alias("text")).withColumn("digest", F.sha2("text", 256)).select("doc_id", "text", "digest", *text_key("digest"))
+    rows = stored(keyed.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "texts")
 
     def make():
         seen: set[tuple[int, int]] = set()
@@ -383,7 +403,7 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     touched = stored(long_ones.select("t1", "t2", "text").join(lists, ["t1", "t2"]), "touched")
     frags = map_rows(touched.select("t1", "t2", "text", "own"), fragments(False), FRAGMENT)
     sorted_frags = frags.repartition("h").sortWithinPartitions("h", "digest", F.col("data").isNull())
-    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(touched)).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(touched)).groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     return rows.join(first, ["t1", "t2"]), touched.where("copies = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
 
 
@@ -433,10 +453,9 @@ def strip_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A cut is narrowed to whole characters, so what is left is sound UTF-8.
     """
-    spark = configure(docs.sparkSession)
-    rows, cuts = cut_ranges(docs.withColumn("_row", F.lit(0)), "_row", text)
-    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("t1", "t2").distinct().select("t1", "t2", F.lit("").alias("_left"))
-    schema = fields(t1=LongType(), t2=LongType(), _left=StringType())
+    rows, cuts = cut_ranges(docs.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id")
+    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("t1", "t2").distinct().select("t1", "t2", F.lit("").alias("left"))
+    schema = fields(t1=LongType(), t2=LongType(), left=StringType())
 
     def make():
         def one(data, own):
@@ -450,11 +469,10 @@ def strip_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 at = b
             return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
 
-        return lambda t1s, t2s, texts, lists: {"t1": t1s, "t2": t2s, "_left": list(map(one, texts, lists))}
+        return lambda t1s, t2s, texts, lists: {"t1": t1s, "t2": t2s, "left": list(map(one, texts, lists))}
 
     left = stored(map_rows(cuts.select("t1", "t2", "text", "ranges"), make, schema).unionByName(whole), "stripped")
-    assert spark is not None
-    content = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    keyed = docs.withColumn("_t1", F.xxhash64(content)).withColumn("_t2", F.xxhash64(F.lit(1), content))
-    joined = keyed.join(left.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), ["_t1", "_t2"], "left")
-    return joined.select(*(F.coalesce("_left", text).alias(c) if c == text else F.col(c) for c in docs.columns))
+    # the caller's columns stay apart in one
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256).alias("digest"))
+    joined = keyed.select("row", *text_key("digest")).join(left, ["t1", "t2"], "left")
+    return joined.select(*(F.coalesce("left", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -81,7 +81,7 @@ def passages(seed=4):
 
 def test_suffix_dedup(spark, monkeypatch):
     texts = passages() + [None, None]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, left string").selectExpr("*", "1 as t1", "'y' as _row", "0 as `a.b`")
     data = [(t or "").encode() for t in texts]
     gone = brute_removed(data)
     for hot in (suffixdedup.HOT, 3):
@@ -94,6 +94,7 @@ def test_suffix_dedup(spark, monkeypatch):
             spans = int((np.diff(np.r_[0, g.astype(int)]) == 1).sum())
             assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(d), int(g.sum()), spans), i
             assert got[i].kept_sha256 == hashlib.sha256(left).hexdigest()
+    assert suffixdedup.strip_repeats(df).columns == df.columns and suffixdedup.strip_repeats(df).where("left = 'x' and t1 = 1").count() == len(texts)
     left = {r.doc_id: r.text for r in suffixdedup.strip_repeats(df).collect()}
     assert left[len(texts) - 1] is None and left[3] == "" and left[63] == "a" * 199
     assert all(left[i] == texts[i] for i, g in enumerate(gone) if not g.any() and texts[i])
