@@ -1,9 +1,9 @@
 """Lines of any known format to events of one schema, as column expressions.
 
-A line is claimed by the first rule whose text and pattern it has; the claim is one CASE, and one
-replacement with the claimed rule's pattern gives all its groups, so that a line's pattern runs twice,
-however many fields there are. No step has state or moves rows: the
-same expressions serve batch and streams.
+A line is claimed by the first rule whose text and pattern it has. The claim is one CASE, and each branch
+replaces the line with the groups of its rule: every pattern is a literal, compiled once, and a line's own
+runs twice, however many fields there are. No step has state or moves rows: the same expressions
+serve batch and streams.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logweave.schema import SEVERITY_SCORES
 
-from .rules import ALIASES, ISO, JSON_RULES, LEVELS, RULES
+from .rules import ALIASES, BAD_STATES, FACILITIES, FIELDS, ISO, JSON_RULES, LEVELS, REDIS_MARKS, REDIS_ROLES, RULES, SD_SOURCES, TAGS
 
 FALLBACK = "generic_fallback"
 RAW_CAP = 32_768
@@ -104,12 +104,28 @@ def timestamp(text: Column, as_of: str) -> Column:
     return F.coalesce(*tries)
 
 
+_CUT = "\x01"
+
+
+def pairs_cover(line: Column) -> Column:
+    """Whether ``key=value`` pairs are three quarters of a line."""
+    pair = r"[A-Za-z_][\w.\-]*=(?:\"(?:[^\"\\]++|\\.)*+\"|\S*)"
+    return F.length(F.regexp_replace(line, pair, "")) <= 0.25 * F.length(line)
+
+
 def claim(line: Column) -> Column:
-    """The number of the first rule that a line belongs to, from 1, or null."""
-    return reduce(lambda c, kr: c.when(line.contains(kr[1].holds) & line.rlike(kr[1].pattern), kr[0] + 1), enumerate(RULES), F)
+    """The number of the first rule that a line belongs to, from 1, and its groups; or null."""
 
+    def one(k: int, r) -> tuple[Column, Column]:
+        holds = line.contains(r.holds) & line.rlike(r.pattern)
+        if r.name == "logfmt":
+            holds &= pairs_cover(line)
+        n = len(r.groups.split(","))
+        whole = r.pattern if r.pattern.endswith("$") else rf"{r.pattern}[\s\S]*$"
+        shown = _CUT.join([str(k), *(f"${g}" for g in range(1, n + 1))])
+        return holds, F.split(F.regexp_replace(line, whole, shown), _CUT, n + 1)
 
-_CUT = "\x01"
+    return reduce(lambda c, kr: c.when(*one(kr[0] + 1, kr[1])), enumerate(RULES), F)
 
 
 def _of_rule(values: list) -> Column:
@@ -117,116 +133,223 @@ def _of_rule(values: list) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.col("_rule") - 1)
 
 
-def _parts() -> Column:
-    """All groups of the claimed rule, by one replacement of the line with them: the pattern, which
-    changes from row to row, is compiled once for a row and not once for each field."""
-    whole = [r.pattern if r.pattern.startswith("^") else rf"^[\s\S]*?(?:{r.pattern})" for r in RULES]
-    count = [len(r.groups.split(",")) for r in RULES]
-    shown = [_CUT.join(f"${k + 1}" for k in range(n)) for n in count]
-    return F.split(F.call_function("regexp_replace", F.col("_line"), _of_rule(whole), _of_rule(shown)), _CUT, _of_rule(count))
-
-
 def _group(name: str) -> Column:
     """The group of the claimed rule that holds ``name``, or null."""
-    at = _of_rule([g.index(name) if name in (g := r.groups.split(",")) else None for r in RULES])
+    at = _of_rule([g.index(name) + 1 if name in (g := r.groups.split(",")) else None for r in RULES])
     return F.when(at.isNotNull(), empty_as_null(F.get(F.col("_found_parts"), at)))
 
 
+def _named() -> Column:
+    """The claimed rule's groups that are no fields, by name."""
+    names = F.get(F.array(*(F.array(*(F.lit(None if g in FIELDS else g) for g in ["", *r.groups.split(",")])) for r in RULES)), F.col("_rule") - 1)
+    pairs = F.zip_with(names, "_found_parts", lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda e: e["key"].isNotNull() & (e["key"] != "") & (F.trim(e["value"]) != "") & (e["value"] != "-")))
+
+
+def _said() -> Column:
+    """The message that the claimed rule makes of its groups, or null."""
+    import re
+
+    def made(template: str) -> Column:
+        parts = [F.coalesce(_group(x[1:-1]), F.lit("")) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", template) if x]
+        return F.concat(*parts)
+
+    templates: dict[str, list[int]] = {}
+    for k, r in enumerate(RULES):
+        if r.says:
+            templates.setdefault(r.says, []).append(k + 1)
+    return reduce(lambda c, tk: c.when(F.col("_rule").isin(tk[1]), made(tk[0])), templates.items(), F)
+
+
+def sections(text: Column) -> Column:
+    """Blocks of ``Section:`` lines with tab-indented ``key: value`` lines, as section.key."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    heading = lambda x: F.regexp_extract(x, r"^([A-Z][\w \-/]*?)\s*:\s*$", 1)
+    key = lambda x: F.regexp_extract(x, r"^\t+([A-Za-z][\w /()\\\-]*?)\s*:\s*(.*)$", 1)
+
+    def step(acc: Column, x: Column) -> Column:
+        entry = F.struct(F.concat_ws(".", acc["section"], key(x)).alias("key"), F.trim(F.regexp_extract(x, r"^\t+[A-Za-z][\w /()\\\-]*?\s*:\s*(.*)$", 1)).alias("value"))
+        return F.struct(
+            F.when(heading(x) != "", heading(x)).otherwise(acc["section"]).alias("section"),
+            F.when((heading(x) == "") & (key(x) != ""), F.concat(acc["entries"], F.array(entry))).otherwise(acc["entries"]).alias("entries"),
+        )
+
+    found = F.aggregate(F.split(text, "\r?\n"), F.struct(F.lit("General").alias("section"), none.alias("entries")), step)
+    return to_map(found["entries"])
+
+
+def flattened(text: Column, cut: int = 300, depth: int = 3) -> Column:
+    """A JSON object's values by their paths, of ``depth`` names at most; scalar lists are joined."""
+    level = F.map_entries(F.from_json(text, "map<string,string>"))
+    out = F.array().cast("array<struct<key:string,value:string>>")
+    for k in range(depth):
+        plain = F.filter(level, lambda e: e["value"].isNotNull() & ~F.ltrim(e["value"]).startswith("{"))
+        lists = lambda v: F.from_json(v, "array<string>")
+        value = lambda v: F.when(~F.ltrim(v).startswith("["), v).when(F.size(lists(v)) > 0, F.when(~F.exists(lists(v), lambda x: F.substring(F.ltrim(x), 1, 1).isin("{", "[")), F.array_join(lists(v), ", ")))
+        here = F.transform(plain, lambda e: F.struct(e["key"].alias("key"), F.substring(value(e["value"]), 1, cut).alias("value")))
+        out = F.concat(out, F.filter(here, lambda e: e["value"].isNotNull()))
+        if k < depth - 1:
+            deep = F.filter(level, lambda e: F.ltrim(e["value"]).startswith("{"))
+            level = F.flatten(F.transform(deep, lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value")))))
+    return to_map(out)
+
+
+MINIO = "api struct<name:string,bucket:string,object:string,status:string,statusCode:int>, time string, trigger string, remotehost string, requestID string, userAgent string, accessKey string, parentUser string"
+
+
+def minio(text: Column) -> Column:
+    """An access record written as a Python literal."""
+    words = (("None", "null"), ("True", "true"), ("False", "false"))
+    return F.from_json(reduce(lambda t, w: F.regexp_replace(t, rf"(?<=[:,\[]\s?){w[0]}\b", w[1]), words, text), MINIO)
+
+
+def tagged(text: Column) -> Column:
+    """``key: value`` and ``key=value`` tags between semicolons or commas."""
+    pair = r"(\w[\w-]*)\s*[:=]\s*([^;,\]]+)"
+    keys, values = (F.regexp_extract_all(text, F.lit(pair), F.lit(g)) for g in (1, 2))
+    return to_map(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.trim(v).alias("value"))))
+
+
+def with_own(bag: Column, own: Column) -> Column:
+    """Both maps as one; of equal keys the entry of ``own``."""
+    return F.map_concat(F.map_filter(bag, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
 def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     """Events of the lines in ``text``; other columns of ``raw`` are kept.
 
-    A null or empty line is an event of the fallback format with an empty message.
+    A null or empty line is an event of the fallback format with an empty message. ``raw_message`` is the whole
+    line; ``capped`` cuts it for a store.
     """
-    keep = [c for c in raw.columns if c != text]
+    keep, c, empty = [x for x in raw.columns if x != text], F.col, F.create_map().cast("map<string,string>")
     line = F.coalesce(F.col(text), F.lit(""))
     is_json = F.trim(line).startswith("{") & F.trim(line).endswith("}")
     df = raw.select(*keep, line.alias("raw_message"), F.trim(line).alias("_line"), is_json.alias("_json"))
-    df = df.withColumn("_rule", F.when(~F.col("_json"), claim(F.col("_line"))))
-    df = df.withColumn("_found_parts", F.when(F.col("_rule").isNotNull(), _parts()))
-    df = df.select(*keep, "raw_message", "_line", "_json", "_rule", *(_group(n).alias(f"g_{n}") for n in _NAMES))
+    df = df.withColumn("_found_parts", F.when(~c("_json"), claim(c("_line"))))
+    df = df.withColumn("_rule", c("_found_parts")[0].try_cast("int"))
+    df = df.select(*keep, "raw_message", "_line", "_json", "_rule", *(_group(n).alias(f"g_{n}") for n in _NAMES), F.coalesce(_named(), empty).alias("_own"), _said().alias("_said"))
 
     # JSON records: a rule by the paths it needs, else by aliases of keys
     path = lambda p: F.get_json_object("_line", f"$.{p}")
     needs = lambda r: reduce(lambda a, b: a & b, (path(p).isNotNull() for p in r[2]))
-    json_rule = reduce(lambda c, kr: c.when(needs(kr[1]), kr[0] + 1), enumerate(JSON_RULES), F)
-    df = df.withColumn("_jrule", F.when(F.col("_json"), F.coalesce(json_rule, F.lit(0))))
-    flat = F.transform_keys(F.coalesce(F.from_json("_line", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(F.replace(k, F.lit("-"), F.lit("_"))))
-    df = df.withColumn("_flat", F.when(F.col("_json"), flat))
+    json_rule = reduce(lambda acc, kr: acc.when(needs(kr[1]), kr[0] + 1), enumerate(JSON_RULES), F)
+    df = df.withColumn("_jrule", F.when(c("_json"), F.coalesce(json_rule, F.lit(0))))
+    flat = F.transform_keys(F.coalesce(F.from_json("_line", "map<string,string>"), empty), lambda k, v: F.lower(F.replace(k, F.lit("-"), F.lit("_"))))
+    df = df.withColumn("_flat", F.when(c("_json"), flat))
 
     def of_json(field: str) -> Column:
-        named = reduce(lambda c, kr: c.when(F.col("_jrule") == kr[0] + 1, path(kr[1][3][field])), ((k, r) for k, r in enumerate(JSON_RULES) if field in r[3]), F) if any(field in r[3] for r in JSON_RULES) else F.lit(None).cast("string")
+        at = [(k + 1, r[3][field]) for k, r in enumerate(JSON_RULES) if field in r[3]]
+        named = reduce(lambda acc, kp: acc.when(c("_jrule") == kp[0], path(kp[1])), at, F) if at else F.lit(None).cast("string")
         plain = F.coalesce(*(F.try_element_at("_flat", F.lit(k)) for k in ALIASES.get(field, ()))) if field in ALIASES else F.lit(None).cast("string")
-        return F.when(F.col("_jrule") > 0, named).when(F.col("_jrule") == 0, plain)
+        return F.when(c("_jrule") > 0, named).when(c("_jrule") == 0, plain)
 
-    # Attributes from the rule's bag, extension, or the body
-    c = F.col
-    name = F.get(F.array(*(F.lit(r.name) for r in RULES)), c("_rule") - 1)
+    # Attributes from the rule's groups, bag, extension, or the body
+    name = _of_rule([r.name for r in RULES])
+    source_of_rule = _of_rule([r.source for r in RULES])
     named_json = F.get(F.array(F.lit("json"), *(F.lit(r[0]) for r in JSON_RULES)), c("_jrule"))
-    df = df.withColumn("matched_format", F.coalesce(name, named_json, F.lit(FALLBACK))).withColumn("extension", c("g_extension"))
-    bag = F.when(c("matched_format") == "cef", extension(c("extension"))).when(c("matched_format") == "leef", leef_extension(c("extension"))).when(c("_json"), c("_flat")).otherwise(kv_bag(F.coalesce("g_kv", "g_message", "_line")))
-    df = df.withColumn("attributes", F.coalesce(bag, F.create_map().cast("map<string,string>")))
+    df = df.withColumn("matched_format", F.coalesce(name, named_json, F.lit(FALLBACK))).withColumn("_source", source_of_rule)
+    form = c("matched_format")
+    lost = form == FALLBACK
+    binary = lost & (printable_share(c("_line")) < 0.85)
+    bag = (
+        F.when(form == "cef", extension(c("g_extension"))).when(form == "leef", leef_extension(c("g_extension"))).when(c("_jrule") > 0, flattened(c("_line"))).when(c("_json"), c("_flat"))
+        .when(binary, F.create_map(F.lit("binary_content"), F.lit("true"))).when(form == "windows_security_event", with_own(sections(c("g_message")), kv_bag(c("g_kv"))))
+        .when(c("g_tags").isNotNull(), tagged(c("g_tags"))).otherwise(kv_bag(F.coalesce("g_kv", "g_message", F.when(c("_said").isNull(), c("_line")), F.lit(""))))
+    )
+    pri = F.when(c("g_pri").isNotNull(), F.map_filter(F.create_map(F.lit("syslog_priority"), c("g_pri"), F.lit("syslog_facility"), F.get(F.array(*map(F.lit, FACILITIES)), F.floor(c("g_pri").try_cast("int") / 8).cast("int"))), lambda k, v: v.isNotNull()))
+    sd = F.when(c("g_sdid").isNotNull(), F.create_map(F.lit("sdid"), c("g_sdid")))
+    df = df.withColumn("attributes", with_own(F.coalesce(bag, empty), with_own(c("_own"), F.coalesce(pri, sd, empty))))
     attribute = lambda *keys: F.coalesce(*(empty_as_null(F.try_element_at("attributes", F.lit(k))) for k in keys))
-    in_kv = c("matched_format").isin("fortinet_kv", "sophos_kv", "logfmt", "cef", "leef", "aria_automation_springboot", FALLBACK)
-    of_kv = lambda *keys: F.when(in_kv, attribute(*keys))
-
-    # A host in the slot after a time, or a full name
-    slot = empty_as_null(F.regexp_extract("_line", r"^(?:<\d+>)?" + ISO + r"\s+([A-Za-z][\w.\-]*\d[\w.\-]*|[\w\-]+(?:\.[\w\-]+)+)\s", 2))
-    full = empty_as_null(F.regexp_extract("_line", r"\b([a-zA-Z][\w\-]*(?:\.[\w\-]+){2,})\b", 1))
-    bare = empty_as_null(F.regexp_extract("_line", r"(?:^|\s)([A-Za-z][\w./\-]*)\[\d+\]:", 1))
-    lost = c("matched_format") == FALLBACK
-    host = F.coalesce("g_host", of_json("host"), of_kv("host", "hostname", "devname", "device_name", "dvchost", "dhost"), F.when(lost, F.coalesce(slot, full)))
-    process = F.coalesce("g_process", of_json("process"), of_kv("app", "process", "service", "program"), F.when(lost, bare))
-    when = F.coalesce("g_timestamp", "g_timestamp2", of_json("timestamp"), of_kv("rt", "devTime", "eventtime", "ts", "time_stamp", "timestamp"), F.when(c("matched_format") == "fortinet_kv", F.concat_ws(" ", attribute("date"), attribute("time"))), of_kv("time"), F.when(lost, empty_as_null(F.regexp_extract("_line", ISO, 1))))
-    component = F.coalesce("g_component", of_json("component"), "g_logger", attribute("subcomp", "comp", "sub", "component"))
-    body = F.coalesce("g_message", of_json("message"), of_kv("msg", "message"))
+    of_kv = lambda *keys: F.when(form.isin("fortinet_kv", "sophos_kv", "logfmt", "cef", "leef", "aria_automation_springboot", FALLBACK), attribute(*keys))
+    of_appliance = lambda *keys: F.when(form.isin("fortinet_kv", "sophos_kv"), attribute(*keys))
+    df = df.withColumn("_binary", binary).withColumn("_minio", F.when(c("g_minio").isNotNull(), minio(c("g_minio"))))
+
+    # A host in the slot after a time, or a full name; none is guessed from binary
+    guess_from = F.when(lost & ~c("_binary"), c("_line"))
+    slot = empty_as_null(F.regexp_extract(guess_from, r"^(?:<\d+>)?" + ISO + r"\s+([A-Za-z][\w.\-]*\d[\w.\-]*|[\w\-]+(?:\.[\w\-]+)+)\s", 2))
+    full = empty_as_null(F.regexp_extract(guess_from, r"\b([a-zA-Z][\w\-]*(?:\.[\w\-]+){2,})\b", 1))
+    bare = empty_as_null(F.regexp_extract(guess_from, r"(?:^|\s)([A-Za-z][\w./\-]*)\[\d+\]:", 1))
+    given = lambda x: F.when(F.col(x) != "-", F.col(x))
+    host = F.coalesce(given("g_host"), of_json("host"), of_kv("host", "hostname", "devname", "device_name", "dvchost", "dhost", "devid", "device"), slot, full)
+    of_process = F.coalesce(of_appliance("log_component", "log_type", "type"), F.when(form == "logfmt", attribute("app", "component", "process", "service", "program", "namespace")), of_kv("app", "process", "service", "program"))
+    process = F.coalesce(given("g_process"), of_json("process"), of_process, _of_rule([r.process for r in RULES]), bare)
+    two = F.when(form.isin("fortinet_kv", "sophos_kv") & attribute("date").isNotNull() & attribute("time").isNotNull(), F.concat_ws(" ", attribute("date"), attribute("time")))
+    stated = of_kv("rt", "devTime", "eventtime", "ts", "time_stamp", "timestamp", "at")
+    when = F.coalesce(given("g_timestamp"), of_json("timestamp"), c("_minio.time"), stated, two, of_kv("time"), F.when(lost, empty_as_null(F.regexp_extract("_line", ISO, 1))))
+    of_component = F.coalesce(of_appliance("log_subtype", "subtype", "log_type", "type"), F.when(form == "windows_security_event", attribute("task")), F.when(form == "horizon_view_audit", attribute("Module")))
+    component = F.coalesce(given("g_component"), of_json("component"), of_component, "g_logger", attribute("subcomp", "comp", "sub", "component"), _of_rule([r.component for r in RULES]))
+    api = lambda f: F.coalesce(c(f"_minio.api.{f}"), F.lit(""))
+    stored = F.when(c("_minio").isNotNull(), F.concat(api("name"), F.lit(" "), F.coalesce("_minio.trigger", F.lit("")), F.lit(" "), api("bucket"), F.lit("/"), api("object"), F.lit(" -> "), api("status")))
+    body = F.coalesce("_said", stored, "g_message", of_json("message"), of_kv("msg", "message", "logdesc", "event"))
     kept = F.map_filter("attributes", lambda k, v: F.length(v) > 0)
     composed = F.array_join(F.slice(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), 1, 12), " ")  # P5
     message = F.coalesce(empty_as_null(clean(body)), F.when(c("_json"), empty_as_null(composed)), empty_as_null(clean(c("_line"))), F.substring("raw_message", 1, 500))
-    df = df.withColumn("_host", host).withColumn("_process", process).withColumn("_when", when).withColumn("_component", component).withColumn("message", message)
+    df = df.withColumns({"_host": host, "_process": process, "_when": when, "_component": component, "message": message})
 
     # Severity by a level word, a status, a code, or a word of the text
     text_word = F.upper(F.regexp_extract("message", r"(?i)\b(FATAL|CRITICAL|ERROR|FAILED|FAILURE|FAULT|EXCEPTION|TIMED OUT|TIMEOUT|WARNING|WARN)\b", 1))
     guess = F.when(text_word.isin("FATAL", "CRITICAL"), text_word).when(text_word.isin("WARNING", "WARN", "TIMED OUT", "TIMEOUT"), "WARNING").when(text_word != "", "ERROR")
-    level = _map(LEVELS, F.upper(F.trim(F.coalesce("g_level", of_json("level"), attribute("level", "severity", "lvl")))))
-    status = F.coalesce("g_http_status", of_json("http_status")).try_cast("int")
+    level = _map(LEVELS, F.upper(F.trim(F.coalesce("g_level", of_json("level"), attribute("level", "severity", "lvl", "Severity")))))
+    status = F.coalesce(c("g_http_status").try_cast("int"), of_json("http_status").try_cast("int"), c("_minio.api.statusCode"))
     http = F.when(status.isNotNull(), F.when(status >= 500, "ERROR").when(status >= 400, "WARNING").when(status == 0, "WARNING").otherwise("INFO"))
-    pri = c("g_pri").try_cast("int")
-    syslog = F.when(pri.between(0, 191), F.get(F.array(*map(F.lit, _SYSLOG)), (pri % 8).cast("int")))  # P20
-    mnemonic = F.get(F.array(*map(F.lit, _SYSLOG)), F.regexp_extract("g_component", r"^%\w+-(\d)-", 1).try_cast("int"))
-    constant = F.get(F.array(*(F.lit(r.severity if r.severity.isupper() else None) for r in RULES)), c("_rule") - 1)
+    code = lambda x: F.get(F.array(*map(F.lit, _SYSLOG)), x)
+    number = c("g_pri").try_cast("int")
+    syslog = F.when(number.between(0, 191), code((number % 8).cast("int")))  # P20
+    mnemonic = code(c("g_cisco_severity").try_cast("int"))
+    constant = _of_rule([r.severity or None for r in RULES])
     rcode = F.when(c("g_rcode").isNotNull(), F.when(c("g_rcode") == "NOERROR", "INFO").otherwise("WARNING"))
     result = F.upper(of_json("result"))
     verdict = F.when(result.isin("DENY", "DENIED", "FRAUD"), "ERROR").when(result.isin("FAILURE", "FAILED"), "WARNING")
-    code = F.when(of_json("error_code").isNotNull(), F.when(of_json("error_code").contains("AccessDenied"), "WARNING").otherwise("ERROR"))
+    refused = F.when(of_json("error_code").isNotNull(), F.when(of_json("error_code").rlike("(?i)AccessDenied|Unauthorized|Forbidden"), "WARNING").otherwise("ERROR"))
     cef = _map(_CEF_WORDS, F.trim("g_cef_severity"))
-    found = F.coalesce(cef, level, mnemonic, http, syslog, rcode, verdict, code, constant)
-    action = F.when(F.lower(attribute("action", "act", "request_status")).isin("deny", "denied", "blocked", "drop"), "WARNING")
-    df = df.withColumn("_found", found).withColumn("severity", F.coalesce("_found", action, guess, F.lit("INFO"))).withColumn("http_status", status)
-    ts = timestamp(c("_when"), as_of)
-    df = df.withColumn("event_ts", ts)
+    succeeded = F.lower(F.coalesce(attribute("keywords"), F.lit(""))).contains("success")
+    windows = F.when(form == "windows_security_event", F.when(c("_source") == "WindowsEventLog", F.when(F.lower("g_process").contains("error"), "ERROR").when(~F.exists(F.map_keys("attributes"), lambda k: k.contains(".")), "WARNING")).otherwise(F.lit(None)))
+    windows = F.coalesce(windows, F.when(form == "windows_security_event", F.when(succeeded, "NOTICE").otherwise("WARNING")))
+    armor = F.upper(attribute("apparmor"))
+    audit = F.when((c("_source") == "LinuxAudit") & c("g_audit_epoch").isNotNull(), F.when(armor.isin("DENIED", "AUDIT"), "WARNING").when(armor == "ALLOWED", "INFO").when(guess.isNotNull(), guess).when(attribute("res") != "success", "WARNING").otherwise("INFO"))
+    redis = F.when(c("g_redis_mark").isNotNull(), F.coalesce(guess, _map(REDIS_MARKS, c("g_redis_mark"))))
+    zeek = F.when(c("g_conn_state").isin(*BAD_STATES), "WARNING")
+    view = F.when(form == "horizon_view_audit", F.when(F.upper(attribute("Severity")).rlike("FAILURE|ERROR"), "ERROR").when(F.upper(attribute("Severity")).contains("WARN"), "WARNING").when(attribute("Severity").isNotNull(), "INFO"))
+    action = F.when(F.lower(attribute("action", "act", "request_status", "status")).isin("deny", "denied", "blocked", "drop", "dropped"), "WARNING")
+    sophos = F.when(form == "sophos_kv", action)
+    found = F.coalesce(cef, windows, audit, redis, zeek, view, sophos, mnemonic, level, http, syslog, rcode, verdict, refused, constant)
+    found = F.when(~c("_binary"), found)
+    df = df.withColumns({"_found": found, "severity": F.when(c("_binary"), "INFO").otherwise(F.coalesce(found, action, guess, F.lit("INFO"))), "http_status": status})
+    df = df.withColumn("event_ts", timestamp(c("_when"), as_of))
 
-    source = F.get(F.array(*(F.lit(r.source) for r in RULES)), c("_rule") - 1)
     json_source = F.when(c("_jrule") > 0, F.get(F.array(F.lit(""), *(F.lit(r[1]) for r in JSON_RULES)), c("_jrule"))).when(c("_jrule") == 0, of_json("source_type"))
-    cisco = F.when((c("matched_format") == "pri_syslog") & c("g_component").rlike(r"^%\w+-\d-"), "Cisco")
-    known = F.coalesce(cisco, source, json_source)
+    tag = reduce(lambda acc, t: acc.when(c("g_process").rlike(f"(?i){t[0]}"), t[1]), TAGS, F)
+    special = F.coalesce(
+        _map(SD_SOURCES, c("g_sdid")), F.when(c("_source") == "NetworkDevice", tag), F.when(form == "sophos_kv", attribute("device")),
+        F.when((form == "fortinet_kv") & attribute("devname", "devid").isNull(), "NetworkDevice"),
+    )
+    known = F.coalesce(special, "_source", json_source)
     stamp = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    iso = F.coalesce(stamp, c("_when"), F.lit(f"{as_of}T00:00:00.000000Z"))
-    host, process = F.coalesce("_host", F.lit("unknown-host")), F.coalesce("_process", F.lit("unknown-process"))
+    df = df.withColumns({"_known": known, "_stamp": stamp})
+    iso = F.coalesce("_stamp", "_when", F.lit(f"{as_of}T00:00:00.000000Z"))
     day = empty_as_null(F.regexp_extract(iso, r"^(\d{4}-\d{2}-\d{2})", 1))
-    confidence = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in ((c("_when"), 0.25), (c("_host"), 0.2), (known, 0.25), (c("_process"), 0.15), (c("_found"), 0.15))), F.lit(0.0))
-    identity = F.concat_ws("|", F.coalesce(stamp, c("_when"), F.lit("no-time")), host, process, "_line")
+    host, process = F.coalesce("_host", F.lit("unknown-host")), F.coalesce("_process", F.lit("unknown-process"))
+    confidence = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in ((c("_when"), 0.25), (c("_host"), 0.2), (c("_known"), 0.25), (c("_process"), 0.15), (c("_found"), 0.15))), F.lit(0.0))
+    identity = F.concat_ws("|", F.coalesce("_stamp", "_when", F.lit("no-time")), host, process, "_line")
+    component = F.coalesce(F.when(c("g_redis_role").isNotNull(), _map(REDIS_ROLES, c("g_redis_role"))), F.when(F.map_contains_key("attributes", F.lit("apparmor")), F.lit("apparmor")), "_component", process)
+    source = F.coalesce("_known", F.lit("Unknown"))
     return df.select(
         *keep, F.concat(F.lit("log-"), F.substring(F.md5(identity), 1, 16)).alias("id"), iso.alias("timestamp"), F.when(c("_when").isNotNull(), "event").otherwise("ingest").alias("timestamp_source"),
         F.coalesce(F.abs(F.datediff(F.lit(as_of).cast("date"), c("event_ts").cast("date"))) > 730, F.lit(False)).alias("timestamp_anomalous"), day.alias("day"), host.alias("hostname"),
-        F.coalesce(known, F.lit("Unknown")).alias("source_type"), process.alias("process"), F.coalesce("g_pid", of_json("pid")).try_cast("int").alias("pid"), F.coalesce("_component", process).alias("component"),
+        source.alias("source_type"), process.alias("process"), F.coalesce("g_pid", of_json("pid")).try_cast("int").alias("pid"), component.alias("component"),
         "severity", F.coalesce(_map(SEVERITY_SCORES, c("severity")), F.lit(6)).alias("severity_score"), "message",
-        F.concat(F.lit("["), F.coalesce(known, F.lit("Unknown")), F.lit("] "), host, F.lit("/"), process, F.lit(": "), F.substring("message", 1, 200)).alias("normalized_message"),
+        F.concat(F.lit("["), source, F.lit("] "), host, F.lit("/"), process, F.lit(": "), F.substring("message", 1, 200)).alias("normalized_message"),
         "attributes", F.coalesce("g_http_method", of_json("http_method")).alias("http_method"), "http_status", F.round(confidence, 2).alias("confidence"), "matched_format",
-        F.substring("raw_message", 1, RAW_CAP).alias("raw_message"), F.sha2(F.encode("raw_message", "UTF-8"), 256).alias("raw_hash"), F.when(F.length("raw_message") > RAW_CAP, True).alias("raw_truncated"),
-        F.when(F.length("raw_message") > RAW_CAP, F.length("raw_message")).alias("raw_length"), "event_ts",
+        "raw_message", F.sha2(F.encode("raw_message", "UTF-8"), 256).alias("raw_hash"), F.lit(None).cast("boolean").alias("raw_truncated"), F.lit(None).cast("int").alias("raw_length"), "event_ts",
     )
 
 
+def capped(events: DataFrame, most: int = RAW_CAP) -> DataFrame:
+    """Events for a store with a bound on a line's length; what is cut is told, and the hash stays that of all."""
+    longer = F.length("raw_message") > most
+    return events.withColumns({"raw_message": F.substring("raw_message", 1, most), "raw_truncated": F.when(longer, True), "raw_length": F.when(longer, F.length("raw_message"))})
+
+
 def printable_share(text: Column) -> Column:
     """The share of printable letters in the first 400; below 0.85 a line counts as binary."""
     head = F.substring(text, 1, 400)

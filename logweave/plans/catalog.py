@@ -13,6 +13,7 @@ from logweave.operators import anomalies, entities, exports, filters, graph, ins
 from logweave.operators.filters import LogFilter
 
 from . import logview as V
+from . import shapes
 from .logview import SQL_EVENTS, SQL_GRAPH, SQL_MENTIONS, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,7 +210,7 @@ _LINE = "substr(message, 1, 120)"
 query("x1_ndjson", lambda log: exports.ndjson(log, raw=False).select("id", F.get_json_object("value", "$.hostname").alias("hostname"), F.get_json_object("value", "$.message").alias("message"), F.get_json_object("value", "$.severity_score").cast("int").alias("severity_score")), "SELECT id, hostname, message, severity_score FROM log")
 query("x2_ecs", lambda log: exports.ecs(log).select("id", F.get_json_object("value", "$.host.name").alias("host"), F.get_json_object("value", "$.event.original").alias("original"), F.get_json_object("value", "$.log.level").alias("level"), F.get_json_object("value", "$.ecs.version").alias("version")), "SELECT id, hostname AS host, raw_message AS original, severity AS level, '8.11.0' AS version FROM log")
 query("x3_ocsf", lambda log: exports.with_ocsf(_with_attributes(log)).select("id", "class_uid", "activity_id", "type_uid", "status_id", "severity_id"), "SELECT id, c AS class_uid, a AS activity_id, c * 100 + a AS type_uid, s AS status_id, CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'ERROR' THEN 4 WHEN 'WARNING' THEN 3 WHEN 'NOTICE' THEN 2 ELSE 1 END AS severity_id FROM (SELECT *, CASE k % 5 WHEN 0 THEN 3002 WHEN 1 THEN 4001 ELSE 1008 END AS c, CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 0 END AS a, CASE WHEN k % 5 < 2 THEN 2 END AS s FROM log)")
-query("x4_ocsf_documents", lambda log: exports.ocsf(_with_attributes(log)).select("id", F.get_json_object("value", "$.type_uid").cast("int").alias("type_uid"), F.get_json_object("value", "$.src_endpoint.ip").alias("ip"), F.get_json_object("value", "$.user.name").alias("user_name"), F.get_json_object("value", "$.time").cast("long").alias("time")), "SELECT id, CASE k % 5 WHEN 0 THEN 300201 WHEN 1 THEN 400106 ELSE 100800 END AS type_uid, CASE WHEN k % 5 = 1 THEN '10.0.' || (event_id % 250) || '.1' END AS ip, CASE WHEN k % 5 = 0 THEN user_name END AS user_name, epoch_ms(ts) AS time FROM log")
+query("x4_ocsf_documents", lambda log: exports.ocsf(_with_attributes(log)).select("id", F.get_json_object("value", "$.type_uid").cast("int").alias("type_uid"), F.get_json_object("value", "$.src_endpoint.ip").alias("ip"), F.get_json_object("value", "$.user.name").alias("user_name"), F.get_json_object("value", "$.time").cast("long").alias("time")), "SELECT id, CASE k % 5 WHEN 0 THEN 300201 WHEN 1 THEN 400106 ELSE 100800 END AS type_uid, CASE WHEN k % 5 = 1 THEN '10.0.' || (event_id % 250) || '.1' END AS ip, CASE WHEN k % 5 = 0 THEN user_name END AS user_name, epoch_us(ts) // 1000 AS time FROM log")
 query("x5_cef", lambda log: exports.cef(log, raw=False), f"""SELECT id, 'CEF:0|logweave|Event export|1.0|' || matched_format || '|' || {_LINE} || '|' || CASE severity_score WHEN 2 THEN 9 WHEN 3 THEN 7 WHEN 4 THEN 5 WHEN 5 THEN 4 WHEN 6 THEN 3 ELSE 1 END || '|rt=' || timestamp || ' dvchost=' || hostname || ' deviceProcessName=' || process || ' cat=' || source_type || ' msg=' || replace(message, '=', '\\=') || ' cs1Label=severity cs1=' || severity || ' cs2Label=component cs2=' || component || ' externalId=' || id AS value FROM log""")
 query("x6_csv", lambda log: exports.csv(log, raw=False).select("id", "timestamp", "hostname", "severity_score", "http_status", "confidence"), "SELECT id, timestamp, hostname, severity_score, NULL::INTEGER AS http_status, NULL::DOUBLE AS confidence FROM log")
 query("x8_syslog", lambda log: exports.syslog_frame(log), "SELECT id, octet_length(encode(line)) || ' ' || line AS value FROM (SELECT id, '<' || (128 + severity_score) || '>1 ' || timestamp || ' ' || hostname || ' ' || process || ' - - - CEF:0|logweave|' || source_type || '|1.0|' || matched_format || '|' || substr(message, 1, 200) || '|' || severity_score || '|' AS line FROM (SELECT * REPLACE (severity_score AS severity_score) FROM log))")
@@ -298,11 +299,12 @@ def rendered(log: DataFrame) -> DataFrame:
 
 query("p1_normalised", lambda log: normalize.parse(rendered(log), "2024-06-01").select(
     "event_id", "matched_format", F.substring("timestamp", 1, 19).alias("timestamp"), "day", "hostname", "process", "severity", "http_status", "timestamp_source"),
-    """SELECT event_id, matched_format, substr(timestamp, 1, 19) AS timestamp, day, CASE WHEN event_id % 8 = 6 THEN 'unknown-host' ELSE hostname END AS hostname, CASE WHEN event_id % 8 = 6 THEN 'unknown-process' ELSE process END AS process,
+    """SELECT event_id, matched_format, substr(timestamp, 1, 19) AS timestamp, day, CASE WHEN event_id % 8 = 6 THEN 'unknown-host' ELSE hostname END AS hostname, CASE WHEN event_id % 8 = 6 THEN 'httpd' ELSE process END AS process,
 CASE WHEN event_id % 8 IN (0, 1) THEN CASE severity_score WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARNING' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' ELSE 'DEBUG' END
   WHEN event_id % 8 IN (2, 5) THEN CASE WHEN contains(message, 'error') AND event_id % 8 IN (2, 5) THEN 'ERROR' ELSE 'INFO' END WHEN event_id % 8 = 4 THEN 'WARNING' WHEN event_id % 8 = 6 THEN CASE WHEN severity_score <= 3 THEN 'ERROR' ELSE 'INFO' END ELSE severity END AS severity,
 CASE WHEN event_id % 8 = 6 THEN CASE WHEN severity_score <= 3 THEN 503 ELSE 200 END END AS http_status, 'event' AS timestamp_source FROM log""")
-query("p24_preview", lambda log: normalize.preview(normalize.parse(rendered(log), "2024-06-01")), "SELECT matched_format, count(*) AS events, CASE WHEN matched_format = 'web_access' THEN 0.0 ELSE 100.0 END::DOUBLE AS with_host, CASE WHEN matched_format = 'web_access' THEN 0.0 ELSE 100.0 END::DOUBLE AS with_process, 100.0::DOUBLE AS with_time FROM log GROUP BY 1")
+query("p2_formats", lambda log: normalize.parse(shapes.lines(log), "2024-06-01").select("event_id", "matched_format", "source_type", "hostname", "process", "severity", "component"), shapes.expected_sql())
+query("p24_preview", lambda log: normalize.preview(normalize.parse(rendered(log), "2024-06-01")), "SELECT matched_format, count(*) AS events, CASE WHEN matched_format = 'web_access' THEN 0.0 ELSE 100.0 END::DOUBLE AS with_host, 100.0::DOUBLE AS with_process, 100.0::DOUBLE AS with_time FROM log GROUP BY 1")
 query("p12_stable_ids", lambda log: _same_ids(log), "SELECT count(*) AS lines, count(*) AS same_ids, count(*) AS same_hashes FROM log")
 
 
