@@ -144,13 +144,13 @@ def repeated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield done
 
 
-FRAGMENT = fields(h=LongType(), digest=LongType(), t1=LongType(), t2=LongType(), start=LongType(), place=IntegerType(), data=BinaryType())
 #: A fragment of a hot anchor: the least offset of its windows (the greatest is ``hi``), their context, and the fragment.
 KEY = ("h", "lo", "context", "digest")
 PIECE = fields(h=LongType(), lo=IntegerType(), context=LongType(), digest=LongType(), hi=IntegerType(), place=IntegerType(), data=BinaryType())
-#: A place of one; without place, that its task met it again; without fragment, a range of bytes to remove.
-HOT_FRAGMENT = StructType([*PIECE.fields, *fields(t1=LongType(), t2=LongType(), start=LongType(), end=LongType(), again=BooleanType()).fields])
-LINK = StructType([*HOT_FRAGMENT.fields[:7], *fields(lo0=IntegerType(), context0=LongType(), digest0=LongType(), shift=IntegerType(), many=BooleanType()).fields])
+#: A place of a fragment, without context if its anchor is not hot; without place, that its task met the fragment
+#: again; without fragment, a range of bytes to remove.
+FRAGMENT = StructType([*PIECE.fields, *fields(t1=LongType(), t2=LongType(), start=LongType(), end=LongType(), again=BooleanType()).fields])
+LINK = StructType([*FRAGMENT.fields[:7], *fields(lo0=IntegerType(), context0=LongType(), digest0=LongType(), shift=IntegerType(), many=BooleanType()).fields])
 
 
 def short_hash(*parts: bytes) -> int:
@@ -171,56 +171,52 @@ def by_context(data: bytes, place: int, lo: int, hi: int, parts: int) -> Iterato
             yield a, b - 1, short_hash(data[place - a : place - b + 1 + LENGTH]), first, place - first, data[first : last + LENGTH]
 
 
-def fragments(hot: bool):
-    """Rows of FRAGMENT, or of HOT_FRAGMENT, for texts with their repeated anchors; equal texts and
-    the bytes of a fragment come once a task."""
+def fragments():
+    """Rows of FRAGMENT for texts with their repeated anchors; equal texts and the bytes of a fragment come
+    once a task."""
+    sent: set[tuple[int, ...]] = set()
+    seen: set[tuple[int, int]] = set()
+    met: dict[tuple[int, ...], bool] = {}
 
-    def make():
-        sent: set[tuple[int, ...]] = set()
-        seen: set[tuple[int, int]] = set()
-        met: dict[tuple[int, ...], bool] = {}
-        names = (HOT_FRAGMENT if hot else FRAGMENT).names
-
-        def once(held, key):
-            if key in held:
-                return False
-            if len(held) > 1_000_000:
-                held.clear()
-            held.add(key)
-            return True
+    def once(held, key):
+        if key in held:
+            return False
+        if len(held) > 1_000_000:
+            held.clear()
+        held.add(key)
+        return True
 
-        def work(t1s, t2s, texts, lists):
-            out = []
-            for t1, t2, text, own in zip(t1s, t2s, texts, lists, strict=True):
-                if not once(seen, (t1, t2)):
+    def work(t1s, t2s, texts, lists):
+        out = []
+        for t1, t2, text, own in zip(t1s, t2s, texts, lists, strict=True):
+            if not once(seen, (t1, t2)):
+                continue
+            wanted = {a["place"]: a["hot"] for a in own}
+            for h, place, first, last in anchors(text):
+                hot = wanted.get(place)
+                if hot is None:
                     continue
-                wanted = {a["place"] for a in own if a["hot"] == hot}
-                for h, place, first, last in anchors(text):
-                    if place not in wanted:
-                        continue
-                    data, at = text[first : last + LENGTH], place - first
-                    if not hot:
-                        digest = digest_of(data, at)
-                        out.append((h, digest, t1, t2, first, at, data if once(sent, (h, digest)) else None))
+                data, at = text[first : last + LENGTH], place - first
+                if not hot:
+                    digest = digest_of(data, at)
+                    out.append((h, None, None, digest, None, at, data if once(sent, (h, digest)) else None, t1, t2, first, None, None))
+                    continue
+                for lo, hi, context, start, near, part in by_context(data, at, 0, LENGTH - GRAM, 2):
+                    digest, from_ = digest_of(part, near), first + start
+                    key = (h, lo, context, digest)
+                    if key not in met:
+                        if len(met) > 1_000_000:
+                            met.clear()
+                        met[key] = False
+                        out.append((*key, hi, near, part, t1, t2, from_, None, False))
                         continue
-                    for lo, hi, context, start, near, part in by_context(data, at, 0, LENGTH - GRAM, 2):
-                        digest, from_ = digest_of(part, near), first + start
-                        key = (h, lo, context, digest)
-                        if key not in met:
-                            if len(met) > 1_000_000:
-                                met.clear()
-                            met[key] = False
-                            out.append((*key, hi, near, part, t1, t2, from_, None, False))
-                            continue
-                        out.append((*[None] * 7, t1, t2, from_, from_ + len(part), None))
-                        if not met[key]:
-                            met[key] = True
-                            out.append((*key, hi, near, None, None, None, None, None, True))
-            return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
+                    out.append((*[None] * 7, t1, t2, from_, from_ + len(part), None))
+                    if not met[key]:
+                        met[key] = True
+                        out.append((*key, hi, near, None, None, None, None, None, True))
+        return dict(zip(FRAGMENT.names, zip(*out, strict=True), strict=True)) if out else None
 
-        return work
-
-    return make
+    return work
 
 
 def deeper():
@@ -337,11 +333,10 @@ def judged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
     yield _given(out, VERDICT)
 
 
-def hot_ranges(touched: DataFrame) -> DataFrame:
-    """Rows of RANGE for the hot anchors of texts."""
+def hot_ranges(found: DataFrame) -> DataFrame:
+    """Rows of RANGE for the fragments of hot anchors."""
     group = list(KEY[:3])
-    found = touched.where(F.exists("own", lambda a: a["hot"])).select("t1", "t2", "text", "own")
-    found = stored(map_rows(found, fragments(True), HOT_FRAGMENT), "hot")
+    found = found.where("context is not null or h is null")
     places = found.where("h is not null and t1 is not null").select(*KEY, "t1", "t2", "start")
     many = F.max("again") | (F.min("t1") < F.max("t1")) | (F.min("t2") < F.max("t2")) | (F.min("start") < F.max("start"))
     pieces = found.where("h is not null").groupBy(*KEY, "hi", "place").agg(F.max("data").alias("data"), many.alias("many"))
@@ -401,9 +396,10 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     lists = lists.join(first, ["t1", "t2"])
     touched = stored(long_ones.select("t1", "t2", "text").join(lists, ["t1", "t2"]), "touched")
-    frags = map_rows(touched.select("t1", "t2", "text", "own"), fragments(False), FRAGMENT)
-    sorted_frags = frags.repartition("h").sortWithinPartitions("h", "digest", F.col("data").isNull())
-    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(touched)).groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    found = stored(map_rows(touched.select("t1", "t2", "text", "own"), fragments, FRAGMENT), "fragments")
+    plain = found.where("h is not null and context is null").select("h", "digest", "t1", "t2", "start", "place", "data")
+    sorted_frags = plain.repartition("h").sortWithinPartitions("h", "digest", F.col("data").isNull())
+    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(found)).groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     return rows.join(first, ["t1", "t2"]), touched.where("copies = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
 
 
