@@ -14,6 +14,7 @@ from logweave.operators.filters import LogFilter
 
 from . import logview as V
 from . import shapes
+from .question_sql import QUESTIONS as QUESTION_SQL
 from .logview import SQL_EVENTS, SQL_GRAPH, SQL_MENTIONS, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +118,7 @@ def _dashboard(log: DataFrame) -> DataFrame:
 
 
 # --- questions
-for _name, _text in questions.QUESTIONS.items():
+for _name, _text in QUESTION_SQL.items():
     _tables = sorted(questions.tables_of(_name))
 
     def _make(*frames, _name=_name, _tables=_tables):
@@ -194,12 +195,16 @@ query("r2_keywords", lambda spark, sf_dir: retrieval.keyword_search(spark.read.p
 st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM own), tf AS (SELECT doc_id, len(t) AS n, w, len(list_filter(t, lambda x: x = w)) AS tf FROM own, (SELECT unnest({list(_WORDS)}) AS w)), hit AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT w, count(*) AS df FROM hit GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score, count(*) AS words FROM hit JOIN df USING (w), st GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", needs="s")
 query("r3_substring", lambda log: retrieval.substring_search(log, "any error Purchase?"), "SELECT id, timestamp, hostname, severity, severity_score, message FROM log WHERE contains(lower(message), 'purchase') ORDER BY severity_score, timestamp, id LIMIT 20")
-query("r6_signature", lambda spark, sf_dir: retrieval.pattern_match(spark.read.parquet(f"{sf_dir}/documents.parquet"), "host_isolation", "text").select("doc_id"), "WITH x AS (SELECT 1) SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bisolat') AND regexp_matches(text, '(?i)\\bhost\\b')", needs="s")
+query("r6_signature", lambda log: retrieval.pattern_match(_isolated(log), "host_isolation").select("id", "message"), "SELECT id, message || ' - host was isolated' AS message FROM log WHERE k % 10 = 0")
 query("r8_evidence", lambda log: _evidence(log), "SELECT id, score, pool FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pool, score DESC) AS n FROM (SELECT id, 1.0::DOUBLE / severity_score AS score, 0 AS pool FROM log WHERE hostname = 'host-02' UNION ALL SELECT id, 2.0::DOUBLE / severity_score, 1 FROM log WHERE process = 'errord')) WHERE n = 1 ORDER BY score DESC, id LIMIT 15")
 query("r9_context", lambda log: retrieval.context(filters.list_logs(log, limit=40)), "SELECT substr(string_agg(line, chr(10) ORDER BY timestamp, line), 1, 12000) AS context FROM (SELECT timestamp, '[' || timestamp || '] ' || severity || ' ' || hostname || '/' || process || ': ' || message AS line FROM log ORDER BY timestamp DESC, id DESC LIMIT 40)")
 query("r10_chart", lambda log: retrieval.chart_spec(A.by_day(log, 20)), "SELECT 'bucket' AS label, 'total,alerts,errors' AS measures, count(DISTINCT day) BETWEEN 2 AND 40 AS chartable, 'line' AS kind FROM (SELECT DISTINCT day FROM log ORDER BY day DESC LIMIT 20)")
 
 
+def _isolated(log):
+    return log.withColumn("message", F.concat("message", F.when(F.col("k") % 10 == 0, " - host was isolated").otherwise(" - Isolation of hosts ended")))
+
+
 def _evidence(log):
     by = lambda w, n: log.where(w).select("id", (F.lit(float(n)) / F.col("severity_score")).alias("score"))
     return retrieval.evidence([by("hostname = 'host-02'", 1), by("process = 'errord'", 2)])
