@@ -33,7 +33,10 @@ def overview(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL) -
     )
     if m is None:
         return out
-    users = m.where("type = 'user'").join(rows.select(F.col("id").alias("log_id")), "log_id", "left_semi").agg(F.countDistinct("value").alias("total_users"))
+    named = m.where("type = 'user'")
+    if flt.active:
+        named = named.join(rows.select(F.col("id").alias("log_id")), "log_id", "left_semi")
+    users = named.agg(F.countDistinct("value").alias("total_users"))
     return out.join(F.broadcast(users))  # one row each
 
 

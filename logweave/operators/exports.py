@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.storage import stored
 from logweave.schema import FIELDS
 
 from .filters import ALL, LogFilter
@@ -156,13 +158,37 @@ def syslog_frame(log: DataFrame, octets: bool = True) -> DataFrame:
 SHAPES = {"ndjson": ndjson, "ecs": ecs, "ocsf": ocsf, "cef": cef}
 
 
-def export(log: DataFrame, shape: str, path: str, flt: LogFilter = ALL, raw: bool = True, per_file: int = 200_000) -> None:
-    """The filtered events in order as files of at most ``per_file`` lines."""
+def export(log: DataFrame, shape: str, path: str, flt: LogFilter = ALL, raw: bool = True, per_file: int = 200_000, compression: str = "gzip", array: bool = False) -> None:
+    """The filtered events in order as files of at most ``per_file`` lines, or, with ``array``, as files
+    that each hold one JSON array. ``compression`` is a codec of Spark's text writer, or ``none``."""
     rows = flt(log).repartitionByRange("timestamp", "id").sortWithinPartitions("timestamp", "id")
     if shape == "csv":
-        csv(rows, raw).write.option("header", True).option("escape", '"').option("maxRecordsPerFile", per_file).csv(path)
-    else:
-        SHAPES[shape](rows, raw).select("value").write.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+        csv(rows, raw).write.option("header", True).option("escape", '"').option("maxRecordsPerFile", per_file).option("compression", compression).csv(path)
+        return
+    values = SHAPES[shape](rows, raw).select("value")
+    if array:
+
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a line ahead, so that the last one is known; brackets and commas are written around whole records
+            held, n = None, 0
+            give = lambda x: pa.RecordBatch.from_pydict({"value": [x]})
+            for b in batches:
+                for v in b.column(0).to_pylist():
+                    if held is not None:
+                        last = n % per_file == 0
+                        yield give(held + ("]" if last else ","))
+                    held, n = ("[" if n % per_file == 0 else "") + v, n + 1
+            if held is not None:
+                yield give(held + "]")
+
+        values = values.mapInArrow(arrays, "value string")
+    values.write.option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+
+
+def push_first(log: DataFrame, post: Callable[[list[str]], None], n: int, shape: str = "ecs", flt: LogFilter = ALL, raw: bool = False, **how) -> DataFrame:
+    """X11: the first ``n`` filtered events, newest first, through the transport: a preview of what an export would send."""
+    first = flt(log).orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
+    return send(SHAPES[shape](first, raw), post, **how)
 
 
 def send(lines: DataFrame, post: Callable[[list[str]], None], batch: int = 200, retries: int = 5, backoff: float = 0.5) -> DataFrame:
@@ -195,14 +221,24 @@ def upsert(stored: DataFrame | None, new: DataFrame, key: str = "id", order: str
 
 
 def upsert_days(spark, path: str, new: DataFrame, key: str = "id", order: str = "created_at") -> None:
-    """X13 on a table by day: reads and rewrites only the days that ``new`` touches."""
-    days = [r.day for r in new.select("day").distinct().collect()]  # days of one batch
-    try:
-        stored = spark.read.parquet(path).where(F.col("day").isin(days)).select(*new.columns)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = None
-    out = upsert(stored, new, key, order).checkpoint() if spark.sparkContext.getCheckpointDir() else upsert(stored, new, key, order).persist()
-    out.count()
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    """X13 on a table by day: rewrites the days that ``new`` touches, and those on which its keys stood before.
+
+    Which days these are is found by keys and days alone; the rows of these days are stored apart before
+    anything is overwritten, so that a lost executor loses nothing.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        upsert(None, new, key, order).write.partitionBy("day").parquet(path)
+        return
+    new = stored(new, "upsert_new")
+    table = spark.read.parquet(path)
+    moved = table.select(key, "day").join(new.select(key).distinct(), key, "left_semi").select("day")
+    days = moved.unionByName(new.select("day")).distinct()
+    old = table.join(days, "day", "left_semi").select(*new.columns)
+    kept = stored(upsert(old, new, key, order), "upsert")
+    # a day that lost all its rows to another one is left without files
+    empty = [r.day for r in days.join(kept.select("day").distinct(), "day", "left_anti").collect()]  # days of one batch
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in empty:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

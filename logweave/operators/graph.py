@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.storage import stored
+
 from .entities import SPECS, labelled
 
 #: Column of an event, label of its node.
@@ -70,20 +72,21 @@ def both_ways(e: DataFrame) -> DataFrame:
 def neighbours(e: DataFrame, label: str, value: str, hops: int = 2) -> DataFrame:
     """Nodes within ``hops`` (1 to 3) undirected steps and the least number of them.
 
-    Each step joins the frontier to the edges and leaves out what has been reached.
+    The edges, both ways, are stored once; each step joins the frontier to them, leaves out what has been reached, and is
+    stored, so that no plan grows with the number of steps.
     """
-    step, spark = both_ways(e), e.sparkSession
+    step, spark = stored(both_ways(e), "steps"), e.sparkSession
     reached = frontier = spark.createDataFrame([(label, value, 0)], "label string, value string, hop int")
     for hop in range(1, max(1, min(hops, 3)) + 1):
         ahead = step.join(frontier, (step["a_label"] == frontier["label"]) & (step["a"] == frontier["value"])).select(F.col("b_label").alias("label"), F.col("b").alias("value")).distinct()
-        frontier = ahead.join(reached, ["label", "value"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stored(ahead.join(reached, ["label", "value"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)
     return reached.where("hop > 0")
 
 
 def shortest_path(e: DataFrame, start: tuple[str, str], end: tuple[str, str], max_hops: int = 6) -> DataFrame:
     """The shortest undirected path, the first in order of its nodes, as nodes and relationships."""
-    step = both_ways(e)
+    step = stored(both_ways(e), "steps")
     node = lambda label, value: F.concat_ws(":", label, value)
     frontier = e.sparkSession.createDataFrame([(*start, [":".join(start)], [])], "label string, value string, nodes array<string>, rels array<string>")
     seen = frontier.select("label", "value")
@@ -95,18 +98,22 @@ def shortest_path(e: DataFrame, start: tuple[str, str], end: tuple[str, str], ma
         ahead = step.join(frontier, (step["a_label"] == frontier["label"]) & (step["a"] == frontier["value"])).select(
             F.col("b_label").alias("label"), F.col("b").alias("value"), F.concat("nodes", F.array(node("b_label", "b"))).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"))
         best = ahead.groupBy("label", "value").agg(F.min(F.struct("nodes", "rels")).alias("p")).select("label", "value", "p.nodes", "p.rels")
-        frontier = best.join(seen, ["label", "value"], "left_anti")
+        frontier = stored(best.join(seen, ["label", "value"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier.select("label", "value"))
         found = frontier.where(goal)
     return found.select("nodes", "rels", F.size("rels").alias("hops"))
 
 
 def resolve(n: DataFrame, name: str, limit: int = 5) -> DataFrame:
-    """Nodes of a name: exact ones, or those that hold it in any case if there are none."""
-    exact, lower = F.col("value") == name, F.lower("value").contains(name.lower())
-    rank = F.when(exact, 0).otherwise(1)
-    ranked = n.where(lower).select("label", "value", rank.alias("rank")).withColumn("best", F.min("rank").over(Window.partitionBy()))
-    return ranked.where("rank = best").orderBy("label", "value").limit(limit).select("label", "value", (F.col("rank") == 0).alias("exact"))
+    """Nodes of a name: exact ones, or those that hold it in any case if there are none. Each is the first few
+    of a filter; only these few meet."""
+    def first(rows: DataFrame, exact: bool) -> DataFrame:
+        return rows.select("label", "value", F.lit(exact).alias("exact")).orderBy("label", "value").limit(limit)
+
+    same = first(n.where(F.col("value") == name), True)
+    alike = first(n.where(F.lower("value").contains(name.lower())), False)
+    none = same.agg((F.count("*") == 0).alias("none"))
+    return same.unionByName(alike.join(F.broadcast(none)).where("none").drop("none")).orderBy("label", "value")
 
 
 def blast_radius(e: DataFrame, n: DataFrame, name: str, hops: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.schema import GENESIS
+from logweave.storage import new_path, stored
 
 #: The fields a seal covers, sorted, and the ledger's version.
 SEALED = ("hostname", "id", "matched_format", "message", "process", "raw_message", "severity", "source_type", "timestamp")
@@ -26,22 +27,23 @@ def node_hash(left: Column, right: Column) -> Column:
 def canonical(log: DataFrame) -> Column:
     """Sorted keys, no spaces, nulls kept, escapes in lower case."""
     text = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in SEALED)), {"ignoreNullFields": "false"})
-    # to_json escapes control letters as \\u001B; JSON writers in use elsewhere as \\u001b
+    # to_json escapes control letters as \\u001B; JSON writers in use elsewhere as \\u001b. An escape stands after an
+    # even number of backslashes: after an odd one it is text of the event.
     for n in range(32):
         if f"{n:04x}" != f"{n:04X}":
-            text = F.replace(text, F.lit(f"\\u{n:04X}"), F.lit(f"\\u{n:04x}"))
+            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\\\u{n:04x}")
     return text
 
 
 def leaves(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """(height, idx, event_id, hash): leaves in order of time and id, dealt to blocks.
 
-    The order is a range partitioning; positions are a count for each partition, whose running
-    sums are as many numbers as there are partitions, plus a row number inside the partition.
+    The order is a range partitioning, stored with the number of each range, so that a lost executor changes
+    nothing. Positions are a count for each range, whose running sums are as many numbers as there are
+    ranges, plus a row number inside the range.
     """
     rows = log.select("timestamp", F.col("id").alias("event_id"), _hash("00", F.encode(canonical(log), "UTF-8")).alias("hash"))
-    spread = rows.repartitionByRange(F.col("timestamp"), F.col("event_id")).withColumn("_p", F.spark_partition_id())
-    spread = spread.persist()
+    spread = stored(rows.repartitionByRange(F.col("timestamp"), F.col("event_id")).withColumn("_p", F.spark_partition_id()), "leaves")
     counts = spread.groupBy("_p").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("_p").orderBy("timestamp", "event_id")) - 1
@@ -86,25 +88,39 @@ def header_column() -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def seal(log: DataFrame, sealed_at: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, leaves). The fold over headers is serial by its nature: one short row for each
-    block streams through the driver, the trees are made on the executors. Refuses to seal nothing."""
-    tree = leaves(log, block).persist()
+def seal(log: DataFrame, sealed_at: str, block: int = BLOCK, batch: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(blocks, leaves), both stored. The fold over headers is serial by its nature: one short row for
+    each block streams through the driver, which writes them out ``batch`` at a time; the trees are made on the
+    executors. Refuses to seal nothing."""
+    spark = log.sparkSession
+    tree = stored(leaves(log, block), "tree")
+    path, schema = new_path(spark, "blocks"), "version string, height long, prev_hash string, merkle_root string, event_count long, sealed_at string, hash string"
     rows, prev = [], GENESIS
-    for r in roots(tree, block).orderBy("height").toLocalIterator():
+
+    def write() -> None:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        rows.clear()
+
+    for r in stored(roots(tree, block), "roots").orderBy("height").toLocalIterator():
         header = {"version": VERSION, "height": r.height, "prev_hash": prev, "merkle_root": r.merkle_root, "event_count": r.event_count, "sealed_at": sealed_at}
         prev = header_hash(header)
         rows.append((*header.values(), prev))
-    if not rows:
+        if len(rows) == batch:
+            write()
+    if prev == GENESIS:
         raise ValueError("nothing to seal")
-    return log.sparkSession.createDataFrame(rows, "version string, height long, prev_hash string, merkle_root string, event_count long, sealed_at string, hash string"), tree
+    if rows:
+        write()
+    return spark.read.schema(schema).parquet(path), tree
 
 
 def verify(blocks: DataFrame, tree: DataFrame, block: int = BLOCK, head: str | None = None) -> DataFrame:
     """I4: problems as (height, kind): all of them at once, from recomputed roots and header hashes."""
     own = blocks.join(roots(tree, block).withColumnsRenamed({"merkle_root": "_root", "event_count": "_n"}).drop("depth"), "height", "left")
-    order = Window.orderBy("height")  # a row for each block
-    own = own.withColumn("_prev", F.lag("hash", 1, GENESIS).over(order)).withColumn("_last", F.lead("height").over(order).isNull())
+    # the block before is found by its height, and the last one by the largest height: no order over all blocks
+    before = blocks.select((F.col("height") + 1).alias("height"), F.col("hash").alias("_prev"))
+    own = own.join(before, "height", "left").withColumn("_prev", F.coalesce("_prev", F.when(F.col("height") == 0, F.lit(GENESIS)), F.lit("")))
+    own = own.join(F.broadcast(blocks.agg(F.max("height").alias("_top")))).withColumn("_last", F.col("height") == F.col("_top"))  # one row
     kinds = F.array_compact(F.array(
         F.when(F.col("prev_hash") != F.col("_prev"), F.lit("broken_link")), F.when(~F.col("_root").eqNullSafe(F.col("merkle_root")), F.lit("merkle_mismatch")),
         F.when(header_column() != F.col("hash"), F.lit("header_altered")), F.when(F.coalesce("_n", F.lit(0)) != F.col("event_count"), F.lit("count_mismatch")),
