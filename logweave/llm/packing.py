@@ -172,16 +172,17 @@ class Island:
         if not self.sizes or len(herd[0]) <= least:
             return herd
         herd += [self.first(0.2 * (k + 1) / population) for k in range(len(herd) - 1, population - 1)]
-        herd.sort(key=self.worth)
+        ranked = sorted(((self.worth(h), h) for h in herd), key=lambda x: x[0])
         if guest is not None:
-            herd[-1] = min(guest, self.cross(herd[0], guest), key=self.worth)
+            ranked[-1] = min(((self.worth(h), h) for h in (guest, self.cross(ranked[0][1], guest))), key=lambda x: x[0])
         for _ in range(generations):
-            herd.sort(key=self.worth)
-            if len(herd[0]) <= least:
+            ranked.sort(key=lambda x: x[0])
+            if len(ranked[0][1]) <= least:
                 break
-            mother, father = self.rng.choice(herd[: max(2, population // 2)]), self.rng.choice(herd)
-            herd[-1] = self.mutate(self.cross(mother, father))
-        return sorted(herd, key=self.worth)
+            mother, father = self.rng.choice(ranked[: max(2, population // 2)])[1], self.rng.choice(ranked)[1]
+            child = self.mutate(self.cross(mother, father))
+            ranked[-1] = self.worth(child), child
+        return [h for _, h in sorted(ranked, key=lambda x: x[0])]
 
 
 def written(groups: list[list[int]]) -> bytes:
