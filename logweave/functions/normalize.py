@@ -210,6 +210,15 @@ def tagged(text: Column) -> Column:
     return to_map(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.trim(v).alias("value"))))
 
 
+def commanded(text: Column) -> Column:
+    """The parts of a sudo record: its command also without arguments, the user it runs as as ``target_user``."""
+    pair = lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("value"))
+    found = F.filter(F.transform(F.filter(F.split(text, ";"), lambda p: p.contains("=")), pair), lambda e: e["value"] != "")
+    named = F.transform(found, lambda e: F.struct(F.when(e["key"] == "user", "target_user").otherwise(e["key"]).alias("key"), e["value"].alias("value")))
+    program = F.transform(F.filter(found, lambda e: e["key"] == "command"), lambda e: F.struct(F.lit("exe").alias("key"), F.substring_index(e["value"], " ", 1).alias("value")))
+    return to_map(F.concat(named, program))
+
+
 def with_own(bag: Column, own: Column) -> Column:
     """Both maps as one; of equal keys the entry of ``own``."""
     return F.map_concat(F.map_filter(bag, lambda k, v: ~F.map_contains_key(own, k)), own)
@@ -254,7 +263,7 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     bag = (
         F.when(form == "cef", extension(c("g_extension"))).when(form == "leef", leef_extension(c("g_extension"))).when(c("_jrule") > 0, flattened(c("_line"))).when(c("_json"), c("_flat"))
         .when(binary, F.create_map(F.lit("binary_content"), F.lit("true"))).when(form == "windows_security_event", with_own(sections(c("g_message")), kv_bag(c("g_kv"))))
-        .when(c("g_tags").isNotNull(), tagged(c("g_tags"))).otherwise(kv_bag(F.coalesce("g_kv", "g_message", F.when(c("_said").isNull(), c("_line")), F.lit(""))))
+        .when(c("g_tags").isNotNull(), tagged(c("g_tags"))).when(c("g_parts").isNotNull(), commanded(c("g_parts"))).otherwise(kv_bag(F.coalesce("g_kv", "g_message", F.when(c("_said").isNull(), c("_line")), F.lit(""))))
     )
     pri = F.when(c("g_pri").isNotNull(), F.map_filter(F.create_map(F.lit("syslog_priority"), c("g_pri"), F.lit("syslog_facility"), F.get(F.array(*map(F.lit, FACILITIES)), F.floor(c("g_pri").try_cast("int") / 8).cast("int"))), lambda k, v: v.isNotNull()))
     sd = F.when(c("g_sdid").isNotNull(), F.create_map(F.lit("sdid"), c("g_sdid")))

@@ -120,8 +120,8 @@ RULES = (
     Rule("rfc3164_wrapper", "LinuxAudit", "pam_unix(",
          WRAPPED + r"\(?([\w.\-]+)\)?(?:\[(\d+)\])?:?\s?(pam_unix\(([\w\-]+):(\w+)\):\s+session\s+(opened|closed)\s+for\s+user\s+([\w.\-$\\]+)(?:\(uid=(\d+)\))?(?:\s+by\s+([\w.\-$\\]+)(?:\(uid=(\d+)\))?)?.*)$",
          "timestamp,host,process,pid,message,pam_service,pam_type,action,acct,uid,by_user,by_uid", "NOTICE", component="pam-session"),
-    Rule("rfc3164_wrapper", "LinuxAudit", "COMMAND=", WRAPPED + r"\(?(sudo|su)\)?(?:\[(\d+)\])?:?\s?(\s*([\w.\-$\\]+)\s*:\s*(?:\w+=[^;]*;\s*)*?(?:(?i:PWD)=([^;]*?)\s*;\s*)?(?:USER=([^;]*?)\s*;\s*)?(?:\w+=[^;]*;\s*)*COMMAND=((\S+).*))$",
-         "timestamp,host,process,pid,message,acct,pwd,target_user,command,exe", "NOTICE", component="sudo-command"),
+    Rule("rfc3164_wrapper", "LinuxAudit", "COMMAND=", WRAPPED + r"\(?(sudo|su)\)?(?:\[(\d+)\])?:?\s?(\s*([\w.\-$\\]+)\s*:\s*((?:\w+=[^;]*;\s*)*\w+=.*))$",
+         "timestamp,host,process,pid,message,acct,parts", "NOTICE", component="sudo-command"),
     Rule("rfc3164_wrapper", "Horizon", "Configurator", "^" + NO_SYS + r"\s+(\S+)\s+(Configurator)(?:\[\d+\])?:?\s?(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2},\d+)\s+(\w+)\s+\(([^)]*)\)\s+\[[^\]]*\]\s+([\w.$]+)\s*-" + REST,
          "host,process,timestamp,level,thread,logger,message", "INFO"),
     Rule("rfc3164_wrapper", "HMS", "|", "^" + NO_SYS + r"\s+(\S+)\s+\(?([\w.\-]+)\)?(?:\[\d+\])?:?\s?(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2}\.\d+)\s+(\w+)\s+(\S+)\s+\[([^\]]*)\]\s+\(([^)]*)\)\s+\[([^\]]*)\]\s*\|" + REST,
@@ -139,7 +139,7 @@ RULES = (
 
 #: Groups that have a place in the event schema, or tell one; all others are attributes.
 FIELDS = {
-    "timestamp", "host", "process", "pid", "component", "logger", "level", "level_only", "message", "kv", "extension", "pri", "cef_severity", "sdid", "redis_mark", "cisco_severity", "minio", "tags",
+    "timestamp", "host", "process", "pid", "component", "logger", "level", "level_only", "message", "kv", "extension", "pri", "cef_severity", "sdid", "redis_mark", "cisco_severity", "minio", "tags", "parts",
 }
 #: Products by the tag of a line with a priority.
 TAGS = (("^snort", "Snort"), ("^suricata", "Suricata"), ("^openvpn", "OpenVPN"), ("^filterlog", "pfSense"), ("^ASM|^bigip", "F5-BIGIP"), ("^charon|^ipsec|^strongswan", "IPsec"), ("^sshd", "SSH"), ("^haproxy", "HAProxy"), ("^nginx", "NGINX"))

@@ -31,7 +31,7 @@ def canonical(log: DataFrame) -> Column:
     # even number of backslashes: after an odd one it is text of the event.
     for n in range(32):
         if f"{n:04x}" != f"{n:04X}":
-            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\\\u{n:04x}")
+            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\u{n:04x}")
     return text
 
 

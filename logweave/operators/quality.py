@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions import normalize
+
+from . import entities
+
 
 def completeness(original: DataFrame, stored: DataFrame, file: str = "source_file", text: str = "raw") -> DataFrame:
     """For each file, records that are missing or extra, as multisets; only digests are shuffled."""
@@ -55,6 +59,37 @@ def backfill_skew(log: DataFrame, as_of: str, days: int = 730) -> DataFrame:
     return log.withColumn("timestamp_anomalous", F.coalesce(old, off))
 
 
+def backfill_timestamp_source(log: DataFrame, as_of: str, text: str = "raw_message") -> DataFrame:
+    """Fills an empty ``timestamp_source`` by reading the raw text again; nothing else changes, and no row moves."""
+    again = normalize.parse(log.select(F.struct(*log.columns).alias("_row"), F.col(text).alias("raw")), as_of)
+    told = F.coalesce("_row.timestamp_source", "timestamp_source").alias("timestamp_source")
+    return again.select(*(told if c == "timestamp_source" else F.col(f"_row.`{c}`").alias(c) for c in log.columns))
+
+
+def reparse(log: DataFrame, as_of: str, text: str = "raw_message", file: str = "source_file") -> DataFrame:
+    """Stored lines parsed anew, with their file, their old id, and how many entities they had and have now. Rows
+    without text are left out; no row moves."""
+    old = F.size(F.coalesce("entities", F.array().cast("array<struct<type:string,value:string>>"))) if "entities" in log.columns else F.lit(0)
+    kept = log.where(F.coalesce(F.col(text), F.lit("")) != "")
+    again = normalize.parse(kept.select(F.coalesce(file, F.lit("unknown_source")).alias("source_file"), F.col("id").alias("old_id"), old.alias("old_entities"), F.col(text).alias("raw")), as_of)
+    return entities.extract(again).withColumn("new_entities", F.size("entities"))
+
+
+def write_reparsed(events: DataFrame, path: str, per_file: int = 200_000) -> None:
+    """Parts of JSON lines by file, compressed."""
+    name = F.regexp_replace(F.regexp_replace("source_file", r"\.[^./\\\\]*$", ""), r"[/\\\\]", "_")
+    events.withColumn("part", name).write.partitionBy("part").option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
+
+
+def reparse_report(events: DataFrame) -> DataFrame:
+    """What the new parse gives beside the old one."""
+    more, fewer = F.col("new_entities") > F.col("old_entities"), F.col("new_entities") < F.col("old_entities")
+    return events.agg(
+        F.count("*").alias("records"), F.countDistinct("source_file").alias("files"), F.sum("old_entities").alias("old_entities"), F.sum("new_entities").alias("new_entities"),
+        F.count_if(more).alias("gained"), F.count_if(fewer).alias("lost"),
+    )
+
+
 def newest(view: DataFrame, rows: DataFrame, n: int = 500) -> DataFrame:
     """A live view with new rows: each id once, the latest ``n``."""
     return view.unionByName(rows.select(*view.columns)).dropDuplicates(["id"]).orderBy(F.desc("timestamp"), F.desc("id")).limit(n)

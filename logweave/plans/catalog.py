@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions import normalize
 from logweave.operators import aggregates as A
-from logweave.operators import anomalies, entities, exports, filters, graph, insights, ledger, mining, quality, questions, retrieval
+from logweave.operators import anomalies, entities, exports, filters, graph, ledger, quality, questions, retrieval
 from logweave.operators.filters import LogFilter
 
+from . import checks
 from . import logview as V
 from . import shapes
 from .question_sql import QUESTIONS as QUESTION_SQL
@@ -147,7 +148,6 @@ UNION ALL SELECT 'noisy_host', subject, {_FIND} FROM z3 WHERE points >= 7 AND z
 query("w7_trend", lambda log: anomalies.trend(log, 3), """SELECT days, recent_rate, prior_rate, round(recent_rate - prior_rate, 1) AS change, CASE WHEN recent_rate > prior_rate THEN 'worsened' ELSE 'improved' END AS direction FROM (
 SELECT count(*) AS days, round(100.0 * sum(errors) FILTER (n <= 3) / sum(total) FILTER (n <= 3), 1) AS recent_rate, round(100.0 * sum(errors) FILTER (n > 3 AND n <= 6) / sum(total) FILTER (n > 3 AND n <= 6), 1) AS prior_rate
 FROM (SELECT day, count(*) AS total, count(*) FILTER (severity_score <= 3) AS errors, row_number() OVER (ORDER BY day DESC) AS n FROM log GROUP BY day)) WHERE days >= 6 AND prior_rate > 0 AND abs(round(recent_rate - prior_rate, 1)) >= 1""")
-query("n_insights", lambda log, m: insights.build(log, m), needs="lm")
 
 
 def _z(log: DataFrame) -> DataFrame:
@@ -229,27 +229,10 @@ def _upsert(log):
 
 
 # --- ledger
-CANON = """'{"hostname":' || to_json(hostname) || ',"id":' || to_json(id) || ',"matched_format":' || to_json(matched_format) || ',"message":' || to_json(message) || ',"process":' || to_json(process) || ',"raw_message":' || to_json(raw_message) || ',"severity":' || to_json(severity) || ',"source_type":' || to_json(source_type) || ',"timestamp":' || to_json(timestamp) || '}'"""
-query("i1_leaves", lambda log: ledger.leaves(log), f"SELECT (n - 1) // 500 AS height, (n - 1) % 500 AS idx, id AS event_id, sha256(unhex('00') || encode({CANON})) AS hash FROM (SELECT *, row_number() OVER (ORDER BY timestamp, id) AS n FROM log)")
-query("i2_blocks", lambda log: ledger.seal(log, "2024-02-01T00:00:00Z")[0].select("height", "event_count", "merkle_root", "hash", "prev_hash"))
-query("i4_verify", lambda log: ledger.verify(*_tampered(log)))
-query("i6_proofs", lambda log: _proofs(log))
-query("i7_status", lambda log: ledger.status(ledger.seal(log, "2024-02-01T00:00:00Z")[0]))
+query("i1_leaves", lambda log: ledger.leaves(log), f"SELECT (n - 1) // 500 AS height, (n - 1) % 500 AS idx, id AS event_id, sha256(unhex('00') || encode({checks.CANON})) AS hash FROM (SELECT *, row_number() OVER (ORDER BY timestamp, id) AS n FROM log)")
 query("i8_match_raw", lambda log: ledger.match_raw(log.select(F.lit("f").alias("source_file"), F.col("event_id").alias("source_record"), F.col("raw_message").alias("raw")), log), "SELECT 'f' AS source_file, event_id AS source_record, raw_hash, id AS event_id FROM log")
 
 
-def _tampered(log):
-    blocks, tree = ledger.seal(log, "2024-02-01T00:00:00Z")
-    changed = tree.withColumn("hash", F.when((F.col("height") == 3) & (F.col("idx") == 5), F.sha2(F.col("hash"), 256)).otherwise(F.col("hash")))
-    return blocks.withColumn("sealed_at", F.when(F.col("height") == 1, "2020").otherwise(F.col("sealed_at"))), changed
-
-
-def _proofs(log):
-    blocks, tree = ledger.seal(log, "2024-02-01T00:00:00Z")
-    found = ledger.proofs(tree, tree.select("event_id"))
-    return ledger.check_proofs(found, blocks).groupBy("height").agg(F.count("*").alias("events"), F.every("valid").alias("valid"), F.max(F.size("proof")).alias("longest"))
-
-
 # --- quality
 def _originals(log):
     return log.select(F.concat(F.lit("file-"), (F.col("event_id") % 4).cast("string")).alias("source_file"), F.col("event_id").alias("source_record"), F.col("raw_message").alias("raw"))
@@ -274,11 +257,6 @@ def _backfilled(log):
     return quality.backfill_by_id(_bare(log), lineage).select("id", "source_file", "source_record")
 
 
-# --- mining
-query("m2_shapes", lambda log: mining.shapes(log.select(F.col("raw_message").alias("raw"))))
-query("m3_slots", lambda log: mining.slots(log.select(F.col("raw_message").alias("raw"))))
-query("m5_drafts", lambda log: mining.drafts(log.select(F.col("raw_message").alias("raw"))))
-
 # --- normalisation: events rendered to lines of eight formats and read back
 
 
@@ -331,3 +309,6 @@ def _reassembled(log: DataFrame) -> DataFrame:
     lines = log.where("k % 7 <> 1").select(F.concat(F.lit("file-"), (F.col("event_id") % 4).cast("string")).alias("source_file"), F.floor(F.col("event_id") / 1000).alias("block"), F.posexplode(parts).alias("p", "line"), "event_id")
     found = reassemble(lines.withColumn("line_no", F.col("event_id") * 10 + F.col("p")).select("source_file", "block", "line_no", "line"))
     return found.groupBy("source_file").agg(F.count("*").alias("records"), F.sum(F.size(F.split("raw", "\n"))).alias("lines"))
+
+
+checks.register(query)

@@ -28,23 +28,24 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
 def reassemble(lines: DataFrame) -> DataFrame:
     """S3: records of several lines: a line that looks like a start opens one, blank ones are dropped.
 
-    Each block of a file is a window of its own, so a large file is many tasks; what a block
-    holds before its first start is then given to the last record of the block before. A block
-    without any start is passed over by looking back to the last record before it.
+    Each block of a file is a window of its own, so a large file is many tasks; what a block holds before its
+    first start is given to the last record of the blocks before. Records are numbered by running sums: a count for
+    each block, whose sums by file are a row for each block, and a place within the block. Text moves once, to
+    its record; only blocks' ends meet.
     """
     known = lines.where(F.trim("line") != "").withColumn("_start", F.col("line").rlike(RECORD_START).cast("int"))
     order = Window.partitionBy("source_file", "block").orderBy("line_no")
     own = known.withColumn("_n", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = own.groupBy("source_file", "block", "_n").agg(F.min("line_no").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw"))
-    # a row for each record: heads of blocks join the record before them
-    by_file = Window.partitionBy("source_file").orderBy("_first")
-    heads = parts.withColumn("_opens", ((F.col("_n") > 0) | (F.row_number().over(by_file) == 1)).cast("long"))
-    numbered = heads.withColumn("source_record", F.sum("_opens").over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
-    split = numbered.where("_n = 0 and _opens = 0").select("source_file", "source_record").distinct().withColumn("_joined", F.lit(True))
-    marked = numbered.join(split, ["source_file", "source_record"], "left")
-    whole = marked.where("_joined is null").select("source_file", "source_record", "raw")
-    stitched = marked.where("_joined").groupBy("source_file", "source_record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
-    return whole.unionByName(stitched)
+    # the first lines of a file open a record even if they do not look like a start
+    blocks = known.groupBy("source_file", "block").agg(F.sum("_start").alias("_starts"), F.min_by("_start", "line_no").alias("_opens"))
+    by_file = Window.partitionBy("source_file").orderBy("block")  # a row for each block
+    before = blocks.select(
+        "source_file", "block", F.coalesce(F.sum("_starts").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        (1 - F.first("_opens").over(by_file.rowsBetween(Window.unboundedPreceding, 0))).alias("_orphan"),
+    )
+    numbered = own.join(before, ["source_file", "block"]).withColumn("source_record", (F.col("_before") + F.col("_n") + F.col("_orphan")).cast("long"))
+    whole = numbered.groupBy("source_file", "source_record").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", "line"))).alias("l"))
+    return whole.select("source_file", "source_record", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("raw"))
 
 
 def sniff(name, head):
@@ -62,17 +63,33 @@ def sniff(name, head):
     )
 
 
-def file_formats(spark: SparkSession, root: str) -> DataFrame:
-    """The format of each file; reads files whole, but only their first letters go on."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    head = F.decode(F.substring("content", 1, 2048), "UTF-8")
-    return files.select("path", sniff(F.col("path"), head).alias("format"))
+def file_formats(spark: SparkSession, root: str, head: int = 2048) -> DataFrame:
+    """The format of each file by its name or first letters. Contents are not read whole: of each file the block
+    that begins it is scanned, and its first lines are kept."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return names.join(_heads(spark, root, head), "path", "left").select("path", sniff(F.col("path"), F.coalesce("head", F.lit(""))).alias("format"))
+
+
+def _heads(spark: SparkSession, root: str, head: int) -> DataFrame:
+    """(path, head): the first lines of each file."""
+    text = spark.read.format("text").option("recursiveFileLookup", True).load(root)
+    first = text.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.substring("value", 1, head).alias("value"))
+    least = first.groupBy("path").agg(F.min("at").alias("least"))
+    early = first.join(least, "path").where(F.col("at") < F.col("least") + 64)
+    lines = early.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l"))
+    return lines.select("path", F.substring(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), 1, head).alias("head"))
 
 
 def _records(df: DataFrame, root: str, raw) -> DataFrame:
-    order = Window.partitionBy("source_file").orderBy("_at")
-    named = df.select(relative(F.col("_path"), root).alias("source_file"), F.monotonically_increasing_id().alias("_at"), raw.alias("raw"))
-    return named.withColumn("source_record", F.row_number().over(order).cast("long")).select("source_file", "source_record", "raw")
+    """Numbers the records of each file: a place within its block, and running sums of the blocks' counts, so that a large
+    file is many tasks where its format can be split."""
+    block = F.coalesce("_block", F.lit(0)) if "_block" in df.columns else F.lit(0)
+    named = df.select(relative(F.col("_path"), root).alias("source_file"), block.cast("long").alias("_block"), F.monotonically_increasing_id().alias("_at"), raw.alias("raw"))
+    counts = named.groupBy("source_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    own = named.withColumn("_i", F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("_at")))
+    out = own.join(counts.select("source_file", "_block", F.coalesce(before, F.lit(0)).alias("_before")), ["source_file", "_block"])
+    return out.select("source_file", (F.col("_before") + F.col("_i")).cast("long").alias("source_record"), "raw")
 
 
 def _headers(spark: SparkSession, paths) -> list[list[str]]:
@@ -139,7 +156,7 @@ def read_xml(spark: SparkSession, paths, root: str, row_tag: str = "Event") -> D
 
 def read_json(spark: SparkSession, paths, root: str) -> DataFrame:
     """A document, an array, or a wrapper with ``logs``, ``records`` or ``events``; a record each."""
-    text = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("value"))
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.col("value"))
     wrapped = F.coalesce(*(F.get_json_object("value", f"$.{k}") for k in ("logs", "records", "events")))
     array = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(wrapped)
     each = F.coalesce(F.from_json(array, "array<string>"), F.array("value"))
@@ -148,8 +165,8 @@ def read_json(spark: SparkSession, paths, root: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths, root: str) -> DataFrame:
     """JSON lines; blank ones are dropped."""
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("value")).where(F.trim("value") != "")
-    return _records(text, root, F.col("value"))
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
+    return _records(text.where(F.trim("value") != ""), root, F.col("value"))
 
 
 def read_any(spark: SparkSession, root: str) -> DataFrame:

@@ -43,6 +43,29 @@ def test_lines(spark):
     assert preview(parse(df, "2026-09-05")).where("matched_format = 'cef'").first().with_host == 100.0
 
 
+def test_sub_formats(spark):
+    """Blocks of a Windows event, tags of a wrapped record, a sudo command, binary text, and nested JSON."""
+    lines = {
+        "win": "2026-09-03T09:00:00Z pc1 Microsoft-Windows-Security-Auditing - 4624 [liagent@1 keywords=\"Audit Success\" task=Logon] Logged on.\n\nSubject:\n\tSecurity ID:\t\tS-1-5-18\n\tAccount Name:\tbob\n\nNetwork Information:\n\tSource Port:\t0\n",
+        "sudo": "Sep  3 09:25:44 web sudo:    alice : TTY=pts/0 ; PWD=/home/alice ; USER=root ; COMMAND=/usr/bin/systemctl restart nginx",
+        "hms": "Sep  3 09:25:44 h hms[1]: 2026-09-03 09:00:00.123 INFO com.x [t-1] (ctx) [operationID=op-9; user=a] | synced",
+        "binary": "\x80\x9d\xff\x1b\x93E.mu.example\x8f\xd2\x11\xa7\xfe\x03",
+        "json": '{"eventTime":"2026-09-03T09:33:00Z","eventSource":"s3.amazonaws.com","eventName":"Put","a":{"b":{"c":"x","d":{"e":1}}},"ips":["1","2"],"objs":[{"z":1}],"n":null,"long":"' + "y" * 400 + '"}',
+        "zeek": "1788412875.123 CHhAvVGS1DHFjwGM9 10.4.0.1 5511 10.4.0.2 443 tcp ssl 0.4 10 20 S0 - -",
+        "pri": "<999>Sep  3 09:16:11 h x: y",
+    }
+    got = {r.n: r for r in parse(spark.createDataFrame(list(lines.items()), "n string, raw string"), "2026-09-05").collect()}
+    assert got["win"].attributes["Subject.Account Name"] == "bob" and got["win"].attributes["Network Information.Source Port"] == "0" and got["win"].attributes["event_id"] == "4624"
+    assert got["sudo"].attributes["exe"] == "/usr/bin/systemctl" and got["sudo"].attributes["target_user"] == "root" and got["sudo"].attributes["acct"] == "alice" and got["sudo"].attributes["command"].endswith("restart nginx")
+    assert got["hms"].attributes["operationID"] == "op-9" and got["hms"].message == "synced"
+    b = got["binary"]
+    assert (b.hostname, b.severity, b.attributes) == ("unknown-host", "INFO", {"binary_content": "true"}) and b.message and b.raw_message == lines["binary"]
+    j = got["json"].attributes
+    assert j["a.b.c"] == "x" and "a.b.d.e" not in j and j["ips"] == "1, 2" and "objs" not in j and "n" not in j and len(j["long"]) == 300
+    assert got["zeek"].message == "ssl 10.4.0.1:5511 -> 10.4.0.2:443 S0" and got["zeek"].attributes["conn_state"] == "S0"
+    assert got["pri"].matched_format == "generic_fallback"
+
+
 def write(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text)
@@ -53,7 +76,7 @@ def test_sources(spark, tmp_path):
     write(tmp_path / "a/orphan.txt", "no start here\n2026-09-03T09:00:01Z h next\n")
     write(tmp_path / "b/rows.csv", 'timestamp,hostname,message\n2026-09-03T09:00:00Z,h1,"a, b"\n2026-09-03T09:00:01Z,h2,c\n')
     write(tmp_path / "b/x.xml", "<Events><Event><System><Provider Name='p'/><EventID>4624</EventID><Computer>pc1</Computer></System><EventData><Data Name='User'>bob</Data><Data Name='Ip'>10.0.0.1</Data></EventData></Event><Event><System><EventID>1</EventID></System></Event></Events>")
-    write(tmp_path / "c/doc.json", '{"events":[{"a":1},{"a":2},{"a":3}]}')
+    write(tmp_path / "c/doc.json", '{"events":[{"a":1},\n{"a":2},\n{"a":3}]}')
     write(tmp_path / "c/lines.jsonl", '{"a":1}\n\n{"a":2}\n')
     got = {}
     for r in readers.read_any(spark, str(tmp_path)).collect():

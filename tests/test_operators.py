@@ -84,6 +84,14 @@ def test_ledger(spark, n):
     assert proofs.count() == n and proofs.where("valid").count() == n
 
 
+def test_ledger_escapes(spark):
+    """Control letters, and texts that look like escapes, as other JSON writers give them."""
+    texts = ["\x1b[0m", "\\u001B", "\\\\u001B", "a\\\x1f", 'q"\u001f\\']
+    log = fixture_events(spark, len(texts)).withColumn("message", F.get(F.array(*map(F.lit, texts)), F.regexp_extract("id", r"(\d+)$", 1).cast("int")))
+    for r in log.select(*ledger.SEALED, ledger.canonical(log).alias("c")).collect():
+        assert r.c == json.dumps({k: r[k] for k in ledger.SEALED}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_ledger_attacks(spark):
     blocks, tree = ledger.seal(fixture_events(spark, 33), "2026-09-05T00:00:00Z", block=16)
     kinds = lambda b, t: {(r.height, r.kind) for r in ledger.verify(b, t, 16).collect()}
@@ -141,6 +149,9 @@ def test_upsert_days(spark, tmp_path):
     exports.upsert_days(spark, f"{tmp_path}/t", new(1, 1, 2, 3))
     exports.upsert_days(spark, f"{tmp_path}/t", new(2, 2))
     assert {(r.id, r.created_at) for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {(1, 1), (2, 2), (3, 1)}
+    # a key that moves to another day leaves the day it stood on
+    exports.upsert_days(spark, f"{tmp_path}/t", spark.createDataFrame([(3, "2024-01-09", 3)], "id int, day string, created_at int"))
+    assert {(r.id, str(r.day), r.created_at) for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {(1, "2024-01-01", 1), (2, "2024-01-02", 2), (3, "2024-01-09", 3)}
 
 
 def test_quality(spark):
@@ -153,6 +164,8 @@ def test_quality(spark):
 def test_mining(spark):
     lines = spark.createDataFrame([(f"2026-09-03 10:00:0{i} app{i}: user=bob{i} took {i} ms",) for i in range(5)] + [("other",)], "raw string")
     first = mining.drafts(lines).first()
+    assert first.over_fit is False and first.coverage == 83.3 and "process" in first.fields
+    assert mining.drafts(lines.limit(0)).count() == 0
     assert first.lines == 5 and lines.where(F.col("raw").rlike(f"^{first.pattern}$")).count() == 5
 
 
