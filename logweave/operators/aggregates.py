@@ -99,8 +99,14 @@ def top_messages(log: DataFrame, limit: int = 10, errors_only: bool = True, leng
     """Beginnings of messages by number, up to four of their hosts, and the severity of the first."""
     rows = flt(log).where(F.col("message").isNotNull() & (F.col("message") != ""))
     rows = rows.where(is_error()) if errors_only else rows
-    out = rows.groupBy(F.substring("message", 1, length).alias("pattern")).agg(F.count("*").alias("occurrences"), F.array_join(F.slice(F.sort_array(F.collect_set("hostname")), 1, 4), ",").alias("hosts"), F.min_by("severity", F.struct("timestamp", "id")).alias("severity"))
-    return out.orderBy(F.desc("occurrences"), "pattern").limit(limit)
+    rows = rows.withColumn("pattern", F.substring("message", 1, length))
+    # a row for each message and host, so that no task gathers all hosts of a common message
+    pairs = rows.groupBy("pattern", "hostname").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "id", "severity")).alias("first"))
+    counts = pairs.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first")).orderBy(F.desc("occurrences"), "pattern").limit(limit)
+    few = pairs.join(F.broadcast(counts.select("pattern")), "pattern").withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("hostname"))).where("_r <= 4 and hostname is not null")
+    hosts = few.groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("hostname")), ",").alias("hosts"))
+    out = counts.join(hosts, "pattern", "left").select("pattern", "occurrences", F.coalesce("hosts", F.lit("")).alias("hosts"), F.col("first.severity").alias("severity"))
+    return out.orderBy(F.desc("occurrences"), "pattern")
 
 
 def severity_by_source(log: DataFrame, limit: int = 12, flt: LogFilter = ALL) -> DataFrame:

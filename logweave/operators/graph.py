@@ -49,19 +49,28 @@ def event_edges(log: DataFrame, m: DataFrame) -> DataFrame:
     return core.unionByName(labelled(m).select("log_id", "rel", F.col("label").alias("dst_label"), F.col("value").alias("dst")).distinct())
 
 
-def edges(log: DataFrame, m: DataFrame) -> DataFrame:
-    """Structural edges, each once."""
+def types_of(rels: tuple[str, ...]) -> tuple[str, ...]:
+    """Entity types that the derived ones of these edges come from."""
+    return tuple(sorted({t for a, rel, b in DERIVED if rel in rels for t in (a, b) if t != "@host"}))
+
+
+def edges(log: DataFrame, m: DataFrame, rels: tuple[str, ...] | None = None) -> DataFrame:
+    """Structural edges, each once; of all relationships, or of those asked for alone."""
     labels = dict(CORE)
-    kinds = F.array(*(F.struct(F.lit(labels[a]).alias("src_label"), F.col(a).alias("src"), F.lit(rel).alias("rel"), F.lit(labels[b]).alias("dst_label"), F.col(b).alias("dst")) for a, rel, b in CORE_EDGES))
-    core = log.select(F.explode(kinds).alias("e")).select("e.*")
-    kinds_of = {k for a, _, b in DERIVED for k in (a, b)}
+    of_core, of_entities = ([x for x in y if rels is None or x[1] in rels] for y in (CORE_EDGES, DERIVED))
+    sound = "src is not null and dst is not null and not (src_label = dst_label and src = dst)"
+    kinds = F.array(*(F.struct(F.lit(labels[a]).alias("src_label"), F.col(a).alias("src"), F.lit(rel).alias("rel"), F.lit(labels[b]).alias("dst_label"), F.col(b).alias("dst")) for a, rel, b in of_core)) if of_core else None
+    core = log.select(F.explode(kinds).alias("e")).select("e.*") if of_core else None
+    if not of_entities:
+        return core.where(sound).distinct()
+    kinds_of = {k for a, _, b in of_entities for k in (a, b)}
     one = m.where(F.col("type").isin(*kinds_of)).groupBy("log_id", "type").agg(F.min_by("value", "ord").alias("value"))
     firsts = one.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "value"))).alias("first"))  # a value for each type
     firsts = firsts.join(log.select(F.col("id").alias("log_id"), "hostname"), "log_id")
     label = {t: x for t, x, _ in SPECS} | {"@host": "Host"}
-    rules = F.array(*(F.struct(F.lit(label[a]).alias("src_label"), F.try_element_at("first", F.lit(a)).alias("src"), F.lit(rel).alias("rel"), F.lit(label[b]).alias("dst_label"), (F.col("hostname") if b == "@host" else F.try_element_at("first", F.lit(b))).alias("dst")) for a, rel, b in DERIVED))
+    rules = F.array(*(F.struct(F.lit(label[a]).alias("src_label"), F.try_element_at("first", F.lit(a)).alias("src"), F.lit(rel).alias("rel"), F.lit(label[b]).alias("dst_label"), (F.col("hostname") if b == "@host" else F.try_element_at("first", F.lit(b))).alias("dst")) for a, rel, b in of_entities))
     derived = firsts.select(F.explode(rules).alias("e")).select("e.*")
-    return core.unionByName(derived).where("src is not null and dst is not null and not (src_label = dst_label and src = dst)").distinct()
+    return (derived if core is None else core.unionByName(derived)).where(sound).distinct()
 
 
 def both_ways(e: DataFrame) -> DataFrame:

@@ -151,6 +151,10 @@ QUESTIONS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Relationships that a question about edges asks for.
+RELATIONSHIPS = {"q23_users_of_hosts": ("ACCESSED",), "q24_processes_on_hosts": ("RUNS_ON",), "q41_users_of_failing_hosts": ("ACCESSED",), "q42_hosts_sharing_users": ("ACCESSED",), "q44_hosts_sharing_processes": ("RUNS_ON",)}
+
+
 def tables_of(name: str) -> set[str]:
     return set(inspect.signature(QUESTIONS[name]).parameters)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.storage import stored
+
 
 def cosine(vector: Column, query: list[float]) -> Column:
     q = F.array(*map(F.lit, map(float, query)))
@@ -31,12 +33,15 @@ def tokens(text: Column) -> Column:
 def keyword_search(rows: DataFrame, query: str, k: int = 10, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R2: BM25 over the words of ``query`` longer than two letters; a row needs one of them.
 
-    Only rows that hold a word are shuffled, with their counts; lengths are summed in one pass.
+    Texts are split once: what is stored of a row is its length and how often it holds each word of the query. Lengths
+    are summed over all rows, and only rows that hold a word are shuffled.
     """
     words = sorted(set(re.findall(r"[a-z0-9]{3,}", query.lower())))
-    own = rows.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("len", F.size("t"))
+    own = rows.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    held = F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("w"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
+    own = stored(own.select(key, F.size("t").alias("len"), F.filter(held, lambda x: x["tf"] > 0).alias("held")), "term_counts")
     stats = own.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    tf = own.select(key, "len", F.explode(F.filter(F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("w"), F.size(F.filter("t", lambda x: x == w)).alias("tf"))), lambda s: s["tf"] > 0)).alias("s")).select(key, "len", "s.w", "s.tf")
+    tf = own.select(key, "len", F.explode("held").alias("s")).select(key, "len", "s.w", "s.tf")
     df = tf.groupBy("w").agg(F.count("*").alias("df"))  # a row for each word of the query
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))

@@ -22,14 +22,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, make: Callable[..., DataFrame], body: str | None = None, base: str = SQL_EVENTS, recursive: bool = False, needs: str = "l") -> None:
-    """Registers ``make`` with the tables named in ``needs``: log, mentions, nodes, edges, or spark and folder."""
+def query(name: str, make: Callable[..., DataFrame], body: str | None = None, base: str = SQL_EVENTS, recursive: bool = False, needs: str = "l", types: tuple[str, ...] | None = None, rels: tuple[str, ...] | None = None) -> None:
+    """Registers ``make`` with the tables named in ``needs``: log, mentions, nodes, edges, or spark and folder. ``types``
+    and ``rels`` say of which types and relationships it reads mentions and edges, if not of all."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if needs == "s":
             return make(spark, sf_dir)
         log = V.events(spark, sf_dir)
-        m = V.mentions(log) if set(needs) & set("mne") else None
-        parts = {"l": log, "m": m, "n": V.nodes(log, m) if "n" in needs else None, "e": V.edges(log, m) if "e" in needs else None}
+        m = V.mentions(log, types) if set(needs) & set("mn") else None
+        parts = {"l": log, "m": m, "n": V.nodes(log, m) if "n" in needs else None, "e": V.edges(log, m if rels is None else None, rels) if "e" in needs else None}
         return make(*(parts[c] for c in needs))
 
     QUERIES[name] = run
@@ -70,8 +71,8 @@ def _detail(log, m):
 
 # --- aggregates
 OVER = "count(*) AS total_logs, count(DISTINCT hostname) AS total_hosts, count(DISTINCT source_type) AS total_sources, count(*) FILTER (severity_score <= 4) AS total_alerts, count(*) FILTER (severity_score <= 2) AS total_critical, count(*) FILTER (severity_score = 3) AS error_level, count(*) FILTER (severity_score <= 3) AS total_errors, count(*) FILTER (severity_score = 4) AS total_warnings, min(timestamp) AS earliest_timestamp, max(timestamp) AS latest_timestamp"
-query("a1_overview", lambda log, m: A.overview(log, m), f"SELECT {OVER}, (SELECT count(DISTINCT value) FROM mentions WHERE type = 'user') AS total_users FROM log", SQL_MENTIONS, needs="lm")
-query("a1_overview_filtered", lambda log, m: A.overview(log, m, SOME), f"SELECT {OVER}, count(DISTINCT user_name) AS total_users FROM log WHERE {SOME_SQL}", SQL_MENTIONS, needs="lm")
+query("a1_overview", lambda log, m: A.overview(log, m), f"SELECT {OVER}, (SELECT count(DISTINCT value) FROM mentions WHERE type = 'user') AS total_users FROM log", SQL_MENTIONS, needs="lm", types=("user",))
+query("a1_overview_filtered", lambda log, m: A.overview(log, m, SOME), f"SELECT {OVER}, count(DISTINCT user_name) AS total_users FROM log WHERE {SOME_SQL}", SQL_MENTIONS, needs="lm", types=("user",))
 query("a2_by_day", lambda log: A.by_day(log, 14), f"SELECT * FROM (SELECT day AS bucket, count(*) AS total, {ALERT}, {ERR} FROM log GROUP BY day ORDER BY day DESC LIMIT 14) ORDER BY bucket")
 query("a3_within_day", lambda log: A.within_day(log, "2024-01-03"), f"SELECT substr(timestamp, 1, 13) AS bucket, count(*) AS total, {ALERT}, {ERR} FROM log WHERE day = '2024-01-03' GROUP BY 1")
 query("a3_within_day_minutes", lambda log: A.within_day(log, "2024-01-03", "minute"), f"SELECT substr(timestamp, 1, 16) AS bucket, count(*) AS total, {ALERT}, {ERR} FROM log WHERE day = '2024-01-03' GROUP BY 1")
@@ -126,7 +127,7 @@ for _name, _text in QUESTION_SQL.items():
         return questions.ask(_name, **dict(zip(_tables, frames, strict=True)))
 
     _base = SQL_GRAPH if set(_tables) & {"nodes", "edges"} else SQL_MENTIONS if "mentions" in _tables else SQL_EVENTS
-    query(_name, _make, _text, _base, needs="".join({"log": "l", "mentions": "m", "nodes": "n", "edges": "e"}[t] for t in _tables))
+    query(_name, _make, _text, _base, needs="".join({"log": "l", "mentions": "m", "nodes": "n", "edges": "e"}[t] for t in _tables), rels=questions.RELATIONSHIPS.get(_name))
 
 # --- statistics
 Z = """z AS (SELECT t.*, med AS baseline, n AS points, CASE WHEN n < 2 THEN 0.0 WHEN mad > 0 THEN 0.6745::DOUBLE * (v - med) / mad WHEN mean_off > 0 THEN (v - med) / (1.253314::DOUBLE * mean_off) ELSE 0.0 END AS z

@@ -39,16 +39,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def mentions(log: DataFrame) -> DataFrame:
-    return entities.mentions(log.withColumn("attributes", F.create_map(F.lit("user"), F.col("user_name"), F.lit("trace_id"), F.col("trace"), F.lit("file"), F.col("file"), F.lit("operation"), F.regexp_extract("process", "^(.*)d$", 1))))
+def mentions(log: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Of all types, or of those that a query asks for: a store of mentions would be read by type."""
+    return entities.mentions(log.withColumn("attributes", F.create_map(F.lit("user"), F.col("user_name"), F.lit("trace_id"), F.col("trace"), F.lit("file"), F.col("file"), F.lit("operation"), F.regexp_extract("process", "^(.*)d$", 1))), types)
 
 
 def nodes(log: DataFrame, m: DataFrame) -> DataFrame:
     return graph.nodes(log, m)
 
 
-def edges(log: DataFrame, m: DataFrame) -> DataFrame:
-    return graph.edges(log, m)
+def edges(log: DataFrame, m: DataFrame | None = None, rels: tuple[str, ...] | None = None) -> DataFrame:
+    return graph.edges(log, mentions(log, None if rels is None else graph.types_of(rels)) if m is None else m, rels)
 
 
 SQL_EVENTS = """
