@@ -156,7 +156,7 @@ def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "tex
 
 
 def scorer(model: str, weights: np.ndarray):
-    """A function from texts to (words, each language's mean log-probability of a word) for each."""
+    """A function from texts to (words, letters, each language's log-probability) for each."""
     voc, index, held = vocabulary(model), {}, [np.zeros((1 << 16, weights.shape[1]))]
 
     def learn_words(new: list[str]) -> None:
@@ -177,8 +177,8 @@ def scorer(model: str, weights: np.ndarray):
         if len(index) + len(distinct) > CACHE:
             index.clear()
         learn_words([w for w in distinct if w not in index])
-        sums = [held[0][list(map(index.__getitem__, own))].sum(axis=0) / max(1, len(own)) for own in split]
-        return list(zip(map(len, split), sums, strict=True))
+        sums = [held[0][list(map(index.__getitem__, own))].sum(axis=0) for own in split]
+        return list(zip(map(len, split), (sum(map(len, own)) for own in split), sums, strict=True))
 
     return score
 
@@ -188,24 +188,32 @@ SCHEMA = fields(lang_pred=StringType(), score=DoubleType(), words=LongType(), fi
 
 def predict(docs: DataFrame, model: str, langs: list[str], weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The language of each text; ``score``: its share of the languages' mean probabilities of a
-    word; ``fit``: its mean log-probability of a word."""
+    word; ``fit``: its mean log-probability of a letter."""
     spark = configure(docs.sparkSession)
     shared = spark.sparkContext.broadcast(weights)  # vocabulary times languages, MOST at most
 
     def make():
         score = scorer(model, shared.value)
 
-        def one(n, means):
+        def one(n, letters, sums):
             if not n or not langs:
                 return UND, 0.0, n, 0.0
-            best = int(np.argmax(means))
-            return langs[best], float(1 / np.exp(means - means[best]).sum()), n, float(means[best])
+            best = int(np.argmax(sums))
+            return langs[best], float(1 / np.exp((sums - sums[best]) / n).sum()), n, float(sums[best] / letters)
 
         return lambda texts: dict(zip(SCHEMA.names, zip(*(one(*x) for x in score(texts)), strict=True), strict=True))
 
     return map_texts(docs, make, SCHEMA, key, text)
 
 
+def least_fit(labelled: DataFrame, model: str, langs: list[str], weights: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> dict[str, float]:
+    """The least fit of labelled rows that are told right, by language; of as many rows as it is learned from."""
+    chosen = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = sampled(chosen, "key", "lang", rows).select(F.col("lang").alias("key"), "text")
+    told = predict(known, model, langs, weights, key="key").where("doc_id = lang_pred").groupBy("lang_pred").agg(F.min("fit").alias("least"))
+    return {r.lang_pred: r.least for r in told.collect()}  # a row for each language
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
