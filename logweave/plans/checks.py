@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import normalize
-from logweave.operators import entities, exports, insights, ledger, mining, quality
+from logweave.operators import entities, exports, insights, ledger, mining, quality, retrieval
 from logweave.schema import GENESIS
 from logweave.sources import readers
 from logweave.storage import new_path
@@ -211,7 +211,54 @@ def _never(lines: list[str]) -> None:
         raise OSError
 
 
+# --- entities of accounts, texts and host names
+def _account(log: DataFrame) -> DataFrame:
+    number = F.col("k").cast("string")
+    user = F.when(F.col("k") % 3 == 0, F.concat(F.lit("corp\\user-"), number)).when(F.col("k") % 3 == 1, F.concat(F.lit("user-"), number, F.lit("@corp.example"))).otherwise(F.concat(F.lit("auth:CORP\\user-"), number))
+    return log.select("id", F.lit("plain").alias("hostname"), F.lit("no entity").alias("message"), F.create_map(F.lit("Acct"), user, F.lit("none"), F.lit("x"), F.lit("opID"), F.lit("unset")).alias("attributes"))
+
+
+def _worded(log: DataFrame) -> DataFrame:
+    k = F.col("k").cast("string")
+    text = F.concat(F.lit("disk naa.6001438"), k, F.lit(" via vmnic3 for S-1-5-21-"), k, F.lit(" in GC("), k, F.lit(") at https://h.example/"), k, F.lit(" and vm-"), k, F.lit(" of 127.0.0.1"))
+    return log.select("id", F.concat(F.lit("web-"), k, F.lit("-6f577dd6c-ttv86")).alias("hostname"), text.alias("message"), F.create_map().cast("map<string,string>").alias("attributes"))
+
+
+def _rows(m: DataFrame) -> DataFrame:
+    return m.select("log_id", "type", "value")
+
+
+# --- retrieval: the first search that finds anything, and vectors for rows that have none
+def _cascade(log: DataFrame) -> DataFrame:
+    name, found = retrieval.retrieve([("exact", log.where("message = 'nothing says this'")), ("words", retrieval.substring_search(log, "error", 30)), ("all", log)])
+    return found.select("id", F.lit(name).alias("by"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+def _vectors(log: DataFrame) -> DataFrame:
+    some = log.select("id", "message", F.when(F.col("k") % 2 == 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"))
+    return retrieval.embed_missing(some, _lengths, dimension=3).select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
+# --- parsing of pairs
+def _pairs(log: DataFrame) -> DataFrame:
+    k = F.col("k").cast("string")
+    text = F.concat(F.lit("a="), k, F.lit(" b='x y' c=\"z="), k, F.lit("\" (d=(v)); e=done. a=2 f.g-h="), k, F.lit(","))
+    bag = normalize.kv_bag(text)
+    return log.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(bag)), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "|").alias("pairs"))
+
+
 def register(query) -> None:
+    accounts = "CASE k % 3 WHEN 1 THEN 'CORP.EXAMPLE' ELSE 'CORP' END"
+    query("g2_accounts", lambda log: _rows(entities.mentions(_account(log))), f"SELECT id AS log_id, 'user' AS type, 'user-' || k AS value FROM log UNION ALL SELECT id, 'domain', {accounts} FROM log")
+    found = {"device": "'naa.6001438' || k", "network_interface": "'vmnic3'", "security_id": "'S-1-5-21-' || k", "gc_cycle": "k::VARCHAR", "url": "'https://h.example/' || k", "vm": "'vm-' || k", "pod": "'web-' || k || '-6f577dd6c-ttv86'", "k8s_service": "'web-' || k"}
+    query("g3_worded", lambda log: _rows(entities.mentions(_worded(log))), " UNION ALL ".join(f"SELECT id AS log_id, '{t}' AS type, {v} AS value FROM log" for t, v in found.items()))
+    query("r4_cascade", _cascade, "SELECT id, 'words' AS by FROM log WHERE contains(message, 'error') ORDER BY severity_score, timestamp, id LIMIT 30")
+    query("r7_vectors", _vectors, "SELECT id, length(message) || ',1,0' AS vector FROM log WHERE k % 2 = 1")
+    query("p6_pairs", _pairs, "SELECT event_id, 'a:2|b:x y|c:z=' || k || '|d:(v))|e:done|f.g-h:' || k AS pairs FROM log")
     query("i2_blocks", lambda log: ledger.seal(log, SEALED_AT)[0].select("height", "event_count", "merkle_root", "hash", "prev_hash"), f"{_CHAIN} SELECT height, event_count, merkle_root, hash, prev_hash FROM ch", recursive=True)
     query("i4_verify", lambda log: ledger.verify(*_tampered(log)), "SELECT height::BIGINT AS height, kind FROM (VALUES (1, 'header_altered'), (3, 'merkle_mismatch')) t(height, kind) WHERE (SELECT count(*) FROM log) > 1505")
     query("i6_proofs", _proofs, f", {_LEAVES} SELECT height, count(*) AS events, true AS valid, ceil(log2(count(*)))::INTEGER AS longest FROM lv GROUP BY 1")
