@@ -33,7 +33,7 @@ FORMATS = (
 
 
 def _map(pairs: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), key)
+    return F.try_element_at(F.expr("map(" + ", ".join(_literal(x) for kv in pairs.items() for x in kv) + ")"), key)
 
 
 def empty_as_null(c: Column) -> Column:
@@ -107,42 +107,41 @@ def timestamp(text: Column, as_of: str) -> Column:
 _CUT = "\x01"
 
 
-def pairs_cover(line: Column) -> Column:
-    """Whether ``key=value`` pairs are three quarters of a line."""
-    pair = r"[A-Za-z_][\w.\-]*=(?:\"(?:[^\"\\]++|\\.)*+\"|\S*)"
-    return F.length(F.regexp_replace(line, pair, "")) <= 0.25 * F.length(line)
+def _literal(value) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def claim(line: Column) -> Column:
-    """The number of the first rule that a line belongs to, from 1, and its groups; or null."""
-
-    def one(k: int, r) -> tuple[Column, Column]:
-        holds = line.contains(r.holds) & line.rlike(r.pattern)
-        if r.name == "logfmt":
-            holds &= pairs_cover(line)
+def claim(line: str = "_line") -> Column:
+    """Of the column ``line``, the number of the first rule that it belongs to, from 1, and its groups; or null. One
+    expression, as a column for each step of each rule would take longer than the parse."""
+    pair = _literal(r"[A-Za-z_][\w.\-]*=(?:\"(?:[^\"\\]++|\\.)*+\"|\S*)")
+    covered = f"length(regexp_replace({line}, {pair}, '')) <= 0.25 * length({line})"  # P21: pairs are three quarters of a line
+    cases = []
+    for k, r in enumerate(RULES, 1):
         n = len(r.groups.split(","))
         whole = r.pattern if r.pattern.endswith("$") else rf"{r.pattern}[\s\S]*$"
         shown = _CUT.join([str(k), *(f"${g}" for g in range(1, n + 1))])
-        return holds, F.split(F.regexp_replace(line, whole, shown), _CUT, n + 1)
-
-    return reduce(lambda c, kr: c.when(*one(kr[0] + 1, kr[1])), enumerate(RULES), F)
+        more = f" AND {covered}" if r.name == "logfmt" else ""
+        cases.append(f"WHEN contains({line}, {_literal(r.holds)}) AND {line} RLIKE {_literal(r.pattern)}{more} THEN split(regexp_replace({line}, {_literal(whole)}, {_literal(shown)}), {_literal(_CUT)}, {n + 1})")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def _of_rule(values: list) -> Column:
-    """The entry of the claimed rule."""
-    return F.get(F.array(*map(F.lit, values)), F.col("_rule") - 1)
+    """The entry of the claimed rule. As one expression: a column for each literal would take longer than the parse."""
+    return F.expr(f"get(array({', '.join(map(_literal, values))}), _rule - 1)")
 
 
 def _group(name: str) -> Column:
     """The group of the claimed rule that holds ``name``, or null."""
-    at = _of_rule([g.index(name) + 1 if name in (g := r.groups.split(",")) else None for r in RULES])
-    return F.when(at.isNotNull(), empty_as_null(F.get(F.col("_found_parts"), at)))
+    at = ", ".join(_literal(g.index(name) + 1 if name in (g := r.groups.split(",")) else None) for r in RULES)
+    found = f"get(_found_parts, get(array({at}), _rule - 1))"
+    return F.expr(f"CASE WHEN trim({found}) <> '' THEN {found} END")
 
 
 def _named() -> Column:
     """The claimed rule's groups that are no fields, by name."""
-    names = F.get(F.array(*(F.array(*(F.lit(None if g in FIELDS else g) for g in ["", *r.groups.split(",")])) for r in RULES)), F.col("_rule") - 1)
-    pairs = F.zip_with(names, "_found_parts", lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    names = ", ".join("array(" + ", ".join(_literal(None if g in FIELDS else g) for g in ["", *r.groups.split(",")]) + ")" for r in RULES)
+    pairs = F.zip_with(F.expr(f"get(array({names}), _rule - 1)"), "_found_parts", lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     return F.map_from_entries(F.filter(pairs, lambda e: e["key"].isNotNull() & (e["key"] != "") & (F.trim(e["value"]) != "") & (e["value"] != "-")))
 
 
@@ -234,7 +233,7 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     line = F.coalesce(F.col(text), F.lit(""))
     is_json = F.trim(line).startswith("{") & F.trim(line).endswith("}")
     df = raw.select(*keep, line.alias("raw_message"), F.trim(line).alias("_line"), is_json.alias("_json"))
-    df = df.withColumn("_found_parts", F.when(~c("_json"), claim(c("_line"))))
+    df = df.withColumn("_found_parts", F.when(~c("_json"), claim()))
     df = df.withColumn("_rule", c("_found_parts")[0].try_cast("int"))
     df = df.select(*keep, "raw_message", "_line", "_json", "_rule", *(_group(n).alias(f"g_{n}") for n in _NAMES), F.coalesce(_named(), empty).alias("_own"), _said().alias("_said"))
 
