@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk
+from . import exactdedup, langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk
 from .common import new_path
 
 
@@ -67,7 +67,15 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_media, op3_secret_scan, op4_license_scan, op5_pii, op6_suffix_dedup, op7_sentencepiece, op8_top_k, op9_near_duplicates, op10_packing)}
+def op13_exact_duplicates(spark, sf_dir):
+    return exactdedup.mark(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_language_id, op2_media, op3_secret_scan, op4_license_scan, op5_pii, op6_suffix_dedup, op7_sentencepiece, op8_top_k, op9_near_duplicates, op10_packing,
+    op13_exact_duplicates,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +110,9 @@ sk AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(subs
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM sd LEFT JOIN sk USING (rid)""",
     "op9_near_duplicates": near_duplicate_sql(2, 80),
+    "op13_exact_duplicates": f"""
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size, row_number() OVER w = 1 AS kept, s AS text_sha256
+FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS s FROM documents) WINDOW w AS (PARTITION BY s ORDER BY doc_id DESC NULLS LAST)""",
     "op8_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
