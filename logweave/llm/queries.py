@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk
+from . import exactdedup, langid, licenses, media, neardup, packing, pii, secrets, sentencepiece_scan, suffixdedup, topk, whitening
 from .common import new_path
 
 
@@ -67,13 +67,17 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_duplicates(spark, sf_dir):
     return exactdedup.mark(table(spark, sf_dir, "documents"))
 
 
 _ALL = (
     op1_language_id, op2_media, op3_secret_scan, op4_license_scan, op5_pii, op6_suffix_dedup, op7_sentencepiece, op8_top_k, op9_near_duplicates, op10_packing,
-    op13_exact_duplicates,
+    op12_whitening, op13_exact_duplicates,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -1,6 +1,7 @@
 """Exact duplicates, hard negatives and whitening against brute force."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm import exactdedup
+from logweave.llm import exactdedup, whitening
 
 
 def lower(text):
@@ -76,3 +77,89 @@ def test_bits():
     assert (seen[exactdedup.bits_of(place[:5], 1024)] == 2).all() and seen.max() == 2
     segment, where = exactdedup.places(pa.array([bytes(32), b"\xff" * 32]), 7)
     assert segment.tolist() == [0, 6] and where.tolist() == [0, 2**32 - 1]
+
+
+def leverrier(a):
+    """The characteristic polynomial, constant first, by traces of powers."""
+    d = len(a)
+    c, m = [1], [[0] * d for _ in range(d)]
+    for k in range(1, d + 1):
+        m = [[sum(a[i][x] * m[x][j] for x in range(d)) + (c[-1] if i == j else 0) for j in range(d)] for i in range(d)]
+        c.append(-sum(a[i][x] * m[x][i] for i in range(d) for x in range(d)) // k)
+    return c[::-1]
+
+
+def gram(rng, d, rank, size):
+    g = [[rng.randrange(-size, size) for _ in range(d)] for _ in range(rank)]
+    return [[sum(r[i] * r[j] for r in g) for j in range(d)] for i in range(d)]
+
+
+@pytest.mark.parametrize(("d", "rank", "size"), [(1, 1, 5), (2, 1, 9), (5, 5, 10**6), (7, 3, 100), (9, 12, 10**12)])
+def test_characteristic_polynomial(spark, d, rank, size):
+    a = gram(random.Random(d), d, rank, size)
+    p = whitening.characteristic(spark, a)
+    assert p == leverrier(a)
+    assert d - whitening.Roots(p, 0).zeros == min(d, rank)
+
+
+def test_roots_and_null_vectors(spark):
+    """Roots known beforehand, some repeated, some 2^-150 of the others apart."""
+    big = 1 << 170
+    values = [7 * big, 5 * big + 1, 5 * big, 5 * big, 3, 0]
+    # a rotation by whole numbers: the reflection 3 I - v v' of v = (1, 1, 1, 1, 1, 1) is 3 times an orthogonal matrix
+    q = [[(3 if i == j else 0) - 1 for j in range(6)] for i in range(6)]
+    a = [[sum(q[i][x] * values[x] * q[j][x] for x in range(6)) for j in range(6)] for i in range(6)]
+    p = whitening.characteristic(spark, a)
+    roots = whitening.Roots(p, 30)
+    assert [roots.largest(k)[1] for k in (1, 2, 5)] == [v * 9 << 30 for v in (7 * big, 5 * big + 1, 3)]
+    assert roots.largest(3) == roots.largest(4) == ((45 * big << 30) - 1, 45 * big << 30, 2)
+    found = whitening.components(spark, a)
+    assert len(found) == 5
+    for (x, bits, v), value in zip(found, values, strict=False):
+        assert abs(x / (9 * value << bits) - 1) < 1e-12
+    vectors = np.array([v for _, _, v in found])
+    assert np.abs(vectors @ vectors.T - np.eye(5)).max() < 1e-15
+    for k in (0, 1, 4):
+        assert np.abs(np.abs(vectors[k]) - np.abs(np.array(q[k]) / 3)).max() < 1e-15
+
+
+def brute_whitened(vectors, most=16):
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for v in vectors])
+    fit = np.unique(x, axis=0)
+    n = len(fit)
+    mid = fit.sum(axis=0) / n
+    values, axes = np.linalg.eigh((fit - mid).T @ (fit - mid) / n)
+    values, axes = values[::-1][:most], axes[:, ::-1][:, :most]
+    deviations = [sum((n * int(c) - int(s)) ** 2 for c, s in zip(r, fit.sum(axis=0), strict=True)) for r in x]
+    return n, deviations, (x - mid) @ axes / np.sqrt(values), values / np.trace((fit - mid).T @ (fit - mid) / n)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 3e14])
+def test_whitening(spark, scale):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 20)) @ rng.normal(size=(20, 20)) * scale
+    v = np.r_[v, np.repeat(v[:1], 200, axis=0)]
+    rows = [(i, [float(c) for c in r], "x") for i, r in enumerate(v)]
+    out = [(None, None, "y"), (900, [], "y"), (901, [1.0] * 19 + [float("nan")], "y"), (902, [1.0] * 19 + [None], "y"), (903, [1.0] * 3, "y"), (904, [1.0] * 19 + [float("inf")], "y")]
+    df = spark.createDataFrame(rows + out, "vec_id long, embedding array<double>, u string").repartition(5)
+    got = whitening.whiten(df).collect()
+    n, deviations, white, explained = brute_whitened(v)
+    assert len(got) == 600 * 16 and n == 400 and {r.n for r in got} == {400}
+    flat = {(r.vec_id, r.component): r for r in got}
+    own = np.array([[flat[i, k + 1].whitened for k in range(16)] for i in range(600)])
+    own *= np.sign((own * white).sum(axis=0))
+    assert np.abs(own - white).max() < 1e-6
+    assert all(flat[i, 1].deviation == (d if d < 2**63 else None) for i, d in enumerate(deviations))
+    assert all(abs(flat[0, k + 1].explained / e - 1) < 1e-9 for k, e in enumerate(explained))
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-9
+
+
+def test_whitening_degenerate(spark):
+    """No rows, one vector, and fewer directions than components."""
+    schema = "vec_id string, embedding array<float>"
+    assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0])], schema)).count() == 0
+    line = whitening.whiten(spark.createDataFrame([("a", [1.0, 2.0, 0.0]), ("a", [1.0, 2.0, 0.0]), (None, [3.0, 4.0, 0.0])], schema)).collect()
+    assert sorted((r.vec_id or "", r.component, r.n, round(abs(r.whitened), 12)) for r in line) == [("", 1, 2, 1.0), ("a", 1, 2, 1.0), ("a", 1, 2, 1.0)]
+    square = whitening.whiten(spark.createDataFrame([(str(i), [float(i % 2), float(i // 2)]) for i in range(4)], schema)).collect()
+    assert len(square) == 8 and square[0].explained == 0.5 and square[0].identity_error < 1e-12
