@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logweave.llm import exactdedup, whitening
+from pyspark.sql import functions as F
+
+from logweave.llm import exactdedup, hardneg, whitening
 
 
 def lower(text):
@@ -163,3 +165,85 @@ def test_whitening_degenerate(spark):
     assert sorted((r.vec_id or "", r.component, r.n, round(abs(r.whitened), 12)) for r in line) == [("", 1, 2, 1.0), ("a", 1, 2, 1.0), ("a", 1, 2, 1.0)]
     square = whitening.whiten(spark.createDataFrame([(str(i), [float(i % 2), float(i // 2)]) for i in range(4)], schema)).collect()
     assert len(square) == 8 and square[0].explained == 0.5 and square[0].identity_error < 1e-12
+
+
+def whole(v):
+    if v is None or not len(v) or any(c is None or not math.isfinite(c) for c in v):
+        return None
+    return [math.floor(256 * c) for c in v]
+
+
+def brute_negatives(rows, is_anchor, positives=5, negatives=10):
+    rows = [(i, y, w) for i, v, y in rows if i is not None and y is not None and (w := whole(v)) is not None]
+    out = []
+    dot = lambda a, b: sum(x * z for x, z in zip(a, b, strict=True))
+    for i, y, w in rows:
+        if not is_anchor(i):
+            continue
+        like = [r for r in rows if len(r[2]) == len(w)]
+        own = sorted((-dot(w, x), j) for j, z, x in like if z == y and j != i)[:positives]
+        other = sorted((-dot(w, x), j) for j, z, x in like if z != y)
+        for p, j in own:
+            fit = [(s, n) for s, n in other if 30 * -p <= 100 * -s <= 90 * -p][:negatives]
+            out += [(i, j, r + 1, n, -p, -s) for r, (s, n) in enumerate(fit)]
+    return sorted(out)
+
+
+def labelled_vectors(seed, n, dims, spread):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dims))
+    y = rng.integers(0, 6, n)
+    v = (centres[y] + rng.normal(size=(n, dims)) * spread) * rng.lognormal(0, 0.7, size=(n, 1))
+    rows = [(i, [float(np.float32(c)) for c in r], int(z)) for i, (r, z) in enumerate(zip(v, y, strict=True))]
+    rows += [(n + i, rows[7][1], 1) for i in range(n // 3)]  # one vector under many ids
+    rows += [(n + 900, [0.0] * dims, 1), (n + 901, [1.0] * (dims - 1), 1), (n + 903, [1.5] * (dims - 1), 2), (n + 904, [2.0] * (dims - 1), 1)]
+    rows += [(None, rows[1][1], 1), (n + 905, None, 1), (n + 906, rows[2][1], None), (n + 907, [], 2), (n + 908, [float("nan")] * dims, 2), (n + 909, [1.0, None] + [0.0] * (dims - 2), 2)]
+    return [*rows, rows[3], rows[3], rows[20], (40, rows[41][1], 5)]  # repeated rows, anchors among them
+
+
+@pytest.mark.parametrize(("cells", "spread"), [(2**19, 0.4), (700, 0.4), (700, 3.0)])
+def test_hard_negatives(spark, monkeypatch, cells, spread):
+    monkeypatch.setattr(hardneg, "CELLS", cells)
+    monkeypatch.setattr(hardneg, "ROUND", 16 * 2**20 if cells > 1000 else 8000)
+    rows = labelled_vectors(5, 500, 7, spread)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).selectExpr("*", "1 as q", "2 as rank", "3 as place")
+    got = hardneg.mine(df, F.col("vec_id") % 20 == 0, F.col("label")).collect()
+    assert sorted(tuple(r) for r in got) == brute_negatives(rows, lambda i: i % 20 == 0)
+
+
+def test_hard_negatives_empty_and_large(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    every = F.lit(True)
+    assert hardneg.mine(spark.createDataFrame([], schema), every, F.col("label")).count() == 0
+    assert hardneg.mine(spark.createDataFrame([(1, [1.0], 1)], schema), every, F.col("label")).count() == 0
+    rows = [(i, [2.0**20 * (1 + i % 5), 2.0**21 + i, -3.0], i % 2) for i in range(20)]  # scores beyond 2^52
+    got = hardneg.mine(spark.createDataFrame(rows, schema), every, F.col("label")).collect()
+    assert max(r.positive_score for r in got) > 2**52
+    assert sorted(tuple(r) for r in got) == brute_negatives(rows, lambda i: True)
+
+
+def bucket_of(v):
+    orders = np.argsort(v, axis=0, kind="stable").T.astype("<u2")
+    size = float(np.sqrt((v * v).sum(axis=1)).max())
+    ids = np.arange(len(v)).astype("<i8")
+    return hardneg.Bucket(v.shape[1], size, ids.tobytes(), np.zeros(len(v), "<i8").tobytes(), 4, v.astype("<i4").tobytes(), orders.tobytes())
+
+
+def test_pruning_is_sound_and_prunes():
+    """No row at or over a bound is missed, and most rows far from the query are passed over."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(4000, 6)) * rng.lognormal(0, 0.5, size=(4000, 1))
+    v = np.floor(v[np.argsort(-np.sqrt((v * v).sum(axis=1)))] * 256)
+    buckets = [(at, bucket_of(v[at : at + 400])) for at in range(0, 4000, 400)]
+    scored = 0
+    for q in np.floor(rng.normal(size=(40, 6)) * 256):
+        scores, length = v @ q, float(np.sqrt(q @ q))
+        for least in (scores.max(), np.partition(scores, -10)[-10], 1.0):
+            for at, b in buckets:
+                rows = b.candidates(q, length, least)
+                want = np.flatnonzero(scores[at : at + 400] >= least)
+                assert rows is None or set(want) <= set(rows.tolist())
+                assert not (len(want) and b.beyond(length, least))
+                if least == scores.max() and not b.beyond(length, least):
+                    scored += 400 if rows is None else len(rows)
+    assert scored / (40 * 4000) < 0.3
