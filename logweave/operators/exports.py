@@ -220,17 +220,17 @@ def upsert(stored: DataFrame | None, new: DataFrame, key: str = "id", order: str
     return fresh if stored is None else stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
-def upsert_days(spark, path: str, new: DataFrame, key: str = "id", order: str = "created_at") -> None:
+def upsert_days(spark, path: str, new: DataFrame, key: str = "id", order: str = "created_at", stable: bool = False) -> None:
     """X13 on a table by day: rewrites the days that ``new`` touches, and those on which its keys stood before.
 
     Which days these are is found by keys and days alone; the rows of these days are stored apart before
-    anything is overwritten, so that a lost executor loses nothing.
+    anything is overwritten, so that a lost executor loses nothing. ``stable`` says that ``new`` is stored already.
     """
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         upsert(None, new, key, order).write.partitionBy("day").parquet(path)
         return
-    new = stored(new, "upsert_new")
+    new = new if stable else stored(new, "upsert_new")
     table = spark.read.parquet(path)
     moved = table.select(key, "day").join(new.select(key).distinct(), key, "left_semi").select("day")
     days = moved.unionByName(new.select("day")).distinct()
