@@ -123,11 +123,13 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
             places, base = [], set()
             for phrase, label in exact:
-                at = joined.find(phrase)
+                last, n, at = 0, 0, joined.find(phrase)
                 while at >= 0:
-                    places.append(joined.count(" ", 0, at))
+                    # words before a place: those before the last one, and those between
+                    n += joined.count(" ", last, at)
+                    places.append(n)
                     base.add(label)
-                    at = joined.find(phrase, at + 1)
+                    last, at = at, joined.find(phrase, at + 1)
             fuzzy = search(joined)
             likeness = [1 - e / (b - a) if b > a else 0.0 for _, a, b, e in fuzzy]
             return (
