@@ -7,34 +7,43 @@ and maximisation: from a uniform model, a forward-backward pass gives the expect
 piece in every word; summed by language, these become probabilities.
 
 Learning reads whole texts of labelled rows: of a language with more than ``SAMPLE`` labelled
-rows, about so many, chosen by a hash of their id. Counts are summed inside each task before
-they are shuffled, and what reaches the driver is bounded by vocabulary times languages. Words of
+rows, about so many, chosen by a hash of their id (and of the text, where the id is null). Counts are summed inside each task before
+they are shuffled, and stored. Words of
 equal length go through the passes together, and a task keeps the scores of words it has seen.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; equal texts get equal
+Languages are scored in blocks of ``MOST``, each a pass over the texts that takes along the best language so far, so what reaches the
+driver and each task at a time is bounded by vocabulary times ``MOST``, and no number of languages is too large.
+
+Defined results: a null text or one without a letter (of a category of letters in Unicode; numerals such as \u00bd or \u2167 are none) is
+``und`` with score 0; equal texts get equal
 predictions; ties go to the first language in order; rows whose language is null teach nothing;
-without any labelled row every text is ``und``; more than ``MOST`` languages are an error; letters that
+without any labelled row every text is ``und``; letters that
 no piece covers count alike for all languages; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import configure, fields, map_rows, map_texts
+from .common import configure, fields, map_rows, stored
 from .vocabulary import Vocabulary, by_length
 
 UND = "und"
 #: Labelled rows that teach a language, about.
 SAMPLE = 600
-#: Languages that can be told apart: the model that goes to every task has a column for each.
+#: Languages of a block: the model that goes to every task has a column for each.
 MOST = 200
 #: Words kept by a task with their scores; then it starts anew, which changes no result.
 CACHE = 1_000_000
@@ -42,7 +51,14 @@ CACHE = 1_000_000
 RESCALE = 8
 #: Pseudo-count of each piece, and the probability of a letter that no piece covers.
 SMOOTH, UNKNOWN = 0.05, 1e-9
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(1)
+def word_pattern() -> re.Pattern:
+    """Letters in a row: what counts as part of a word, without digits and other numerals."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return re.compile(rf"[^\W\d_{numerals}]+")
+
 
 
 @lru_cache(4)
@@ -56,7 +72,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def words(text: str) -> list[str]:
-    return ["▁" + w for w in _WORD.findall(text.lower())]
+    return ["▁" + w for w in word_pattern().findall(text.lower())]
 
 
 def forward(found: list[str], n: int, voc: Vocabulary, weights: np.ndarray, trail: list | None = None) -> np.ndarray:
@@ -112,15 +128,47 @@ def sampled(labelled: DataFrame, key: str, lang: str, rows: int) -> DataFrame:
     """All rows of a language with at most ``rows``, else about so many, by a hash of the id."""
     counts = labelled.groupBy(lang).count().where(F.col("count") > rows)
     share = F.broadcast(counts.select(F.col(lang).alias("_lang"), (F.lit(rows) / F.col("count")).alias("_share")))  # a row for each language
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    known = F.xxhash64(F.col(key).cast("string"))
+    drawn = F.when(F.col(key).isNull(), F.xxhash64("text")).otherwise(known)
+    draw = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
     return labelled.join(share, labelled[lang] == F.col("_lang"), "left").where(F.col("_share").isNull() | (draw < F.col("_share"))).drop("_lang", "_share")
 
 
-def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and a column of piece probabilities for each."""
+@dataclass
+class Learned:
+    """The languages in order, and expected uses ``n`` of each piece by language, stored."""
+
+    model: str
+    langs: list[str]
+    counts: DataFrame
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """At most MOST languages at a time, with a column of piece probabilities for each."""
+        voc = vocabulary(self.model)
+        for at in range(0, max(1, len(self.langs)), MOST):
+            langs = self.langs[at : at + MOST]
+            weights = np.zeros((voc.size + 2, len(langs)))
+            if langs:
+                own = self.counts if len(self.langs) <= MOST else self.counts.where(F.col("lang").between(langs[0], langs[-1]))
+                column = {g: k for k, g in enumerate(langs)}
+                for r in own.toLocalIterator():  # at most one row for each language of the block and piece
+                    weights[r.piece, column[r.lang]] = r.n
+            # rounded, so that the order in which counts were added up does not show
+            used = weights[: voc.size]
+            weights[: voc.size] = np.round((used + SMOOTH) / (used.sum(axis=0) + SMOOTH * voc.size), 12)
+            weights[voc.size + 1] = UNKNOWN
+            yield langs, weights
+
+
+def _labelled(labelled: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    chosen = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    return chosen.where("lang is not null and text is not null")
+
+
+def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> Learned:
+    """What ``predict`` needs to know of the languages of ``labelled``."""
     configure(labelled.sparkSession)
     schema = fields(lang=StringType(), piece=LongType(), n=DoubleType())
-    chosen = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def make():
         voc = vocabulary(model)
@@ -140,19 +188,9 @@ def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "tex
 
         return work
 
-    counts = map_rows(sampled(chosen, "key", "lang", rows).select("lang", "text"), make, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    voc, tables = vocabulary(model), {}
-    for r in counts.collect():  # at most one row for each language and piece
-        tables.setdefault(r.lang, np.zeros(voc.size))[r.piece] = r.n
-    langs = sorted(tables)
-    if len(langs) > MOST:
-        raise ValueError(f"more than {MOST} languages")
-    weights = np.zeros((voc.size + 2, len(langs)))
-    for k, g in enumerate(langs):
-        # rounded, so that the order in which counts were added up does not show
-        weights[: voc.size, k] = np.round((tables[g] + SMOOTH) / (tables[g].sum() + SMOOTH * voc.size), 12)
-    weights[voc.size + 1] = UNKNOWN
-    return langs, weights
+    chosen = sampled(_labelled(labelled, key, text, lang), "key", "lang", rows)
+    counts = stored(map_rows(chosen.select("lang", "text"), make, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")), "piece_counts")
+    return Learned(model, sorted(r.lang for r in counts.select("lang").distinct().collect()), counts)  # a name for each language
 
 
 def scorer(model: str, weights: np.ndarray):
@@ -183,35 +221,81 @@ def scorer(model: str, weights: np.ndarray):
     return score
 
 
-SCHEMA = fields(lang_pred=StringType(), score=DoubleType(), words=LongType(), fit=DoubleType())
+#: The best language so far, its log-probability, the sum of all languages' shares against it, words and letters.
+STATE = fields(_lang=StringType(), _top=DoubleType(), _z=DoubleType(), _words=LongType(), _letters=LongType())
 
 
-def predict(docs: DataFrame, model: str, langs: list[str], weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The language of each text; ``score``: its share of the languages' mean probabilities of a
-    word; ``fit``: its mean log-probability of a letter."""
-    spark = configure(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(weights)  # vocabulary times languages, MOST at most
+def _better(old: tuple, new: tuple) -> tuple:
+    """The state after one more block of languages."""
+    (lang, top, z, n, letters), (lang2, top2, z2, _, _) = old, new
+    if lang is None or lang2 is None:
+        return new if lang is None else old
+    if top2 > top:
+        return lang2, top2, float(z2 + z * np.exp((top - top2) / n)), n, letters
+    return lang, top, float(z + z2 * np.exp((top2 - top) / n)), n, letters
 
-    def make():
-        score = scorer(model, shared.value)
 
-        def one(n, letters, sums):
-            if not n or not langs:
-                return UND, 0.0, n, 0.0
-            best = int(np.argmax(sums))
-            return langs[best], float(1 / np.exp((sums - sums[best]) / n).sum()), n, float(sums[best] / letters)
+def _scored(rows: DataFrame, text: str, learned: Learned) -> DataFrame:
+    """``rows`` with the columns of STATE. Other columns pass through Arrow as they are; a text goes there once."""
+    spark = configure(rows.sparkSession)
+    plain, at = len(rows.columns), rows.columns.index(text)
+    schema = StructType([*rows.schema.fields, *STATE.fields])
+    types = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    out, model = rows, learned.model
+    for langs, weights in learned.blocks():
+        shared = spark.sparkContext.broadcast(weights)  # vocabulary times MOST
+
+        def run(batches: Iterator[pa.RecordBatch], langs=langs, shared=shared) -> Iterator[pa.RecordBatch]:
+            score = scorer(model, shared.value)
+
+            def one(n, letters, sums):
+                if not n or not langs:
+                    return None, 0.0, 0.0, n, letters
+                best = int(np.argmax(sums))
+                return langs[best], float(sums[best]), float(np.exp((sums - sums[best]) / n).sum()), n, letters
+
+            for b in batches:
+                if b.num_rows:
+                    found = [one(*x) for x in score(b.column(at).to_pylist())]
+                    if b.num_columns > plain:
+                        old = zip(*(c.to_pylist() for c in b.columns[plain:]), strict=True)
+                        found = [_better(o, f) for o, f in zip(old, found, strict=True)]
+                    state = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:plain], *state], names=schema.names)
+
+        out = out.mapInArrow(run, schema)
+        if len(learned.langs) > MOST:
+            out = stored(out, "scored")
+    return out
+
+
+def _told() -> list[F.Column]:
+    known = F.col("_lang").isNotNull()
+    return [
+        F.coalesce("_lang", F.lit(UND)).alias("lang_pred"), F.when(known, 1 / F.col("_z")).otherwise(0.0).alias("score"), F.col("_words").alias("words"),
+        F.when(known, F.col("_top") / F.col("_letters")).otherwise(0.0).alias("fit"),
+    ]
+
+
+def predict(docs: DataFrame, learned: Learned, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The language of each text; ``score``: its share of the languages' mean probabilities of a
+    word; ``fit``: its mean log-probability of a letter."""
+    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return _scored(chosen, "text", learned).select("doc_id", *_told())
 
-        return lambda texts: dict(zip(SCHEMA.names, zip(*(one(*x) for x in score(texts)), strict=True), strict=True))
 
-    return map_texts(docs, make, SCHEMA, key, text)
+def annotate(docs: DataFrame, learned: Learned, text: str = "text") -> DataFrame:
+    """(row, lang_pred, score, words, fit): the rows of ``docs`` as structures, whatever their columns are called."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.withColumn(text, F.col(text).cast("string")).toDF(*names)
+    row = F.struct(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    return _scored(plain, names[docs.columns.index(text)], learned).select(row.alias("row"), *_told())
 
 
-def least_fit(labelled: DataFrame, model: str, langs: list[str], weights: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> dict[str, float]:
-    """The least fit of labelled rows that are told right, by language; of as many rows as it is learned from."""
-    chosen = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    known = sampled(chosen, "key", "lang", rows).select(F.col("lang").alias("key"), "text")
-    told = predict(known, model, langs, weights, key="key").where("doc_id = lang_pred").groupBy("lang_pred").agg(F.min("fit").alias("least"))
-    return {r.lang_pred: r.least for r in told.collect()}  # a row for each language
+def least_fit(labelled: DataFrame, learned: Learned, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> DataFrame:
+    """(lang_pred, least): the least fit of labelled rows that are told right, by language; of as many rows as it is learned from."""
+    known = sampled(_labelled(labelled, key, text, lang), "key", "lang", rows).select(F.col("lang").alias("key"), "text")
+    return predict(known, learned, key="key").where("doc_id = lang_pred").groupBy("lang_pred").agg(F.min("fit").alias("least"))
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -220,5 +304,4 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 def identify(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out, predicts all."""
-    langs, weights = learn(docs.where(~held_out(key)), model, key, text, lang)
-    return predict(docs, model, langs, weights, key, text).withColumn("held_out", held_out("doc_id"))
+    return predict(docs, learn(docs.where(~held_out(key)), model, key, text, lang), key, text).withColumn("held_out", held_out("doc_id"))

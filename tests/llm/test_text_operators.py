@@ -294,9 +294,10 @@ def test_language_unknown_letters_teach_and_get_no_nan(spark):
     data = [(i, "the cat sat on the mat and the dog", "en") for i in range(6)] + [(10 + i, "die katze sass auf der matte und der hund", "de") for i in range(6)]
     data += [(30, "die katze " + "ሀ" * 47, "de"), (31, "ሀ" * 60, None), (32, "the cat sat on the mat", None), (33, "ab" * 10_000, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    langs, weights = langid.learn(docs, MODEL)
-    assert langs == ["de", "en"] and (weights >= 0).all()
-    got = {r.doc_id: r for r in langid.predict(docs, MODEL, langs, weights).collect()}
+    learned = langid.learn(docs, MODEL)
+    blocks = list(learned.blocks())
+    assert [b[0] for b in blocks] == [["de", "en"]] and (blocks[0][1] >= 0).all()
+    got = {r.doc_id: r for r in langid.predict(docs, learned).collect()}
     assert got[32].lang_pred == "en" and got[30].lang_pred == "de"
     assert all(0 <= r.score <= 1 for r in got.values())
 
@@ -312,6 +313,48 @@ def test_language_learning(spark):
     assert by[100].lang_pred == by[101].lang_pred == "und" and by[102].lang_pred == "en"
 
 
+def test_language_needs_letters(spark):
+    """Numerals of any kind are no words; letters of any script are."""
+    data = [(0, "the house and the water", "en"), (1, "das haus und der wasser", "de"), (2, "½ ②", None), (3, "² ³", "en"), (4, "Ⅷ ⅷ", None), (5, "٣ 4 _", None), (6, "x²", None), (7, "ª", None)]
+    docs = spark.createDataFrame(data * 3, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score, r.words) for r in langid.predict(docs, langid.learn(docs, MODEL)).collect()}
+    assert all(got[i] == ("und", 0.0, 0) for i in (2, 3, 4, 5))
+    assert got[6][0] != "und" and got[6][2] == 1 and got[7][2] == 1 and got[0][0] == "en"
+
+
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than a block has, scored in passes, as in one."""
+    words = ["house", "wasser", "maison", "casa", "huis", "hus", "talo"]
+    data = [(10 * k + i, f"{w} {w}s {words[(k + i) % 7]} {w}", f"l{k}") for k, w in enumerate(words) for i in range(4)] + [(900, None, "l1"), (901, "1", None), (902, "maisons huis", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in langid.predict(docs, langid.learn(docs, MODEL)).collect()}
+    monkeypatch.setattr(langid, "MOST", 2)
+    learned = langid.learn(docs, MODEL)
+    assert [b[0] for b in learned.blocks()] == [["l0", "l1"], ["l2", "l3"], ["l4", "l5"], ["l6"]]
+    for r in langid.predict(docs, learned).collect():
+        w = whole[r.doc_id]
+        assert (r.lang_pred, r.words) == (w.lang_pred, w.words) and abs(r.score - w.score) < 1e-9 and abs(r.fit - w.fit) < 1e-9
+    rows = langid.annotate(docs.selectExpr("*", "1 as fit", "2 as `a.b`", "3 as _lang"), learned)
+    assert rows.select("row.*").columns == ["doc_id", "text", "lang", "fit", "a.b", "_lang"] and rows.count() == len(data)
+
+
+def test_language_sample_is_bounded_for_null_ids(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as key", "cast(id as string) as text", "'x' as lang")
+    assert 50 < langid.sampled(rows, "key", "lang", 100).count() < 200
+
+
+def test_licence_places_in_linear_time(spark):
+    import time
+
+    text = "all rights reserved cc by " * 40_000
+    docs = spark.createDataFrame([(1, "x"), (2, text)], "doc_id long, text string").coalesce(1)
+    licenses.find_licenses(docs.limit(1)).collect()
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.find_licenses(docs).collect()}[2]
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (200_000, 80_000, 0, 199_998, "cc-by,reserved")
+    assert time.perf_counter() - start < 20
+
+
 def test_tokens_match_the_tokenizer():
     """Of hard texts, and of the whole table at two sizes."""
     import pyarrow.parquet as pq
