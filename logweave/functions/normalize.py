@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from logweave.schema import SEVERITY_SCORES
 
-from .rules import ALIASES, BAD_STATES, FACILITIES, FIELDS, ISO, JSON_RULES, LEVELS, REDIS_MARKS, REDIS_ROLES, RULES, SD_SOURCES, TAGS
+from . import fallback
+from .rules import ALIASES, BAD_STATES, FACILITIES, FIELDS, JSON_RULES, LEVELS, REDIS_MARKS, REDIS_ROLES, RULES, SD_SOURCES, TAGS
 
 FALLBACK = "generic_fallback"
 RAW_CAP = 32_768
@@ -45,7 +46,7 @@ def clean(text: Column) -> Column:
     out = F.translate(text, "﻿\x00", "")
     for code, char in (("#011", "\t"), ("#012", "\n"), ("#015", "\r"), ("#033", "\x1b"), ("#040", " ")):
         out = F.replace(out, F.lit(code), F.lit(char))
-    return F.trim(out)
+    return F.btrim(out, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def to_map(entries: Column, last: bool = True) -> Column:
@@ -268,22 +269,22 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     sd = F.when(c("g_sdid").isNotNull(), F.create_map(F.lit("sdid"), c("g_sdid")))
     df = df.withColumn("attributes", with_own(F.coalesce(bag, empty), with_own(c("_own"), F.coalesce(pri, sd, empty))))
     attribute = lambda *keys: F.coalesce(*(empty_as_null(F.try_element_at("attributes", F.lit(k))) for k in keys))
-    of_kv = lambda *keys: F.when(form.isin("fortinet_kv", "sophos_kv", "logfmt", "cef", "leef", "aria_automation_springboot", FALLBACK), attribute(*keys))
+    of_kv = lambda *keys: F.when(form.isin("fortinet_kv", "sophos_kv", "logfmt", "cef", "leef", "aria_automation_springboot"), attribute(*keys))
     of_appliance = lambda *keys: F.when(form.isin("fortinet_kv", "sophos_kv"), attribute(*keys))
     df = df.withColumn("_binary", binary).withColumn("_minio", F.when(c("g_minio").isNotNull(), minio(c("g_minio"))))
 
-    # A host in the slot after a time, or a full name; none is guessed from binary
-    guess_from = F.when(lost & ~c("_binary"), c("_line"))
-    slot = empty_as_null(F.regexp_extract(guess_from, r"^(?:<\d+>)?" + ISO + r"\s+([A-Za-z][\w.\-]*\d[\w.\-]*|[\w\-]+(?:\.[\w\-]+)+)\s", 2))
-    full = empty_as_null(F.regexp_extract(guess_from, r"\b([a-zA-Z][\w\-]*(?:\.[\w\-]+){2,})\b", 1))
-    bare = empty_as_null(F.regexp_extract(guess_from, r"(?:^|\s)([A-Za-z][\w./\-]*)\[\d+\]:", 1))
+    # Lines that no rule claims tell by place; none is guessed from binary
+    guessed = lost & ~c("_binary")
+    df = df.withColumn("_body", F.when(guessed, fallback.body(c("_line")))).withColumn("_lost_host", F.when(guessed, fallback.host(c("_body"), c("attributes"))))
+    df = df.withColumn("_rest", F.when(guessed, fallback.behind(c("_body"), c("_lost_host"))))
+    lost_process, lost_pid = (F.when(guessed, f(c("_rest"), c("attributes"))) for f in (fallback.process, fallback.pid))
     given = lambda x: F.when(F.col(x) != "-", F.col(x))
-    host = F.coalesce(given("g_host"), of_json("host"), of_kv("host", "hostname", "devname", "device_name", "dvchost", "dhost", "devid", "device"), slot, full)
+    host = F.coalesce(given("g_host"), of_json("host"), of_kv("host", "hostname", "devname", "device_name", "dvchost", "dhost", "devid", "device"), c("_lost_host"))
     of_process = F.coalesce(of_appliance("log_component", "log_type", "type"), F.when(form == "logfmt", attribute("app", "component", "process", "service", "program", "namespace")), of_kv("app", "process", "service", "program"))
-    process = F.coalesce(given("g_process"), of_json("process"), of_process, _of_rule([r.process for r in RULES]), bare)
+    process = F.coalesce(given("g_process"), of_json("process"), of_process, _of_rule([r.process for r in RULES]), lost_process)
     two = F.when(form.isin("fortinet_kv", "sophos_kv") & attribute("date").isNotNull() & attribute("time").isNotNull(), F.concat_ws(" ", attribute("date"), attribute("time")))
     stated = of_kv("rt", "devTime", "eventtime", "ts", "time_stamp", "timestamp", "at")
-    when = F.coalesce(given("g_timestamp"), of_json("timestamp"), c("_minio.time"), stated, two, of_kv("time"), F.when(lost, empty_as_null(F.regexp_extract("_line", ISO, 1))))
+    when = F.coalesce(given("g_timestamp"), of_json("timestamp"), c("_minio.time"), stated, two, of_kv("time"), F.when(lost, fallback.time(c("_line"))))
     of_component = F.coalesce(of_appliance("log_subtype", "subtype", "log_type", "type"), F.when(form == "windows_security_event", attribute("task")), F.when(form == "horizon_view_audit", attribute("Module")))
     component = F.coalesce(given("g_component"), of_json("component"), of_component, "g_logger", attribute("subcomp", "comp", "sub", "component"), _of_rule([r.component for r in RULES]))
     api = lambda f: F.coalesce(c(f"_minio.api.{f}"), F.lit(""))
@@ -344,7 +345,7 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     return df.select(
         *keep, F.concat(F.lit("log-"), F.substring(F.md5(identity), 1, 16)).alias("id"), iso.alias("timestamp"), F.when(c("_when").isNotNull(), "event").otherwise("ingest").alias("timestamp_source"),
         F.coalesce(F.abs(F.datediff(F.lit(as_of).cast("date"), c("event_ts").cast("date"))) > 730, F.lit(False)).alias("timestamp_anomalous"), day.alias("day"), host.alias("hostname"),
-        source.alias("source_type"), process.alias("process"), F.coalesce("g_pid", of_json("pid")).try_cast("int").alias("pid"), component.alias("component"),
+        source.alias("source_type"), process.alias("process"), F.coalesce("g_pid", of_json("pid"), lost_pid).try_cast("int").alias("pid"), component.alias("component"),
         "severity", F.coalesce(_map(SEVERITY_SCORES, c("severity")), F.lit(6)).alias("severity_score"), "message",
         F.concat(F.lit("["), source, F.lit("] "), host, F.lit("/"), process, F.lit(": "), F.substring("message", 1, 200)).alias("normalized_message"),
         "attributes", F.coalesce("g_http_method", of_json("http_method")).alias("http_method"), "http_status", F.round(confidence, 2).alias("confidence"), "matched_format",

@@ -28,22 +28,23 @@ def canonical(log: DataFrame) -> Column:
     """Sorted keys, no spaces, nulls kept, escapes in lower case."""
     text = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in SEALED)), {"ignoreNullFields": "false"})
     # to_json escapes control letters as \\u001B; JSON writers in use elsewhere as \\u001b. An escape stands after an
-    # even number of backslashes: after an odd one it is text of the event.
+    # even number of backslashes: after an odd one it is text of the event. Few events have one.
+    lower = text
     for n in range(32):
         if f"{n:04x}" != f"{n:04X}":
-            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\u{n:04x}")
-    return text
+            lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{n:04X}", rf"$1\\u{n:04x}")
+    return F.when(text.contains("\\u00"), lower).otherwise(text)
 
 
 def leaves(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """(height, idx, event_id, hash): leaves in order of time and id, dealt to blocks.
 
-    The order is a range partitioning, stored with the number of each range, so that a lost executor changes
-    nothing. Positions are a count for each range, whose running sums are as many numbers as there are
+    Hashes are stored before they are ordered, as ranges are found by sampling. The order is a range partitioning,
+    stored with the number of each range, so that a lost executor changes nothing. Positions are a count for each range, whose running sums are as many numbers as there are
     ranges, plus a row number inside the range.
     """
     rows = log.select("timestamp", F.col("id").alias("event_id"), _hash("00", F.encode(canonical(log), "UTF-8")).alias("hash"))
-    spread = stored(rows.repartitionByRange(F.col("timestamp"), F.col("event_id")).withColumn("_p", F.spark_partition_id()), "leaves")
+    spread = stored(stored(rows, "hashed").repartitionByRange(F.col("timestamp"), F.col("event_id")).withColumn("_p", F.spark_partition_id()), "leaves")
     counts = spread.groupBy("_p").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("_p").orderBy("timestamp", "event_id")) - 1

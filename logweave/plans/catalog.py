@@ -48,10 +48,10 @@ ROWS = "id, timestamp, day, hostname, source_type, process, component, severity,
 BAND = "CASE WHEN severity_score <= 2 THEN 'critical' WHEN severity_score = 3 THEN 'error' WHEN severity_score = 4 THEN 'warning' END AS alert_level"
 query("f1_filtered", lambda log: SOME(log).select("id", "day", "hostname", "message"), f"SELECT id, day, hostname, message FROM log WHERE {SOME_SQL}")
 query("f4_listing", lambda log: filters.list_logs(log, SOME, limit=50), f"SELECT {ROWS}, {BAND} FROM log WHERE {SOME_SQL} ORDER BY timestamp DESC, id DESC LIMIT 50")
-query("f5_next_page", lambda log: filters.list_logs(log, newest=False, after="2024-01-10T00:00:00", limit=40, hostname="host-03"), f"SELECT {ROWS}, {BAND} FROM log WHERE hostname = 'host-03' AND timestamp > '2024-01-10T00:00:00' ORDER BY timestamp, id LIMIT 40")
+query("f5_next_page", lambda log: filters.list_logs(log, newest=False, after="2024-01-10T00:00:00", limit=40, hostname="node-03"), f"SELECT {ROWS}, {BAND} FROM log WHERE hostname = 'node-03' AND timestamp > '2024-01-10T00:00:00' ORDER BY timestamp, id LIMIT 40")
 query("f6_alerts", lambda log: filters.alerts(log, None, limit=75), f"SELECT {ROWS}, {BAND} FROM log WHERE severity_score BETWEEN 1 AND 4 ORDER BY timestamp DESC, id DESC LIMIT 75")
 query("f7_bands", lambda log: log.groupBy(filters.band(F.col("severity_score")).alias("alert_level")).agg(F.count("*").alias("n")), f"SELECT {BAND}, count(*) AS n FROM log GROUP BY 1")
-query("f8_time_window", lambda log: filters.time_window(log, "2024-01-03", "2024-01-04", "host-05"), f"SELECT {ROWS} FROM log WHERE timestamp BETWEEN '2024-01-03T00:00:00' AND '2024-01-04T23:59:59.999999' AND hostname = 'host-05' ORDER BY timestamp, id LIMIT 200")
+query("f8_time_window", lambda log: filters.time_window(log, "2024-01-03", "2024-01-04", "node-05"), f"SELECT {ROWS} FROM log WHERE timestamp BETWEEN '2024-01-03T00:00:00' AND '2024-01-04T23:59:59.999999' AND hostname = 'node-05' ORDER BY timestamp, id LIMIT 200")
 _ONE = "(SELECT min(id) FROM log)"
 query("f9_detail", lambda log, m: _detail(log, m), f"SELECT id, timestamp, message, (SELECT string_agg(type || '=' || value, ';' ORDER BY type, value) FROM mentions WHERE log_id = id) AS entities FROM log WHERE id = {_ONE}", SQL_MENTIONS, needs="lm")
 query("f10_distinct", lambda log: filters.distinct_values(log, "component"), "SELECT DISTINCT component AS value FROM log ORDER BY 1 LIMIT 500")
@@ -165,19 +165,19 @@ UNION ALL SELECT 'HAS_SEVERITY', 'Severity', severity FROM log UNION ALL SELECT
 UNION ALL SELECT CASE type WHEN 'user' THEN 'PERFORMED_BY' WHEN 'trace' THEN 'HAS_TRACE' WHEN 'file' THEN 'TOUCHED_FILE' WHEN 'operation' THEN 'PART_OF_OPERATION' ELSE 'INVOLVES_IP' END, CASE type WHEN 'user' THEN 'User' WHEN 'trace' THEN 'Trace' WHEN 'file' THEN 'File' WHEN 'operation' THEN 'Operation' ELSE 'IPAddress' END, value FROM mentions) GROUP BY 1, 2""", SQL_MENTIONS, needs="lm")
 query("g9_edges", lambda e: e, "SELECT * FROM edges", SQL_GRAPH, needs="e")
 _TWO = """, both_ways AS (SELECT src_label AS al, src AS a, rel, dst_label AS bl, dst AS b FROM edges UNION ALL SELECT dst_label, dst, rel, src_label, src FROM edges)"""
-query("g10_neighbours", lambda e: graph.neighbours(e, "Host", "host-03", 2), """, r0 AS (SELECT 'Host' AS label, 'host-03' AS value), r1 AS (SELECT DISTINCT bl AS label, b AS value FROM both_ways, r0 WHERE al = label AND a = value),
+query("g10_neighbours", lambda e: graph.neighbours(e, "Host", "node-03", 2), """, r0 AS (SELECT 'Host' AS label, 'node-03' AS value), r1 AS (SELECT DISTINCT bl AS label, b AS value FROM both_ways, r0 WHERE al = label AND a = value),
 r2 AS (SELECT DISTINCT bl AS label, b AS value FROM both_ways, r1 WHERE al = label AND a = value)
-SELECT label, value, min(hop)::INTEGER AS hop FROM (SELECT *, 1 AS hop FROM r1 UNION ALL SELECT *, 2 FROM r2) WHERE NOT (label = 'Host' AND value = 'host-03') GROUP BY 1, 2""", SQL_GRAPH + _TWO, needs="e")
+SELECT label, value, min(hop)::INTEGER AS hop FROM (SELECT *, 1 AS hop FROM r1 UNION ALL SELECT *, 2 FROM r2) WHERE NOT (label = 'Host' AND value = 'node-03') GROUP BY 1, 2""", SQL_GRAPH + _TWO, needs="e")
 query("g11_path", lambda e: graph.shortest_path(e, ("User", "user-1"), ("Component", "click.2")).select(F.array_join("nodes", ">").alias("nodes"), F.array_join("rels", ">").alias("rels"), "hops"), """, p(label, value, nodes, rels, hops) AS (SELECT 'User', 'user-1', ['User:user-1'], CAST([] AS VARCHAR[]), 0
 UNION ALL SELECT label, value, nodes, rels, hops FROM (SELECT bl AS label, b AS value, list_append(nodes, bl || ':' || b) AS nodes, list_append(rels, rel) AS rels, hops + 1 AS hops, row_number() OVER (PARTITION BY bl, b ORDER BY list_append(nodes, bl || ':' || b), list_append(rels, rel)) AS n
 FROM p JOIN both_ways ON al = label AND a = value WHERE hops < 3 AND NOT list_contains(nodes, bl || ':' || b)) WHERE n = 1)
 SELECT array_to_string(nodes, '>') AS nodes, array_to_string(rels, '>') AS rels, hops FROM p WHERE label = 'Component' AND value = 'click.2' ORDER BY hops, p.nodes LIMIT 1""", SQL_GRAPH + _TWO, recursive=True, needs="e")
-query("g12_resolve", lambda n: graph.resolve(n, "HOST-0"), "SELECT label, value, false AS exact FROM nodes WHERE contains(lower(value), 'host-0') ORDER BY label, value LIMIT 5", SQL_GRAPH, needs="n")
+query("g12_resolve", lambda n: graph.resolve(n, "NODE-0"), "SELECT label, value, false AS exact FROM nodes WHERE contains(lower(value), 'node-0') ORDER BY label, value LIMIT 5", SQL_GRAPH, needs="n")
 query("g13_correlated", lambda log, m: graph.correlated(log, m, _first_id(log)), f""", own AS (SELECT type, value FROM mentions WHERE log_id = {_ONE} AND type IN ('operation', 'trace', 'task'))
 SELECT log.id, timestamp, hostname, message, min(m.type) AS via FROM log JOIN mentions m ON m.log_id = log.id JOIN own ON own.type = m.type AND own.value = m.value WHERE log.id <> {_ONE} GROUP BY ALL ORDER BY timestamp, id LIMIT 50""", SQL_MENTIONS, needs="lm")
 query("g14_triples", graph.schema_triples, "SELECT src_label, rel, dst_label, count(*) AS edges FROM edges GROUP BY ALL", SQL_GRAPH, needs="e")
 query("g15_blast_radius", lambda e, n: graph.blast_radius(e, n, "user-7", 1), "SELECT bl AS label, b AS value, 1 AS hop FROM both_ways WHERE al = 'User' AND a = 'user-7' GROUP BY ALL", SQL_GRAPH + _TWO, needs="en")
-query("j5_related", lambda log, m: graph.related(log, m, log.where("severity_score = 2 and hostname = 'host-01'").select("id")), """, seeds AS (SELECT id FROM log WHERE severity_score = 2 AND hostname = 'host-01'), via AS (SELECT DISTINCT type, value FROM mentions WHERE log_id IN (SELECT id FROM seeds)),
+query("j5_related", lambda log, m: graph.related(log, m, log.where("severity_score = 2 and hostname = 'node-01'").select("id")), """, seeds AS (SELECT id FROM log WHERE severity_score = 2 AND hostname = 'node-01'), via AS (SELECT DISTINCT type, value FROM mentions WHERE log_id IN (SELECT id FROM seeds)),
 hits AS (SELECT log_id, min((m.type, m.value)) AS v FROM mentions m JOIN via ON via.type = m.type AND via.value = m.value WHERE log_id NOT IN (SELECT id FROM seeds) GROUP BY 1)
 SELECT id, severity_score, timestamp, v[1] AS via_type, v[2] AS via_value FROM log JOIN hits ON log_id = id ORDER BY severity_score, timestamp, id LIMIT 20""", SQL_MENTIONS, needs="lm")
 query("j9_labels", lambda m: entities.labelled(m).groupBy("label", "rel").agg(F.count("*").alias("n")), "SELECT CASE type WHEN 'user' THEN 'User' WHEN 'trace' THEN 'Trace' WHEN 'file' THEN 'File' WHEN 'operation' THEN 'Operation' ELSE 'IPAddress' END AS label, CASE type WHEN 'user' THEN 'PERFORMED_BY' WHEN 'trace' THEN 'HAS_TRACE' WHEN 'file' THEN 'TOUCHED_FILE' WHEN 'operation' THEN 'PART_OF_OPERATION' ELSE 'INVOLVES_IP' END AS rel, count(*) AS n FROM mentions GROUP BY 1, 2", SQL_MENTIONS, needs="m")
@@ -197,7 +197,7 @@ st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM own), tf AS (SELECT doc
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score, count(*) AS words FROM hit JOIN df USING (w), st GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", needs="s")
 query("r3_substring", lambda log: retrieval.substring_search(log, "any error Purchase?"), "SELECT id, timestamp, hostname, severity, severity_score, message FROM log WHERE contains(lower(message), 'purchase') ORDER BY severity_score, timestamp, id LIMIT 20")
 query("r6_signature", lambda log: retrieval.pattern_match(_isolated(log), "host_isolation").select("id", "message"), "SELECT id, message || ' - host was isolated' AS message FROM log WHERE k % 10 = 0")
-query("r8_evidence", lambda log: _evidence(log), "SELECT id, score, pool FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pool, score DESC) AS n FROM (SELECT id, 1.0::DOUBLE / severity_score AS score, 0 AS pool FROM log WHERE hostname = 'host-02' UNION ALL SELECT id, 2.0::DOUBLE / severity_score, 1 FROM log WHERE process = 'errord')) WHERE n = 1 ORDER BY score DESC, id LIMIT 15")
+query("r8_evidence", lambda log: _evidence(log), "SELECT id, score, pool FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pool, score DESC) AS n FROM (SELECT id, 1.0::DOUBLE / severity_score AS score, 0 AS pool FROM log WHERE hostname = 'node-02' UNION ALL SELECT id, 2.0::DOUBLE / severity_score, 1 FROM log WHERE process = 'errord')) WHERE n = 1 ORDER BY score DESC, id LIMIT 15")
 query("r9_context", lambda log: retrieval.context(filters.list_logs(log, limit=40)), "SELECT substr(string_agg(line, chr(10) ORDER BY timestamp, line), 1, 12000) AS context FROM (SELECT timestamp, '[' || timestamp || '] ' || severity || ' ' || hostname || '/' || process || ': ' || message AS line FROM log ORDER BY timestamp DESC, id DESC LIMIT 40)")
 query("r10_chart", lambda log: retrieval.chart_spec(A.by_day(log, 20)), "SELECT 'bucket' AS label, 'total,alerts,errors' AS measures, count(DISTINCT day) BETWEEN 2 AND 40 AS chartable, 'line' AS kind FROM (SELECT DISTINCT day FROM log ORDER BY day DESC LIMIT 20)")
 
@@ -208,7 +208,7 @@ def _isolated(log):
 
 def _evidence(log):
     by = lambda w, n: log.where(w).select("id", (F.lit(float(n)) / F.col("severity_score")).alias("score"))
-    return retrieval.evidence([by("hostname = 'host-02'", 1), by("process = 'errord'", 2)])
+    return retrieval.evidence([by("hostname = 'node-02'", 1), by("process = 'errord'", 2)])
 
 
 # --- exports

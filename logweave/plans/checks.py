@@ -11,7 +11,7 @@ from logweave.schema import GENESIS
 from logweave.sources import readers
 from logweave.storage import new_path
 
-from . import shapes
+from . import probes, shapes
 from .logview import SQL_MENTIONS
 
 SEALED_AT = "2024-02-01T00:00:00Z"
@@ -221,7 +221,7 @@ def _account(log: DataFrame) -> DataFrame:
 def _worded(log: DataFrame) -> DataFrame:
     k = F.col("k").cast("string")
     text = F.concat(F.lit("disk naa.6001438"), k, F.lit(" via vmnic3 for S-1-5-21-"), k, F.lit(" in GC("), k, F.lit(") at https://h.example/"), k, F.lit(" and vm-"), k, F.lit(" of 127.0.0.1"))
-    return log.select("id", F.concat(F.lit("web-"), k, F.lit("-6f577dd6c-ttv86")).alias("hostname"), text.alias("message"), F.create_map().cast("map<string,string>").alias("attributes"))
+    return log.select("id", F.lit("web").alias("process"), F.concat(F.lit("web-"), k, F.lit("-6f577dd6c-ttv86")).alias("hostname"), text.alias("message"), F.create_map().cast("map<string,string>").alias("attributes"))
 
 
 def _rows(m: DataFrame) -> DataFrame:
@@ -252,9 +252,10 @@ def _pairs(log: DataFrame) -> DataFrame:
 
 
 def register(query) -> None:
-    accounts = "CASE k % 3 WHEN 1 THEN 'CORP.EXAMPLE' ELSE 'CORP' END"
-    query("g2_accounts", lambda log: _rows(entities.mentions(_account(log))), f"SELECT id AS log_id, 'user' AS type, 'user-' || k AS value FROM log UNION ALL SELECT id, 'domain', {accounts} FROM log")
-    found = {"device": "'naa.6001438' || k", "network_interface": "'vmnic3'", "security_id": "'S-1-5-21-' || k", "gc_cycle": "k::VARCHAR", "url": "'https://h.example/' || k", "vm": "'vm-' || k", "pod": "'web-' || k || '-6f577dd6c-ttv86'", "k8s_service": "'web-' || k"}
+    probes.register(query)
+    accounts = "CASE k % 3 WHEN 0 THEN 'corp' WHEN 1 THEN 'corp.example' ELSE 'CORP' END"
+    query("g2_accounts", lambda log: _rows(entities.mentions(_account(log))), f"SELECT id AS log_id, 'user' AS type, 'user-' || k AS value FROM log UNION ALL SELECT id, 'domain', {accounts} FROM log UNION ALL SELECT id, 'user', 'auth' FROM log WHERE k % 3 = 2")
+    found = {"device": "'naa.6001438' || k", "network_interface": "'vmnic3'", "security_id": "'S-1-5-21-' || k", "gc_cycle": "k::VARCHAR", "url": "'https://h.example/' || k", "vm": "'vm-' || k", "pod": "'web-' || k || '-6f577dd6c-ttv86'", "k8s_service": "'web'"}
     query("g3_worded", lambda log: _rows(entities.mentions(_worded(log))), " UNION ALL ".join(f"SELECT id AS log_id, '{t}' AS type, {v} AS value FROM log" for t, v in found.items()))
     query("r4_cascade", _cascade, "SELECT id, 'words' AS by FROM log WHERE contains(message, 'error') ORDER BY severity_score, timestamp, id LIMIT 30")
     query("r7_vectors", _vectors, "SELECT id, length(message) || ',1,0' AS vector FROM log WHERE k % 2 = 1")

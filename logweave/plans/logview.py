@@ -22,7 +22,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     source = F.element_at(F.array(*map(F.lit, ("ESXi", "NSX", "CoreDNS", "PostgreSQL", "LinuxAudit"))), (user % 5 + 1).cast("int"))
     names = F.element_at(F.array(*map(F.lit, ("CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG"))), F.col("severity_score") - 1)
-    host = F.concat(F.lit("host-"), F.lpad(((user + F.when(F.col("k") < 20, F.col("event_id") % 3).otherwise(0)) % 12).cast("string"), 2, "0"))
+    host = F.concat(F.lit("node-"), F.lpad(((user + F.when(F.col("k") < 20, F.col("event_id") % 3).otherwise(0)) % 12).cast("string"), 2, "0"))
     process, component = F.concat(kind, F.lit("d")), F.concat(kind, F.lit("."), (F.col("k") % 4).cast("string"))
     message = F.concat(kind, F.lit(" request k="), F.col("k").cast("string"), F.lit(" from 10.20."), (user % 4).cast("string"), F.lit("."), user.cast("string"))
     form = F.element_at(F.array(*map(F.lit, ("pri_syslog", "rfc5424", "rfc3164_wrapper", "logfmt", "cef", "leef", "web_access", "json"))), (F.col("event_id") % 8 + 1).cast("int"))
@@ -41,7 +41,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(log: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """Of all types, or of those that a query asks for: a store of mentions would be read by type."""
-    return entities.mentions(log.withColumn("attributes", F.create_map(F.lit("user"), F.col("user_name"), F.lit("trace_id"), F.col("trace"), F.lit("file"), F.col("file"), F.lit("operation"), F.regexp_extract("process", "^(.*)d$", 1))), types)
+    return entities.mentions(log.withColumn("attributes", F.create_map(F.lit("user"), F.col("user_name"), F.lit("trace"), F.col("trace"), F.lit("fname"), F.col("file"), F.lit("opid"), F.regexp_extract("process", "^(.*)d$", 1))), types)
 
 
 def nodes(log: DataFrame, m: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ SQL_EVENTS = """
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 ev2 AS (SELECT *, CASE WHEN event_type = 'error' AND k < 20 THEN 2 WHEN event_type = 'error' THEN 3 WHEN event_type = 'signup' AND k < 50 THEN 4
   WHEN event_type = 'signup' THEN 5 WHEN event_type IN ('purchase', 'click') THEN 6 ELSE 7 END AS severity_score, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp,
-  'host-' || lpad(CAST((user_id + CASE WHEN k < 20 THEN event_id % 3 ELSE 0 END) % 12 AS VARCHAR), 2, '0') AS host, CASE user_id % 5 WHEN 0 THEN 'ESXi' WHEN 1 THEN 'NSX' WHEN 2 THEN 'CoreDNS' WHEN 3 THEN 'PostgreSQL' ELSE 'LinuxAudit' END AS src,
+  'node-' || lpad(CAST((user_id + CASE WHEN k < 20 THEN event_id % 3 ELSE 0 END) % 12 AS VARCHAR), 2, '0') AS host, CASE user_id % 5 WHEN 0 THEN 'ESXi' WHEN 1 THEN 'NSX' WHEN 2 THEN 'CoreDNS' WHEN 3 THEN 'PostgreSQL' ELSE 'LinuxAudit' END AS src,
   event_type || ' request k=' || k || ' from 10.20.' || (user_id % 4) || '.' || user_id AS msg FROM ev),
 log AS (SELECT 'log-' || substr(md5(CAST(event_id AS VARCHAR) || '|' || event_type), 1, 16) AS id, stamp AS timestamp, substr(stamp, 1, 10) AS day, host AS hostname, 'user-' || user_id AS user_name,
   src AS source_type, event_type || 'd' AS process, event_type || '.' || (k % 4) AS component,

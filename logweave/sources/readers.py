@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,9 @@ from logweave.functions.rules import RECORD_START
 
 
 def relative(path, root: str):
-    return F.regexp_replace(F.regexp_replace(path, r"^\w+:/*", "/"), f"^{root.rstrip('/')}/", "")
+    """A path below ``root``, which may have a scheme or not."""
+    plain, top = F.regexp_replace(path, r"^\w+:/*", "/"), re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
+    return F.when(plain.startswith(top), F.substr(plain, F.lit(len(top) + 1))).otherwise(plain)
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:

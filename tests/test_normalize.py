@@ -111,3 +111,20 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {r.id for r in parse(spark.createDataFrame([(x[1],) for x in LINES[:8]], "raw string"), "2026-09-05").collect()}
     assert got == want
     assert sum(p["numInputRows"] for p in query.recentProgress) == 10
+
+
+@pytest.mark.parametrize(
+    ("text", "host", "process", "pid", "time"),
+    [
+        ("rotated archive app.log.2024.gz", None, None, None, None), ("exception in com.acme.web.Filter", None, None, None, None), ("<13>2024/01/02 10:00:00 fw01 paloalto: denied", "fw01", "paloalto", None, "2024-01-02T10:00:00"),
+        ("01/02/2024 10:00:00 fw01 paloalto: denied", "fw01", "paloalto", None, "2024-02-01T10:00:00"), ("Thu Sep  3 10:00:00 2026 esx-2 vmkd[77]: up", "esx-2", "vmkd", 77, "2026-09-03T10:00:00"),
+        ("03/Sep/2026:10:00:00 web-srv-07 proxy: up", "web-srv-07", "proxy", None, "03/Sep/2026:10:00:0"), ("at web-srv-07.corp.example something", "web-srv-07.corp.example", None, None, None), ("E.mu W.z 10.0.0.1 1.2", None, None, None, None),
+        ("Computer=PC-1 appname=thing 12:", "PC-1", "thing", None, None), ("much later than thirty-two letters 2024/01/02 10:00:00 fw01 x: y", None, None, None, "2024-01-02T10:00:00"),
+        ("see mail.corp.example and db.site.local", "db.site.local", None, None, None), ("word: rest", None, "word", None, None), ("123: rest", None, None, None, None),
+    ],
+)
+def test_lines_of_no_known_format(spark, text, host, process, pid, time):
+    r = parse(spark.createDataFrame([(text,)], "raw string"), "2026-09-05").first()
+    assert r.matched_format == "generic_fallback"
+    assert (r.hostname, r.process, r.pid) == (host or "unknown-host", process or "unknown-process", pid)
+    assert (r.timestamp[:19] if r.timestamp_source == "event" else None) == time

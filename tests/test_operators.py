@@ -14,7 +14,7 @@ from logweave.sources import readers
 
 SF = "/root/testdata/sf0.001"
 #: One query of each family; the driver compares them all.
-CHECKED = ["f4_listing", "a1_overview", "a2_by_day", "a9_heat_map", "a10_error_rate", "a11_top_messages", "a17_facts", "a23_shares", "q23_users_of_hosts", "q36_logs_with_files", "q42_hosts_sharing_users", "q47_share_of_host", "w3_findings", "g4_mentions", "g9_edges", "g10_neighbours", "j5_related", "r1_vectors", "x3_ocsf", "x5_cef", "x13_upsert", "i1_leaves", "d1_completeness", "d9_backfill_by_raw", "p1_normalised", "s3_reassembled"]
+CHECKED = ["g1_keys", "g3_forms", "p3_lost", "p5_composed", "p14_cleaned", "p22_flattened", "p23_blocks", "s4_formats", "s8_any_files", "m6_unmatched", "f4_listing", "a1_overview", "a2_by_day", "a9_heat_map", "a10_error_rate", "a11_top_messages", "a17_facts", "a23_shares", "q23_users_of_hosts", "q36_logs_with_files", "q42_hosts_sharing_users", "q47_share_of_host", "w3_findings", "g4_mentions", "g9_edges", "g10_neighbours", "j5_related", "r1_vectors", "x3_ocsf", "x5_cef", "x13_upsert", "i1_leaves", "d1_completeness", "d9_backfill_by_raw", "p1_normalised", "s3_reassembled"]
 
 
 def rows(frame, columns):
@@ -192,3 +192,27 @@ def test_csv_headers_and_surplus_cells(spark, tmp_path):
         ("c.csv", 1): {"code": "7", "host": "h4", "user": "joe", "note": "long note"},
         ("d.csv", 1): {"host": "h5", "user": "kim", "code": "3"},
     }
+
+
+def entities_of(spark, attributes, message, host="h", process="p"):
+    schema = "id string, hostname string, process string, attributes map<string,string>, message string"
+    return {(r.type, r.value) for r in entities.mentions(spark.createDataFrame([("1", host, process, attributes, message)], schema)).collect()}
+
+
+def test_entities_of_keys(spark):
+    """Addresses with ports, keys of Windows blocks, users with domains, and keys that are none."""
+    assert entities_of(spark, {"client": "10.1.2.3:55658"}, "") == {("ip", "10.1.2.3"), ("port", "55658")}
+    assert entities_of(spark, {"src": "pc.example.org", "dst": "0.0.0.0", "operation": "open", "file": "f", "profile": "unconfined_t"}, "") == set()
+    assert entities_of(spark, {"Subject.Account Name": "ann", "Account Domain": "CORP", "Logon ID": "0x3e7", "New Logon.Security ID": "S-1-5-18", "Process Name": "C:\\a.exe", "Object Server": "x", "Workstation Name": "WS1"}, "") == {
+        ("user", "ann"), ("domain", "CORP"), ("session", "0x3e7"), ("security_id", "S-1-5-18"), ("executable", "C:\\a.exe"), ("user", "WS1")}
+    users = {"vpxuser:VSPHERE.LOCAL\\vpxd": {("user", "vpxuser"), ("domain", "VSPHERE.LOCAL"), ("user", "vpxd")}, "a\\b\\c": {("domain", "a\\b"), ("user", "c")}, "u@d": {("user", "u"), ("domain", "d")}, "u@d@e": {("user", "u@d@e")}, "a:b": {("user", "a:b")}}
+    for raw, want in users.items():
+        assert entities_of(spark, {"Acct": f'"{raw}"'}, "") == want
+
+
+def test_entities_of_text(spark):
+    text = "host-74 and vm-12 00:1A:2B:3C:4D:5E FF-FF-FF-FF-FF-FF at https://x.example/a. in /var/log/a.log., redis-1.redis-headless.ns.svc.cluster.local 10.0.0.1:80 127.0.0.1"
+    assert entities_of(spark, {"tail": "more of vmnic7"}, text) == {
+        ("managed_object", "host-74"), ("vm", "vm-12"), ("mac_address", "00:1a:2b:3c:4d:5e"), ("url", "https://x.example/a"), ("file", "/var/log/a.log"), ("k8s_service", "redis-headless"),
+        ("namespace", "ns"), ("dns_name", "redis-1.redis-headless.ns.svc.cluster.local"), ("ip", "10.0.0.1"), ("network_interface", "vmnic7")}
+    assert entities_of(spark, {}, "", "web-6f577dd6c-ttv86", "nginx") == {("pod", "web-6f577dd6c-ttv86"), ("k8s_service", "nginx")}
