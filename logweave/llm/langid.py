@@ -53,12 +53,16 @@ RESCALE = 8
 SMOOTH, UNKNOWN = 0.05, 1e-9
 
 
-@lru_cache(1)
-def word_pattern() -> re.Pattern:
-    """Letters in a row: what counts as part of a word, without digits and other numerals."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"[^\W\d_{numerals}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
 
+@lru_cache(1)
+def numerals() -> tuple[re.Pattern, dict[int, str]]:
+    """What count as parts of words, without being letters: a pattern that finds all of them (and more beyond the first
+    65,536 characters, where a list would be slow), and their places taken by blanks."""
+    found = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
+    near = "".join(c for c in found if c <= "\uffff")
+    return re.compile(rf"[{near}\U00010000-\U0010ffff]"), {ord(c): " " for c in found}
 
 
 @lru_cache(4)
@@ -72,7 +76,12 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def words(text: str) -> list[str]:
-    return ["▁" + w for w in word_pattern().findall(text.lower())]
+    text = text.lower()
+    if not text.isascii():
+        pattern, blanks = numerals()
+        if pattern.search(text):
+            text = text.translate(blanks)
+    return ["▁" + w for w in _WORD.findall(text)]
 
 
 def forward(found: list[str], n: int, voc: Vocabulary, weights: np.ndarray, trail: list | None = None) -> np.ndarray:
