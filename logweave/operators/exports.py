@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.sources.writers import LARGEST, write_rotating
 from logweave.storage import stored
 from logweave.schema import FIELDS
 
@@ -191,26 +192,40 @@ def push_first(log: DataFrame, post: Callable[[list[str]], None], n: int, shape:
     return send(SHAPES[shape](first, raw), post, **how)
 
 
-def send(lines: DataFrame, post: Callable[[list[str]], None], batch: int = 200, retries: int = 5, backoff: float = 0.5) -> DataFrame:
-    """Lines in batches through an injected transport, at least once; what failed each time is counted as dead."""
+def send(lines: DataFrame, post: Callable[[list[str]], None], batch: int = 200, retries: int = 5, backoff: float = 0.5, dead_letters: str | None = None) -> DataFrame:
+    """Lines in batches through an injected transport, at least once; batches that failed each time are counted as
+    dead, and with ``dead_letters`` their lines are added to a table there, with what the transport said."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent = dead = 0
         for b in batches:
             values = b["value"].tolist()
             for k in range(0, len(values), batch):
-                part = values[k : k + batch]
+                part, fault = values[k : k + batch], ""
                 for n in range(retries):
                     try:
                         post(part)
-                        sent += len(part)
+                        fault = ""
                         break
-                    except Exception:  # noqa: BLE001  any failure of the transport is retried
-                        time.sleep(backoff * 2**n)
+                    except Exception as e:  # noqa: BLE001  any failure of the transport is retried
+                        fault = f"{type(e).__name__}: {e}"
+                        if n + 1 < retries:
+                            time.sleep(backoff * 2**n)
+                if fault:
+                    yield pd.DataFrame({"sent": 0, "dead": 1, "value": part, "error": fault})
                 else:
-                    dead += len(part)
-        yield pd.DataFrame({"sent": [sent], "dead": [dead]})
+                    yield pd.DataFrame({"sent": [len(part)], "dead": [0], "value": [None], "error": [None]})
 
-    return lines.select("value").mapInPandas(run, "sent long, dead long").agg(F.sum("sent").alias("sent"), F.sum("dead").alias("dead"))
+    told = lines.select("value").mapInPandas(run, "sent long, dead long, value string, error string")
+    if dead_letters is not None:
+        told = stored(told, "sent")  # sent once, then read twice
+        told.where("dead > 0").select("value", "error", F.current_timestamp().alias("given_up_at")).write.mode("append").parquet(dead_letters)
+    counts = told.agg(F.sum("sent").alias("sent"), F.sum("dead").alias("dead"))
+    return counts.select(F.coalesce("sent", F.lit(0)).alias("sent"), F.coalesce("dead", F.lit(0)).alias("dead"))
+
+
+def forward(log: DataFrame, shape: str, path: str, flt: LogFilter = ALL, raw: bool = True, largest: int = LARGEST, compression: str = "none") -> None:
+    """The filtered events in order as files of at most ``largest`` bytes, all of them or none."""
+    rows = flt(log).repartitionByRange("timestamp", "id").sortWithinPartitions("timestamp", "id")
+    write_rotating(SHAPES[shape](rows, raw), path, largest, compression)
 
 
 def upsert(stored: DataFrame | None, new: DataFrame, key: str = "id", order: str = "created_at") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import normalize
-from logweave.operators import entities, mining
-from logweave.sources import readers
+from logweave.operators import entities, exports, mining
+from logweave.sources import readers, records
 from logweave.storage import new_path
 
 AS_OF = "2024-06-01"
@@ -133,6 +133,33 @@ def _any(log: DataFrame) -> DataFrame:
     return found.groupBy(F.substring("source_file", 1, 1).alias("folder")).agg(F.count("*").alias("records"), F.countDistinct("raw").alias("different"))
 
 
+# --- records of several lines by ranges of bytes, and files rotated by bytes
+def _records(log: DataFrame) -> DataFrame:
+    spark, path = log.sparkSession, new_path(log.sparkSession, "lines")
+    text = F.concat("timestamp", F.lit(" "), "hostname", F.lit(" said"), F.lit("\n  and more "), F.col("k").cast("string"), F.lit("\n\n  at last"))
+    log.select("event_id", text.alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    return records.read_records(spark, path, "*.txt", range_bytes=10_000, longest=500).select("source_record", "raw")
+
+
+def _rotated(log: DataFrame) -> DataFrame:
+    spark, path = log.sparkSession, new_path(log.sparkSession, "rotated")
+    exports.forward(log, "ndjson", path, raw=False, largest=20_000)
+    files = spark.read.format("binaryFile").load(f"{path}/*.jsonl").select(F.max("length").alias("largest"), F.count("*").alias("files"))
+    rows = spark.read.json(f"{path}/*.jsonl").agg(F.count("*").alias("lines"), F.countDistinct("id").alias("ids"))
+    return rows.join(files).select("lines", "ids", (F.col("largest") <= 20_000).alias("bounded"), (F.col("files") > 1).alias("rotated"))
+
+
+def _dead(log: DataFrame) -> DataFrame:
+    spark, path = log.sparkSession, new_path(log.sparkSession, "dead")
+
+    def post(lines: list[str]) -> None:
+        if any("purchase" in x for x in lines):
+            raise OSError("refused")
+
+    exports.send(log.select(F.col("message").alias("value")), post, batch=1, retries=2, backoff=0, dead_letters=path)
+    return spark.read.parquet(path).select("value", "error")
+
+
 def _unmatched(log: DataFrame) -> DataFrame:
     lost = F.when(F.col("k") % 7 == 0, normalize.FALLBACK).otherwise(F.col("matched_format"))
     return mining.unmatched(log.withColumn("matched_format", lost))
@@ -148,6 +175,9 @@ def register(query) -> None:
     query("p22_flattened", _flattened, "SELECT event_id, 'a' AS key, k::VARCHAR AS value FROM log UNION ALL SELECT event_id, 'b.c', 'x' || k FROM log UNION ALL SELECT event_id, 'b.d.e', '1, 2' FROM log")
     query("p23_blocks", _blocks, """SELECT event_id, 'Subject.Security ID' AS key, 'S-1-' || k AS value FROM log UNION ALL SELECT event_id, 'Subject.Account Name', user_name FROM log
 UNION ALL SELECT event_id, 'Network Information.Source Port', k::VARCHAR FROM log""")
+    query("s3_records", _records, "SELECT row_number() OVER (ORDER BY event_id) AS source_record, timestamp || ' ' || hostname || ' said' || chr(10) || '  and more ' || k || chr(10) || '  at last' AS raw FROM log")
+    query("x9_rotated", _rotated, "SELECT count(*) AS lines, count(DISTINCT id) AS ids, true AS bounded, true AS rotated FROM log")
+    query("x10_dead_letters", _dead, "SELECT message AS value, 'OSError: refused' AS error FROM log WHERE contains(message, 'purchase')")
     query("m6_unmatched", _unmatched, "SELECT raw_message AS raw FROM log WHERE k % 7 = 0")
     query("s4_formats", _formats, "SELECT * FROM (VALUES ('a', 'jsonl', 2), ('b', 'csv', 1), ('c', 'text', 1)) t(folder, format, files) WHERE (SELECT count(*) FROM log) > 0")
     query("s8_any_files", _any, "SELECT folder, count(*) AS records, count(DISTINCT raw) AS different FROM (SELECT 'a' AS folder, id AS raw FROM log UNION ALL SELECT 'b', id FROM log UNION ALL SELECT 'c', timestamp || hostname FROM log) GROUP BY 1")
