@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.schema import BAND_MAX, FIELDS, is_alert, is_error
@@ -10,26 +10,39 @@ from logweave.schema import BAND_MAX, FIELDS, is_alert, is_error
 from .filters import ALL, LogFilter
 
 
-def total():
-    return F.count("*").alias("total")
+#: The column that says for how many events a row of a roll-up stands.
+WEIGHT = "_weight"
 
 
-def errors():
-    return F.count_if(is_error()).alias("errors")
+def count(rows: DataFrame, which: Column | None = None) -> Column:
+    """The number of events of ``rows``, or of those that ``which`` holds for: of rows, or of the events they stand for."""
+    if WEIGHT in rows.columns:
+        return F.coalesce(F.sum(F.col(WEIGHT) if which is None else F.when(which, F.col(WEIGHT))), F.lit(0))
+    return F.count("*") if which is None else F.count_if(which)
 
 
-def alerts():
-    return F.count_if(is_alert()).alias("alerts")
+def total(rows: DataFrame) -> Column:
+    return count(rows).alias("total")
+
+
+def errors(rows: DataFrame) -> Column:
+    return count(rows, is_error()).alias("errors")
+
+
+def alerts(rows: DataFrame) -> Column:
+    return count(rows, is_alert()).alias("alerts")
 
 
 def overview(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL) -> DataFrame:
     """A1: all headline counts in one pass; users are those that the filtered events mention."""
     score = F.col("severity_score")
     rows = flt(log)
+    latest = "latest" if WEIGHT in rows.columns else "timestamp"
+    of = lambda which, name: count(rows, which).alias(name)
     out = rows.agg(
-        F.count("*").alias("total_logs"), F.countDistinct("hostname").alias("total_hosts"), F.countDistinct("source_type").alias("total_sources"),
-        F.count_if(score <= BAND_MAX).alias("total_alerts"), F.count_if(score <= 2).alias("total_critical"), F.count_if(score == 3).alias("error_level"), F.count_if(score <= 3).alias("total_errors"), F.count_if(score == 4).alias("total_warnings"),
-        F.min("timestamp").alias("earliest_timestamp"), F.max("timestamp").alias("latest_timestamp"),
+        of(None, "total_logs"), F.countDistinct("hostname").alias("total_hosts"), F.countDistinct("source_type").alias("total_sources"),
+        of(score <= BAND_MAX, "total_alerts"), of(score <= 2, "total_critical"), of(score == 3, "error_level"), of(score <= 3, "total_errors"), of(score == 4, "total_warnings"),
+        F.min("timestamp").alias("earliest_timestamp"), F.max(latest).alias("latest_timestamp"),
     )
     if m is None:
         return out
@@ -42,29 +55,34 @@ def overview(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL) -
 
 def by_day(log: DataFrame, days: int | None = None, flt: LogFilter = ALL) -> DataFrame:
     """A2: the last ``days`` days that have events, in order."""
-    out = flt(log).where("day is not null").groupBy(F.col("day").alias("bucket")).agg(total(), alerts(), errors())
+    rows = flt(log).where("day is not null")
+    out = rows.groupBy(F.col("day").alias("bucket")).agg(total(rows), alerts(rows), errors(rows))
     return (out.orderBy(F.desc("bucket")).limit(days) if days else out).orderBy("bucket")
 
 
 def within_day(log: DataFrame, day: str, granularity: str = "hour", flt: LogFilter = ALL) -> DataFrame:
     """A3."""
     n = 16 if granularity == "minute" else 13
-    return flt(log).where((F.col("day") == day) & F.col("timestamp").isNotNull()).groupBy(F.substring("timestamp", 1, n).alias("bucket")).agg(total(), alerts(), errors()).orderBy("bucket")
+    rows = flt(log).where((F.col("day") == day) & F.col("timestamp").isNotNull())
+    return rows.groupBy(F.substring("timestamp", 1, n).alias("bucket")).agg(total(rows), alerts(rows), errors(rows)).orderBy("bucket")
 
 
 def severity_distribution(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
     """A4."""
-    return flt(log).where("severity is not null").groupBy("severity", F.col("severity_score").alias("score")).agg(F.count("*").alias("count")).orderBy("score", "severity")
+    rows = flt(log).where("severity is not null")
+    return rows.groupBy("severity", F.col("severity_score").alias("score")).agg(count(rows).alias("count")).orderBy("score", "severity")
 
 
 def by_source_type(log: DataFrame, flt: LogFilter = ALL) -> DataFrame:
     """A5."""
-    return flt(log).where("source_type is not null").groupBy("source_type").agg(total(), errors()).orderBy(F.desc("total"), "source_type")
+    rows = flt(log).where("source_type is not null")
+    return rows.groupBy("source_type").agg(total(rows), errors(rows)).orderBy(F.desc("total"), "source_type")
 
 
 def top(log: DataFrame, column: str, name: str, limit: int = 10, metric: str = "total", flt: LogFilter = ALL) -> DataFrame:
     """The values of a column with most events, or most errors."""
-    return flt(log).where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias(name)).agg(total(), errors()).orderBy(F.desc(metric), name).limit(limit)
+    rows = flt(log).where(F.col(column).isNotNull() & (F.col(column) != ""))
+    return rows.groupBy(F.col(column).alias(name)).agg(total(rows), errors(rows)).orderBy(F.desc(metric), name).limit(limit)
 
 
 def top_hosts(log: DataFrame, limit: int = 10, metric: str = "total", flt: LogFilter = ALL) -> DataFrame:
@@ -78,14 +96,14 @@ def top_processes(log: DataFrame, limit: int = 10, flt: LogFilter = ALL) -> Data
 def top_error_components(log: DataFrame, limit: int = 10, flt: LogFilter = ALL) -> DataFrame:
     """Errors are filtered before they are counted."""
     rows = flt(log).where(is_error() & F.col("component").isNotNull() & (F.col("component") != ""))
-    return rows.groupBy("component").agg(F.count("*").alias("errors")).orderBy(F.desc("errors"), "component").limit(limit)
+    return rows.groupBy("component").agg(count(rows).alias("errors")).orderBy(F.desc("errors"), "component").limit(limit)
 
 
 def heat_map(log: DataFrame, days: int = 14, flt: LogFilter = ALL) -> DataFrame:
     """Events by day and hour of the last days, the day's total, and a bucket from 0 to 4 by the root of the count."""
     rows = flt(log).where("day is not null and timestamp is not null")
     last = rows.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    cells = rows.join(F.broadcast(last), "day", "left_semi").groupBy("day", F.substring("timestamp", 12, 2).cast("int").alias("hour")).agg(total(), errors())
+    cells = rows.join(F.broadcast(last), "day", "left_semi").groupBy("day", F.substring("timestamp", 12, 2).cast("int").alias("hour")).agg(total(rows), errors(rows))
     return cells.withColumn("day_total", F.sum("total").over(Window.partitionBy("day"))).withColumn("bucket", F.round(F.sqrt("total") / F.sqrt(F.max("total").over(Window.partitionBy())) * 4).cast("int")).orderBy("day", "hour")
 
 
@@ -101,7 +119,8 @@ def top_messages(log: DataFrame, limit: int = 10, errors_only: bool = True, leng
     rows = rows.where(is_error()) if errors_only else rows
     rows = rows.withColumn("pattern", F.substring("message", 1, length))
     # a row for each message and host, so that no task gathers all hosts of a common message
-    pairs = rows.groupBy("pattern", "hostname").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "id", "severity")).alias("first"))
+    first = F.col("first") if WEIGHT in rows.columns else F.struct("timestamp", "id", "severity")
+    pairs = rows.groupBy("pattern", "hostname").agg(count(rows).alias("n"), F.min(first).alias("first"))
     counts = pairs.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first")).orderBy(F.desc("occurrences"), "pattern").limit(limit)
     few = pairs.join(F.broadcast(counts.select("pattern")), "pattern").withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("hostname"))).where("_r <= 4 and hostname is not null")
     hosts = few.groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("hostname")), ",").alias("hosts"))
@@ -112,13 +131,16 @@ def top_messages(log: DataFrame, limit: int = 10, errors_only: bool = True, leng
 def severity_by_source(log: DataFrame, limit: int = 12, flt: LogFilter = ALL) -> DataFrame:
     """A12."""
     score = F.col("severity_score")
-    out = flt(log).where("source_type is not null").groupBy("source_type").agg(total(), F.count_if(score <= 2).alias("critical"), F.count_if(score == 3).alias("errors"), F.count_if(score == 4).alias("warnings"))
+    rows = flt(log).where("source_type is not null")
+    of = lambda which, name: count(rows, which).alias(name)
+    out = rows.groupBy("source_type").agg(total(rows), of(score <= 2, "critical"), of(score == 3, "errors"), of(score == 4, "warnings"))
     return out.orderBy(F.desc("total"), "source_type").limit(limit)
 
 
 def parse_coverage(log: DataFrame, limit: int = 30, flt: LogFilter = ALL) -> DataFrame:
     """A13."""
-    return flt(log).where("matched_format is not null").groupBy("matched_format").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "matched_format").limit(limit)
+    rows = flt(log).where("matched_format is not null")
+    return rows.groupBy("matched_format").agg(count(rows).alias("count")).orderBy(F.desc("count"), "matched_format").limit(limit)
 
 
 def field_coverage(log: DataFrame) -> DataFrame:
@@ -181,13 +203,15 @@ def template(log: DataFrame, name: str, severity: str | None = None, limit: int
 def top_entities(m: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` values of each type with most mentions."""
     order = Window.partitionBy("type").orderBy(F.desc("mentions"), "value")
-    return m.groupBy("type", "value").agg(F.count("*").alias("mentions")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return m.groupBy("type", "value").agg(count(m).alias("mentions")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dashboard(log: DataFrame, flt: LogFilter = ALL) -> dict[str, DataFrame]:
-    """Every panel over one filtered table, which the caller may persist."""
+def dashboard(log: DataFrame, flt: LogFilter = ALL, facts_of: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Every panel over one filtered table, which the caller may persist; or over the facts of a roll-up."""
     rows = flt(log)
+    of = lambda name: flt((facts_of or {}).get(name, log))
     return {
         "overview": overview(rows), "by_day": by_day(rows, 30), "severity": severity_distribution(rows), "sources": by_source_type(rows), "hosts": top_hosts(rows), "error_hosts": top_hosts(rows, metric="errors"),
-        "processes": top_processes(rows), "components": top_error_components(rows), "heat_map": heat_map(rows), "error_rate": error_rate_by_day(rows, 30), "messages": top_messages(rows), "severity_by_source": severity_by_source(rows), "formats": parse_coverage(rows),
+        "processes": top_processes(of("process")), "components": top_error_components(of("component")), "heat_map": heat_map(rows), "error_rate": error_rate_by_day(rows, 30),
+        "messages": top_messages(of("message")), "severity_by_source": severity_by_source(rows), "formats": parse_coverage(of("format")),
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.schema import is_error
 
+from .aggregates import count
 from .filters import ALL, LogFilter
 
 #: The usual threshold, least points of a baseline, scales of both deviations.
@@ -34,7 +35,7 @@ def _finding(rows: DataFrame, kind: str, subject: str, value: str) -> DataFrame:
 def detect(log: DataFrame, flt: LogFilter = ALL, threshold: float = THRESHOLD, limit: int = 25) -> DataFrame:
     """Findings, the largest score first; without MIN_POINTS days or hosts there are none of their kind."""
     rows = flt(log)
-    totals = [F.count("*").cast("double").alias("total"), F.count_if(is_error()).cast("double").alias("errors")]
+    totals = [count(rows).cast("double").alias("total"), count(rows, is_error()).cast("double").alias("errors")]
     rate = (F.col("errors") / F.col("total") * 100).alias("rate")
     days = rows.where("day is not null").groupBy("day").agg(*totals).select("*", rate)
     hosts = rows.where("hostname is not null").groupBy("hostname").agg(*totals).where(F.col("total") >= MIN_HOST_EVENTS).select("*", rate)
@@ -49,7 +50,8 @@ def detect(log: DataFrame, flt: LogFilter = ALL, threshold: float = THRESHOLD, l
 def trend(log: DataFrame, days: int = 7, flt: LogFilter = ALL) -> DataFrame:
     """Error rates of the last ``days`` days and of those before, if both are there, the earlier is
     above 0 and they differ by a point."""
-    daily = flt(log).where("day is not null").groupBy("day").agg(F.count("*").alias("total"), F.count_if(is_error()).alias("errors"))
+    rows = flt(log).where("day is not null")
+    daily = rows.groupBy("day").agg(count(rows).alias("total"), count(rows, is_error()).alias("errors"))
     ranked = daily.withColumn("n", F.row_number().over(Window.orderBy(F.desc("day"))))  # a row for each day
     late, early = F.col("n") <= days, (F.col("n") > days) & (F.col("n") <= 2 * days)
     pct = lambda part: F.round(F.lit(100.0) * F.sum(F.when(part, F.col("errors"))) / F.sum(F.when(part, F.col("total"))), 1)

@@ -24,8 +24,9 @@ def _row(df: DataFrame, name: str | Column, level: Column | str, title: Column,
     return df.select((F.lit(name) if isinstance(name, str) else name).alias("id"), text.alias("level"), title.alias("title"), value.cast("double").alias("value"))
 
 
-def build(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL, min_volume: int = 20, days: int = 7) -> DataFrame:
-    """N1 to N15. An empty table gives one row that says so."""
+def build(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL, min_volume: int = 20, days: int = 7, messages: DataFrame | None = None) -> DataFrame:
+    """N1 to N15. An empty table gives one row that says so. ``log`` and ``m`` may be facts of a roll-up; then
+    ``messages`` are those of its messages."""
     rows = flt(log)
     total = A.overview(rows)
     whole = F.broadcast(total.select("total_logs", "total_errors", "total_alerts", "total_critical"))
@@ -56,10 +57,10 @@ def build(log: DataFrame, m: DataFrame | None = None, flt: LogFilter = ALL, min_
     out.append(_row(worst, "worst-day", F.when(F.col("alerts") >= 10, "critical").otherwise("warning"), F.concat("bucket", F.lit(" had the most alerts")), F.col("alerts")))
     out.append(_row(trend(rows, days), "error-trend", F.when(F.col("change") > 0, "warning").otherwise("good"), F.concat(F.lit("Error rate has "), "direction"), F.col("change")))
 
-    message = A.top_messages(rows, 1).join(whole).withColumn("share", pct(F.col("occurrences"), F.col("total_errors"))).where("share >= 10")
+    message = A.top_messages(rows if messages is None else flt(messages), 1).join(whole).withColumn("share", pct(F.col("occurrences"), F.col("total_errors"))).where("share >= 10")
     out.append(_row(message, "dominant-error-message", F.when(F.col("share") >= 25, "warning").otherwise("info"), F.lit("One message dominates the errors"), F.col("share")))
 
-    hours = rows.where("timestamp is not null").groupBy(F.substring("timestamp", 12, 2).alias("hour")).agg(A.total(), A.errors())
+    hours = rows.where("timestamp is not null").groupBy(F.substring("timestamp", 12, 2).alias("hour")).agg(A.total(rows), A.errors(rows))
     out.append(_row(hours.orderBy(F.desc("total"), "hour").limit(1), "peak-hour", "info", F.concat(F.lit("Traffic peaks at "), "hour", F.lit(":00 UTC")), F.col("total")))
     bad_hour = hours.where("total >= 50").withColumn("rate", rate).orderBy(F.desc("rate"), "hour").limit(1).join(whole).where(F.col("rate") > 1.5 * pct(F.col("total_errors"), F.col("total_logs")))
     out.append(_row(bad_hour, "worst-hour-rate", "warning", F.concat("hour", F.lit(":00 has a high error rate")), F.col("rate")))

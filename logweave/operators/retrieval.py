@@ -48,11 +48,15 @@ def keyword_search(rows: DataFrame, query: str, k: int = 10, key: str = "doc_id"
     return tf.join(F.broadcast(df), "w").join(F.broadcast(stats)).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("words")).orderBy(F.desc("score"), key).limit(k)
 
 
+def longest_word(query: str) -> str:
+    """The longest word of more than three letters in lower case, or all of the query."""
+    words = [w for w in re.findall(r"\w+", query) if len(w) > 3]
+    return max(words, key=len).lower() if words else query.lower()
+
+
 def substring_search(log: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Events that hold the longest word of the query of more than three letters, the worst first."""
-    words = [w for w in re.findall(r"\w+", query) if len(w) > 3]
-    word = max(words, key=len).lower() if words else query.lower()
-    return log.where(F.lower("message").contains(word)).select("id", "timestamp", "hostname", "severity", "severity_score", "message").orderBy("severity_score", "timestamp", "id").limit(limit)
+    return log.where(F.lower("message").contains(longest_word(query))).select("id", "timestamp", "hostname", "severity", "severity_score", "message").orderBy("severity_score", "timestamp", "id").limit(limit)
 
 
 def retrieve(searches: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame | None]:

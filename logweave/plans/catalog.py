@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions import normalize
 from logweave.operators import aggregates as A
-from logweave.operators import anomalies, entities, exports, filters, graph, ledger, quality, questions, retrieval
+from logweave.operators import anomalies, entities, exports, filters, graph, ledger, quality, questions, retrieval, textindex
 from logweave.operators.filters import LogFilter
 
-from . import checks
+from . import checks, stores
 from . import logview as V
 from . import shapes
 from .question_sql import QUESTIONS as QUESTION_SQL
@@ -313,3 +313,21 @@ def _reassembled(log: DataFrame) -> DataFrame:
 
 
 checks.register(query)
+
+
+# --- the same questions from what jobs have left behind: stored edges, indexes and roll-ups
+def beside(name: str, plain: str, make: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name], ORACLE[name] = make, ORACLE[plain]
+
+
+beside("g10_stored", "g10_neighbours", lambda spark, d: stores.edges(spark, d).neighbours("Host", "node-03", 2))
+beside("g11_stored", "g11_path", lambda spark, d: stores.edges(spark, d).shortest_path(("User", "user-1"), ("Component", "click.2")).select(F.array_join("nodes", ">").alias("nodes"), F.array_join("rels", ">").alias("rels"), "hops"))
+beside("g12_indexed", "g12_resolve", lambda spark, d: textindex.resolve(stores.names(spark, d), "NODE-0"))
+beside("g15_stored", "g15_blast_radius", lambda spark, d: stores.edges(spark, d).blast_radius(stores.names(spark, d), "user-7", 1))
+beside("r2_indexed", "r2_keywords", lambda spark, d: stores.documents(spark, d).keywords(" ".join(_WORDS), 20))
+beside("r3_indexed", "r3_substring", lambda spark, d: textindex.search_messages(stores.messages(spark, d), V.events(spark, d), "any error Purchase?"))
+beside("n_insights_rolled", "n_insights", lambda spark, d: stores.rolled(spark, d).insights())
+beside("a11_rolled", "a11_top_messages", lambda spark, d: A.top_messages(stores.rolled(spark, d).fact("message")))
+beside("a9_rolled", "a9_heat_map", lambda spark, d: stores.rolled(spark, d).dashboard()["heat_map"])
+beside("a6_rolled", "a6_top_hosts", lambda spark, d: stores.rolled(spark, d).dashboard()["hosts"])
+beside("w3_rolled", "w3_findings", lambda spark, d: stores.rolled(spark, d).outliers(threshold=1.5))

@@ -31,3 +31,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, whole, or None if there is none."""
+    at, store = _path(spark, path)
+    if not store.exists(at):
+        return None
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file in the place of another; a reader finds one of them."""
+    at, store = _path(spark, path)
+    new, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = store.create(new, True)
+    stream.write(text.encode())
+    stream.close()
+    # a rename does not replace on every file system
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    context.rename(store.makeQualified(new), store.makeQualified(at), how)
