@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import normalize
-from logweave.operators import entities, exports, mining
+from logweave.operators import batches, entities, exports, mining
 from logweave.sources import readers, records
 from logweave.storage import new_path
 
@@ -160,6 +160,18 @@ def _dead(log: DataFrame) -> DataFrame:
     return spark.read.parquet(path).select("value", "error")
 
 
+# --- events sealed in two batches
+def _sealed(log: DataFrame) -> DataFrame:
+    out = batches.Ledger(log.sparkSession, new_path(log.sparkSession, "ledger"))
+    for n, part in enumerate(("day < '2024-01-15'", "day >= '2024-01-15'")):
+        if not log.where(part).isEmpty():
+            out.seal(log.where(part), f"2024-02-0{n + 1}T00:00:00Z")
+    proofs = batches.check(out.proofs(log.select(F.col("id").alias("event_id"))))
+    each = proofs.groupBy("batch").agg(F.count("*").alias("events"), F.every("valid").alias("valid"))
+    wrong = out.verify().groupBy("batch").agg(F.count("*").alias("wrong"))
+    return each.join(wrong, "batch", "left").select("batch", "events", "valid", F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
 def _unmatched(log: DataFrame) -> DataFrame:
     lost = F.when(F.col("k") % 7 == 0, normalize.FALLBACK).otherwise(F.col("matched_format"))
     return mining.unmatched(log.withColumn("matched_format", lost))
@@ -178,6 +190,7 @@ UNION ALL SELECT event_id, 'Network Information.Source Port', k::VARCHAR FROM lo
     query("s3_records", _records, "SELECT row_number() OVER (ORDER BY event_id) AS source_record, timestamp || ' ' || hostname || ' said' || chr(10) || '  and more ' || k || chr(10) || '  at last' AS raw FROM log")
     query("x9_rotated", _rotated, "SELECT count(*) AS lines, count(DISTINCT id) AS ids, true AS bounded, true AS rotated FROM log")
     query("x10_dead_letters", _dead, "SELECT message AS value, 'OSError: refused' AS error FROM log WHERE contains(message, 'purchase')")
+    query("i3_batches", _sealed, "SELECT (day >= '2024-01-15')::BIGINT AS batch, count(*) AS events, true AS valid, 0::BIGINT AS wrong FROM log GROUP BY 1")
     query("m6_unmatched", _unmatched, "SELECT raw_message AS raw FROM log WHERE k % 7 = 0")
     query("s4_formats", _formats, "SELECT * FROM (VALUES ('a', 'jsonl', 2), ('b', 'csv', 1), ('c', 'text', 1)) t(folder, format, files) WHERE (SELECT count(*) FROM log) > 0")
     query("s8_any_files", _any, "SELECT folder, count(*) AS records, count(DISTINCT raw) AS different FROM (SELECT 'a' AS folder, id AS raw FROM log UNION ALL SELECT 'b', id FROM log UNION ALL SELECT 'c', timestamp || hostname FROM log) GROUP BY 1")

@@ -1,11 +1,12 @@
 """What jobs leave behind: indexes, edges, roll-ups and sealed batches give what the plain forms give, and grow by batch."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import aggregates, edgestore, graph, insights, retrieval, rollup, textindex
+from logweave.operators import aggregates, batches, edgestore, graph, insights, retrieval, rollup, textindex
 from logweave.plans import logview
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,61 @@ def test_roll_up(spark, tmp_path):
     empty = rollup.RollUp(spark, f"file://{tmp_path}/none")
     empty.append(log.limit(0), m.limit(0), "a")
     assert [r[0] for r in rows(empty.insights())] == ["empty"]
+
+
+def plain_root(nodes):
+    while len(nodes) > 1:
+        nodes = [batches.join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+    return nodes[0]
+
+
+def test_mountain_range():
+    leaf = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)]
+    peaks, ranges = [], [batches.GENESIS]
+    for n, h in enumerate(leaf):
+        peaks = batches.add_leaf(peaks, n, h)
+        assert len(peaks) == len(batches.sizes(n + 1))
+        ranges.append(batches.bagged(peaks))
+    for total in range(1, 41):
+        for n in range(total + 1):
+            proof = batches.consistency(leaf[:total], n)
+            assert batches.consistent(ranges[n], n, ranges[total], total, proof)
+            if proof[1]:
+                assert not batches.consistent(ranges[n], n, ranges[total], total, (proof[0], [leaf[0], *proof[1][1:]]) if proof[1][0] != leaf[0] else (proof[0], proof[1][1:]))
+            assert not batches.consistent(batches.join(ranges[n], leaf[0]), n, ranges[total], total, proof)
+    with pytest.raises(ValueError):
+        batches.consistency(leaf, 41)
+
+
+def test_fold_is_the_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(batches, "FOLD", 2)
+    for n in (1, 2, 3, 4, 5, 16, 17, 37):
+        leaf = [hashlib.sha256(f"{n} {i}".encode()).hexdigest() for i in range(n)]
+        nodes = spark.createDataFrame([(b, i, h) for b in (0, 1) for i, h in enumerate(leaf)], "b int, idx long, hash string")
+        assert rows(batches.fold(nodes, ("b",), n)[0].orderBy("b")) == [(0, plain_root(leaf)), (1, plain_root(leaf))]
+
+
+def test_ledger_of_batches(spark, tmp_path):
+    log = logview.events(spark, SF)
+    ledger_of = batches.Ledger(spark, f"file://{tmp_path}/l", block=16)
+    parts = [log.where(f"event_id between {a} and {b}") for a, b in ((0, 99), (100, 100), (101, 500))]
+    headers = [ledger_of.seal(p, f"2026-09-0{n + 1}T00:00:00Z") for n, p in enumerate(parts)]
+    assert [h["batch"] for h in headers] == [0, 1, 2] and [h["block_count"] for h in headers] == [7, 1, 25]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "l").rglob("*.parquet")}
+    roots_then = [ledger_of.root(n) for n in (1, 2, 3)]
+    ledger_of.seal(log.where("event_id > 500 and event_id <= 540"), "2026-09-04T00:00:00Z")
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())  # nothing old is touched
+    for n in (1, 2, 3):
+        assert batches.consistent(roots_then[n - 1], n, ledger_of.root(), 4, ledger_of.proof_of_beginning(n))
+    assert ledger_of.verify().count() == 0
+    hashes = [r.hash for r in ledger_of.leaves().where("batch = 2").orderBy("height", "idx").collect()]
+    assert headers[2]["merkle_root"] == plain_root([plain_root(hashes[i : i + 16]) for i in range(0, len(hashes), 16)])
+    assert len(hashes) == parts[2].count() == headers[2]["event_count"]
+    some = log.where("event_id % 20 = 0 or event_id = 100").select(F.col("id").alias("event_id"))
+    found = batches.check(ledger_of.proofs(some)).collect()
+    assert len(found) == some.join(ledger_of.leaves(), "event_id").count() and all(r.valid for r in found) and {r.batch for r in found} == {0, 1, 2, 3}
+    altered = ledger_of.leaves().where("batch = 1").withColumn("hash", F.sha2("hash", 256)).drop("batch").toPandas()
+    spark.createDataFrame(altered).write.mode("overwrite").parquet(f"file://{tmp_path}/l/leaves/batch=1")
+    assert rows(ledger_of.verify()) == [(1, "merkle_mismatch")]
+    with pytest.raises(ValueError):
+        ledger_of.seal(log.limit(0), "2026")
