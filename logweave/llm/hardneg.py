@@ -228,7 +228,10 @@ def search(index: DataFrame, buckets: int, queries: DataFrame, same: bool, k: in
     tasks = min(buckets, max(spark.sparkContext.defaultParallelism, buckets // BUCKETS))
     last = Window.partitionBy("q", "place").orderBy(F.desc("score"), "vec_id")
     rounds = (queries.agg(F.max("block").alias("n")).first().n or 0) + 1
+    present = {r.part for r in index.select("part").distinct().collect()}  # 64 at most
     for start, end in PARTS:
+        if present.isdisjoint(range(start, end)):
+            continue
         here = index.where(F.col("part").between(start, end - 1)).repartition(tasks).sortWithinPartitions("dims", F.desc("size"))
         floors = best.groupBy("q", "place").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
         floors = floors.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("place", "floor"))).alias("floors"))  # windows of a query

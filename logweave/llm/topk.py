@@ -10,8 +10,11 @@ bound is below the k-th lower bound is out; rows that are out for all queries of
 further. Processing stops when few rows are left for each query, or no segment with weight. Rows that
 remain are rescored with their whole components.
 
-The index stays where it is written; blocks of queries, a bounded number at a time, are broadcast to it, and
-each pair of blocks gives k rows for each query at most.
+A task goes through its blocks one after the other and takes each query's k-th best score along: a block starts with that proof, so
+a row that cannot reach it is out with its first segments, and a block without such a row is left. The
+index is searched in three rounds, of a 64th, an eighth and the rest of its blocks, each with the k-th best scores of those
+before. Blocks of queries, a bounded number at a time, are broadcast; a task gives k rows for each query at
+most, and those of a later round only if they reach the k-th best of the earlier ones.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; a query meets
 the vectors of its own length; a query has no row for itself (rows of
@@ -20,6 +23,7 @@ the same id are its own); ties go to the smaller id; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType
 
-from .common import configure, fields, map_rows, stored
+from .common import configure, fields, stored
 
 #: Rows of an index block, queries of a query block, and bytes of the query blocks that are broadcast at a time.
 BLOCK, QUERIES, ROUND = 8192, 2048, 64_000_000
-#: Queries that share the order of the segments.
-GROUP = 64
+#: Queries that share the order of the segments, blocks of a task, and parts of the index by 64ths of its blocks.
+GROUP, BLOCKS, PARTS = 64, 16, ((0, 1), (1, 8), (8, 64))
 SCALE = 256
 #: Scores beyond this are added up in exact integers of Python.
 SAFE = 2.0**52
@@ -80,16 +84,21 @@ def weighted_order(q: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
     return order // q.shape[1], order % q.shape[1]
 
 
-def candidates(q: np.ndarray, own: np.ndarray, ids: np.ndarray, digits: int, planes: np.ndarray, k: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the rows that may be among the k best. ``planes`` holds a bitmap for each digit, the
-    highest first, and dimension; ``seen`` takes how many segments were processed."""
+def candidates(q: np.ndarray, own: np.ndarray, ids: np.ndarray, digits: int, planes: np.ndarray, k: int, seen: list | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the rows that may be among the k best and reach ``floor``. ``planes`` holds a bitmap for each digit, the
+    highest first, and dimension; ``seen`` takes how many segments were processed, and how many have weight."""
     n, dims = len(ids), q.shape[1]
     ds, js = weighted_order(q, digits)
     rows = np.arange(n)  # those read on
     barred = ids[None, :] == own[:, None]
     acc, alive = np.zeros((len(q), n)), ~barred
-    at = 0
-    for at in range(0, len(ds), dims):
+    read, floor = 0, np.full(len(q), -np.inf) if floor is None else floor
+    # what all segments together can add
+    best = np.maximum(q[:, js] * 2.0**ds, 0).sum(axis=1)
+    alive &= (best >= floor)[:, None]
+    if not alive.any():
+        rows, acc, alive = rows[:0], acc[:, :0], alive[:, :0]
+    for at in range(0, len(ds) if len(rows) else 0, dims):
         d, j = ds[at : at + dims], js[at : at + dims]
         bits = np.unpackbits(planes[digits - 1 - d, j], axis=1, count=n)
         acc += (q[:, j] * 2.0**d) @ (bits if len(rows) == n else bits[:, rows]).astype(float)
@@ -97,25 +106,28 @@ def candidates(q: np.ndarray, own: np.ndarray, ids: np.ndarray, digits: int, pla
         more, less = np.maximum(left, 0).sum(axis=1), np.maximum(-left, 0).sum(axis=1)
         low = np.where(alive, acc - less[:, None], -np.inf)
         kth = np.partition(low, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(q), -np.inf)
-        alive &= acc + more[:, None] >= kth[:, None]
+        read = min(len(ds), at + dims)
+        alive &= acc + more[:, None] >= np.maximum(kth, floor)[:, None]
         if alive.sum() <= 8 * k * len(q):
             break
         if (some := alive.any(axis=0)).mean() < 0.5:
             rows, acc, alive = rows[some], acc[:, some], alive[:, some]
     if seen is not None:
-        seen.append(min(len(ds), at + dims))
+        seen.append((read, len(ds)))
     qs, places = np.nonzero(alive)
     return qs, rows[places]
 
 
-def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, digits: int, segments: bytes, k: int, seen: list | None = None):
-    """(query, row, score) of the k best rows of a block for each row of ``q``."""
+def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, digits: int, segments: bytes, k: int, seen: list | None = None, floor: np.ndarray | None = None):
+    """(query, row, score) of the k best rows of a block for each row of ``q``, of those that reach ``floor``."""
     n, dims = len(ids), q.shape[1]
     planes = np.frombuffer(segments, np.uint8).reshape(digits, dims, -(-n // 8))
     size = np.abs(q).sum(axis=1).max(initial=0)
     exact = size * 2.0**digits + size * abs(least) < SAFE
     if exact:
-        qs, rows = candidates(q, own, ids, digits, planes, k, seen)
+        # a score is that of the digits and the least component times the query's sum; half a point for rounding
+        reach = None if floor is None else floor - q.sum(axis=1) * least - 0.5
+        qs, rows = candidates(q, own, ids, digits, planes, k, seen, reach)
     else:
         qs, rows = np.nonzero(ids[None, :] != own[:, None])
     # whole components of the rows that may be members
@@ -139,10 +151,62 @@ def search_block(q: np.ndarray, own: np.ndarray, ids: np.ndarray, least: int, di
     return qs[best], ids[rows[best]], scores[best]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows of ``vectors`` for each row of ``queries``."""
-    configure(vectors.sparkSession)
-    index = stored(build_index(whole_numbers(vectors, key, vector), block), "impact_index")
+class Running:
+    """The k best (score, id) of each query of a block of queries so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
+        self.own, self.q, self.k, self.floor = ids, q, k, floor
+        self.found = [np.zeros(0, np.int64) for _ in range(3)]  # query, id, score
+
+    def add(self, at: int, qs: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Adds what a block of the index gives for the queries from ``at`` on."""
+        if not len(qs):
+            return
+        qs, ids, scores = (np.r_[a, b] for a, b in zip(self.found, (qs + at, ids, scores), strict=True))
+        order = np.lexsort((ids, -scores, qs))
+        qs, ids, scores = qs[order], ids[order], scores[order]
+        place = np.arange(len(qs)) - np.searchsorted(qs, qs)
+        full = place == self.k - 1
+        self.floor[qs[full]] = np.maximum(self.floor[qs[full]], scores[full])
+        self.found = [x[place < self.k] for x in (qs, ids, scores)]
+
+
+FOUND = fields(query_id=LongType(), vec_id=LongType(), score=LongType())
+
+
+def searcher(known, k: int):
+    """mapInArrow over blocks of the index. The last row of a task has no query: it says how many segments were read, as id, of how
+    many with weight, as score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs, floors = known.value
+        asked: dict[int, list[Running]] = {}
+        for dims, ids, q in packs:
+            own = np.frombuffer(ids, "<i8")
+            floor = np.array([floors.get(i, -np.inf) for i in own.tolist()], float)
+            asked.setdefault(dims, []).append(Running(own, np.frombuffer(q, "<f8").reshape(-1, dims), k, floor))
+        seen: list[tuple[int, int]] = []
+        for b in batches:
+            for r in b.to_pylist():
+                ids = np.frombuffer(r["ids"], "<i8")
+                for one in asked.get(r["dims"], ()):
+                    for at in range(0, len(one.own), GROUP):
+                        part = slice(at, at + GROUP)
+                        one.add(at, *search_block(one.q[part], one.own[part], ids, r["least"], r["digits"], r["segments"], k, seen, one.floor[part]))
+        for one in (x for xs in asked.values() for x in xs):
+            qs, ids, scores = one.found
+            yield pa.RecordBatch.from_arrays([pa.array(one.own[qs]), pa.array(ids), pa.array(scores)], names=FOUND.names)
+        read, weighted = (sum(x) for x in zip(*seen, strict=True)) if seen else (0, 0)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([read], pa.int64()), pa.array([weighted], pa.int64())], names=FOUND.names)
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERIES, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best rows of ``vectors`` for each row of ``queries``. ``report`` takes how
+    many segments were read, of how many that have weight, and how many rows were shuffled."""
+    spark = configure(vectors.sparkSession)
+    index = stored(build_index(whole_numbers(vectors, key, vector), block).withColumn("part", F.pmod(F.xxhash64("block", "dims"), F.lit(64))), "impact_index")
     asked = whole_numbers(queries, key, vector)
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     many = max(1, -(-size.n // query_block))
@@ -155,33 +219,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         out = dict(qblock=[table.column("qblock")[0].as_py()], dims=[q.shape[1]], qids=[np.array(table.column("vec_id").to_pylist(), "<i8").tobytes()], q=[q.tobytes()])
         return pa.table(out, schema=pa.schema([("qblock", pa.int64()), ("dims", pa.int32()), ("qids", pa.binary()), ("q", pa.binary())]))
 
-    sets = asked.withColumn("dims", F.size("v")).withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(many))).select("qblock", "dims", "vec_id", "v").groupBy("qblock", "dims").applyInArrow(packed, schema_q)
+    own_block = lambda c: F.pmod(F.xxhash64(c), F.lit(many))
+    sets = asked.withColumn("dims", F.size("v")).withColumn("qblock", own_block("vec_id")).select("qblock", "dims", "vec_id", "v").groupBy("qblock", "dims").applyInArrow(packed, schema_q)
     blocks = stored(sets, "query_blocks")
-    found = fields(query_id=LongType(), vec_id=LongType(), score=LongType())
-
-    def make():
-        def work(dims, least, digits, ids, segments, qids, q):
-            out = {n: [] for n in found.names}
-            for m, lo, d, i, s, qi, data in zip(dims, least, digits, ids, segments, qids, q, strict=True):
-                own, i = np.frombuffer(qi, "<i8"), np.frombuffer(i, "<i8")
-                data = np.frombuffer(data, "<f8").reshape(-1, m)
-                for at in range(0, len(own), GROUP):
-                    a, b, c = search_block(data[at : at + GROUP], own[at : at + GROUP], i, lo, d, s, k)
-                    out["query_id"] += own[at : at + GROUP][a].tolist()
-                    out["vec_id"] += b.tolist()
-                    out["score"] += c.tolist()
-            return out
-
-        return work
-
-    tasks = min(20_000, max(1, index.count()))
-    rounds = []
-    for at in range(0, many, at_once):
-        # bounded by ROUND
-        asking = F.broadcast(blocks.where(F.col("qblock").between(at, at + at_once - 1)))
-        pairs = index.repartition(tasks, "block").join(asking, "dims").select("dims", "least", "digits", "ids", "segments", "qids", "q")
-        own = map_rows(pairs, make, found)
-        rounds.append(stored(own, "round") if many > at_once else own)
-    best = reduce(DataFrame.unionByName, rounds)
+    present = {r.part for r in index.select("part").distinct().collect()}  # 64 at most
+    n = max(1, index.count())
+    tasks = min(n, max(spark.sparkContext.defaultParallelism, n // BLOCKS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, told = stored(spark.createDataFrame([], FOUND), "best"), {"read": 0, "segments": 0, "shuffled": 0}
+    for first, end in PARTS:
+        if present.isdisjoint(range(first, end)):
+            continue
+        here = index.where(F.col("part").between(first, end - 1)).repartition(tasks)
+        floors = best.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
+        found = []
+        for at in range(0, many, at_once):
+            # bounded by ROUND, and a number for each query of these
+            packs = [(r.dims, bytes(r.qids), bytes(r.q)) for r in blocks.where(F.col("qblock").between(at, at + at_once - 1)).toLocalIterator()]
+            least = {r.query_id: r.floor for r in floors.where(own_block("query_id").between(at, at + at_once - 1)).toLocalIterator()}
+            if packs:
+                known = spark.sparkContext.broadcast((packs, least))
+                found.append(stored(here.select("dims", "least", "digits", "ids", "segments").mapInArrow(searcher(known, k), FOUND), "round"))
+                known.destroy()
+        if not found:
+            continue
+        rows = reduce(DataFrame.unionByName, found)
+        if report is not None:
+            r = rows.where("query_id is null").agg(F.sum("vec_id").alias("read"), F.sum("score").alias("segments")).first()
+            told = {"read": told["read"] + (r.read or 0), "segments": told["segments"] + (r.segments or 0), "shuffled": told["shuffled"] + rows.where("query_id is not null").count()}
+        best = best.unionByName(rows.where("query_id is not null"))
+        best = stored(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+    if report is not None:
+        report.update(told)
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")

@@ -258,11 +258,41 @@ def test_impact_order():
     seen = []
     qs, ids, scores = topk.search_block(q, np.array([1, 2, -1]), np.arange(500), 0, 8, planes.tobytes(), 5, seen)
     want = brute_top([(i, x) for i, x in enumerate(v)], [(1, q[0]), (2, q[1]), (-1, q[2])])
-    assert {((1, 2, -1)[a], b, c) for a, b, c in zip(qs, ids, scores, strict=True)} == {(a, b, c) for a, _, b, c in want} and seen[0] <= 16
+    assert {((1, 2, -1)[a], b, c) for a, b, c in zip(qs, ids, scores, strict=True)} == {(a, b, c) for a, _, b, c in want} and seen[0][0] <= 16
     q = rng.integers(-200, 200, (8, 16)).astype(float)
     q[:, 0] = 100_000
     topk.search_block(q, np.arange(8), np.arange(500), 0, 8, planes.tobytes(), 5, seen)
-    assert seen[1] < 128
+    assert seen[1][0] < 128
+
+
+def test_bounds_carry_over():
+    """A block without a row that reaches the bound is left after few segments, or at once; none that reaches it is missed."""
+    rng = np.random.default_rng(6)
+    q = rng.integers(-50, 50, (4, 12)).astype(float)
+    v = rng.integers(0, 64, (300, 12))
+    planes = np.stack([np.packbits((v.T >> d & 1).astype(bool), axis=1) for d in range(5, -1, -1)]).tobytes()
+    scores = v @ q.astype(int).T
+    for floor in (scores.max(axis=0), np.partition(scores, -3, axis=0)[-3], scores.max(axis=0) + 1):
+        seen = []
+        qs, ids, got = topk.search_block(q, np.full(4, -1), np.arange(300), 0, 6, planes, 5, seen, floor.astype(float))
+        want = {(a, i, scores[i, a]) for a in range(4) for i in np.flatnonzero(scores[:, a] >= floor[a]).tolist()}
+        assert want <= set(zip(qs.tolist(), ids.tolist(), got.tolist(), strict=True))
+        assert seen[0][0] <= seen[0][1] == 72
+    seen = []
+    assert not len(topk.search_block(q, np.full(4, -1), np.arange(300), 0, 6, planes, 5, seen, np.full(4, 1e9))[0]) and seen == [(0, 72)]
+
+
+def test_top_k_reads_fewer_segments_and_shuffles_few_rows(spark):
+    """Few rows are large: blocks after the first are left early, and give less than k rows for each query."""
+    rng = np.random.default_rng(8)
+    v = np.abs(rng.normal(size=(6000, 10))) * np.where(rng.random((6000, 1)) < 0.02, 8.0, 0.2)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    report = {}
+    got = topk.top_k(df, df.where("vec_id % 200 = 0"), 5, block=60, report=report)
+    w = np.floor(256 * v).astype(np.int64)
+    whole = list(enumerate(w))
+    assert {tuple(r) for r in got.collect()} == brute_top(whole, [(i, x) for i, x in whole if i % 200 == 0])
+    assert report["read"] < 0.6 * report["segments"] and report["shuffled"] < 30 * 5 * 100 / 4
 
 
 def test_top_k(spark, monkeypatch):
