@@ -27,7 +27,7 @@ ISO = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2}
 ZONED = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2}))"
 OFFSET_ISO = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[,.]\d+[+-]\d{4})"
 SYS = r"([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
-NO_SYS = SYS.replace("(", "(?:", 1)
+NO_SYS = r"(?:[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 WRAPPED = "^" + SYS + r"\s+(\S+)\s+"
 APACHE = r"\[(\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\s[+-]\d{4})\]"
 LEVEL = r"(DEBUG|INFO|NOTICE|WARNING|WARN|ERROR|CRITICAL|FATAL|TRACE)"
@@ -36,6 +36,7 @@ REST = r"\s*([\s\S]*)$"
 REQUEST = "{http_method} {http_path} {http_status}"
 SPRING = "^" + ISO + r"\s+(DEBUG|INFO|WARNING|WARN|ERROR|TRACE)\s+([\w-]+)\s+\[(host=.*?)\]\s+"
 PRI = r"^<(\d{1,3})>\s*(?:" + SYS + r"\s+)?([\w.\-]+)\s+"
+STRICT_PRI = r"^<(\d{1,2}|1[0-8]\d|19[01])>\s*(?:" + SYS + r"\s+)?([\w.\-]+)\s+"
 
 #: The line formats of products, in order.
 RULES = (
@@ -132,9 +133,9 @@ RULES = (
     Rule("sophos_kv", "Appliance", "log_", r"^((?=[\s\S]*device=)(?=[\s\S]*log_(?:type|component)=)[\s\S]*|(?=[\s\S]*log_type=)(?=[\s\S]*log_component=)[\s\S]*)$", "kv", process="appliance", component="firewall"),
     Rule("fortinet_kv", "Fortinet", "=", r"^((?=(?i:date=\d{4}-\d{2}-\d{2}\s+time=\d{2}:\d{2}:\d{2})\b|.*\b(?i:devname=)\"?[\w.\-])[\s\S]*)$", "kv", process="firewall", component="firewall"),
     Rule("logfmt", "logfmt", "=", r"^((?=.*\b(?i:msg|message|event)=)(?=(?:.*?[A-Za-z_][\w.\-]*=){3})[\s\S]*)$", "kv", process="logfmt", component="logfmt"),
-    Rule("pri_syslog", "Cisco", "%", PRI.replace(r"(\d{1,3})", r"(\d{1,2}|1[0-8]\d|19[01])") + r"%([A-Z0-9_]+)-(\d)-([A-Z0-9_]+):" + REST, "pri,timestamp,host,process,cisco_severity,cisco_mnemonic,message"),
-    Rule("pri_syslog", "Cisco", "%", PRI.replace(r"(\d{1,3})", r"(\d{1,2}|1[0-8]\d|19[01])") + r"[^\s:\[]{1,48}(?:\[\d+\])?:?\s*%([A-Z0-9_]+)-(\d)-([A-Z0-9_]+):" + REST, "pri,timestamp,host,process,cisco_severity,cisco_mnemonic,message"),
-    Rule("pri_syslog", "NetworkDevice", ">", PRI.replace(r"(\d{1,3})", r"(\d{1,2}|1[0-8]\d|19[01])") + r"([^\s:\[]{1,48})(?:\[(\d+)\])?:?" + REST, "pri,timestamp,host,process,pid,message"),
+    Rule("pri_syslog", "Cisco", "%", STRICT_PRI + r"%([A-Z0-9_]+)-(\d)-([A-Z0-9_]+):" + REST, "pri,timestamp,host,process,cisco_severity,cisco_mnemonic,message"),
+    Rule("pri_syslog", "Cisco", "%", STRICT_PRI + r"[^\s:\[]{1,48}(?:\[\d+\])?:?\s*%([A-Z0-9_]+)-(\d)-([A-Z0-9_]+):" + REST, "pri,timestamp,host,process,cisco_severity,cisco_mnemonic,message"),
+    Rule("pri_syslog", "NetworkDevice", ">", STRICT_PRI + r"([^\s:\[]{1,48})(?:\[(\d+)\])?:?" + REST, "pri,timestamp,host,process,pid,message"),
 )
 
 #: Groups that have a place in the event schema, or tell one; all others are attributes.

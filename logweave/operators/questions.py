@@ -9,7 +9,7 @@ import inspect
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IS_ERROR = "severity = 'ERROR'"
@@ -49,10 +49,13 @@ def _targets(edges: DataFrame, rel: str, name: str, more_than: int) -> DataFrame
 
 
 def _sharing(edges: DataFrame, rel: str, name: str) -> DataFrame:
-    """Pairs of hosts of one source: the first 25, so each source gives no more than its 26 smallest hosts' pairs."""
-    own = edges.where(F.col("rel") == rel).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("d")).where(F.size("d") > 1).orderBy("src").limit(25)
-    first = own.select("src", F.slice("d", 1, 26).alias("d")).select("src", "d", F.posexplode("d").alias("i", "host1"))
-    pairs = first.select(F.col("src").alias(name), "host1", F.explode(F.expr("slice(d, i + 2, 26)")).alias("host2"))
+    """Pairs of hosts of one source: the first 25, so of the first 25 sources with two hosts, and each source's 26 smallest
+    hosts. Sources are found by their least and greatest host, and hosts ranked before any are gathered."""
+    own = edges.where(F.col("rel") == rel).select("src", "dst")
+    few = own.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")).where("lo < hi").select("src").orderBy("src").limit(25)
+    hosts = own.join(F.broadcast(few), "src").distinct().withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where("n <= 26")
+    each = hosts.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("d")).select("src", "d", F.posexplode("d").alias("i", "host1"))
+    pairs = each.select(F.col("src").alias(name), "host1", F.explode(F.expr("slice(d, i + 2, 26)")).alias("host2"))
     return pairs.orderBy(name, "host1", "host2").limit(25)
 
 

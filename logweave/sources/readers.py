@@ -7,6 +7,7 @@ import io
 import re
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -97,7 +98,8 @@ def _records(df: DataFrame, root: str, raw) -> DataFrame:
 
 def _headers(spark: SparkSession, paths) -> list[list[str]]:
     """Paths of CSV files, those with the same header together; a file without a line is left out."""
-    text = spark.read.text(paths).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    head = spark.read.text(paths).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    text = head.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
     groups: dict[tuple[str, str], list[str]] = {}
     for r in text.groupBy("path").agg(F.min_by("value", "at").alias("first")).sort("path").toLocalIterator():  # a row for each file
         own = r.path if r.first.count('"') % 2 else ""  # goes on in the next line
@@ -105,6 +107,17 @@ def _headers(spark: SparkSession, paths) -> list[list[str]]:
     return list(groups.values())
 
 
+def _surplus(n: int, sep: str):
+    """The cells of a record behind the first ``n``, a batch at a time; only rows of another length are split."""
+
+    @F.pandas_udf("array<string>")
+    def cells(records: pd.Series) -> pd.Series:
+        behind = lambda r: next(csv.reader(io.StringIO(r, newline=""), delimiter=sep), [])[n:] or None
+        return records.map(behind, na_action="ignore").astype(object).where(records.notna(), None)
+
+    return cells
+
+
 def read_csv(spark: SparkSession, paths, root: str, sep: str = ",") -> DataFrame:
     """Rows as JSON records under the header of their own file; what a row has beyond it goes to
     ``_extra_columns``, a list."""
@@ -114,14 +127,10 @@ def read_csv(spark: SparkSession, paths, root: str, sep: str = ",") -> DataFrame
         columns = reader.csv(own[0]).columns
         n = len(columns)
 
-        def surplus(record, n=n):
-            cells = next(csv.reader(io.StringIO(record, newline=""), delimiter=sep), []) if record else []
-            return cells[n:] or None
-
         # Spark keeps the record where the number of cells is not that of the header
         schema = StructType([StructField(c, StringType()) for c in [*columns, "_logweave_record"]])
         df = reader.schema(schema).option("columnNameOfCorruptRecord", "_logweave_record").csv(own)
-        extra = F.udf(surplus, "array<string>")(F.col("_logweave_record")).alias("_extra_columns")
+        extra = _surplus(n, sep)(F.col("_logweave_record")).alias("_extra_columns")
         named = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
         rows = df.select(F.to_json(F.struct(*named, extra)).alias("raw"), F.col("_metadata.file_path").alias("_path"))
         part = _records(rows, root, F.col("raw"))
