@@ -12,9 +12,12 @@ long as the longer prefix does; so regions that very many unlike sets share fall
 need few leaders, stay whole. At ``DEEPEST`` values two sets of similarity 0.8 that are in such regions in all trees
 miss each other with probability 6e-4.
 
-Areas, the components of these ties, hold every possible link. The whole sets of an area's members
-meet in blocks of bounded size, pair by pair of blocks, and every pair of sets not yet known to
-be connected is compared exactly (shingles by 64-bit hashes of their words). Only links that connect are
+Areas, the components of these ties, hold every possible link. First each set is compared exactly (shingles by 64-bit
+hashes of their words) with the one leader it looks most like in the first ``EARLY`` trees: a row for each set, and a leader of very many is copied
+to as many groups as they fill. What these links connect are clusters; an area of one cluster is done, and sets of one cluster are
+never compared again. Of the other areas the sets of unlike clusters meet in blocks of bounded size: a cluster that fills blocks of its own
+meets the other blocks only, so a large group of copies costs its size times the number of blocks of strangers that were tied to it.
+Every pair of sets not yet known to be connected is compared there. Only links that connect are
 returned, one less than sets at most, never all pairs.
 
 Defined results: a null text, or one without words, has no shingle and links with nothing; fewer
@@ -47,6 +50,8 @@ BLOCK, BLOCK_BYTES = 2048, 32_000_000
 #: Estimated similarity from which a leader covers a set, and from which it is tied to it:
 #: 0.25 and 0.27 (more than four standard errors) beyond what the metric needs.
 COVERS, TIES = 0.80, 0.30
+#: Trees whose leaders are compared with early, and the estimated similarity from which they are.
+EARLY, CLOSE = 12, 0.70
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(20_240_601).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -106,14 +111,15 @@ def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class Region:
-    """Leaders of a region, and ties to them; ``give`` takes two ids.
+    """Leaders of a region, and ties to them; ``give`` takes two ids. ``close`` takes ids, the leaders that they look most
+    like, and how much, of those that look like one enough.
 
     Areas only ask what ties connect, so ties between sets that are connected already are
     left out: a region of n sets gives n - 1 at most. Held are the leaders, never the region.
     """
 
-    def __init__(self, give, many: int) -> None:
-        self.give, self.many, self.depth = give, many, DEPTH
+    def __init__(self, give, many: int, close=None) -> None:
+        self.give, self.many, self.depth, self.close = give, many, DEPTH, close
         self.start()
 
     def start(self) -> None:
@@ -136,10 +142,13 @@ class Region:
 
     def tie(self, ids: np.ndarray, sketches: np.ndarray) -> None:
         left, first = np.ones(len(ids), bool), np.full(len(ids), -1)
+        most, like = np.full(len(ids), CLOSE), np.full(len(ids), -1)
 
         def meet(leader: int, since: int) -> None:
             near = likeness(self.sketches[leader], sketches[since:])
             left[since:] &= near < COVERS
+            more = np.flatnonzero((near >= most[since:]) & (ids[since:] != self.ids[leader])) + since
+            most[more], like[more] = near[more - since], leader
             tied = np.flatnonzero((near >= TIES) & (ids[since:] != self.ids[leader])) + since
             new = tied[first[tied] < 0]
             for k in new.tolist():
@@ -164,22 +173,27 @@ class Region:
                     self.label[mine] = self.label[first[k]]
                 first[k] = mine
                 meet(mine, k)
+        if self.close is not None and len(own := np.flatnonzero(like >= 0)):
+            self.close(ids[own], np.array(self.ids, np.int64)[like[own]], most[own])
 
 
 def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.RecordBatch]:
-    """Ties from rows (tree, key, id, sketch) that come sorted by tree and key."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    us, vs = [], []
+    """Ties from rows (tree, key, id, sketch) that come sorted by tree and key: ``near`` is null for those that only say
+    what an area is, else the estimated similarity of a set, ``u``, and a leader."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("near", pa.float32())])
+    us, vs, looks = [], [], []
 
     def give(u: int, v: int) -> None:
         us.append(u)
         vs.append(v)
 
     def taken() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
-        us.clear()
-        vs.clear()
-        return out
+        ties = [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.nulls(len(us), pa.float32())]
+        for columns in looks:
+            ties = [pa.concat_arrays([t, pa.array(c, f.type)]) for t, c, f in zip(ties, columns, schema, strict=True)]
+        for x in (us, vs, looks):
+            x.clear()
+        return pa.RecordBatch.from_arrays(ties, schema=schema)
 
     going, last = None, None  # the region at the end of the batch before, and its first values
     for b in batches:
@@ -197,19 +211,20 @@ def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.
             x, y = int(bounds[r]), int(bounds[r + 1])
             own = (int(trees[x]), keys[x, :DEPTH].tobytes())
             if own != last:
-                going, last = Region(give, many), own
+                going, last = Region(give, many, (lambda *x: looks.append(x)) if own[0] < EARLY else None), own
             going.add(keys[x:y], ids[x:y], sketches[x:y])
         yield taken()
 
 
-def linked(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+def linked(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int, clusters: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what all pairs with ``100 * both >= percent * either`` connect.
 
-    ``side`` is 0 or 1 for the two blocks that meet, or 2 for a block with itself.
+    ``side`` is 0 or 1 for the two blocks that meet, or 2 for a block with itself; sets of one of ``clusters`` are
+    connected already.
     """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
-    label = np.arange(n)
+    label = np.arange(n) if clusters is None else np.unique(clusters, return_inverse=True)[1]
     sides = np.array(side)
     starts = np.r_[0, np.cumsum(sizes)]
     words, every = np.unique(np.concatenate(sets), return_inverse=True)
@@ -270,33 +285,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     forest = map_rows(one.select("rep", "keys", "sketch"), spread, tree)
     # a region's rows meet in one task, in order
     ordered = forest.repartition("tree", F.substring("key", 1, DEPTH)).sortWithinPartitions("tree", "key")
-    tied = ordered.mapInArrow(partial(regions, many=MANY), "u long, v long").distinct()
-    areas = stored(components(tied, "areas"), "area_members").withColumnRenamed("node", "rep").withColumnRenamed("component", "area")
+    ties = stored(ordered.mapInArrow(partial(regions, many=MANY), "u long, v long, near float").groupBy("u", "v").agg(F.max("near").alias("near")), "ties")
+    areas = stored(components(ties.select("u", "v"), "areas"), "area_members").withColumnRenamed("node", "rep").withColumnRenamed("component", "area")
     links = fields(u=LongType(), v=LongType())
 
-    # members of large areas are numbered by hash into blocks; a member goes to each pair its block is in
-    weighed = areas.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep").groupBy("area").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
-    sizes = weighed.select("area", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    spots = areas.join(sizes, "area").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spots = spots.select("rep", "area", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     # a document's own text stands for its set: of rows that share an id, all do
-    whole = rows.where("doc_id is not null").join(areas.select("rep", "area"), rows["doc_id"] == F.col("rep")).select("rep", "text")
+    whole = rows.where("doc_id is not null").join(areas.select("rep"), rows["doc_id"] == F.col("rep")).select("rep", "text")
     packed = fields(rep=LongType(), members=BinaryType())
 
     def sets_of():
         hashes = Hashes()
         return lambda ids, texts: {"rep": ids, "members": [shingles(t, width, hashes).tobytes() for t in texts]}
 
-    meeting = map_rows(whole, sets_of, packed).join(spots, "rep")
+    sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"))
+    filled = lambda count, n: F.greatest(F.ceil(count / block), F.ceil(n * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
 
-    def meet(table: pa.Table) -> pa.Table:
+    # early links: each set and the leader it looks most like; a leader goes to every group of its sets
+    like = ties.where("near is not null").groupBy(F.col("u").alias("rep")).agg(F.max_by("v", F.struct("near", -F.col("v"))).alias("leader"))
+    like = stored(like, "most_like")
+    groups_of = like.join(sizes, "rep").groupBy("leader").agg(F.count("*").alias("count"), F.sum("n").alias("n")).select("leader", filled(F.col("count"), F.col("n")).alias("groups"))
+    led = like.join(groups_of, "leader").select("rep", "leader", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("part"), F.lit(0).alias("side"))
+    leaders = groups_of.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(1).alias("side"))
+
+    def compare(table: pa.Table) -> pa.Table:
         ids, data, side = (table.column(c).to_pylist() for c in ("rep", "members", "side"))
+        of = [np.frombuffer(d, np.uint64) for k, d in enumerate(data) if side[k] == 1 and d]
+        found = []
+        for i, d, e in zip(ids, data, side, strict=True):
+            if e == 0 and d:
+                own = np.frombuffer(d, np.uint64)
+                for lead in of:
+                    both = len(np.intersect1d(own, lead, assume_unique=True)) if 100 * min(len(own), len(lead)) >= percent * max(len(own), len(lead)) else 0
+                    if both and 100 * both >= percent * (len(own) + len(lead) - both):
+                        found.append(i)
+                        break
+        return pa.table({"u": found, "v": [table.column("leader")[0].as_py()] * len(found)}, schema=to_arrow_schema(links))
+
+    early = map_rows(whole, sets_of, packed).join(led.unionByName(leaders), "rep").groupBy("leader", "part").applyInArrow(compare, links)
+    early = stored(early, "early_links")
+    clusters = components(early, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    placed = areas.join(clusters, "rep", "left").select("rep", "area", F.coalesce("cluster", "rep").alias("cluster"))
+    # areas of one cluster are done
+    placed = stored(placed.join(placed.groupBy("area").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("area"), "area"), "unlike")
+
+    # clusters that fill half a block or more have blocks of their own, the others of an area share blocks (of cluster -1)
+    weighed = placed.join(sizes, "rep").groupBy("area", "cluster").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    large = (F.col("count") * 2 > block) | (F.col("n") * 16 > BLOCK_BYTES)
+    weighed = weighed.withColumn("home", F.when(large, F.col("cluster")).otherwise(F.lit(-1)))
+    homes = stored(weighed.groupBy("area", "home").agg(F.sum("count").alias("count"), F.sum("n").alias("n")).select("area", "home", filled(F.col("count"), F.col("n")).alias("blocks")), "homes")
+    # a name for each block; there are as many as an area fills
+    every = homes.groupBy("area").agg(F.collect_list(F.struct("home", "blocks")).alias("homes"))
+    own_home = placed.join(weighed.where(large).select("area", "cluster", F.col("cluster").alias("home")), ["area", "cluster"], "left").withColumn("home", F.coalesce("home", F.lit(-1)))
+    spots = own_home.join(homes, ["area", "home"]).withColumn("j", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks").join(every, "area")
+    meets = F.filter("homes", lambda h: (h["home"] != F.col("home")) | (h["home"] == -1))
+    names = F.flatten(F.transform(meets, lambda h: F.transform(F.sequence(F.lit(0), h["blocks"] - 1), lambda j: F.concat_ws(":", h["home"], j))))
+    spots = spots.withColumn("own", F.concat_ws(":", "home", "j")).withColumn("other", F.explode(names))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    spots = spots.select("rep", "area", "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"))
+    meeting = map_rows(whole.join(placed.select("rep").distinct(), "rep", "left_semi"), sets_of, packed).join(spots, "rep")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, data, sides, own = (table.column(c).to_pylist() for c in ("rep", "members", "side", "cluster"))
         sound = [k for k in sorted(range(len(ids)), key=lambda k: (ids[k], data[k])) if data[k]]
-        found = linked([ids[k] for k in sound], [np.frombuffer(data[k], np.uint64) for k in sound], [side[k] for k in sound], percent) if len(sound) > 1 else []
+        pick = lambda values: [values[k] for k in sound]
+        found = linked(pick(ids), [np.frombuffer(data[k], np.uint64) for k in sound], pick(sides), percent, pick(own)) if len(sound) > 1 else []
         return pa.table({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=to_arrow_schema(links))
 
-    confirmed = meeting.groupBy("area", "a", "b").applyInArrow(meet, links)
+    confirmed = early.unionByName(meeting.groupBy("area", "a", "b").applyInArrow(meet, links))
     known = components(confirmed, "links").withColumnRenamed("node", "rep")
     # rows that share an id, and sets that share their first id, are tied by that id
     out = signed.select("doc_id", "n_shingles", "set").join(reps.drop("n"), "set", "left").join(known, "rep", "left")
