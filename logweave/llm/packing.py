@@ -34,6 +34,9 @@ from .common import configure, fields, map_rows, stored
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one land, below 2 ** 16, so that lands follow the number of pieces; and islands of a land.
 LAND, ISLES = 20_000, 3
+#: Pieces times generations that an island spends in an epoch at least, and its largest population: a small land costs as
+#: much as a full one, and evolves for longer.
+EFFORT, CROWD = 160_000, 20
 PIECES = dict(piece=IntegerType(), start=LongType(), length=LongType(), ids_crc32=LongType())
 
 
@@ -171,6 +174,8 @@ class Island:
         herd = herd or [self.first(0.0)]
         if not self.sizes or len(herd[0]) <= least:
             return herd
+        generations = max(generations, EFFORT // len(self.sizes))
+        population = max(population, min(CROWD, generations // 10))
         herd += [self.first(0.2 * (k + 1) / population) for k in range(len(herd) - 1, population - 1)]
         ranked = sorted(((self.worth(h), h) for h in herd), key=lambda x: x[0])
         if guest is not None:
