@@ -32,7 +32,8 @@ def op3_secret_scan(spark, sf_dir):
     """The history in two commits: versions up to the middle id, then the others against the ledger
     of the first, which lies under the shared folder; findings go back to all."""
     docs, path = table(spark, sf_dir, "documents"), new_path(spark, "secret_ledger")
-    older = F.coalesce(F.col("doc_id") <= F.lit(docs.agg(F.avg("doc_id")).first()[0]), F.lit(False))
+    number = F.col("doc_id").try_cast("double")  # ids that are no numbers come second
+    older = F.coalesce(number <= F.lit(docs.agg(F.avg(number)).first()[0]), F.lit(False))
     secrets.update(docs.where(older), path)
     secrets.update(docs.where(~older), path)
     return secrets.findings(docs, path)
