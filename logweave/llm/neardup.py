@@ -22,7 +22,7 @@ returned, one less than sets at most, never all pairs.
 
 Defined results: a null text, or one without words, has no shingle and links with nothing; fewer
 words than a shingle's are one shingle; equal texts link; rows that share an id are one document; a
-row without id is its own component, with null as its number; an empty table gives an empty result.
+row without id, or whose id is no whole number, is its own component, with null as its number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def linked(ids: list[int], sets: list[np.ndarray], side: list[int], percent: int
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row."""
     spark = configure(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = fields(doc_id=LongType(), n_shingles=LongType(), set=BinaryType(), keys=BinaryType(), sketch=BinaryType())
 
     def make():

@@ -11,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from logweave.llm import exactdedup, hardneg, whitening
+from logweave.llm import exactdedup, hardneg, neardup, packing, whitening
 
 
 def lower(text):
@@ -247,3 +247,57 @@ def test_pruning_is_sound_and_prunes():
                 if least == scores.max() and not b.beyond(length, least):
                     scored += 400 if rows is None else len(rows)
     assert scored / (40 * 4000) < 0.3
+
+
+def triplets(seed, n=40, capacity=1024):
+    """Pieces of which three fill a bin, each more than a quarter of it."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(390, 500)
+        b = rng.randrange(257, capacity - a - 256)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_islands_beat_best_fit(spark):
+    """Three pieces a bin: best fit wastes a sixth; crossover, migration and the rest save some of it."""
+    for seed in (0, 1):
+        sizes = triplets(seed)
+        alone = len(packing.Island(sizes, 1024, seed).first(0.0))
+        todo = spark.createDataFrame(list(enumerate(sizes)), "item long, size long")
+        got = packing.evolved(todo, len(sizes), 0, 1024, packing.LAND, 3, 2, 3, 8).collect()
+        filled = defaultdict(int)
+        for r in got:
+            filled[r.bin] += r.size
+        assert sorted(r.item for r in got) == list(range(len(sizes))) and max(filled.values()) <= 1024
+        assert 40 <= len(filled) < alone
+
+
+def test_ids_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("a", "x y z"), ("7", "x y z"), ("8", "x y z"), (None, "x y z")], "doc_id string, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, None, True), (7, 7, True), (8, 7, False), (None, None, True)]))
+
+
+def test_clusters_are_not_compared_again(spark, monkeypatch):
+    """A large group of copies among strangers: the same components in blocks of any size, and no pair within the group."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    near = lambda: " ".join(w if rng.random() > 0.02 else word() for w in base)
+    far = lambda: " ".join(w if rng.random() > 0.12 else word() for w in base)
+    texts = [near() for _ in range(150)] + [far() for _ in range(60)] + [" ".join(word() for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    for block in (2048, 8):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=2, block=block).collect()}
+        assert [got[i] for i in range(len(sets))] == label
+    sets_of = [np.array([1, 2, 3], np.uint64)] * 3
+    assert neardup.linked([1, 2, 3], sets_of, [2, 2, 2], 80, [5, 5, 9]) == [(1, 3)]
