@@ -15,6 +15,8 @@ repeated string covers is removed, judged on the input as it is.
    with another is left out before.
 4. Repeated starts become byte ranges of their texts, and these are cut out.
 
+Anchors are sorted by hash to find those of two places and more, but for the few that stand at very many: their places are
+counted before anything moves, and told apart by text and place, so that no task reads all places of one anchor.
 An anchor under which very many fragments meet is dealt by its contexts instead: windows whose
 anchor stands at ``lo`` to ``hi`` bytes from their start all hold the same LENGTH - (hi - lo) bytes
 around it, and meet under these. A context with more than HOT different fragments is dealt again
@@ -48,6 +50,8 @@ from .induced import repeated_starts
 LENGTH, GRAM = 200, 64
 #: Places under one anchor, and different fragments of one context, from which they are dealt by contexts.
 HOT = 4096
+#: Anchors with more than this share of all places (and than HOT) are kept out of the sorted stream.
+COMMON = 20_000
 #: Bytes from which a shard is sorted; it is larger by one group (of HOT fragments) at most.
 SHARD = 1_500_000
 _SIDE = (LENGTH - GRAM) // 2
@@ -390,8 +394,15 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
         return work
 
     long_ones = keyed.where(F.octet_length("text") >= LENGTH)
-    found = map_rows(long_ones.select("t1", "t2", "text"), make, ANCHOR).repartition("h").sortWithinPartitions("h", "t1", "t2", "place")
-    lists = found.mapInArrow(partial(repeated, most=HOT), REPEATED).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
+    found = stored(map_rows(long_ones.select("t1", "t2", "text"), make, ANCHOR), "anchors")
+    # anchors of very many places are counted where they stand, and meet nowhere
+    common = stored(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, found.count() // COMMON)).select("h"), "common")
+    few = F.broadcast(common)  # COMMON at most
+    others = found.join(few, "h", "left_anti").repartition("h").sortWithinPartitions("h", "t1", "t2", "place").mapInArrow(partial(repeated, most=HOT), REPEATED)
+    places = stored(found.join(few, "h").distinct(), "common_places")
+    sizes = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    places = places.join(F.broadcast(sizes), "h").select(*REPEATED.names)
+    lists = others.unionByName(places).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
     # one row stands for equal texts
     first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     lists = lists.join(first, ["t1", "t2"])
