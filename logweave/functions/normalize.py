@@ -132,18 +132,21 @@ def _of_rule(values: list) -> Column:
     return F.expr(f"get(array({', '.join(map(_literal, values))}), _rule - 1)")
 
 
+def _groups() -> Column:
+    """The claimed rule's groups by their names, without blank ones."""
+    names = ", ".join("array(" + ", ".join(_literal(g or None) for g in ["", *r.groups.split(",")]) + ")" for r in RULES)
+    pairs = F.zip_with(F.expr(f"get(array({names}), _rule - 1)"), "_found_parts", lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda e: e["key"].isNotNull() & (F.trim(e["value"]) != "")))
+
+
 def _group(name: str) -> Column:
-    """The group of the claimed rule that holds ``name``, or null."""
-    at = ", ".join(_literal(g.index(name) + 1 if name in (g := r.groups.split(",")) else None) for r in RULES)
-    found = f"get(_found_parts, get(array({at}), _rule - 1))"
-    return F.expr(f"CASE WHEN trim({found}) <> '' THEN {found} END")
+    """The group of the claimed rule that is called ``name``, or null."""
+    return F.try_element_at("_groups", F.lit(name))
 
 
 def _named() -> Column:
     """The claimed rule's groups that are no fields, by name."""
-    names = ", ".join("array(" + ", ".join(_literal(None if g in FIELDS else g) for g in ["", *r.groups.split(",")]) + ")" for r in RULES)
-    pairs = F.zip_with(F.expr(f"get(array({names}), _rule - 1)"), "_found_parts", lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    return F.map_from_entries(F.filter(pairs, lambda e: e["key"].isNotNull() & (e["key"] != "") & (F.trim(e["value"]) != "") & (e["value"] != "-")))
+    return F.map_filter("_groups", lambda k, v: ~k.isin(*FIELDS) & (v != "-"))
 
 
 def _said() -> Column:
@@ -236,6 +239,7 @@ def parse(raw: DataFrame, as_of: str, text: str = "raw") -> DataFrame:
     df = raw.select(*keep, line.alias("raw_message"), F.trim(line).alias("_line"), is_json.alias("_json"))
     df = df.withColumn("_found_parts", F.when(~c("_json"), claim()))
     df = df.withColumn("_rule", c("_found_parts")[0].try_cast("int"))
+    df = df.withColumn("_groups", _groups())
     df = df.select(*keep, "raw_message", "_line", "_json", "_rule", *(_group(n).alias(f"g_{n}") for n in _NAMES), F.coalesce(_named(), empty).alias("_own"), _said().alias("_said"))
 
     # JSON records: a rule by the paths it needs, else by aliases of keys
