@@ -395,13 +395,15 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
     long_ones = keyed.where(F.octet_length("text") >= LENGTH)
     found = stored(map_rows(long_ones.select("t1", "t2", "text"), make, ANCHOR), "anchors")
-    # anchors of very many places are counted where they stand, and meet nowhere
-    common = stored(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, found.count() // COMMON)).select("h"), "common")
-    few = F.broadcast(common)  # COMMON at most
-    others = found.join(few, "h", "left_anti").repartition("h").sortWithinPartitions("h", "t1", "t2", "place").mapInArrow(partial(repeated, most=HOT), REPEATED)
-    places = stored(found.join(few, "h").distinct(), "common_places")
-    sizes = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    places = places.join(F.broadcast(sizes), "h").select(*REPEATED.names)
+    # anchors of very many places are counted where they stand, and meet nowhere: COMMON at most
+    counts = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, found.count() // COMMON))
+    common = F.col("h").isin([r.h for r in counts.select("h").collect()])
+    others = found.where(~common).repartition("h").sortWithinPartitions("h", "t1", "t2", "place").mapInArrow(partial(repeated, most=HOT), REPEATED)
+    places = stored(found.where(common).distinct(), "common_places")
+    # those that one text gave to many tasks stand at fewer
+    fewer = [(r.h, r.n) for r in places.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") <= HOT).collect()]
+    hot = ~F.col("h").isin([h for h, _ in fewer])
+    places = places.where(~F.col("h").isin([h for h, n in fewer if n == 1])).withColumn("hot", hot).select(*REPEATED.names)
     lists = others.unionByName(places).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
     # one row stands for equal texts
     first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
