@@ -55,6 +55,31 @@ def test_gram_index(spark, tmp_path):
         assert rows(textindex.resolve(names, name)) == rows(graph.resolve(nodes.distinct(), name)), name
 
 
+def test_grams_of_segments(spark, tmp_path, monkeypatch):
+    """A row holds all texts of a segment, and batches that replace each other, merge and come in parts lose none."""
+    data = [(i, None if i % 19 == 0 else f"text {i % 500} \U0001f600É" + "abc"[i % 3] * (i % 4)) for i in range(9000)]
+    df = spark.createDataFrame(data, "n long, text string").coalesce(1)
+    index = textindex.TextIndex(spark, f"file://{tmp_path}/s", "grams", ("n",), buckets=4)
+    for name, part in (("a", "n < 8000"), ("b", "n < 10"), ("b", "n >= 8000")):
+        index.append(df.where(part), "text", name)
+    for _ in range(2):
+        for part in ("text 49", "t", "\U0001f600ÉA", "cc", "nowhere"):
+            near = {r.n for r in index.holding(part).collect()}
+            want = {i for i, t in data if t and part.lower() in t.lower()}
+            assert want <= near and len(near) == index.holding(part).count(), part
+            if len(part) <= 3:
+                assert near == want, part
+        index.merge()
+    assert index.postings(["tex"]).count() == 2 and index.postings(["tex"]).agg(F.sum("texts")).first()[0] == sum(t is not None for _, t in data)
+    import numpy as np
+
+    wide = ["".join(map(chr, range(0x10000, 0x21000))), "ab"]
+    monkeypatch.setattr(textindex, "TAKEN", 1)
+    assert {t: n.tolist() for t, n in textindex.grams(wide, np.array([5, 7]))}["ab"] == [7]
+    for n in (1, textindex.DENSE - 1, textindex.DENSE, textindex.SEGMENT):
+        assert np.flatnonzero(textindex.bits(textindex.packed(np.arange(n)))).tolist() == list(range(n))
+
+
 def test_edge_store_finds_what_edges_give(spark, tmp_path):
     rng = random.Random(3)
     edges = {("N", f"n{rng.randrange(40)}", rng.choice("rs"), "M" if rng.random() < 0.2 else "N", f"n{rng.randrange(40)}") for _ in range(45)}
