@@ -107,3 +107,20 @@ def test_dead_letters_are_kept(spark, tmp_path):
         kept = spark.read.parquet(str(tmp_path / "dead"))
         assert sorted(r.value for r in kept.collect()) == sorted(["bad", "ok"] * n) and {r.error for r in kept.collect()} == {"OSError: no"}
     assert exports.send(lines.limit(0), post).first().sent == 0
+
+
+def test_many_dead_letters(spark, tmp_path):
+    """What is told of single lines goes back to Spark in batches, not each as a table of its own."""
+    import time
+
+    def post(part):
+        if part[0].endswith("7"):
+            raise OSError("refused")
+
+    lines = spark.range(30_000).selectExpr("cast(id as string) as value").coalesce(1)
+    exports.send(lines.limit(10), post, batch=1, retries=1, backoff=0).collect()  # workers are up
+    start = time.monotonic()
+    sent = exports.send(lines, post, batch=1, retries=2, backoff=0, dead_letters=str(tmp_path / "dead")).first()
+    assert time.monotonic() - start < 25
+    assert (sent.sent, sent.dead) == (27_000, 3_000)
+    assert spark.read.parquet(str(tmp_path / "dead")).where("value like '%7' and error = 'OSError: refused'").count() == 3_000
