@@ -6,9 +6,8 @@ its letters gives; a text's is the product over its words. Learning is one step
 and maximisation: from a uniform model, a forward-backward pass gives the expected use of every
 piece in every word; summed by language, these become probabilities.
 
-Learning reads whole texts of labelled rows: of a language with more than ``SAMPLE`` labelled
-rows, about so many, chosen by a hash of their id (and of the text, where the id is null). Counts are summed inside each task before
-they are shuffled, and stored. Words of
+Learning reads whole texts of all labelled rows. What a word gives depends on the word alone, so words are counted by language
+first, inside each task before they are shuffled, and each different word goes through the passes once, times its count. Words of
 equal length go through the passes together, and a task keeps the scores of words it has seen.
 
 Languages are scored in blocks of ``MOST``, each a pass over the texts that takes along the best language so far, so what reaches the
@@ -41,8 +40,6 @@ from .common import configure, fields, map_rows, stored
 from .vocabulary import Vocabulary, by_length
 
 UND = "und"
-#: Labelled rows that teach a language, about.
-SAMPLE = 600
 #: Languages of a block: the model that goes to every task has a column for each.
 MOST = 200
 #: Words kept by a task with their scores; then it starts anew, which changes no result.
@@ -174,19 +171,31 @@ def _labelled(labelled: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return chosen.where("lang is not null and text is not null")
 
 
-def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> Learned:
-    """What ``predict`` needs to know of the languages of ``labelled``."""
+def _chosen(labelled: DataFrame, key: str, text: str, lang: str, rows: int | None) -> DataFrame:
+    known = _labelled(labelled, key, text, lang)
+    return known if rows is None else sampled(known, "key", "lang", rows)
+
+
+def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None) -> Learned:
+    """What ``predict`` needs to know of the languages of ``labelled``: of all rows, or, for trials, of about ``rows`` of each."""
     configure(labelled.sparkSession)
-    schema = fields(lang=StringType(), piece=LongType(), n=DoubleType())
+    counted, schema = fields(lang=StringType(), word=StringType(), times=LongType()), fields(lang=StringType(), piece=LongType(), n=DoubleType())
+
+    def split():
+        def work(langs, texts):
+            times = Counter((g, w) for g, t in zip(langs, texts, strict=True) for w in words(t))
+            return {"lang": [g for g, _ in times], "word": [w for _, w in times], "times": list(times.values())}
+
+        return work
 
     def make():
         voc = vocabulary(model)
         uniform = np.r_[np.full(voc.size, 1 / voc.size), 0.0, UNKNOWN]
 
-        def work(langs, texts):
+        def work(langs, found_words, counts):
             out = {n: [] for n in schema.names}
             for one in sorted(set(langs)):
-                times = Counter(w for g, t in zip(langs, texts, strict=True) if g == one for w in words(t))
+                times = {w: n for g, w, n in zip(langs, found_words, counts, strict=True) if g == one}
                 uses = np.zeros(voc.size + 2)
                 for n, found in by_length(list(times)):
                     uses += expected(found, np.array([times[w] for w in found], float), n, voc, uniform)
@@ -197,8 +206,9 @@ def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "tex
 
         return work
 
-    chosen = sampled(_labelled(labelled, key, text, lang), "key", "lang", rows)
-    counts = stored(map_rows(chosen.select("lang", "text"), make, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")), "piece_counts")
+    chosen = _chosen(labelled, key, text, lang, rows)
+    of_words = map_rows(chosen.select("lang", "text"), split, counted).groupBy("lang", "word").agg(F.sum("times").alias("times"))
+    counts = stored(map_rows(of_words, make, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")), "piece_counts")
     return Learned(model, sorted(r.lang for r in counts.select("lang").distinct().collect()), counts)  # a name for each language
 
 
@@ -301,9 +311,9 @@ def annotate(docs: DataFrame, learned: Learned, text: str = "text") -> DataFrame
     return _scored(plain, names[docs.columns.index(text)], learned).select(row.alias("row"), *_told())
 
 
-def least_fit(labelled: DataFrame, learned: Learned, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> DataFrame:
-    """(lang_pred, least): the least fit of labelled rows that are told right, by language; of as many rows as it is learned from."""
-    known = sampled(_labelled(labelled, key, text, lang), "key", "lang", rows).select(F.col("lang").alias("key"), "text")
+def least_fit(labelled: DataFrame, learned: Learned, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None) -> DataFrame:
+    """(lang_pred, least): the least fit of labelled rows that are told right, by language; of the rows it is learned from."""
+    known = _chosen(labelled, key, text, lang, rows).select(F.col("lang").alias("key"), "text")
     return predict(known, learned, key="key").where("doc_id = lang_pred").groupBy("lang_pred").agg(F.min("fit").alias("least"))
 
 

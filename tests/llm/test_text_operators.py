@@ -343,6 +343,28 @@ def test_language_sample_is_bounded_for_null_ids(spark):
     assert 50 < langid.sampled(rows, "key", "lang", 100).count() < 200
 
 
+def test_language_learns_from_all_rows(spark):
+    """Counts and least fits are those of every labelled row, however many a language has."""
+    import numpy as np
+
+    data = [(i, f"the house w{'abcdefghij'[i % 10]}{'klmno'[i % 5]} water" if i != 1234 else "zqxj vvkq", "en") for i in range(1500)] + [(2000 + i, "das haus", "de") for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learned = langid.learn(docs, MODEL)
+    voc = langid.vocabulary(MODEL)
+    uniform = np.r_[np.full(voc.size, 1 / voc.size), 0.0, langid.UNKNOWN]
+    want = np.zeros(voc.size + 2)
+    for _, t, lang in data:
+        for w in langid.words(t) if lang == "en" else ():
+            want += langid.expected([w], np.ones(1), len(w), voc, uniform)
+    got = np.zeros(voc.size + 2)
+    for r in learned.counts.where("lang = 'en'").collect():
+        got[r.piece] = r.n
+    assert np.allclose(got[: voc.size], want[: voc.size])
+    fit = {r.doc_id: r.fit for r in langid.predict(docs, learned).collect()}
+    least = {r.lang_pred: r.least for r in langid.least_fit(docs, learned).collect()}
+    assert abs(least["en"] - min(f for d, f in fit.items() if d < 2000)) < 1e-9 and least["en"] == fit[1234]
+
+
 def test_licence_places_in_linear_time(spark):
     import time
 
