@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logweave.operators import insights, mining, rollup
+from logweave.operators import insights, ledger, mining, rollup
 from logweave.plans import catalog, logview, stores
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,12 @@ def test_tokens_are_told_apart_as_by_the_list(spark):
         want = next(name for name, p in mining.TOKENS if re.fullmatch(p, t.text, re.ASCII))
         assert t.type == want, t
     assert "Expand" not in mining.slots(lines)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_proofs_move_no_row_for_a_step(spark):
+    log = logview.events(spark, SF)
+    blocks, tree = ledger.seal(log, "2026-09-01T00:00:00Z", 16)
+    found = ledger.proofs(tree, tree.where("idx % 3 = 0 or height = 2").select("event_id"), 16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Generate") == 1
+    assert found.count() == tree.where("idx % 3 = 0 or height = 2").count() == ledger.check_proofs(found, blocks).where("valid").count()
