@@ -1,8 +1,10 @@
 """Steps that many queries share: events dealt over all cores, read once, and counted before they are tested."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from logweave.operators import insights, ledger, mining, rollup
+from logweave.operators import entities, graph, insights, ledger, mining, rollup
 from logweave.plans import catalog, logview, stores
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +59,45 @@ def test_proofs_move_no_row_for_a_step(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Generate") == 1
     assert found.count() == tree.where("idx % 3 = 0 or height = 2").count() == ledger.check_proofs(found, blocks).where("valid").count()
+
+
+def test_edges_come_from_each_event_alone(spark):
+    """No event is joined with its mentions: two events of one id keep their own users, and the result is that of mentions."""
+    log = logview.events(spark, SF)
+    found = logview.edges(log)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in graph.both_ways(found)._jdf.queryExecution().optimizedPlan().toString()
+    want = graph.edges(log, logview.mentions(log))
+    assert sorted(found.collect()) == sorted(want.collect())
+    core = logview.edges(log, ("RUNS_ON",))
+    assert sorted(core.collect()) == sorted(want.where("rel = 'RUNS_ON'").collect())
+    twice = log.limit(2).withColumn("id", F.lit("one")).withColumn("user_name", F.concat(F.lit("u"), F.monotonically_increasing_id().cast("string")))
+    assert {r.src for r in logview.edges(twice).where("rel = 'ACCESSED'").collect()} == {"u0", "u1"}
+    both = graph.both_ways(spark.createDataFrame([("A", "x", "R", "B", "y")], "src_label string, src string, rel string, dst_label string, dst string"))
+    assert both.columns == ["a_label", "a", "rel", "b_label", "b"] and sorted(map(tuple, both.collect())) == [("A", "x", "R", "B", "y"), ("B", "y", "R", "A", "x")]
+
+
+def test_edges_of_odd_entities(spark):
+    """The first of each type counts; an event without entities has its core edges; a node has no edge to itself."""
+    schema = "id string, hostname string, process string, component string, source_type string, severity string, day string, entities array<struct<type:string,value:string>>"
+    data = [("1", "h", "p", "c", "s", "INFO", "d", [("pod", "a"), ("user", "u"), ("pod", "b"), ("namespace", "n"), ("odd", "x")]), ("2", "h2", None, "c", None, None, None, None), (None, "h3", None, None, None, None, None, [("user", "v"), ("domain", "w")])]
+    got = {tuple(r) for r in graph.edges(spark.createDataFrame(data, schema)).collect()}
+    assert got == {
+        ("Process", "p", "RUNS_ON", "Host", "h"), ("Host", "h", "IS_TYPE", "SourceType", "s"), ("Component", "c", "PART_OF", "Process", "p"), ("User", "u", "ACCESSED", "Host", "h"),
+        ("Pod", "a", "IN_NAMESPACE", "Namespace", "n"), ("User", "v", "ACCESSED", "Host", "h3"), ("User", "v", "MEMBER_OF", "Domain", "w"),
+    }
+
+
+def test_marks_hide_no_entity(spark, monkeypatch):
+    """Texts that hold no mark of a type hold nothing of it, and no pattern is run on them."""
+    bits = ["naa.600508b1", "eui.00a098", "t10.ATA_x", "mpx.vmhba0:C0", "haTask-1-vim.x-22", "Task-9", "TaskQueue-3", "vm-12", "vm-a7", "host-11", "dvportgroup-3", "resgroup-8", "vim.VirtualMachine.on", "vpxapi.Some", "S-1-5-18",
+        "0a1b2c3d-0000-1111-2222-333344445555", "vmnic7", "eth0", "ens192", "eno1", "bond12", "00:1a:2b:3c:4d:5e", "00-1A-2B-3C-4D-5E", "ssh.service", "a@b.slice", "x.path", "Esx_bootbank_lib_7", "Esx_locker_t", "containerd://0123456789ab",
+        "GC(12)", "ABC1234", "com.vmware.q-1", "my-qq", "a-exchange", "b-queue", "https://e.org/x.", "bolt://h", "/vmfs/volumes/ds1x", "[ds one] a/b.vmx", "/var/log/x.log,", "C:\\\\a\\b", "C:\\tmp", "api.ns.svc.cluster.local", "10.1.2.3:80", "none", "É"]
+    rng = random.Random(5)
+    data = [(t,) for t in bits + [" ".join(rng.sample(bits, 3)) for _ in range(60)] + ["", None]]
+    lines = spark.createDataFrame(data, "t string")
+    with_marks = lines.select(entities.from_text(F.col("t")).alias("e")).collect()
+    assert set(entities.MARKS) - {"cluster", "address"} == {k for k, _ in entities.SWEEPS} - {"error_code"}
+    monkeypatch.setattr(entities, "MARKS", {})
+    assert with_marks == lines.select(entities.from_text(F.col("t")).alias("e")).collect()
+    assert {e.type for r in with_marks for e in r.e} == {k for k, _ in entities.SWEEPS} | {"dns_name", "namespace", "k8s_service", "ip"}
