@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logweave.operators import entities, graph, insights, ledger, mining, rollup
+from logweave.operators import entities, graph, insights, ledger, mining, rollup, textindex
 from logweave.plans import catalog, logview, stores
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,20 @@ def test_edges_of_odd_entities(spark):
     }
 
 
+def test_names_come_from_each_event_alone(spark, monkeypatch):
+    """The index of names takes nodes without joining events with their mentions, and has those of the graph."""
+    log = logview.events(spark, SF).withColumn("id", F.when(F.col("event_id") > 5, F.col("id")))
+    found = logview.named(log)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = logview.nodes(log, logview.mentions(log)).select("label", "value")
+    assert sorted(found.collect()) == sorted(want.collect())
+    seen = []
+    monkeypatch.setattr(textindex, "index_nodes", lambda nodes, path: seen.append(nodes._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(stores, "_BUILT", {})
+    stores.names(spark, SF)
+    assert "Join" not in seen[0]
+
+
 def test_marks_hide_no_entity(spark, monkeypatch):
     """Texts that hold no mark of a type hold nothing of it, and no pattern is run on them."""
     bits = ["naa.600508b1", "eui.00a098", "t10.ATA_x", "mpx.vmhba0:C0", "haTask-1-vim.x-22", "Task-9", "TaskQueue-3", "vm-12", "vm-a7", "host-11", "dvportgroup-3", "resgroup-8", "vim.VirtualMachine.on", "vpxapi.Some", "S-1-5-18",
