@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import configure, fields, map_rows, stored
+from .common import configure, fields, stored
 from .vocabulary import Vocabulary, by_length
 
 UND = "und"
@@ -44,6 +44,8 @@ UND = "und"
 MOST = 200
 #: Words kept by a task with their scores; then it starts anew, which changes no result.
 CACHE = 1_000_000
+#: Different words that a task holds while it learns, letters that it has read of them, and letters that go through the passes together.
+HELD, READ, PASSED = 200_000, 1 << 25, 200_000
 #: Letters after which the sums of a word are scaled anew.
 RESCALE = 8
 #: Pseudo-count of each piece, and the probability of a letter that no piece covers.
@@ -176,39 +178,70 @@ def _chosen(labelled: DataFrame, key: str, text: str, lang: str, rows: int | Non
     return known if rows is None else sampled(known, "key", "lang", rows)
 
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, word, times) of rows (lang, text), counted over many batches."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("times", pa.int64())])
+    times: dict[str, Counter] = {}
+    letters = 0
+
+    def give() -> Iterator[pa.RecordBatch]:
+        for lang, own in times.items():
+            for found, counts in zip(_parts(list(own)), _parts(list(own.values())), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], schema=schema)
+        times.clear()
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            times.setdefault(lang, Counter()).update(words(text))
+            letters += len(text)
+        if letters > READ or sum(map(len, times.values())) > HELD:
+            yield from give()
+            letters = 0
+    yield from give()
+
+
+def _parts(rows: list, many: int = 10_000) -> Iterator[list]:
+    return (rows[k : k + many] for k in range(0, len(rows), many))
+
+
+def piece_uses(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, piece, n) of rows (lang, word, times), each word once: words of many batches go through the passes together."""
+    schema = pa.schema([("lang", pa.string()), ("piece", pa.int64()), ("n", pa.float64())])
+    uniform = np.r_[np.full(voc.size, 1 / voc.size), 0.0, UNKNOWN]
+    held: dict[str, dict[str, int]] = {}
+
+    def give() -> Iterator[pa.RecordBatch]:
+        for lang, times in held.items():
+            uses = np.zeros(voc.size + 2)
+            for n, found in by_length(list(times)):
+                # beginnings of all words are kept
+                for own in _parts(found, max(1, PASSED // n)):
+                    uses += expected(own, np.array([times[w] for w in own], float), n, voc, uniform)
+            pieces = np.flatnonzero(uses[: voc.size])
+            for at in _parts(pieces):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(uses[at], pa.float64())], schema=schema)
+        held.clear()
+
+    rows = letters = 0
+    for b in batches:
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.setdefault(lang, {})[word] = n
+            letters += len(word)
+        rows += b.num_rows
+        if rows > HELD or letters > READ:
+            yield from give()
+            rows = letters = 0
+    yield from give()
+
+
 def learn(labelled: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None) -> Learned:
     """What ``predict`` needs to know of the languages of ``labelled``: of all rows, or, for trials, of about ``rows`` of each."""
     configure(labelled.sparkSession)
-    counted, schema = fields(lang=StringType(), word=StringType(), times=LongType()), fields(lang=StringType(), piece=LongType(), n=DoubleType())
-
-    def split():
-        def work(langs, texts):
-            times = Counter((g, w) for g, t in zip(langs, texts, strict=True) for w in words(t))
-            return {"lang": [g for g, _ in times], "word": [w for _, w in times], "times": list(times.values())}
-
-        return work
-
-    def make():
-        voc = vocabulary(model)
-        uniform = np.r_[np.full(voc.size, 1 / voc.size), 0.0, UNKNOWN]
-
-        def work(langs, found_words, counts):
-            out = {n: [] for n in schema.names}
-            for one in sorted(set(langs)):
-                times = {w: n for g, w, n in zip(langs, found_words, counts, strict=True) if g == one}
-                uses = np.zeros(voc.size + 2)
-                for n, found in by_length(list(times)):
-                    uses += expected(found, np.array([times[w] for w in found], float), n, voc, uniform)
-                for p in np.flatnonzero(uses[: voc.size]):
-                    for name, v in zip(schema.names, (one, int(p), float(uses[p])), strict=True):
-                        out[name].append(v)
-            return out
-
-        return work
-
+    counted, used = fields(lang=StringType(), word=StringType(), times=LongType()), fields(lang=StringType(), piece=LongType(), n=DoubleType())
     chosen = _chosen(labelled, key, text, lang, rows)
-    of_words = map_rows(chosen.select("lang", "text"), split, counted).groupBy("lang", "word").agg(F.sum("times").alias("times"))
-    counts = stored(map_rows(of_words, make, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")), "piece_counts")
+    of_words = chosen.select("lang", "text").mapInArrow(counted_words, counted).groupBy("lang", "word").agg(F.sum("times").alias("times"))
+    of_pieces = of_words.mapInArrow(lambda batches: piece_uses(batches, vocabulary(model)), used)
+    counts = stored(of_pieces.groupBy("lang", "piece").agg(F.sum("n").alias("n")), "piece_counts")
     return Learned(model, sorted(r.lang for r in counts.select("lang").distinct().collect()), counts)  # a name for each language
 
 

@@ -365,6 +365,41 @@ def test_language_learns_from_all_rows(spark):
     assert abs(least["en"] - min(f for d, f in fit.items() if d < 2000)) < 1e-9 and least["en"] == fit[1234]
 
 
+@pytest.mark.parametrize(("held", "read", "passed"), [(200_000, 1 << 25, 200_000), (30, 1 << 25, 50), (200_000, 40, 7)])
+def test_language_words_of_many_batches_pass_together(monkeypatch, held, read, passed):
+    """Words are counted over all batches of a task and go through the passes by length, not batch by batch; bounds change no sum."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [("en" if k % 2 else "de", " ".join(rng.choice(["house", "haus", "water", "wasser", "tree", "baum", "x" * 30]) + rng.choice("abc") for _ in range(5))) for k in range(60)]
+    batches = lambda rows, names, n: (pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[k : k + n], strict=True)), strict=True))) for k in range(0, len(rows), n))
+    for name, value in (("HELD", held), ("READ", read), ("PASSED", passed)):
+        monkeypatch.setattr(langid, name, value)
+    calls, plain = [], langid.expected
+    monkeypatch.setattr(langid, "expected", lambda found, *rest: (calls.append(len(found)), plain(found, *rest))[1])
+    voc = langid.vocabulary(MODEL)
+    counted: dict = {}
+    rows = [tuple(r.values()) for b in langid.counted_words(batches(texts, ("lang", "text"), 3)) for r in b.to_pylist()]
+    for lang, word, n in rows:
+        counted[lang, word] = counted.get((lang, word), 0) + n
+    assert sum(counted.values()) == 300
+    if held > 30 and read > 40:
+        assert len(rows) == len(counted)
+    got = np.zeros((2, voc.size))
+    for b in langid.piece_uses(batches([(*k, n) for k, n in counted.items()], ("lang", "word", "times"), 4), voc):
+        for lang, piece, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[int(lang == "en"), piece] += n
+    if held > 30 and read > 40:
+        assert len(calls) <= 2 * len({len(w) for _, w in counted})
+    uniform = np.r_[np.full(voc.size, 1 / voc.size), 0.0, langid.UNKNOWN]
+    want = np.zeros_like(got)
+    for lang, text in texts:
+        for w in langid.words(text):
+            want[int(lang == "en")] += plain([w], np.ones(1), len(w), voc, uniform)[: voc.size]
+    assert np.allclose(got, want)
+
+
 def test_licence_places_in_linear_time(spark):
     import time
 
