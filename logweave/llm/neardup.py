@@ -177,11 +177,11 @@ class Region:
             self.close(ids[own], np.array(self.ids, np.int64)[like[own]], most[own])
 
 
-def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.RecordBatch]:
-    """Ties from rows (tree, key, id, sketch) that come sorted by tree and key: ``near`` is null for those that only say
-    what an area is, else the estimated similarity of a set, ``u``, and a leader."""
+def regions(batches: Iterator[pa.RecordBatch], many: int = MANY, looks: bool = False) -> Iterator[pa.RecordBatch]:
+    """Ties (u, v), which say what an area is, from rows (tree, key, id, sketch) that come sorted by tree and key. With ``looks``,
+    rows (u, v, near): ``near`` is null for ties, else the estimated similarity of a set, ``u``, and a leader."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("near", pa.float32())])
-    us, vs, looks = [], [], []
+    us, vs, likes = [], [], []
 
     def give(u: int, v: int) -> None:
         us.append(u)
@@ -189,11 +189,12 @@ def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.
 
     def taken() -> pa.RecordBatch:
         ties = [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.nulls(len(us), pa.float32())]
-        for columns in looks:
+        for columns in likes:
             ties = [pa.concat_arrays([t, pa.array(c, f.type)]) for t, c, f in zip(ties, columns, schema, strict=True)]
-        for x in (us, vs, looks):
+        for x in (us, vs, likes):
             x.clear()
-        return pa.RecordBatch.from_arrays(ties, schema=schema)
+        found = pa.RecordBatch.from_arrays(ties, schema=schema)
+        return found if looks else found.select(["u", "v"])
 
     going, last = None, None  # the region at the end of the batch before, and its first values
     for b in batches:
@@ -211,7 +212,7 @@ def regions(batches: Iterator[pa.RecordBatch], many: int = MANY) -> Iterator[pa.
             x, y = int(bounds[r]), int(bounds[r + 1])
             own = (int(trees[x]), keys[x, :DEPTH].tobytes())
             if own != last:
-                going, last = Region(give, many, (lambda *x: looks.append(x)) if own[0] < EARLY else None), own
+                going, last = Region(give, many, (lambda *x: likes.append(x)) if looks and own[0] < EARLY else None), own
             going.add(keys[x:y], ids[x:y], sketches[x:y])
         yield taken()
 
@@ -285,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     forest = map_rows(one.select("rep", "keys", "sketch"), spread, tree)
     # a region's rows meet in one task, in order
     ordered = forest.repartition("tree", F.substring("key", 1, DEPTH)).sortWithinPartitions("tree", "key")
-    ties = stored(ordered.mapInArrow(partial(regions, many=MANY), "u long, v long, near float").groupBy("u", "v").agg(F.max("near").alias("near")), "ties")
+    ties = stored(ordered.mapInArrow(partial(regions, many=MANY, looks=True), "u long, v long, near float").groupBy("u", "v").agg(F.max("near").alias("near")), "ties")
     areas = stored(components(ties.select("u", "v"), "areas"), "area_members").withColumnRenamed("node", "rep").withColumnRenamed("component", "area")
     links = fields(u=LongType(), v=LongType())
 
