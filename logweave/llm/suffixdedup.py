@@ -15,6 +15,9 @@ repeated string covers is removed, judged on the input as it is.
    with another is left out before.
 4. Repeated starts become byte ranges of their texts, and these are cut out.
 
+Texts are shuffled only to meet what was found in them, and only those that a filter of the keys found lets through:
+a text without repeated anchors stays where it lies, and so does a row without a range to cut.
+
 Anchors are sorted by hash to find those of two places and more, but for the few that stand at very many: their places are
 counted before anything moves, and told apart by text and place, so that no task reads all places of one anchor.
 An anchor under which very many fragments meet is dealt by its contexts instead: windows whose
@@ -239,6 +242,8 @@ def deeper():
 #: Ranges of bytes of a text.
 RANGES = ArrayType(StructType(fields(start=LongType(), end=LongType()).fields))
 RANGE = StructType([*fields(t1=LongType(), t2=LongType()).fields, StructField("ranges", RANGES)])
+#: Bits of a filter for each key, bits of a part of it, and parts at most (16 MB).
+BITS, PART, PARTS = 32, 32_768, 4096
 
 
 def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -367,9 +372,23 @@ def text_key(digest: str) -> list[F.Column]:
     return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for name, at in (("t1", 1), ("t2", 16))]
 
 
-def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): every row's id, text key (t1, t2), size, digest and copies; and, for each text
-    with repeated strings, its bytes and the list of ranges. Rows of equal texts share one key."""
+def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: whether their text key may be among ``keys``, which are stored. Never false for one
+    that is; true for few others (one in BITS, more where PARTS are too few)."""
+    parts = min(PARTS, max(1, -(-keys.count() * BITS // PART)))
+    # a key is 60 bits of a SHA-256
+    slot = F.pmod("t1", F.lit(parts * PART)) + 1
+    part, at = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    bits = keys.select(part.alias("part"), at.alias("at")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tried = rows.withColumns({"part": part, "at": at}).join(F.broadcast(bits), "part", "left")
+    return tried.select(*rows.columns, F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
+
+
+def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, spans): every row's id, text key (t1, t2), size, digest and copies; key and bytes of every row
+    of LENGTH bytes or more; and, for each text with repeated strings, its key, the list of ranges, and whether it is
+    ``copied``, found in several rows and so repeated as a whole. Rows of equal texts share one key."""
     configure(docs.sparkSession)
     content = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
     keyed = docs.select(F.col(key).alias("doc_id"), content.alias("text")).withColumn("digest", F.sha2("text", 256)).select("doc_id", "text", "digest", *text_key("digest"))
@@ -393,8 +412,8 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
 
         return work
 
-    long_ones = keyed.where(F.octet_length("text") >= LENGTH)
-    found = stored(map_rows(long_ones.select("t1", "t2", "text"), make, ANCHOR), "anchors")
+    long_ones = keyed.where(F.octet_length("text") >= LENGTH).select("t1", "t2", "text")
+    found = stored(map_rows(long_ones, make, ANCHOR), "anchors")
     # anchors of very many places are counted where they stand, and meet nowhere: COMMON at most
     counts = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, found.count() // COMMON))
     common = F.col("h").isin([r.h for r in counts.select("h").collect()])
@@ -405,15 +424,18 @@ def cut_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tupl
     hot = ~F.col("h").isin([h for h, _ in fewer])
     places = places.where(~F.col("h").isin([h for h, n in fewer if n == 1])).withColumn("hot", hot).select(*REPEATED.names)
     lists = others.unionByName(places).groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "hot")).alias("own"))
-    # one row stands for equal texts
-    first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
-    lists = lists.join(first, ["t1", "t2"])
-    touched = stored(long_ones.select("t1", "t2", "text").join(lists, ["t1", "t2"]), "touched")
+    lists = stored(lists, "lists")
+    touched = likely(long_ones, lists).where("maybe").join(lists, ["t1", "t2"])
     found = stored(map_rows(touched.select("t1", "t2", "text", "own"), fragments, FRAGMENT), "fragments")
     plain = found.where("h is not null and context is null").select("h", "digest", "t1", "t2", "start", "place", "data")
     sorted_frags = plain.repartition("h").sortWithinPartitions("h", "digest", F.col("data").isNull())
-    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(found)).groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return rows.join(first, ["t1", "t2"]), touched.where("copies = 1").select("t1", "t2", "text").join(spans, ["t1", "t2"])
+    spans = sorted_frags.mapInArrow(partial(decided, most=SHARD), RANGE).unionByName(hot_ranges(found)).withColumn("copied", F.lit(False))
+    # one row stands for equal texts
+    first = rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("size"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    spans = spans.unionByName(first.where((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("t1", "t2", whole.alias("ranges"), F.lit(True).alias("copied")))
+    spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.max("copied").alias("copied"))
+    return rows.join(first.drop("size"), ["t1", "t2"]), long_ones, stored(spans, "spans")
 
 
 def merged(own) -> list[list[int]]:
@@ -431,7 +453,9 @@ RESULT = fields(n_removed=LongType(), n_spans=LongType(), kept_sha256=StringType
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: bytes, bytes removed, removed runs, and the SHA-256 of what is left."""
-    rows, cuts = cut_ranges(docs, key, text)
+    rows, texts, spans = cut_ranges(docs, key, text)
+    own = spans.where(~F.col("copied"))
+    cuts = likely(texts, own).where("maybe").join(own, ["t1", "t2"])
     schema = StructType([*fields(t1=LongType(), t2=LongType()).fields, *RESULT.fields])
 
     def make():
@@ -462,26 +486,28 @@ def strip_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A cut is narrowed to whole characters, so what is left is sound UTF-8.
     """
-    rows, cuts = cut_ranges(docs.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id")
-    whole = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("t1", "t2").distinct().select("t1", "t2", F.lit("").alias("left"))
-    schema = fields(t1=LongType(), t2=LongType(), left=StringType())
+    _, _, spans = cut_ranges(docs.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id")
+
+    def one(data, own):
+        kept, at = [], 0
+        for a, b in merged(own):
+            while a < b and data[a] & 0xC0 == 0x80:
+                a += 1
+            while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                b -= 1
+            kept.append(data[at:a])
+            at = b
+        return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
+
+    @F.arrow_udf(StringType())
+    def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        both = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+        return pa.array([None if own is None else one(data, own) for data, own in both], pa.string())
 
-    def make():
-        def one(data, own):
-            kept, at = [], 0
-            for a, b in merged(own):
-                while a < b and data[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(data[at:a])
-                at = b
-            return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
-
-        return lambda t1s, t2s, texts, lists: {"t1": t1s, "t2": t2s, "left": list(map(one, texts, lists))}
-
-    left = stored(map_rows(cuts.select("t1", "t2", "text", "ranges"), make, schema).unionByName(whole), "stripped")
     # the caller's columns stay apart in one
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256).alias("digest"))
-    joined = keyed.select("row", *text_key("digest")).join(left, ["t1", "t2"], "left")
-    return joined.select(*(F.coalesce("left", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    tried = likely(keyed.select("row", *text_key("digest")), spans)
+    content = F.encode(F.col(f"row.`{text}`").cast("string"), "UTF-8")
+    changed = tried.where("maybe").join(spans, ["t1", "t2"], "left").select("row", cut(content, "ranges").alias("left"))
+    out = tried.where(~F.col("maybe")).select("row", F.lit(None).cast("string").alias("left")).unionByName(changed)
+    return out.select(*(F.coalesce("left", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

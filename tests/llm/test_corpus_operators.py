@@ -139,6 +139,43 @@ def test_suffix_dedup_common_line(spark, monkeypatch):
     assert sizes and max(sizes) <= 8
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages up to now have shuffled."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_suffix_dedup_moves_few_texts(spark):
+    """Texts without a repeated string are not shuffled: less than their bytes is, for anchors and all (more than twice before)."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8), n)).decode()
+    passage = prose(300)
+    texts = [prose(10_000) for _ in range(300)] + [prose(5_000) + passage + prose(5_000) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffled_bytes(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables that are not small
+    try:
+        left = {r.doc_id: r.text for r in suffixdedup.strip_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled_bytes(spark) - before < sum(map(len, texts))
+    assert all(left[i] == t for i, t in enumerate(texts[:300])) and all(left[i] == texts[i].replace(passage, "") for i in range(300, 306))
+
+
+def test_likely(spark):
+    """The filter keeps every key that is there, and few others; without keys it keeps none."""
+    key = lambda n, m: spark.range(n).selectExpr("sha2(cast(id as string), 256) as digest", f"id % {m} = 0 as own").select(*suffixdedup.text_key("digest"), "own")
+    rows = suffixdedup.stored(key(20_000, 5), "keys")
+    for keys, most in ((rows.where("own"), 1_000), (rows.where("false"), 0)):
+        got = suffixdedup.likely(rows, keys.select("t1", "t2"))
+        assert got.columns == ["t1", "t2", "own", "maybe"] and got.count() == 20_000 and got.where("maybe is null").isEmpty()
+        assert got.where("not own and maybe").count() <= most
+        assert got.where("own and not maybe").count() == (0 if most else 4_000)
+
+
 def shingle_set(text, width):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" ")
     w = [x for x in w if x]
