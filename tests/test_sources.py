@@ -81,6 +81,37 @@ def test_records_source(spark, tmp_path, monkeypatch):
     assert records.read_records(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_texts_of_a_tree_are_not_moved(spark, tmp_path, monkeypatch):
+    """Records of ``read_any`` are those of the form that shuffles, over blocks of a few lines: files with and without starts,
+    blank ones, one that goes on over many blocks. No record is sorted or shuffled to be numbered."""
+    rng = random.Random(8)
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for n in range(3):
+        (tmp_path / f"in/deep/{n}.log").write_bytes(stack(rng, 150 + n))
+    (tmp_path / "in/none.log").write_text("".join(f"nothing starts here {i}\n" for i in range(60)))
+    (tmp_path / "in/late.log").write_text("\n \n" + "  more\n" * 50 + "2026-09-03T09:00:00Z h a\n" + "  more\n" * 90 + "2026-09-03T09:00:01Z h b")
+    (tmp_path / "in/one.log").write_text("2026-09-03T09:00:00Z h alone\n")
+    (tmp_path / "in/empty.log").write_text("")
+    (tmp_path / "in/packed.log.gz").write_bytes(gzip.compress(stack(rng, 99)))
+    (tmp_path / "in/rows.csv").write_text("host,user,code\n" + "".join(f"h{i},u{i},{i}\n" for i in range(100)))
+    (tmp_path / "in/lines.jsonl").write_text("".join(f'{{"a":{i}}}\n' for i in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    monkeypatch.setattr(readers, "BATCH_ROWS", 20, raising=False)
+    try:
+        got = readers.read_any(spark, str(tmp_path / "in"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        by = lambda df: sorted((r.source_file, r.source_record, r.raw) for r in df.collect())
+        found, want = by(got), by(readers.reassemble(readers.scan(spark, str(tmp_path / "in"), "*.log*")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r for r in found if ".log" in r[0]] == want and len(want) > 60 and max(r[2].count("\n") for r in want) >= 90
+    assert [r[1:] for r in found if r[0] == "rows.csv"] == [(i + 1, f'{{"host":"h{i}","user":"u{i}","code":"{i}"}}') for i in range(100)]
+    assert [r[1:] for r in found if r[0] == "lines.jsonl"] == [(i + 1, f'{{"a":{i}}}') for i in range(100)]
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
 def test_rotation_and_abort(spark, tmp_path):
     lines = spark.range(500).select(F.concat(F.lit("line é "), F.col("id").cast("string")).alias("value")).unionAll(spark.createDataFrame([("y" * 900,), (None,)], "value string"))
     writers.write_rotating(lines.repartition(3), str(tmp_path / "out"), largest=700)
