@@ -194,6 +194,24 @@ def test_csv_headers_and_surplus_cells(spark, tmp_path):
     }
 
 
+def test_reparse_compares_entities(spark, tmp_path):
+    """The report of the query is on the entities that the new parse finds: an event for each of the first 24 shapes."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    events = [(i, start, 100 + i, "error", 1.0, f'{{"k": {10 + i}}}') for i in range(24)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["d10_reparsed"](spark, str(tmp_path)).collect()
+    # shapes 0 (user, event id), 18 (user, executable, file), 22 (thread, operation, address, path) and 23 (thread, operation, path) have more than one; 1, 4, 11, 12, 17 and 20 have one
+    assert {(r.all_records, r.files, r.old_entities, r.new_entities, r.gained, r.lost) for r in got} == {(24, 4, 24, 18, 4, 14)}
+    assert sorted((r.part, r.records) for r in got) == [(f"dir_file-{n}", 6) for n in range(4)]
+    other = duckdb.connect()
+    other.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = other.sql(catalog.ORACLE["d10_reparsed"])
+    assert sorted(want.columns) == sorted(got[0].asDict())
+    assert rows([r.asDict() for r in got], want.columns) == rows([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], want.columns)
+
+
 def entities_of(spark, attributes, message, host="h", process="p"):
     schema = "id string, hostname string, process string, attributes map<string,string>, message string"
     return {(r.type, r.value) for r in entities.mentions(spark.createDataFrame([("1", host, process, attributes, message)], schema)).collect()}
